@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from feedloom.llm.decontam import OP1_SQL, op1_benchmark_decontamination
+from feedloom.llm.packing import op10_best_fit_packing
 from feedloom.llm.simhash import op5_simhash_near_dedup
+from feedloom.llm.warc import OP9_SQL, op9_warc
 
 QUERIES = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op9_warc": op9_warc,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_benchmark_decontamination": OP1_SQL,
+    "op9_warc": OP9_SQL,
+}
