@@ -7,6 +7,8 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = bytes(range(65, 91))
 #: Lower-cases A-Z and leaves every other byte alone.
@@ -18,6 +20,9 @@ WORDS = bytes(
     for c in range(256)
 )
 
+#: Words of a text from the first to the one before ``after``.
+SPAN = T.StructType([T.StructField("first", T.LongType()), T.StructField("after", T.LongType())])
+
 _own_folder: dict[str, str] = {}
 
 
@@ -56,3 +61,18 @@ def utf8(column: pa.Array) -> list[bytes | None]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@F.arrow_udf(T.ArrayType(SPAN))
+def merged(spans: pa.Array) -> pa.Array:
+    """Spans in order, those that touch made one."""
+    out = []
+    for row in spans.to_pylist():
+        one: list[list[int]] = []
+        for s in sorted((x["first"], x["after"]) for x in row or []):
+            if one and s[0] <= one[-1][1]:
+                one[-1][1] = max(one[-1][1], s[1])
+            else:
+                one.append(list(s))
+        out.append([{"first": a, "after": b} for a, b in one])
+    return pa.array(out, pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())])))

@@ -39,7 +39,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """``edges(a, b)`` of integer ids -> ``(id, component)`` for every id on an edge.
+    """``edges(a, b)`` of ids of one orderable type -> ``(id, component)`` for every id on an edge.
 
     ``component`` is the smallest id of the component.  Loops and repeated edges are ignored,
     edges with a null end too; no edge gives an empty table.  Each round writes the edges to
@@ -50,7 +50,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     low, high = F.least("a", "b"), F.greatest("a", "b")
     now = materialize(
         edges.where("a is not null and b is not null and a <> b")
-        .select(high.cast("long").alias("a"), low.cast("long").alias("b"))
+        .select(high.alias("a"), low.alias("b"))
         .distinct(),
         "edges",
     )

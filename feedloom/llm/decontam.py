@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedloom.llm.common import WORDS, table, utf8
+from feedloom.llm.common import SPAN, WORDS, merged, table, utf8
 
 WINDOW = 13
 #: A document is contaminated if at least one word in so many is hit.
@@ -28,7 +28,6 @@ SHARE = 20
 BLOCK_BYTES = 32 << 20
 SAMPLE = 8
 
-SPAN = T.StructType([T.StructField("first", T.LongType()), T.StructField("after", T.LongType())])
 HITS = T.StructType(
     [
         T.StructField("n_words", T.LongType()),
@@ -239,20 +238,6 @@ def hits(phrases: Phrases):
     return find
 
 
-@F.arrow_udf(T.ArrayType(SPAN))
-def merged(spans: pa.Array) -> pa.Array:
-    out = []
-    for row in spans.to_pylist():
-        one: list[list[int]] = []
-        for s in sorted((x["first"], x["after"]) for x in row or []):
-            if one and s[0] <= one[-1][1]:
-                one[-1][1] = max(one[-1][1], s[1])
-            else:
-                one.append(list(s))
-        out.append([{"first": a, "after": b} for a, b in one])
-    return pa.array(out, pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())])))
-
-
 def with_hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES, name: str = "hits") -> DataFrame:
     """Adds a struct ``name`` with n_words, n_hit, items (distinct item_ids as strings, sorted)
     and spans (word ranges to remove, merged) to ``docs(text, ...)``; no row moves.

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedloom.llm.common import LOWER, materialize, utf8
+from feedloom.llm.common import LOWER, materialize, table, utf8
 from feedloom.llm.components import connected_components
 
 SEED = 42
@@ -275,7 +275,15 @@ def near_duplicates(docs: DataFrame, max_shard: int = MAX_SHARD) -> DataFrame:
     )
 
 
-def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
-    from feedloom.llm.common import table
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents whose id is their class's smallest, as they are; one row of each id.
+
+    Documents without an id can't be chosen between and stay.
+    """
+    kept = near_duplicates(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
+    known = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return known.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
+
+def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

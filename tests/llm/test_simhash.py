@@ -100,3 +100,11 @@ def test_components_of_long_path_and_star(spark):
     odd = [(5, 5), (None, 3), (7000, 7000)]
     got = connected_components(spark.createDataFrame(path + star + odd, "a long, b long")).collect()
     assert dict(got) == {i: 1 for i in range(1, 201)} | {i: 1000 for i in range(1000, 1100)}
+
+
+def test_one_of_each(spark):
+    rows = [(3, "a b c d", 1), (2, "A b c d", 2), (2, "A b c d", 2), (9, "quite another text", 3), (None, "a b c d", 4), (None, None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
+    got = S.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted((r[2] for r in got.collect())) == [2, 3, 4, 5]
