@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from feedloom.llm.decontam import OP1_SQL, op1_benchmark_decontamination
+from feedloom.llm.licenses import op7_license_scans
 from feedloom.llm.multiindex import op6_embedding_near_dedup
 from feedloom.llm.packing import op10_best_fit_packing
 from feedloom.llm.simhash import op5_simhash_near_dedup
 from feedloom.llm.substring import op3_substring_dedup
+from feedloom.llm.tokencount import op8_token_counts
 from feedloom.llm.toxicity import op2_toxicity
 from feedloom.llm.urlmodel import op4_url_filters
 from feedloom.llm.warc import OP9_SQL, op9_warc
@@ -18,6 +20,8 @@ QUERIES = {
     "op4_url_filters": op4_url_filters,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
+    "op7_license_scans": op7_license_scans,
+    "op8_token_counts": op8_token_counts,
     "op9_warc": op9_warc,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
