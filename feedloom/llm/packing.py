@@ -27,7 +27,10 @@ from feedloom.llm.common import materialize, table
 CAPACITY = 4096
 END_ID = 1
 #: Entries of a worker's word cache before it starts anew.
-CACHE = 500_000
+CACHE = 800_000
+#: Byte-level BPE's letter for each byte: itself if printable Latin-1, else from U+0100 on.
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_LETTERS = [chr(b) if b in _PLAIN else chr(256 + sum(x not in _PLAIN for x in range(b))) for b in range(256)]
 
 PIECES = T.ArrayType(
     T.StructType(
@@ -42,74 +45,49 @@ PIECES = T.ArrayType(
 )
 
 
-class WordTokens:
-    """Token ids of texts, looked up by chunk between spaces.
+class WordTokens(dict):
+    """Token ids of chunks between spaces, as little-endian unsigned 32-bit integers.
 
     The tokenizer drops white space and never joins characters across it, so a text's ids are
-    its chunks' ids in turn.  Ids are kept as little-endian unsigned 32-bit integers.
+    its chunks' ids in turn.  A chunk is tokenized when it is first asked for.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
-        self._start()
-
-    def _start(self) -> None:
-        self.ids: dict[str, bytes] = {"": b""}
-        self._encode([".", ","])
-
-    def _encode(self, chunks: list[str]) -> None:
-        for chunk, got in zip(chunks, self.tokenizer.encode_batch(chunks, add_special_tokens=False)):
-            self.ids[chunk] = array("I", got.ids).tobytes()
-
-    def _learn(self, missing: set[str]) -> None:
-        known, unknown, later = self.ids, [], []
-        for chunk in missing:
-            # a letter and a full stop or comma behind it are always two tokens, and case is lost
-            tail = chunk[-1] if chunk[-1] in ".," and chunk[-2:-1].isalpha() else ""
-            base = chunk[: -len(tail)] if tail else chunk
-            if base.isascii():
-                base = base.lower()
-            if base == chunk:
-                unknown.append(chunk)
+        self.model = self.tokenizer.model
+
+    def __missing__(self, chunk: str) -> bytes:
+        # a letter and a full stop or comma behind it are always two tokens
+        if chunk[-1] in ".," and chunk[-2:-1].isalpha():
+            ids = self[chunk[:-1]] + self[chunk[-1]]
+        elif chunk.isalpha() and (chunk.isascii() or max(chunk) < "\u0130"):
+            # letters below U+0130 are one run, lower-cased one by one and never composed:
+            # straight to the model, in its spelling of bytes
+            word = chunk.lower()
+            if word != chunk:
+                ids = self[word]
             else:
-                later.append((chunk, base, tail))
-        plain = set(unknown)
-        unknown += [b for _, b, _ in later if b not in known and b not in plain and not plain.add(b)]
-        self._encode(unknown)
-        for chunk, base, tail in later:
-            known[chunk] = known[base] + known[tail]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.ids) > CACHE:
-            self._start()
-        chunks = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        missing: set[str] = set()
-        missing.update(*chunks)
-        missing.difference_update(self.ids)
-        if missing:
-            self._learn(missing)
-        get = self.ids.__getitem__
-        return [b"".join(map(get, c)) for c in chunks]
+                if not word.isascii():
+                    word = "".join([BYTE_LETTERS[b] for b in word.encode()])
+                ids = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        else:
+            ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        self[chunk] = ids
+        return ids
 
-
-_tokens: dict[str, WordTokens] = {}
+    def encode(self, text: str | None) -> bytes:
+        if len(self) > CACHE:
+            self.clear()
+            self[""] = b""
+        return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
 
 
-def _blocks(texts: pa.Array, size: int = 1 << 20):
-    """Lists of texts of about ``size`` bytes together."""
-    block, total = [], 0
-    for x in texts:
-        block.append(x := x.as_py())
-        total += len(x or "")
-        if total > size:
-            yield block
-            block, total = [], 0
-    if block:
-        yield block
+_tokens: dict[str, WordTokens] = {}
 
 
 def cut(tokenizer: str, capacity: int, keep_ids: bool):
@@ -122,17 +100,16 @@ def cut(tokenizer: str, capacity: int, keep_ids: bool):
         if tokenizer not in _tokens:
             _tokens[tokenizer] = WordTokens(tokenizer)
         at, number, start, length, crc, ids = [0], [], [], [], [], []
-        for block in _blocks(text):
-            for got in _tokens[tokenizer].encode(block):
-                got += end
-                for k, lo in enumerate(range(0, len(got), 4 * capacity)):
-                    part = got[lo : lo + 4 * capacity]
-                    number.append(k)
-                    start.append(lo // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-                    ids.append(part if keep_ids else None)
-                at.append(len(number))
+        for t in text:
+            got = _tokens[tokenizer].encode(t.as_py()) + end
+            for k, lo in enumerate(range(0, len(got), 4 * capacity)):
+                part = got[lo : lo + 4 * capacity]
+                number.append(k)
+                start.append(lo // 4)
+                length.append(len(part) // 4)
+                crc.append(zlib.crc32(part))
+                ids.append(part if keep_ids else None)
+            at.append(len(number))
         fields = [f for f in PIECES.elementType.fieldNames()]
         columns = [pa.array(number, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array(ids, pa.binary())]
         return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays(columns, fields))
