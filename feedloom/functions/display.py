@@ -9,7 +9,8 @@ from feedloom import rules as R
 
 
 def severity_to_ten(score: Column) -> Column:
-    return F.least(F.lit(10), F.greatest(F.lit(1), F.bround(score * 2))).cast("int")
+    ten = F.least(F.lit(10), F.greatest(F.lit(1), F.bround(score * 2))).cast("int")
+    return F.when(score.isNotNull(), ten)
 
 
 def keyword_department(label: Column) -> Column:
