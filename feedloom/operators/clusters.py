@@ -3,7 +3,6 @@ leader clustering in order of arrival."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,17 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions.text import fnv_bucket, tokenize
-
-
-def _shared(df: DataFrame, name: str) -> DataFrame:
-    """Written to the folder that the cluster shares, and read back."""
-    import uuid
-
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    path = f"{folder.rstrip('/')}/clusters-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from feedloom.sources.shared import write_and_read
 
 
 def bucket_vectors(texts: DataFrame, buckets: int = 256) -> DataFrame:
@@ -77,14 +66,14 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     partial result.
     """
     edges = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    edges = _shared(edges.union(edges.select("b", "a")).distinct(), "edges")
-    labels = _shared(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), "labels")
+    edges = write_and_read(edges.union(edges.select("b", "a")).distinct(), "edges")
+    labels = write_and_read(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), "labels")
     for _ in range(most_rounds):
         near = edges.join(labels, edges.b == labels.id).groupBy("a").agg(F.min("component").alias("m"))
         spread = labels.join(near, labels.id == near.a, "left").select("id", "component", F.least("component", "m").alias("next"))
         jump = labels.select(F.col("id").alias("next"), F.col("component").alias("up"))
         after = spread.join(jump, "next", "left").select("id", "component", F.least("next", "up").alias("next"))
-        after = _shared(after, "labels")
+        after = write_and_read(after, "labels")
         if after.where("next <> component").isEmpty():
             return labels
         labels = after.select("id", F.col("next").alias("component"))
@@ -99,7 +88,7 @@ def single_linkage_clusters(texts: DataFrame, threshold: float, buckets: int = 2
     if threshold <= 0:
         least = texts.agg(F.min("id").alias("component"))
         return texts.select("id").crossJoin(F.broadcast(least))  # one row
-    same = _shared(same_vector(texts, buckets).select("id", "rep"), "same")
+    same = write_and_read(same_vector(texts, buckets).select("id", "rep"), "same")
     linked = components(similarity_pairs(texts, threshold, buckets))
     return same.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
 
@@ -136,7 +125,7 @@ def cluster_rank(clusters: DataFrame) -> DataFrame:
     """Position by priority, size and label: numbers in parts of a range sort, then added up, so
     that no task gets all rows."""
     ordered = clusters.orderBy(F.desc("priority"), F.desc("n_members"), "label", "cluster_id")
-    numbered = _shared(ordered.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "rank")
+    numbered = write_and_read(ordered.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "rank")
     sizes = numbered.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     first = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))  # a row a part

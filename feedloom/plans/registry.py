@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from feedloom.plans import cluster_queries, dashboard_queries, intake_queries, response_queries, routing_queries, text_queries, ticket_queries, trend_queries  # noqa: F401
+    from feedloom.plans import cluster_queries, dashboard_queries, intake_queries, response_queries, routing_queries, stream_queries, text_queries, ticket_queries, trend_queries  # noqa: F401
 
 
 _load()
