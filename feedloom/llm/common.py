@@ -59,6 +59,18 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def hashed_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
+    """At most ``rows`` rows, chosen by hash of the key: a repeatable sample.
+
+    What cannot be among them by a wide margin is dropped where it is, so that tasks do not send
+    their own ``rows`` smallest each.
+    """
+    total, h = df.count(), F.xxhash64(*key)
+    if total > 2 * rows:
+        df = df.where(F.pmod(h, F.lit(1 << 30)) < int(1.5 * rows / total * (1 << 30)))
+    return df.orderBy(h, *key).limit(rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

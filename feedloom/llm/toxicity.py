@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedloom.llm.common import WORDS, materialize, table, utf8
+from feedloom.llm.common import WORDS, hashed_sample, materialize, table, utf8
 
 GRADES = 3
 #: Labelled rows that the model is fitted on, chosen by hash of the id: the only bounded part.
@@ -84,6 +84,17 @@ def distinct_words(text: pa.Array) -> pa.Array:
     return pa.array([list(set((t or b"").translate(WORDS).split())) for t in utf8(text)], pa.list_(pa.binary()))
 
 
+def feature_numbers(names: list[bytes]):
+    """UDF: words -> the positions in ``names`` of those that are there, in order."""
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def number(words: pa.Array) -> pa.Array:
+        at = {w: k for k, w in enumerate(names)}
+        return pa.array([sorted(at[w] for w in row if w in at) for row in words.to_pylist()], pa.list_(pa.int32()))
+
+    return number
+
+
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> OrdinalModel:
     """Fits on ``docs(doc_id, text)`` with ``labels(doc_id, toxic)``, at most ``fit_rows`` of them.
 
@@ -93,13 +104,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ordin
     """
     from pyspark.sql.functions import broadcast
 
-    chosen = (
-        labels.where("doc_id is not null and toxic is not null")
-        .groupBy("doc_id")
-        .agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(fit_rows)
-    )
+    known = labels.where("doc_id is not null and toxic is not null")
+    chosen = hashed_sample(known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")), fit_rows, "doc_id")
     rows = docs.select("doc_id", "text").join(broadcast(chosen), "doc_id").select("doc_id", "toxic", distinct_words("text").alias("words"))
     rows = materialize(rows, "labelled-words")
     total, toxic = rows.agg(F.count("*"), F.sum("toxic")).first()
@@ -112,9 +118,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ordin
     gain = F.abs(rate) * F.sqrt("n")
     words = seen.where(F.col("n") >= MIN_DOCS).orderBy(gain.desc(), "word").limit(FEATURES).select("word")
     names = [bytes(r[0]) for r in words.collect()]
-    number = {w: k for k, w in enumerate(names)}
-    kept = rows.select("toxic", F.array_intersect("words", F.lit(names)).alias("words")) if names else rows.select("toxic", F.array().cast("array<binary>").alias("words"))
-    got = [(r[0], sorted(number[bytes(w)] for w in r[1])) for r in kept.orderBy(F.xxhash64("toxic", "words")).collect()]
+    kept = rows.select("toxic", feature_numbers(names)("words").alias("features"))
+    got = sorted((r[0], list(r[1])) for r in kept.collect())
     y = np.array([t for t, _ in got])
     row = np.repeat(np.arange(len(got)), [len(w) for _, w in got])
     col = np.array([k for _, w in got for k in w], np.int64)
