@@ -16,7 +16,7 @@ def _stamp(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Hangs every larger neighbour of a node on the node's smallest neighbour (or itself)."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m"))
+    least = materialize(both.groupBy("a").agg(F.min("b").alias("m")), "least")
     return (
         both.join(least, "a")
         .where("b > a")
@@ -28,7 +28,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Hangs a node and its smaller neighbours on the smallest of them.  Edges point down."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = materialize(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     joined = edges.join(least, "a")
     return (
         joined.select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -44,8 +44,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     ``component`` is the smallest id of the component.  Loops and repeated edges are ignored,
     edges with a null end too; no edge gives an empty table.  Each round writes the edges to
     the shared folder; the number of rounds follows the logarithm of the longest path.  All
-    steps are joins and grouped minima, so a node with very many neighbours is combined before
-    the shuffle and split by the skew join.
+    steps are joins and grouped minima: a node with very many neighbours is combined before the
+    shuffle, and since the minima are written first, the join reads plain shuffles and splits it.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
     now = materialize(
