@@ -55,7 +55,8 @@ def same_vector(texts: DataFrame, buckets: int = 256) -> DataFrame:
     """(id, rep, tf): each text with the smallest id of equal token counts.  Texts without tokens
     are all alike, and like nothing else."""
     vectors = bucket_vectors(texts, buckets)
-    reps = vectors.groupBy("tf").agg(F.min("id").alias("rep"))
+    # written first, so that the join reads plain shuffles and splits a frequent vector
+    reps = write_and_read(vectors.groupBy("tf").agg(F.min("id").alias("rep")), "same-vector")
     return vectors.join(reps, "tf").select("id", "rep", "tf")
 
 
