@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,9 @@ WORDS = bytes(
 #: Words of a text from the first to the one before ``after``.
 SPAN = T.StructType([T.StructField("first", T.LongType()), T.StructField("after", T.LongType())])
 
+#: Rows that Spark hands to a Python worker at once while a table is written here.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
 _own_folder: dict[str, str] = {}
 
 
@@ -47,16 +51,35 @@ def new_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends there, and a lost
     executor costs a re-read, not a recomputation."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, rows = new_path(spark, name), spark.conf.get(BATCH)
+    try:  # long texts: fewer of them at once in a Python worker
+        spark.conf.set(BATCH, min(int(rows), BATCH_ROWS) if int(rows) > 0 else BATCH_ROWS)
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, rows)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def slices(column: pa.Array, rows: int = 256) -> Iterator[pa.Array]:
+    """A column in parts, so that only one part's values stand as Python objects at a time."""
+    for at in range(0, len(column), rows):
+        yield column.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
-def utf8(column: pa.Array) -> list[bytes | None]:
+def utf8(column: pa.Array) -> Iterator[bytes | None]:
     """The UTF-8 bytes of a string column."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
+    for part in slices(column.cast(kind)):
+        yield from part.to_pylist()
+
+
+def collected(parts: Iterator[pa.Array], kind: pa.DataType) -> pa.Array:
+    """The parts as one array."""
+    return pa.concat_arrays([pa.array([], kind), *parts])
 
 
 def hashed_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:

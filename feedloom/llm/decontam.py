@@ -11,6 +11,7 @@ positions, and overlapping ones are merged to removal spans.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -175,17 +176,18 @@ def _expand(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return row, np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
-def search_shard(texts: list[bytes | None], phrases: Phrases) -> tuple[np.ndarray, np.ndarray, list[list[str]], list[list[tuple[int, int]]]]:
+def search_shard(texts: Iterable[bytes | None], phrases: Phrases) -> tuple[np.ndarray, np.ndarray, list[list[str]], list[list[tuple[int, int]]]]:
     """For each text: its words, the words hit, the items that occur and the merged spans."""
-    get, sizes, parts = phrases.numbers().get, np.zeros(len(texts), np.int64), []
-    for k, t in enumerate(texts):
+    get, counts, parts = phrases.numbers().get, [], []
+    for t in texts:
         words = (t or b"").translate(WORDS).split()
-        sizes[k] = len(words)
+        counts.append(len(words))
         parts.append(np.fromiter(map(get, words, itertools.repeat(0)), np.int32, len(words)))
         parts.append(np.zeros(1, np.int32))  # no occurrence reaches over the end of a text
-    items: list[list[str]] = [[] for _ in texts]
-    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-    hits = np.zeros(len(texts), np.int64)
+    sizes = np.array(counts, np.int64)
+    items: list[list[str]] = [[] for _ in counts]
+    spans: list[list[tuple[int, int]]] = [[] for _ in counts]
+    hits = np.zeros(len(counts), np.int64)
     if not phrases.windows or not parts:
         return sizes, hits, items, spans
     words = np.concatenate(parts)

@@ -27,7 +27,7 @@ from feedloom.llm.common import materialize, table
 CAPACITY = 4096
 END_ID = 1
 #: Entries of a worker's word cache before it starts anew.
-CACHE = 800_000
+CACHE = 400_000
 #: Byte-level BPE's letter for each byte: itself if printable Latin-1, else from U+0100 on.
 _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_LETTERS = [chr(b) if b in _PLAIN else chr(256 + sum(x not in _PLAIN for x in range(b))) for b in range(256)]
