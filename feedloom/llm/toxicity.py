@@ -16,23 +16,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedloom.llm.common import WORDS, hashed_sample, materialize, table, utf8
+from feedloom.llm.common import WORDS, collected, hashed_sample, materialize, slices, table, utf8
 
 GRADES = 3
 #: Labelled rows that the model is fitted on, chosen by hash of the id: the only bounded part.
 FIT_ROWS = 20_000
 #: Word features: those that tell toxic from clean best, of at least MIN_DOCS labelled documents.
 FEATURES, MIN_DOCS = 2048, 4
-#: Weight of the absolute-value penalty, steps of the fit, and P(y >= 1) from which to reject.
-PENALTY, STEPS, REJECT = 2e-4, 400, 0.5
+#: Weight of the absolute-value penalty and steps of the fit.
+PENALTY, STEPS = 5e-5, 400
 
 
 @dataclass
 class OrdinalModel:
-    """Weights by word and the ordered thresholds.  Without thresholds all grades are 0."""
+    """Weights by word, the ordered thresholds, and P(y >= 1) from which to reject.  Without
+    thresholds all grades are 0."""
 
     weights: dict[bytes, float] = field(default_factory=dict)
     thresholds: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    reject: float = 0.5
 
     def margin(self, text: bytes | None) -> float:
         words = set((text or b"").translate(WORDS).split())
@@ -81,7 +83,9 @@ def fit_ordinal(row: np.ndarray, col: np.ndarray, n: int, features: int, grade:
 
 @F.arrow_udf(T.ArrayType(T.BinaryType()))
 def distinct_words(text: pa.Array) -> pa.Array:
-    return pa.array([list(set((t or b"").translate(WORDS).split())) for t in utf8(text)], pa.list_(pa.binary()))
+    kind = pa.list_(pa.binary())
+    each = ([list(set((t or b"").translate(WORDS).split())) for t in utf8(part)] for part in slices(text))
+    return collected((pa.array(x, kind) for x in each), kind)
 
 
 def feature_numbers(names: list[bytes]):
@@ -90,7 +94,9 @@ def feature_numbers(names: list[bytes]):
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def number(words: pa.Array) -> pa.Array:
         at = {w: k for k, w in enumerate(names)}
-        return pa.array([sorted(at[w] for w in row if w in at) for row in words.to_pylist()], pa.list_(pa.int32()))
+        kind = pa.list_(pa.int32())
+        each = ([sorted(at[w] for w in row if w in at) for row in part.to_pylist()] for part in slices(words))
+        return collected((pa.array(x, kind) for x in each), kind)
 
     return number
 
@@ -128,14 +134,27 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ordin
     cuts = np.quantile(margin[y == 1], [1 / 3, 2 / 3])
     grade = np.where(y == 1, 1 + np.searchsorted(cuts, margin, side="right"), 0)
     weight, theta = fit_ordinal(row, col, len(got), len(names), grade, GRADES)
-    return OrdinalModel({w: float(v) for w, v in zip(names, weight) if v}, theta)
+    margin = np.bincount(row, weights=weight[col], minlength=len(got))
+    cut = best_cut(margin, y == 1)
+    return OrdinalModel({w: float(v) for w, v in zip(names, weight) if v}, theta, float(sigmoid(np.array(cut - theta[0]))))
+
+
+def best_cut(margin: np.ndarray, toxic: np.ndarray) -> float:
+    """The margin from which to reject: where the shares of toxic and of clean rows that it gets
+    right sum highest, half way to the next lower margin."""
+    values = np.unique(margin)
+    at = np.searchsorted(values, margin)
+    bad, good = (np.bincount(at, weights=m, minlength=len(values)) / m.sum() for m in (toxic, ~toxic))
+    right = bad[::-1].cumsum()[::-1] + np.r_[0, good.cumsum()[:-1]]
+    k = len(values) - 1 - int(np.argmax(right[::-1]))
+    return float((values[k] + values[k - 1]) / 2) if k else float(values[0])
 
 
-SEVERITY = T.StructType([T.StructField("expected_severity", T.DoubleType()), T.StructField("toxic_probability", T.DoubleType()), T.StructField("grade", T.IntegerType())])
+SEVERITY = T.StructType([T.StructField("expected_severity", T.DoubleType()), T.StructField("toxic_probability", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("rejected", T.BooleanType())])
 
 
 def severity(model: OrdinalModel):
-    """UDF: text -> expected severity, P(y >= 1) and the likeliest grade."""
+    """UDF: text -> expected severity, P(y >= 1), the likeliest grade and whether to reject."""
 
     @F.arrow_udf(SEVERITY)
     def score(text: pa.Array) -> pa.Array:
@@ -145,7 +164,7 @@ def severity(model: OrdinalModel):
             reach = np.zeros((len(margins), 1))
         bounds = np.column_stack([np.ones(len(margins)), reach, np.zeros(len(margins))])
         grade = np.argmax(bounds[:, :-1] - bounds[:, 1:], axis=1).astype(np.int32)
-        return pa.StructArray.from_arrays([pa.array(reach.sum(axis=1)), pa.array(reach[:, 0]), pa.array(grade)], SEVERITY.fieldNames())
+        return pa.StructArray.from_arrays([pa.array(reach.sum(axis=1)), pa.array(reach[:, 0]), pa.array(grade), pa.array(reach[:, 0] >= model.reject)], SEVERITY.fieldNames())
 
     return score
 
@@ -157,11 +176,11 @@ def with_severity(docs: DataFrame, model: OrdinalModel, name: str = "severity")
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents whose probability of any toxicity is below ``REJECT``."""
-    return with_severity(docs, train(docs, labels), "_severity").where(F.col("_severity.toxic_probability") < REJECT).drop("_severity")
+    """The documents that the fitted model does not reject, as they are."""
+    return with_severity(docs, train(docs, labels), "_severity").where(~F.col("_severity.rejected")).drop("_severity")
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = with_severity(docs, train(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", "severity.*", (F.col("severity.toxic_probability") >= REJECT).alias("rejected"))
+    return scored.select("doc_id", "severity.*")
