@@ -1,8 +1,8 @@
 """License scan by ordered signature rules.
 
-A rule is a regular expression over a text's lower-cased words, with keywords of which one must
-be in the text before the expression is tried at all, a label, a priority and a confidence.  The
-keywords are found by one Aho-Corasick pass.  Detections that lie inside a detection of higher
+A rule is a regular expression over a text's lower-cased words, with keywords that must all
+be in the text before the expression is tried at all, a label, a priority and a confidence.  Keywords
+are words that every match holds, so the gate is one lookup of a text's distinct words.  Detections that lie inside a detection of higher
 priority, or inside a longer one of the same priority, are suppressed.
 """
 
@@ -53,7 +53,7 @@ FAMILIES = {
 }
 #: label: (keyword, full name over words).
 FULL_NAMES = {
-    "mit": ("mit", r"massachusetts institute of technology license"),
+    "mit": ("massachusetts", r"massachusetts institute of technology license"),
     "apache": ("apache", r"apache (?:software )?license"),
     "gpl": ("gnu", r"gnu general public license"),
     "lgpl": ("gnu", r"gnu (?:lesser|library) general public license"),
@@ -61,7 +61,7 @@ FULL_NAMES = {
     "gfdl": ("gnu", r"gnu free documentation license"),
     "mpl": ("mozilla", r"mozilla public license"),
     "epl": ("eclipse", r"eclipse public license"),
-    "cddl": ("cddl", r"common development and distribution license"),
+    "cddl": ("distribution", r"common development and distribution license"),
     "cpl": ("common", r"common public license"),
     "eupl": ("european", r"european union public licen[cs]e"),
     "isc": ("internet", r"internet systems consortium license"),
@@ -100,7 +100,7 @@ TEXTS = [
 #: version, keyword or "", priority, confidence).
 FRAMES = [
     (r"spdx license identifier {n}(?: {v})?(?: or later| only| clause)?", "spdx", 5, 1.0),
-    (r"(?:licensed|released|distributed|published|available|covered|provided) (?:under|by|with|as) (?:the )?(?:terms of )?(?:the )?{n}(?: licen[cs]e)?(?: version)?(?: {v})?", "under", 4, 0.95),
+    (r"(?:licensed|released|distributed|published|available|covered|provided) (?:under|by|with|as) (?:the )?(?:terms of )?(?:the )?{n}(?: licen[cs]e)?(?: version)?(?: {v})?", "", 4, 0.95),
     (r"licen[cs]e (?:is )?(?:the )?{n}(?: version)?(?: {v})?", "licen", 3, 0.8),
     (r"{n} (?:style |public |software )?licen[cs]e(?: version)?(?: {v})?", "licen", 3, 0.9),
     (r"{n}(?: version)? {v}", "", 2, 0.7),
@@ -128,10 +128,11 @@ def rules() -> list[Rule]:
                     continue
                 one = frame.replace("{n}", f"(?:{name})")
                 one = one.replace("{v}", f"(?:v ?)?(?:{versions})") if versions else one.replace("(?: {v})?", "")
-                out.append(Rule(label, tuple(k for k in (keyword, gate) if k), one, priority, sure))
+                own = keyword if "(" in name else max(name.split(), key=len)
+                out.append(Rule(label, tuple(k for k in (own, gate) if k), one, priority, sure))
     for label, (keyword, name) in FULL_NAMES.items():
         out.append(Rule(label, (keyword,), rf"{name}(?: (?:version|v))?(?: [1-4](?: [0-9])?)?(?: or (?:any )?later)?", 4, 0.95))
-        out.append(Rule(label, (keyword, "under"), rf"(?:under|by) (?:the )?(?:terms of )?(?:the )?{name}", 5, 0.98))
+        out.append(Rule(label, (keyword,), rf"(?:under|by) (?:the )?(?:terms of )?(?:the )?{name}", 5, 0.98))
     for label, keyword, text in TEXTS:
         out.append(Rule(label, (keyword,), text, 6, 1.0))
     for kind in CC_KINDS:
@@ -141,29 +142,21 @@ def rules() -> list[Rule]:
     return sorted(dict.fromkeys(out), key=lambda r: (-r.priority, r.label, r.pattern))
 
 
+#: Stands for every spelling of license as a keyword.
+ROOT = "licen"
+
+
 class Scanner:
-    """Keyword automaton and compiled rules; made once in a worker."""
+    """Compiled rules and their gates; made once in a worker."""
 
     def __init__(self) -> None:
-        import ahocorasick
-
-        self.rules = [(r, re.compile(rf"(?<![^ ])(?:{r.pattern})(?![^ ])")) for r in rules()]
-        gates: dict[str, int] = {}
-        for r, _ in self.rules:
-            for k in r.keywords:
-                gates.setdefault(k, len(gates))
-        self.first = ahocorasick.Automaton()
-        for k, n in gates.items():
-            self.first.add_word(k, n)
-        self.first.make_automaton()
-        self.gated = [({gates[k] for k in r.keywords}, r, p) for r, p in self.rules]
-        self.base = [(words, label) for words, label in BASE]
-
-    def detections(self, line: str) -> list[tuple[int, int, Rule]]:
+        self.rules = [(set(r.keywords), r, re.compile(rf"(?<![^ ])(?:{r.pattern})(?![^ ])")) for r in rules()]
+        self.words = {k.encode() for gate, _, _ in self.rules for k in gate if k != ROOT}
+
+    def detections(self, line: str, present: set[str]) -> list[tuple[int, int, Rule]]:
         """Character spans of rules that match, suppressed ones left out."""
-        present = {n for _, n in self.first.iter(line)}
         found = []
-        for gate, rule, pattern in self.gated:
+        for gate, rule, pattern in self.rules:
             if gate <= present:
                 found += [(m.start(), m.end(), rule) for m in pattern.finditer(line)]
         found.sort(key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].label, d[2].pattern))
@@ -177,14 +170,16 @@ class Scanner:
 
     def scan(self, text: bytes | None) -> dict:
         plain = (text or b"").translate(WORDS)
-        n_words = len(plain.split())
-        out = {"n_words": n_words, "n_base": 0, "first_word": None, "last_word": None, "base_labels": [], "labels": [], "score": 0.0, "spans": []}
-        # every rule has a keyword of these; most texts have none and are done
-        if not any(k in plain for k in ANY):
+        split = plain.split()
+        out = {"n_words": len(split), "n_base": 0, "first_word": None, "last_word": None, "base_labels": [], "labels": [], "score": 0.0, "spans": []}
+        present = {w.decode() for w in self.words.intersection(split)}
+        if not present:
             return out
-        line = " ".join(w.decode("utf-8", "replace") for w in plain.split())
+        line = b" ".join(split).decode("utf-8", "replace")
+        if ROOT in line:
+            present.add(ROOT)
         places, labels = [], set()
-        for words, label in self.base:
+        for words, label in BASE:
             # places may overlap, so each is looked for from the word after the last
             at = line.find(words)
             while at >= 0:
@@ -193,7 +188,7 @@ class Scanner:
                     places.append(line.count(" ", 0, at))
                     labels.add(label)
                 at = line.find(words, at + 1)
-        found = self.detections(line)
+        found = self.detections(line, present)
         out["n_base"] = len(places)
         if places:
             out["first_word"], out["last_word"] = min(places), max(places)
@@ -204,9 +199,6 @@ class Scanner:
         return out
 
 
-#: Byte strings of which every rule's match holds one: each keyword of some rule's first gate.
-ANY = sorted({min(r.keywords, key=lambda k: (-len(k), k)).encode() for r in rules()})
-
 RESULT = T.StructType(
     [
         *(T.StructField(c, T.LongType()) for c in ("n_words", "n_base", "first_word", "last_word")),
