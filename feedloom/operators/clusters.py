@@ -188,37 +188,70 @@ def _similar(a: dict[int, float], b: dict[int, float]) -> float:
     return min(1.0, sum(x * b.get(k, 0.0) for k, x in a.items()) / norm)
 
 
-def _km(a: tuple[float, float], b: tuple[float, float]) -> float:
-    la, lo, ma, mo = map(np.radians, (*a, *b))
-    h = np.sin((ma - la) / 2) ** 2 + np.cos(la) * np.cos(ma) * np.sin((mo - lo) / 2) ** 2
-    return float(2 * 6371.0 * np.arctan2(np.sqrt(h), np.sqrt(1 - h)))
-
-
 class Leader:
-    """Clusters of one theme, fed in order of arrival."""
-
-    def __init__(self, theme: str, rows: list[dict] | None = None):
-        self.theme, self.clusters = theme, rows or []
+    """Clusters of one theme, fed in order of arrival; a record is compared with all of them at
+    once.  ``rows`` are clusters kept from before."""
+
+    def __init__(self, theme: str, rows: list[dict] | None = None, buckets: int = 256):
+        self.theme, self.clusters, self.buckets = theme, rows or [], buckets
+        self.seen: dict[str, np.ndarray] = {}
+        size = max(64, 2 * len(self.clusters))
+        self.unit, self.place = np.zeros((buckets, size)), np.full((size, 2), np.nan)  # a row a bucket
+        self.live = np.zeros(size, bool)
+        for k, c in enumerate(self.clusters):
+            self._put(k, c)
+
+    def _put(self, k: int, c: dict) -> None:
+        if k == len(self.live):
+            self.unit, self.place = np.hstack([self.unit, np.zeros_like(self.unit)]), np.vstack([self.place, np.full_like(self.place, np.nan)])
+            self.live = np.concatenate([self.live, np.zeros_like(self.live)])
+        self.unit[:, k], self.live[k] = self._vector(c["vector"]), c["status"] != "resolved"
+        if c["place"]:
+            self.place[k] = c["place"]
+
+    def _vector(self, counts: dict[int, float]) -> np.ndarray:
+        v = np.zeros(self.buckets)
+        for b, n in counts.items():
+            v[b] = n
+        norm = np.sqrt(v @ v)
+        return v / norm if norm else v
+
+    def _of(self, text: str) -> np.ndarray:
+        if text not in self.seen:
+            if len(self.seen) > 10_000:
+                self.seen.clear()
+            self.seen[text] = self._vector(_bucketed(text))
+        return self.seen[text]
+
+    def _scores(self, v: np.ndarray, place: tuple[float, float] | None) -> np.ndarray:
+        n = len(self.clusters)
+        own = np.flatnonzero(v)
+        cosine = np.minimum(1.0, v[own] @ self.unit[own, :n]) if len(own) else (~self.unit[:, :n].any(axis=0)).astype(float)
+        base = WEIGHTS[0] * cosine + WEIGHTS[1]
+        score = base / (WEIGHTS[0] + WEIGHTS[1])
+        if place:
+            lat, lon = np.radians(self.place[:n]).T
+            a, b = np.radians(place)
+            h = np.sin((lat - a) / 2) ** 2 + np.cos(a) * np.cos(lat) * np.sin((lon - b) / 2) ** 2
+            km = 2 * 6371.0 * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
+            score = np.where(np.isnan(km), score, base + WEIGHTS[2] * np.maximum(0.0, 1 - km / GEO_KM))
+        return np.where(self.live[:n], score, -1.0)
 
     def assign(self, feedback_id: int, text: str, place: tuple[float, float] | None) -> str:
-        vector, best, at = _bucketed(text), JOIN_OVER, None
-        for k, c in enumerate(self.clusters):
-            if c["status"] == "resolved":
-                continue
-            score = WEIGHTS[0] * _similar(vector, c["vector"]) + WEIGHTS[1]
-            if place and c["place"]:
-                score += WEIGHTS[2] * max(0.0, 1 - _km(place, c["place"]) / GEO_KM)
-            else:
-                score /= WEIGHTS[0] + WEIGHTS[1]
-            if score > best:
-                best, at = score, k
+        at = None
+        if self.clusters:
+            score = self._scores(self._of(text), place)
+            best = int(np.argmax(score))  # the first of the best
+            at = best if score[best] > JOIN_OVER else None
         if at is None:
-            self.clusters.append({"cluster_id": f"{self.theme}:{feedback_id}", "vector": vector, "place": place, "volume": 1, "summarised": 1, "status": "active"})
+            self.clusters.append({"cluster_id": f"{self.theme}:{feedback_id}", "vector": _bucketed(text), "place": place, "volume": 1, "summarised": 1, "status": "active"})
+            self._put(len(self.clusters) - 1, self.clusters[-1])
             return self.clusters[-1]["cluster_id"]
         c = self.clusters[at]
         c["volume"] += 1
         if (c["volume"] - c["summarised"]) / c["summarised"] > 0.2:
             c["vector"], c["summarised"] = _bucketed(f"Cluster of {c['volume']} feedback items about {self.theme}"), c["volume"]
+            self.unit[:, at] = self._vector(c["vector"])
         return c["cluster_id"]
 
 

@@ -84,19 +84,17 @@ def stream_clusters(rows: DataFrame, monitoring_days: int = 7, resolved_days: in
         for c in kept:
             c["vector"] = {int(k): v for k, v in c["vector"].items()}
             c["place"] = tuple(c["place"]) if c["place"] else None
-        leader, out = Leader(key[0], kept), []
+        leader, out, seen = Leader(key[0], kept), [], {}
         if not state.hasTimedOut:
             df = pd.concat(list(parts)).sort_values(["ts", "feedback_id"])
             for r in df.itertuples():
                 place = None if pd.isna(r.latitude) or pd.isna(r.longitude) else (r.latitude, r.longitude)
                 name = leader.assign(int(r.feedback_id), r.text or "", place)
-                at = int(r.ts.value // 1_000_000)
-                for c in leader.clusters:
-                    if c["cluster_id"] == name:
-                        c["seen"] = max(at, c.get("seen", at))
+                seen[name] = max(int(r.ts.value // 1_000_000), seen.get(name, 0))
                 out.append(("assigned", int(r.feedback_id), name))
         now = state.getCurrentWatermarkMs()
         for c in leader.clusters:
+            c["seen"] = max(c.get("seen", 0), seen.get(c["cluster_id"], 0))
             idle = now - c["seen"]
             if c["status"] == "active" and idle > monitoring_days * 86_400_000:
                 c["status"] = "monitoring"
