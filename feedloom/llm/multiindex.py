@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import materialize, table
+from feedloom.llm.common import hashed_sample, materialize, table
 from feedloom.llm.components import connected_components
 
 COSINE = 0.98
@@ -115,7 +115,7 @@ def _needed(books: tuple[np.ndarray, np.ndarray], width: int, cosine: float, lab
 
 def _stop(distinct: DataFrame, books: tuple[np.ndarray, np.ndarray], width: int, cosine: float) -> float:
     """The squared bound at which the traversal ends."""
-    chosen = distinct.orderBy(F.xxhash64("vec", "label"), "vec").limit(QUERIES).select("label", "v").toArrow()
+    chosen = hashed_sample(distinct, QUERIES, "vec", "label").select("label", "v").toArrow()
     if not len(chosen):
         return 0.0
     queries, labels = unit(chosen.column("v").combine_chunks(), width), np.array(chosen.column("label").to_pylist())
@@ -226,7 +226,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, codes: int = CODES,
     fine = rows.where(F.col("ok") & (F.size("v") == width))
     distinct = fine.groupBy("label", "v").agg(F.min("vec_id").cast("long").alias("vec"), F.count("*").alias("size"))
     distinct = materialize(distinct, "vectors")
-    sample = distinct.orderBy(F.xxhash64("vec"), "vec").limit(FIT_ROWS).select("v").toArrow().column("v").combine_chunks()
+    sample = hashed_sample(distinct, FIT_ROWS, "vec").select("v").toArrow().column("v").combine_chunks()
     half = width // 2
     points = unit(sample, width) if len(sample) else np.zeros((0, max(width, 2)))
     books = codebook(points[:, :half], codes), codebook(points[:, half:], codes)
@@ -235,13 +235,17 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, codes: int = CODES,
     placed = materialize(placed, "cells")
     members = placed.select("label", F.element_at("cells", 1).alias("cell"), "vec", "v", "size")
     visits = placed.select("label", F.explode(F.slice("cells", 2, 1 << 30)).alias("cell"), "vec", "v", "size")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # only cells that have members are worth a visit
     filled = members.groupBy("label", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     filled = materialize(filled, "filled-cells")
 
     def blocks(df: DataFrame, prefix: str) -> DataFrame:
         counts = df.groupBy("label", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+        counts = materialize(counts, "cell-counts")  # the join then reads plain shuffles, which split at a large cell
         dealt = df.join(counts, ["label", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec"), F.col("parts")))
+        # dealt anew, so that a cell of many parts is not grouped where the join left it
+        dealt = dealt.repartition(parts, "label", "cell", "part")
         return dealt.groupBy("label", "cell", "part").agg(
             F.collect_list("vec").alias(f"{prefix}ids"), F.collect_list("v").alias(f"{prefix}vs"), F.collect_list("size").alias(f"{prefix}sizes")
         )
@@ -253,7 +257,6 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, codes: int = CODES,
     inside = mine.join(same, ["label", "cell"]).where("part <= other_part").withColumn("own", F.col("part") == F.col("other_part"))
     names = ["own", "ids", "vs", "sizes", "other_ids", "other_vs", "other_sizes"]
     across = mine.join(theirs, ["label", "cell"])
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pairs = inside.select(*names).unionByName(across.select(*names)).repartition(parts)
     links = materialize(pairs.mapInArrow(_comparer(width, cosine), LINKS), "vector-links")
     count = links.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
@@ -270,3 +273,22 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, codes: int = CODES,
 
 def op6_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP6_SQL = """
+with recursive e as (
+  select vec_id, label, cast(embedding as double[]) as v from embeddings
+), ok as (
+  select *, sqrt(list_sum(list_transform(v, lambda x: x * x))) as norm from e
+  where label is not null and len(v) > 0 and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0
+), l as (
+  select a.vec_id as a, b.vec_id as b from ok a join ok b on a.label = b.label and a.vec_id <> b.vec_id
+  where a.norm > 0 and b.norm > 0 and list_inner_product(a.v, b.v) / (a.norm * b.norm) >= 0.98
+), r(id, c) as (
+  select vec_id, vec_id from e
+  union
+  select l.b, r.c from r join l on l.a = r.id where r.c < l.b
+), n as (select a, count(*) as n from l group by a)
+select e.vec_id, coalesce(max(n.n), 0) as n_links, min(r.c) as component_id, e.vec_id = min(r.c) as kept
+from e join r on r.id = e.vec_id left join n on n.a = e.vec_id group by e.vec_id
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from feedloom.llm.decontam import OP1_SQL, op1_benchmark_decontamination
 from feedloom.llm.licenses import op7_license_scans
-from feedloom.llm.multiindex import op6_embedding_near_dedup
+from feedloom.llm.multiindex import OP6_SQL, op6_embedding_near_dedup
 from feedloom.llm.packing import op10_best_fit_packing
 from feedloom.llm.simhash import op5_simhash_near_dedup
 from feedloom.llm.substring import op3_substring_dedup
@@ -28,5 +28,6 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op1_benchmark_decontamination": OP1_SQL,
+    "op6_embedding_near_dedup": OP6_SQL,
     "op9_warc": OP9_SQL,
 }
