@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
-FLAGSHIP = "trend_report"
+FLAGSHIP = "dashboard_trends"
 
 
 def query(name: str, sql: str | None = None):
