@@ -199,12 +199,16 @@ def _block_repeats(profiles: DataFrame) -> DataFrame:
 
 
 def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows are pairs of blocks of paragraphs; emits links that span their similar pairs."""
+    """Rows are pairs of blocks of paragraphs; emits links that span their similar pairs.
+
+    Paragraphs with ``hit`` are linked already, all by the first of their band.
+    """
     for batch in batches:
         out: list[tuple] = []
         for row in batch.to_pylist():
             one, two = (sorted(((p["n"], p["doc_id"], p["line"], frozenset(p["shingles"])) for p in row[c]), key=lambda p: p[:3]) for c in ("xs", "ys"))
-            parent: dict[tuple, tuple] = {}
+            hits = [(p["doc_id"], p["line"]) for p in row["ys"]] if row["hit"] else []
+            parent: dict[tuple, tuple] = dict.fromkeys(hits, min(hits, default=None))
 
             def find(x: tuple) -> tuple:
                 while (up := parent.get(x, x)) != x:
@@ -230,8 +234,9 @@ def _similar_paragraphs(profiles: DataFrame) -> DataFrame:
     """Links (a, b) of paragraphs (doc_id, line) whose shingle sets have Jaccard >= SIMILAR.
 
     Equal paragraphs are linked to the first of them, which alone goes to the bands.  In a band
-    all are compared with the first; those that it does not match are compared with each other,
-    in pairs of blocks of bounded size, so that every pair that met in a band is decided.
+    all are compared with the first; those that it does not match are compared with each other and
+    with those that it matches, in pairs of blocks of bounded size, so that every pair that met in
+    a band is decided, or linked over the first.
     """
     paragraphs = profiles.select("doc_id", F.inline("paragraphs"))
     who = F.struct("doc_id", "line")
@@ -251,14 +256,16 @@ def _similar_paragraphs(profiles: DataFrame) -> DataFrame:
     common = F.size(F.array_intersect("x", "y"))
     verified = both.where(common >= SIMILAR * (F.size("x") + F.size("y") - common)).select("a", "b")
     verified = materialize(verified, "verified")
-    rest = met.join(verified, ["a", "b"], "left_anti").select("a", "band")
-    counts = rest.groupBy("band").agg(F.count("*").alias("_n")).where("_n > 1")
-    dealt = rest.join(counts, "band").withColumn("part", F.pmod(F.xxhash64("a"), F.ceil(F.col("_n") / COMPARED)))
+    members = met.join(verified.withColumn("_hit", F.lit(True)), ["a", "b"], "left").select("a", "band", F.coalesce("_hit", F.lit(False)).alias("hit"))
+    counts = members.groupBy("band").agg(F.count_if("hit").alias("_hits"), F.count_if(~F.col("hit")).alias("_rest")).where("_rest > 0 and _hits + _rest > 1")
+    size = F.when(F.col("hit"), F.col("_hits")).otherwise(F.col("_rest"))
+    dealt = members.join(counts, "band").withColumn("part", F.pmod(F.xxhash64("a"), F.ceil(size / COMPARED)))
     entry = F.struct("a.doc_id", "a.line", F.size("shingles").alias("n"), "shingles")
-    blocks = dealt.join(few.withColumnRenamed("p", "a"), "a").groupBy("band", "part").agg(F.collect_list(entry).alias("xs"))
+    blocks = dealt.join(few.withColumnRenamed("p", "a"), "a").groupBy("band", "hit", "part").agg(F.collect_list(entry).alias("xs"))
     blocks = materialize(blocks, "band-blocks")
-    against = blocks.select("band", F.col("part").alias("_part"), F.col("xs").alias("ys"))
-    compared = blocks.join(against, "band").where("part <= _part").select("xs", "ys").mapInArrow(_compare_blocks, "d1 long, l1 int, d2 long, l2 int")
+    against = blocks.select("band", "hit", F.col("part").alias("_part"), F.col("xs").alias("ys"))
+    both = blocks.where("not hit").drop("hit").join(against, "band").where("hit or part <= _part")
+    compared = both.select("xs", "ys", "hit").mapInArrow(_compare_blocks, "d1 long, l1 int, d2 long, l2 int")
     later = compared.select(*(F.struct(F.col(f"d{k}").alias("doc_id"), F.col(f"l{k}").alias("line")).alias(c) for k, c in ((1, "a"), (2, "b"))))
     return equal.union(verified).union(later)
 

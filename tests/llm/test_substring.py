@@ -134,3 +134,23 @@ def test_a_band_of_unlike_paragraphs(spark, monkeypatch, compared):
             assert not like
         assert not (got[i].n_removed and not like)
         assert got[i].component_id == min([i, *like])
+
+
+@pytest.mark.parametrize("compared", [128, 5])
+def test_a_hub_that_is_not_the_first(spark, monkeypatch, compared):
+    """Edited copies that are like their original, which has a larger id, and unlike each other."""
+    monkeypatch.setattr(S, "COMPARED", compared)
+    rng = random.Random(5)
+    hub = words(rng, 200)
+    rows = [(1000, " ".join(hub))]
+    for i in range(40):
+        own = hub[:]
+        for k in range(4):
+            own[3 + 50 * k + i] = f"edit{i}-{k}"
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    profiles = S.materialize(docs.mapInArrow(S._profiler(*S.tune_bands()), S.PROFILE), "profiles")
+    links = S._similar_paragraphs(profiles).collect()
+    assert {x.a.doc_id for x in links} | {x.b.doc_id for x in links} == {i for i, _ in rows}
+    assert all(1000 in (x.a.doc_id, x.b.doc_id) for x in links)
+    assert {r.component.doc_id for r in S.connected_components(S._similar_paragraphs(profiles)).collect()} == {0}
