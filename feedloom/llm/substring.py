@@ -1,6 +1,7 @@
 """Substring dedup: repeated paragraphs and passages.
 
-Paragraphs (lines of more than ``LONG`` words) get MinHash signatures over five-word shingles;
+Paragraphs (lines of more than ``LONG`` words, and runs of shorter lines that have more together;
+a run ends at an empty or a longer line) get MinHash signatures over five-word shingles;
 paragraphs that agree on a band are joined to the first of the band, verified by the exact
 Jaccard similarity of their shingle sets, and the components of the verified links keep their
 first paragraph.  A passage may also stand inside longer text, so rolling paragraphs are compared
@@ -88,24 +89,35 @@ def anchors(shingle: np.ndarray) -> np.ndarray:
 
 
 class Chunk:
-    """Words of several documents in one array, with the bounds of documents and lines."""
+    """Words of several documents in one array, with the bounds of documents and paragraphs."""
 
     def __init__(self) -> None:
         self.words: list[int] = []
         self.ids: list[int] = []
         self.ends: list[int] = []
-        self.lines: list[tuple[int, int, int, int]] = []  # document, line, first word, after
+        self.lines: list[tuple[int, int, int, int]] = []  # document, first line, first word, after
 
     def add(self, doc_id: int, text: bytes | None) -> None:
         digest, k = xxhash.xxh64_intdigest, len(self.ids)
+        run = 0, len(self.words)  # line and first word
         for line, part in enumerate((text or b"").translate(LOWER).split(b"\n")):
             words = part.split()
-            if len(words) > LONG:
-                self.lines.append((k, line, len(self.words), len(self.words) + len(words)))
+            alone = len(words) > LONG
+            if alone or not words:
+                self.paragraph(k, *run)
+                run = line, len(self.words)
             self.words.extend(map(digest, words))
+            if alone:
+                self.paragraph(k, *run)
+                run = line + 1, len(self.words)
+        self.paragraph(k, *run)
         self.ids.append(doc_id)
         self.ends.append(len(self.words))
 
+    def paragraph(self, k: int, line: int, first: int) -> None:
+        if len(self.words) - first > LONG:
+            self.lines.append((k, line, first, len(self.words)))
+
     def rows(self, bands: int, rows: int) -> pa.RecordBatch:
         word = np.array(self.words, np.uint64)
         ends = np.array(self.ends)

@@ -154,3 +154,22 @@ def test_a_hub_that_is_not_the_first(spark, monkeypatch, compared):
     assert {x.a.doc_id for x in links} | {x.b.doc_id for x in links} == {i for i, _ in rows}
     assert all(1000 in (x.a.doc_id, x.b.doc_id) for x in links)
     assert {r.component.doc_id for r in S.connected_components(S._similar_paragraphs(profiles)).collect()} == {0}
+
+
+def wrapped(w, n):
+    return "\n".join(" ".join(w[k : k + n]) for k in range(0, len(w), n))
+
+
+def test_wrapped_near_copies(spark):
+    """Near copies over other line breaks are cut whole, not only where they are equal."""
+    rng = random.Random(6)
+    rows, cut = [], {}
+    for i in range(0, 60, 3):
+        para = words(rng, 180)
+        near = [f"edit{i}-{k}" if k in (44, 89, 134) else w for k, w in enumerate(para)]
+        rows.append((i, [" ".join(para), wrapped(para, 13)][i % 2]))
+        rows.append((i + 1, wrapped(near, 11) + "\n \n" + wrapped(words(rng, 60), 20)))
+        rows.append((i + 2, " ".join(words(rng, 70)) + "\n" + wrapped(near, 50) + "\n" + " ".join(words(rng, 70))))
+        cut |= {i: [], i + 1: [(0, 180)], i + 2: [(70, 250)]}
+    got = S.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: [tuple(x) for x in r.spans] for r in got} == cut
