@@ -122,7 +122,7 @@ def rules() -> list[Rule]:
     """All rules, of higher priority first."""
     out = [Rule(label, tuple(words.split()), words, 1, 1.0) for words, label in BASE]
     for label, (keyword, names, versions) in FAMILIES.items():
-        for name in names.split("|") if "(" not in names else [names]:
+        for name in re.split(r"\|(?![^(]*\))", names):
             for frame, gate, priority, sure in FRAMES:
                 if "(?: {v})?" not in frame and "{v}" in frame and not versions:
                     continue

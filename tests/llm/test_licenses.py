@@ -91,3 +91,21 @@ def test_documents(spark, sf_dir):
         n, places, first, last, labels = base(texts[r.doc_id])
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (n, places, first, last, ",".join(labels))
         assert set(labels) <= set(r.labels.split(","))
+
+
+@pytest.mark.parametrize("name", ["bsd", "new bsd", "revised bsd", "simplified bsd", "modified bsd", "freebsd", "bsd 3 clause", "bsd two clause", "2 clause bsd", "four clause bsd"])
+def test_every_name_of_bsd(name):
+    got = L.Scanner().scan(f"It is released under the {name} license here".encode())
+    assert got["labels"] == ["bsd"] and got["score"] == 0.95
+
+
+def test_names_hold_their_gate_words():
+    """Each alternative of a family's names, in each frame, passes its rule's gate."""
+    scanner = L.Scanner()
+    for label, (_, names, versions) in L.FAMILIES.items():
+        for name in re.split(r"\|(?![^(]*\))", names):
+            plain = re.sub(r"\(\?:\[0-4\]\|two\|three\|four\)", "3", name)
+            texts = [f"spdx license identifier {plain}", f"available under the {plain}", f"license is {plain}", f"{plain} style license", f"dual licensed under the {plain} and other"]
+            texts += [f"{plain} {v}" for v in versions.split("|") if v]
+            for text in texts:
+                assert label in scanner.scan(text.encode())["labels"], text
