@@ -51,6 +51,11 @@ def _(v):
     return v.fb.where("feedback_id % 16 in (5, 6, 8, 11)").select("feedback_id", text.detect_language(F.col("text")).alias("language"))
 
 
+@query("detect_language_all")
+def _(v):
+    return v.fb.select("feedback_id", text.detect_language(F.col("text")).alias("language"))
+
+
 @query("detect_language_documents")
 def _(v):
     return v.documents.groupBy("lang", text.detect_language(F.col("text")).alias("detected")).agg(F.count("*").alias("n"))
@@ -103,6 +108,12 @@ def _(v):
     return got
 
 
+@query("cosine_similarity_all")
+def _(v):
+    other = text.hash_embedding(F.lit("Red widget"))
+    return v.part.select("p_partkey", F.round(text.cosine_similarity(text.hash_embedding(F.col("p_name")), other), 6).alias("cosine"))
+
+
 @query("haversine_km", """select feedback_id, round(2 * 6371.0 * atan2(sqrt(a), sqrt(1 - a)), 4) as km from (select feedback_id, pow(sin(radians(30 - latitude) / 2), 2)
  + cos(radians(latitude)) * cos(radians(30)) * pow(sin(radians(-90 - longitude) / 2), 2) as a from fb where latitude is not null)""")
 def _(v):
