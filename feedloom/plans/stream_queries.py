@@ -75,10 +75,7 @@ def _(v):
 
 @query("stream_lifecycle")
 def _(v):
-    """Only the records of one theme go on after the first day, so that the others' clusters fall
-    idle."""
-    rows = feedback_stream(v).where("theme = 'outage' or created_at < timestamp '2024-01-02'")
-    rows = rows.select("feedback_id", "theme", F.col("created_at").alias("ts"), "text", "latitude", "longitude")
+    rows = feedback_stream(v).select("feedback_id", "theme", F.col("created_at").alias("ts"), "text", "latitude", "longitude")
     return drained(v, S.stream_clusters(rows), "stream-lifecycle").groupBy("kind").agg(F.count("*").alias("n"))
 
 
@@ -101,13 +98,25 @@ def _(v):
     return v.spark.read.parquet(f"{path}/epoch=*").agg(F.count("routing_action").alias("n"))
 
 
-@query("stream_enrich_status", "select feedback_id, case when feedback_id % 3 = 0 then 'completed' else 'failed' end as enrichment_status from fb where feedback_id % 4 <> 0")
-def _(v):
+def enrich_status(v) -> DataFrame:
     feedback = feedback_stream(v).select("feedback_id", F.col("created_at").alias("ts"))
     answers = feedback_stream(v).where("feedback_id % 4 <> 0").select(
         "feedback_id", (F.col("created_at") + F.expr("interval 5 seconds")).alias("response_ts"), (F.col("feedback_id") % 3 == 0).alias("ok")
     )
-    return drained(v, S.stream_enrich_status(feedback, answers), "stream-status").where("enrichment_status <> 'timeout'")
+    return drained(v, S.stream_enrich_status(feedback, answers), "stream-status")
+
+
+@query("stream_enrich_status", "select feedback_id, case when feedback_id % 3 = 0 then 'completed' else 'failed' end as enrichment_status from fb where feedback_id % 4 <> 0")
+def _(v):
+    return enrich_status(v).where("enrichment_status <> 'timeout'")
+
+
+@query("stream_enrich_status_all")
+def _(v):
+    """Records that are open when the input ends have no answer and are closed as timeouts."""
+    given = enrich_status(v)
+    still = v.fb.select("feedback_id").join(given, "feedback_id", "left_anti")
+    return given.union(still.select("feedback_id", F.lit("timeout")))
 
 
 @query("save_batch", "select batch_id, count(*) as n from fb group by 1")

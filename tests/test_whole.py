@@ -43,3 +43,15 @@ def test_cosine_of_every_part(spark, sf_dir):
         want[r.p_partkey] = sum(a * b for a, b in zip(v, other)) / math.sqrt(sum(a * a for a in v) * sum(b * b for b in other))
     got = registry.QUERIES["cosine_similarity_all"](spark, sf_dir).collect()
     assert len(got) == len(want) and all(abs(r.cosine - want[r.p_partkey]) < 1e-5 for r in got)
+
+
+def test_status_of_every_row(spark, sf_dir):
+    ids = [r.feedback_id for r in Views(spark, sf_dir).fb.select("feedback_id").collect()]
+    got = registry.QUERIES["stream_enrich_status_all"](spark, sf_dir).collect()
+    want = {i: "timeout" if i % 4 == 0 else "failed" if i % 3 else "completed" for i in ids}
+    assert len(got) == len(ids) and {r.feedback_id: r.enrichment_status for r in got} == want
+
+
+def test_lifecycle_of_every_row(spark, sf_dir):
+    got = {r.kind: r.n for r in registry.QUERIES["stream_lifecycle"](spark, sf_dir).collect()}
+    assert got["assigned"] == Views(spark, sf_dir).fb.count()
