@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions.text import mentioned_names, natural_key
+from feedloom.sources.shared import write_and_read
 
 
 def contains_text(query: str, *columns: str) -> Column:
@@ -65,6 +66,17 @@ def sort_nulls_last(rows: DataFrame, column: str, descending: bool = False, tie:
     return rows.orderBy(*order, *([tie] if tie else []))
 
 
+def positions(ordered: DataFrame) -> DataFrame:
+    """Adds ``position`` in a sorted table's order: numbers in parts of the range sort, then added
+    up, so that no task gets all rows."""
+    numbered = write_and_read(ordered.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "positions")
+    sizes = numbered.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))  # a row a part
+    inside = Window.partitionBy("_part").orderBy("_at")
+    return numbered.join(F.broadcast(first), "_part").withColumn("position", (F.col("_first") + F.row_number().over(inside)).cast("long")).drop("_part", "_at", "_first")
+
+
 def praise_leaderboard(rows: DataFrame, text: str = "text") -> DataFrame:
     """How often each name is praised."""
     names = rows.select(F.explode(mentioned_names(F.col(text))).alias("name"))

@@ -184,6 +184,11 @@ def _(v):
     return top.select("feedback_id", F.row_number().over(order).cast("long").alias("position"))
 
 
+@query("sort_nulls_last_all")
+def _(v):
+    return L.positions(L.sort_nulls_last(v.fb.select("feedback_id", "severity"), "severity", descending=True, tie="feedback_id"))
+
+
 @query("filter_feedback", "select feedback_id from fb where sentiment = 'negative' and contains(lower(text || ' ' || coalesce(location_city, '')), 'system down')")
 def _(v):
     return L.filter_feedback(v.fb, " System DOWN ", sentiment="negative", columns=("text", "location_city")).select("feedback_id")

@@ -55,3 +55,10 @@ def test_status_of_every_row(spark, sf_dir):
 def test_lifecycle_of_every_row(spark, sf_dir):
     got = {r.kind: r.n for r in registry.QUERIES["stream_lifecycle"](spark, sf_dir).collect()}
     assert got["assigned"] == Views(spark, sf_dir).fb.count()
+
+
+def test_position_of_every_row(spark, sf_dir):
+    rows = sorted(Views(spark, sf_dir).fb.select("feedback_id", "severity").collect(), key=lambda r: (r.severity is None, -(r.severity or 0), r.feedback_id))
+    assert rows[-1].severity is None
+    got = registry.QUERIES["sort_nulls_last_all"](spark, sf_dir).orderBy("position").collect()
+    assert [(r.position, r.feedback_id) for r in got] == [(k, r.feedback_id) for k, r in enumerate(rows, 1)]
