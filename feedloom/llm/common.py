@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,8 +25,10 @@ WORDS = bytes(
 #: Words of a text from the first to the one before ``after``.
 SPAN = T.StructType([T.StructField("first", T.LongType()), T.StructField("after", T.LongType())])
 
-#: Rows that Spark hands to a Python worker at once while a table is written here.
-BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+#: What Spark hands to a Python worker at once while a table is written here: rows and bytes.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+#: Bytes of a row group that a writing task holds in memory.
+ROW_GROUP = 16 << 20
 
 _own_folder: dict[str, str] = {}
 
@@ -33,12 +36,15 @@ _own_folder: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (tests, a laptop) a temporary folder is used.
+    Only a local session that names none (tests, a laptop) gets a temporary folder; elsewhere
+    each executor would write to a disk of its own, so that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+    master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+    if master.partition("[")[0] != "local":
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     if app not in _own_folder:
         _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
     return _own_folder[app]
@@ -50,22 +56,49 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends there, and a lost
-    executor costs a re-read, not a recomputation."""
+    executor costs a re-read, not a recomputation.  Python workers get small batches meanwhile."""
     spark = df.sparkSession
-    path, rows = new_path(spark, name), spark.conf.get(BATCH)
-    try:  # long texts: fewer of them at once in a Python worker
-        spark.conf.set(BATCH, min(int(rows), BATCH_ROWS) if int(rows) > 0 else BATCH_ROWS)
-        df.write.parquet(path)
+    path, before = new_path(spark, name), {k: spark.conf.get(k) for k in BATCHES}
+    try:  # a limit of 0 or less is none
+        for k, most in BATCHES.items():
+            now = int(before[k].rstrip("b"))
+            spark.conf.set(k, str(min(now, most) if now > 0 else most))
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     finally:
-        spark.conf.set(BATCH, rows)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it no column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library gives pages back by itself
+    _trim = None
+
+
+def release() -> None:
+    """Gives freed memory back to the system, so that a worker that is reused stays small."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def slices(column: pa.Array, rows: int = 256) -> Iterator[pa.Array]:
     """A column in parts, so that only one part's values stand as Python objects at a time."""
     for at in range(0, len(column), rows):
         yield column.slice(at, rows)
-    pa.default_memory_pool().release_unused()
+    release()
 
 
 def utf8(column: pa.Array) -> Iterator[bytes | None]:

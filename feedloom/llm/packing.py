@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +23,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedloom.llm.common import materialize, table
+from feedloom.llm.common import collected, materialize, release, table
 
 CAPACITY = 4096
 END_ID = 1
-#: Entries of a worker's word cache before it starts anew.
-CACHE = 400_000
+#: Bytes of a worker's word cache before it starts anew, what an entry takes beside its letters,
+#: and letters of the longest chunk that is kept.
+CACHE, ENTRY, KEPT = 24 << 20, 200, 64
+#: Texts that are cut at once, and bytes of ids after which they are handed on.
+ROWS, IDS = 64, 1 << 20
 #: Byte-level BPE's letter for each byte: itself if printable Latin-1, else from U+0100 on.
 _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_LETTERS = [chr(b) if b in _PLAIN else chr(256 + sum(x not in _PLAIN for x in range(b))) for b in range(256)]
@@ -49,7 +53,8 @@ class WordTokens(dict):
     """Token ids of chunks between spaces, as little-endian unsigned 32-bit integers.
 
     The tokenizer drops white space and never joins characters across it, so a text's ids are
-    its chunks' ids in turn.  A chunk is tokenized when it is first asked for.
+    its chunks' ids in turn.  A chunk is tokenized when it is first asked for.  What is kept is
+    bounded in bytes; longer chunks are tokenized each time.
     """
 
     def __init__(self, path: str):
@@ -60,6 +65,7 @@ class WordTokens(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
         self.model = self.tokenizer.model
+        self.size = 0
 
     def __missing__(self, chunk: str) -> bytes:
         # a letter and a full stop or comma behind it are always two tokens
@@ -77,42 +83,58 @@ class WordTokens(dict):
                 ids = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
         else:
             ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
-        self[chunk] = ids
+        if len(chunk) <= KEPT:
+            self[chunk] = ids
+            self.size += ENTRY + len(ids)
         return ids
 
     def encode(self, text: str | None) -> bytes:
-        if len(self) > CACHE:
+        if self.size > CACHE:
             self.clear()
-            self[""] = b""
+            self[""], self.size = b"", 0
         return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
 
 
 _tokens: dict[str, WordTokens] = {}
 
 
+def _piece_arrays(texts: pa.Array, encode, capacity: int, keep_ids: bool) -> Iterator[pa.Array]:
+    """Lists of pieces of the texts, in parts of bounded size."""
+    end = array("I", [END_ID]).tobytes()
+
+    def part() -> pa.Array:
+        columns = [pa.array(number, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array(ids, pa.binary())]
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays(columns, PIECES.elementType.fieldNames()))
+
+    at, number, start, length, crc, ids, size = [0], [], [], [], [], [], 0
+    for t in texts:
+        got = encode(t.as_py()) + end
+        for k, lo in enumerate(range(0, len(got), 4 * capacity)):
+            one = got[lo : lo + 4 * capacity]
+            number.append(k)
+            start.append(lo // 4)
+            length.append(len(one) // 4)
+            crc.append(zlib.crc32(one))
+            ids.append(one if keep_ids else None)
+        at.append(len(number))
+        size += len(got)
+        if len(at) > ROWS or size > IDS:
+            yield part()
+            at, number, start, length, crc, ids, size = [0], [], [], [], [], [], 0
+    yield part()
+    release()
+
+
 def cut(tokenizer: str, capacity: int, keep_ids: bool):
     """UDF: text -> its pieces.  A text's ids end with ``END_ID``; only what is longer than the
     capacity is cut.  A null text is an empty one."""
-    end = array("I", [END_ID]).tobytes()
+    kind = pa.list_(pa.struct(list(zip(PIECES.elementType.fieldNames(), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())))))
 
     @F.arrow_udf(PIECES)
     def pieces(text: pa.Array) -> pa.Array:
         if tokenizer not in _tokens:
             _tokens[tokenizer] = WordTokens(tokenizer)
-        at, number, start, length, crc, ids = [0], [], [], [], [], []
-        for t in text:
-            got = _tokens[tokenizer].encode(t.as_py()) + end
-            for k, lo in enumerate(range(0, len(got), 4 * capacity)):
-                part = got[lo : lo + 4 * capacity]
-                number.append(k)
-                start.append(lo // 4)
-                length.append(len(part) // 4)
-                crc.append(zlib.crc32(part))
-                ids.append(part if keep_ids else None)
-            at.append(len(number))
-        fields = [f for f in PIECES.elementType.fieldNames()]
-        columns = [pa.array(number, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array(ids, pa.binary())]
-        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays(columns, fields))
+        return collected(_piece_arrays(text, _tokens[tokenizer].encode, capacity, keep_ids), kind)
 
     return pieces
 
@@ -230,8 +252,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ke
     ids (little-endian unsigned 32-bit integers; left out without ``keep_ids``), sequence_id,
     offset.
 
-    Null and empty texts are one piece of the end id alone.  Repeated rows are packed each;
-    a null doc_id is kept.  An empty table gives an empty table.
+    Null and empty texts are one piece of the end id alone.  A special token's string in a text is
+    that token, as the tokenizer has it.  Repeated rows are packed each; a null doc_id is kept.
+    An empty table gives an empty table; further columns are left out.
     """
     pieces = docs.select("doc_id", F.inline(cut(tokenizer, capacity, keep_ids)("text")))
     if not keep_ids:

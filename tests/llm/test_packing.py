@@ -63,7 +63,7 @@ def test_impossible_length():
 
 TEXTS = [
     None, "", " ", "Hello, World.", "it's. We'll see 12,5 a.b.", "x.,y ..", "ÉCOLE, Straße. ΣΑΣ. İst", "é ́x a\tb\x1cc\x85d e f",
-    "<|endoftext|> and <|startoftext|>x", "Ñandú\nñandú.\n\n", "日本語 テキスト。", "Aa. aa, AA", "., .", "😀. a️,", "Àéî ÑÇ ÿ. µm ªº İı ſ ŉ ÅÅ ßẞ ǅ",
+    "<|endoftext|> and <|startoftext|>x",  "Ñandú\nñandú.\n\n", "日本語 テキスト。", "Aa. aa, AA", "., .", "😀. a️,", "Àéî ÑÇ ÿ. µm ªº İı ſ ŉ ÅÅ ßẞ ǅ",
     "".join(chr(c) + " x" + chr(c) + "y " for c in range(0xA0, 0x180)), "w" * 300 + ".",
 ]
 
@@ -78,12 +78,22 @@ def test_ids_are_the_tokenizers():
 
 
 def test_cache_starts_anew(monkeypatch):
-    monkeypatch.setattr(P, "CACHE", 3)
+    monkeypatch.setattr(P, "CACHE", 500)
     words = P.WordTokens(PATH)
     first = [words.encode(t) for t in TEXTS]
     assert [words.encode(t) for t in TEXTS] == first
 
 
+def test_cache_is_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(P, "CACHE", 100_000)
+    words = P.WordTokens(PATH)
+    rng = random.Random(3)
+    for _ in range(50):
+        words.encode(" ".join("".join(rng.choice("abcde") for _ in range(rng.choice([3, 9, 20, 4000]))) for _ in range(40)))
+        held = sum(len(k) + len(v) for k, v in words.items())
+        assert held < 2 * P.CACHE and max(map(len, words)) <= P.KEPT
+
+
 @pytest.mark.parametrize("capacity", [4096, 16])
 def test_pack_documents(spark, sf_dir, capacity):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).select("doc_id", "text", "lang")
