@@ -63,14 +63,13 @@ def test_impossible_length():
 
 TEXTS = [
     None, "", " ", "Hello, World.", "it's. We'll see 12,5 a.b.", "x.,y ..", "ÉCOLE, Straße. ΣΑΣ. İst", "é ́x a\tb\x1cc\x85d e f",
-    "<|endoftext|> and <|startoftext|>x",  "Ñandú\nñandú.\n\n", "日本語 テキスト。", "Aa. aa, AA", "., .", "😀. a️,", "Àéî ÑÇ ÿ. µm ªº İı ſ ŉ ÅÅ ßẞ ǅ",
+    "<|endoftext|> and <|startoftext|>x", "a<|endoftext|>b,<|startoftext|><|endoftext|>. <|ENDOFTEXT|> don<|endoftext|>'t .<|endoftext|>", "Ñandú\nñandú.\n\n", "日本語 テキスト。", "Aa. aa, AA", "., .", "😀. a️,", "Àéî ÑÇ ÿ. µm ªº İı ſ ŉ ÅÅ ßẞ ǅ",
     "".join(chr(c) + " x" + chr(c) + "y " for c in range(0xA0, 0x180)), "w" * 300 + ".",
 ]
 
 
 def test_ids_are_the_tokenizers():
     tk = Tokenizer.from_file(PATH)
-    tk.encode_special_tokens = True
     words = P.WordTokens(PATH)
     for _ in range(2):
         for t in TEXTS:
@@ -101,7 +100,6 @@ def test_pack_documents(spark, sf_dir, capacity):
     docs = docs.union(odd).cache()
     got = P.pack_documents(docs, PATH, capacity).collect()
     tk = Tokenizer.from_file(PATH)
-    tk.encode_special_tokens = True
     want = Counter((r.doc_id, tuple(tk.encode(r.text or "", add_special_tokens=False).ids + [1])) for r in docs.collect())
     pieces, bins = defaultdict(list), defaultdict(list)
     for r in got:

@@ -78,7 +78,6 @@ def test_contaminated_documents_go(spark, sf_dir, tables):
 
 def test_all_ids_are_packed(tables):
     tk = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tk.encode_special_tokens = True
     parts = {}
     for r in tables[5].collect():
         parts.setdefault(r.doc_id, []).append((r.piece, np.frombuffer(bytes(r.ids), "<u4").tolist()))
