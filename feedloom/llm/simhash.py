@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedloom.llm.common import LOWER, materialize, table, utf8
+from feedloom.llm.common import LOWER, materialize, table, unused, utf8
 from feedloom.llm.components import connected_components
 
 SEED = 42
@@ -201,24 +201,44 @@ def link_forest(values: np.ndarray, group: np.ndarray, budget: int = BUDGET) ->
     return forest.label
 
 
+#: Values that are walked at once: whole shards, at most this many and one shard more.
+WALKED = 1 << 17
+
+
 def _shard_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning links of the shards that this task holds."""
-    parts = [b for b in batches if b.num_rows]
-    if not parts:
-        return
-    got = pa.Table.from_batches(parts)
-    mask, key, value, rep = (got.column(c).to_numpy().astype(np.int64) for c in ("mask", "key", "value", "rep"))
-    unsigned = value.view(np.uint64)
+    """Spanning links of the shards that come, in order of mask, key and value.
+
+    A task holds the shards that it walks, not all of its rows."""
+    held: list[np.ndarray] = []  # columns mask, key, value
+    size = 0
+    for b in batches:
+        held.append(np.column_stack([b.column(c).to_numpy().astype(np.int64) for c in ("mask", "key", "value")]))
+        size += len(held[-1])
+        if size > WALKED:
+            rows = np.concatenate(held)
+            # the last shard may go on
+            whole = int(np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(axis=1)).max(initial=-1)) + 1
+            if whole:
+                yield _links(rows[:whole])
+            held, size = [rows[whole:]], len(rows) - whole
+    if size:
+        yield _links(np.concatenate(held))
+
+
+def _links(rows: np.ndarray) -> pa.RecordBatch:
+    mask, key, value = rows.T
+    unsigned = np.ascontiguousarray(value).view(np.uint64)
     order = np.lexsort((unsigned, key, mask))
-    mask, key, unsigned, rep = mask[order], key[order], unsigned[order], rep[order]
+    mask, key, unsigned = mask[order], key[order], unsigned[order]
     group = np.cumsum(np.r_[True, (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])])
     label = link_forest(unsigned, group)
     linked = label != np.arange(len(label))
-    yield pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(rep[label[linked]])], ["a", "b"])
+    signed = unsigned.view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(signed[linked]), pa.array(signed[label[linked]])], ["a", "b"])
 
 
 def _shards(values: DataFrame, max_shard: int) -> DataFrame:
-    """``(value, rep)`` -> ``(mask, key, value, rep)``, each value once for each shard it is in."""
+    """``(value)`` -> ``(mask, key, value)``, each value once for each shard it is in."""
 
     def dealt(df: DataFrame, level: int, parent: str | None) -> DataFrame:
         masks = [
@@ -230,59 +250,77 @@ def _shards(values: DataFrame, max_shard: int) -> DataFrame:
             chosen = F.slice(F.array(*masks), F.col(parent) * per + 1, per)
         else:
             chosen = F.array(*masks)
-        return df.select("value", "rep", F.inline(chosen))
+        return df.select("value", F.inline(chosen))
 
     out, now, level = None, dealt(values, 0, None), 0
     while True:
         sizes = materialize(now.groupBy("mask", "key").count().where(F.col("count") > max_shard), "hot-shards")
         tag = [F.lit(level * 1000).alias("level")]
         if level + 1 == len(MASKS) or sizes.isEmpty():
-            done = now.select((F.col("mask") + tag[0]).alias("mask"), "key", "value", "rep")
+            done = now.select((F.col("mask") + tag[0]).alias("mask"), "key", "value")
             return done if out is None else out.union(done)
         cool = now.join(sizes, ["mask", "key"], "left_anti")
-        cool = cool.select((F.col("mask") + tag[0]).alias("mask"), "key", "value", "rep")
+        cool = cool.select((F.col("mask") + tag[0]).alias("mask"), "key", "value")
         out = cool if out is None else out.union(cool)
         hot = now.join(sizes, ["mask", "key"], "left_semi").withColumnRenamed("mask", "up")
         level += 1
         now = dealt(hot, level, "up")
 
 
+def _classes(prints: DataFrame, max_shard: int) -> DataFrame:
+    """``prints(doc_id, value)``, a written table -> (value, class, component_id): the class's
+    smallest fingerprint, as a signed number, and smallest doc_id."""
+    spark = prints.sparkSession
+    values = materialize(prints.groupBy("value").agg(F.min("doc_id").alias("rep")), "values")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _shards(values.select("value"), max_shard).repartition(parts, "mask", "key").sortWithinPartitions("mask", "key", "value")
+    roots = materialize(connected_components(dealt.mapInArrow(_shard_links, "a long, b long")), "classes")
+    known = values.join(roots, values.value == roots.id, "left").select("value", "rep", F.coalesce("component", "value").alias("class"))
+    # only values that are linked have a smallest id to look for
+    linked = known.join(roots.select(F.col("id").alias("value")), "value", "left_semi")
+    least = linked.groupBy("class").agg(F.min("rep").alias("least"))
+    return known.join(least, "class", "left").select("value", "class", F.coalesce("least", "rep").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, max_shard: int = MAX_SHARD) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``(doc_id, fingerprint, component_id)``, a row per input row.
 
     Fingerprints at three or fewer differing bits are linked; ``component_id`` is the smallest
     doc_id reachable, the document's own included.  Documents without words share fingerprint 0
     and are linked like any other.  A null doc_id is carried along, is never a representative,
-    and has a null component only if no document with an id is reachable.  Repeated rows stay.
+    and has a null component only if no document with an id is reachable.  Repeated rows stay;
+    rows with one id and other texts are documents of their own.  Ids may be of any type that has
+    an order.
     """
-    spark = docs.sparkSession
     prints = materialize(docs.select("doc_id", fingerprint("text").alias("value")), "fingerprints")
-    values = materialize(
-        prints.groupBy("value").agg(F.min("doc_id").cast("long").alias("rep")).where("rep is not null"), "values"
-    )
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    links = (
-        _shards(values, max_shard)
-        .repartition(parts, "mask", "key")
-        .mapInArrow(_shard_links, "a long, b long")
-    )
-    classes = connected_components(links)
-    of_value = values.join(classes, values.rep == classes.id, "left").select(
-        "value", F.coalesce("component", "rep").alias("component_id")
-    )
+    of_value = _classes(prints, max_shard).select("value", "component_id")
     return prints.join(of_value, "value", "left").select(
         "doc_id", F.lpad(F.lower(F.hex("value")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents whose id is their class's smallest, as they are; one row of each id.
+    """One document of each class, as it is: the one with the smallest id, of rows with that id
+    and other texts the one with the smallest text hash, of equal ones any.
 
-    Documents without an id can't be chosen between and stay.
+    Documents without an id can't be chosen between and stay.  Ids and hashes alone are compared;
+    texts move only to be told apart from the rows that go.
     """
-    kept = near_duplicates(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    mark, count = unused(docs, "_hash", "_n")
+    key = F.xxhash64("text")
+    prints = materialize(docs.where("doc_id is not null").select("doc_id", key.alias("_hash"), fingerprint("text").alias("value")), "fingerprints")
+    rows = prints.join(_classes(prints, MAX_SHARD), "value")
+    chosen = materialize(rows.groupBy("class").agg(F.min(F.struct("doc_id", "_hash")).alias("_first")), "chosen")
+    told = rows.join(chosen, "class").groupBy("doc_id", "_hash").agg(
+        F.max(F.struct("doc_id", "_hash") == F.col("_first")).alias("_kept"), F.count("*").alias("_n")
+    )
+    told = materialize(told.where("not _kept or _n > 1").select(F.col("doc_id"), F.col("_hash").alias(mark), F.when(F.col("_kept"), F.col("_n")).alias(count)), "gone")
+    hashed = docs.withColumn(mark, key)
+    out = hashed.join(told, ["doc_id", mark], "left_anti").select(*docs.columns)
+    again = told.where(F.col(count).isNotNull())
+    if again.isEmpty():
+        return out
+    return out.unionByName(hashed.join(again, ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark]).select(*docs.columns))
 
 
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

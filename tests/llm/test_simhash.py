@@ -108,3 +108,34 @@ def test_one_of_each(spark):
     got = S.one_of_each(docs)
     assert got.columns == docs.columns
     assert sorted((r[2] for r in got.collect())) == [2, 3, 4, 5]
+
+
+def test_one_id_with_other_texts(spark):
+    """Rows are documents: b is not lost, a stands once; columns of the operator's names stay."""
+    a, b = "first text of all of them here", "something quite different stands in this one"
+    rows = [(1, a, 0, "p"), (5, a, 1, "q"), (5, b, 2, "r"), (5, b, 2, "r"), (7, b + " ", 3, "s"), (None, b, 4, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _hash int, _n string")
+    got = S.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[2], rows[5]], key=str)
+
+
+def test_ids_of_other_types(spark):
+    docs = spark.createDataFrame([("x", "a b c d"), ("m", "A b c d"), ("z", "other words stand here now")], "doc_id string, text string")
+    assert {r.doc_id: r.component_id for r in S.near_duplicates(docs).collect()} == {"x": "m", "m": "m", "z": "z"}
+    assert {r.doc_id for r in S.one_of_each(docs).collect()} == {"m", "z"}
+
+
+@pytest.mark.parametrize("walked", [1, 7, 1 << 17])
+def test_shards_in_any_batches(monkeypatch, walked):
+    """A task's links do not depend on where batches end or how many shards are walked at once."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(S, "WALKED", walked)
+    rng = np.random.default_rng(4)
+    rows = np.unique(np.column_stack([rng.integers(0, 3, 300), rng.integers(0, 4, 300), rng.integers(0, 256, 300)]), axis=0)
+    make = lambda part: pa.RecordBatch.from_arrays([pa.array(c) for c in part.T], ["mask", "key", "value"])
+    want = set(zip(*(c.to_pylist() for c in S._links(rows).columns)))
+    for size in (1, 13, 1000):
+        got = S._shard_links(make(rows[k : k + size]) for k in range(0, len(rows), size))
+        assert {x for b in got for x in zip(*(c.to_pylist() for c in b.columns))} == want
