@@ -2,7 +2,9 @@
 
 A reading task gets a byte range of a file.  It looks for the gzip magic, takes a candidate for a
 member only if it decodes to a WARC header, and owns the records that start inside its range;
-the last of them may end beyond it.
+the last of them may end beyond it.  From there on members follow each other without a gap, and
+the task that reads a range's last member also checks that another begins behind it, so that
+damaged bytes anywhere are an error and no record is lost in silence.
 """
 
 from __future__ import annotations
@@ -129,7 +131,7 @@ class Range:
     """Bytes of a file from ``start`` on, read as needed."""
 
     def __init__(self, file, start: int):
-        self.file, self.at, self.data = file, start, b""
+        self.file, self.at, self.data = file, start, bytearray()
         file.seek(start)
 
     def more(self) -> bool:
@@ -137,57 +139,87 @@ class Range:
         self.data += got
         return bool(got)
 
+    def has(self, at: int) -> bool:
+        """Whether there is a byte at the place."""
+        while at >= self.at + len(self.data):
+            if not self.more():
+                return False
+        return True
+
     def drop(self, before: int) -> None:
-        self.data, self.at = self.data[before - self.at :], before
+        del self.data[: before - self.at]
+        self.at = before
+
+
+class DamagedArchive(ValueError):
+    pass
 
 
 def members(file, start: int, end: int) -> Iterator[bytes]:
-    """The decoded WARC members that start in [start, end)."""
-    here = Range(file, start)
-    at = start
+    """The decoded WARC members that start in [start, end).
+
+    The first one of a range in the middle of a file is looked for; each further one, and that of
+    the file's start, has to be there, whole, or ``DamagedArchive`` is raised.
+    """
+    here, at, known = Range(file, start), start, start == 0
     while at < end:
-        while (found := here.data.find(MAGIC, at - here.at)) < 0:
-            at = max(at, here.at + len(here.data) - 2)
-            if at >= end or not here.more():
+        if not known:
+            while (found := here.data.find(MAGIC, at - here.at)) < 0:
+                at = max(at, here.at + len(here.data) - len(MAGIC) + 1)
+                if at >= end or not here.more():
+                    return
+                here.drop(at)
+            at = here.at + found
+            if at >= end:
                 return
-            here.drop(at)
-        at = here.at + found
-        if at >= end:
+        elif not here.has(at):
             return
         if (got := _member(here, at)) is None:
+            if known:
+                raise DamagedArchive(f"no record where one should begin, at byte {at}")
             at += 1
             continue
-        text, at = got
+        known, (text, at) = True, got
         if at - here.at > READ:
             here.drop(at)
         yield text
+    if known and start < end and here.has(at) and not _begins(here, at):
+        raise DamagedArchive(f"no record where one should begin, at byte {at}")
+
+
+HEAD = b"WARC/1."
+
+
+def _begins(here: Range, at: int) -> bool:
+    """Whether a member decodes to a WARC header at the place."""
+    unpack, head, pos = zlib.decompressobj(31), b"", at
+    try:
+        while len(head) < len(HEAD) and not unpack.eof and here.has(pos):
+            fed = here.data[pos - here.at : pos - here.at + FEED]
+            head += unpack.decompress(fed, len(HEAD) - len(head))
+            pos += len(fed) - len(unpack.unconsumed_tail)
+    except zlib.error:
+        return False
+    return head == HEAD
 
 
 def _member(here: Range, at: int) -> tuple[bytes, int] | None:
-    """The member at ``at`` and where it ends, if there is one."""
+    """The member at ``at`` and where it ends; None if no WARC header is there.
+
+    What begins as a record has to end as one."""
+    if not _begins(here, at):
+        return None
     unpack, parts, pos = zlib.decompressobj(31), [], at
     try:
         while not unpack.eof:
+            if not here.has(pos):
+                raise DamagedArchive(f"the record at byte {at} is cut off")
             fed = here.data[pos - here.at : pos - here.at + FEED]
-            if not fed:
-                if not here.more():
-                    return None
-                continue
-            if not parts:
-                head = unpack.decompress(fed, 64)
-                if head and not head.startswith(b"WARC/1."[: len(head)]):
-                    return None
-                parts.append(head)
-                pos += len(fed) - len(unpack.unconsumed_tail)
-                if unpack.eof:
-                    pos -= len(unpack.unused_data)
-                continue
             parts.append(unpack.decompress(fed))
             pos += len(fed) - len(unpack.unused_data)
-    except zlib.error:
-        return None
-    text = b"".join(parts)
-    return (text, pos) if text.startswith(b"WARC/1.") else None
+    except zlib.error as e:
+        raise DamagedArchive(f"the record at byte {at} is damaged: {e}") from e
+    return b"".join(parts), pos
 
 
 def parse(member: bytes) -> tuple[dict[str, str], bytes, bytes]:
@@ -209,20 +241,22 @@ def _reader(with_payload: bool):
             [("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
         )
         for b in batches:
-            for path, start, end in zip(*(b.column(c).to_pylist() for c in ("file", "start", "end"))):
+            for path, start, end, size in zip(*(b.column(c).to_pylist() for c in ("file", "start", "end", "bytes"))):
                 rows, held = [], 0
                 with _open(path, "r") as file:
+                    if file.size() != size:
+                        raise DamagedArchive(f"{path} has {file.size()} bytes, not {size}")
                     for member in members(file, start, end):
                         headers, http, payload = parse(member)
                         digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
                         kind = headers["WARC-Type"]
-                        size = int(re.search(rb"(?i)^content-length: (\d+)", http, re.M)[1])
-                        if kind == "response" and (len(payload) != size or base32_sha1(payload) != digest):
-                            raise ValueError(f"a record of {path} does not match its digest")
+                        length = int(re.search(rb"(?i)^content-length: (\d+)", http, re.M)[1])
+                        if kind == "response" and (len(payload) != length or base32_sha1(payload) != digest):
+                            raise DamagedArchive(f"a record of {path} does not match its digest")
                         url = headers.get("WARC-Target-URI")
                         url = None if url is None else re.sub("%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), url)
                         own = payload if with_payload and kind == "response" else None
-                        rows.append((_page(headers["WARC-Record-ID"]), url, own, size, digest, kind, _page(headers.get("WARC-Refers-To"))))
+                        rows.append((_page(headers["WARC-Record-ID"]), url, own, length, digest, kind, _page(headers.get("WARC-Refers-To"))))
                         held += len(own or b"")
                         if held > SPLIT:
                             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
@@ -235,9 +269,12 @@ def _reader(with_payload: bool):
 
 def read_archives(manifest: DataFrame, split_bytes: int = SPLIT, with_payload: bool = True) -> DataFrame:
     """Records of the files in ``manifest(file, bytes)``: page_id, url, payload (null for
-    revisits), payload_bytes, payload_digest, record_type, refers_to."""
+    revisits), payload_bytes, payload_digest, record_type, refers_to.
+
+    A file of another size, a damaged or cut-off record, and bytes that belong to none fail the
+    read.  An empty manifest gives an empty table."""
     starts = F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))
-    splits = manifest.where("bytes > 0").select("file", F.explode(starts).alias("start"))
+    splits = manifest.where("bytes > 0").select("file", "bytes", F.explode(starts).alias("start"))
     splits = splits.withColumn("end", F.col("start") + split_bytes)
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return splits.repartition(parts, "file", "start").mapInArrow(_reader(with_payload), RECORD)
