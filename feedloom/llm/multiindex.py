@@ -5,10 +5,12 @@ product grid, and every vector is listed in its cell.  A vector is compared with
 come next in multi-sequence order: pairs of codes by growing lower bound of the distance to their
 cell (the distance to the planes between codes, squared and summed over the halves).  How far the
 order must be followed is measured: a fixed number of vectors, chosen by hash, is compared with
-all others, and the traversal stops at the bound that reaches the target recall on their true
-partners.  At the radius that the cosine threshold leaves, no partner could lie beyond.  Each pair
-is met once, from the cell with the smaller number, in blocks of bounded size, and verified in
-double precision.
+all others, and the traversal stops at the bound that reaches the target recall on the true
+partners of each of them, in the mean.  At the radius that the cosine threshold leaves, no partner
+could lie beyond: a recall of 1 asks for all of it, and is exact.  Each pair is met once, from the
+cell with the smaller number, in blocks of bounded size, and verified in double precision.  The
+grid grows with the rows, so that a cell's do not.  Vectors of each length have a grid of their
+own.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +27,11 @@ from feedloom.llm.common import hashed_sample, materialize, table
 from feedloom.llm.components import connected_components
 
 COSINE = 0.98
-#: Codes of a half, rows that the codebooks are fitted on (chosen by hash), rounds of the fit.
-CODES, FIT_ROWS, ROUNDS = 64, 20_000, 12
+#: Codes of a half at least and at most (in between, cells for every ``PER_CELL`` rows), rows that
+#: the codebooks are fitted on (chosen by hash), rounds of the fit.
+CODES, MOST_CODES, PER_CELL, FIT_ROWS, ROUNDS = 64, 1024, 16, 20_000, 12
+#: Planes that bound a cell: those of the codes nearest to the vector.
+PLANES = 64
 #: Vectors of a block; two blocks are compared at once.
 BLOCK = 512
 #: Vectors compared with all others to set the traversal's end, the recall that it is set for, and
@@ -58,13 +64,19 @@ def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 def cell_bounds(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Squared lower bounds of the distances from each row to the codes' regions: a region lies
-    behind the planes half way between its centre and every other one."""
+    behind the planes half way between its centre and every other one.  With many codes only
+    the planes of those nearest to the row are looked at; fewer planes bound less, never more."""
     d = distances(x, centres)
     gap = np.sqrt(distances(centres, centres))
+    gap = np.where(gap > 1e-12, gap, np.inf)
     out = np.zeros_like(d)
-    for k in range(len(centres)):
-        g = np.where(gap[k] > 1e-12, gap[k], np.inf)
-        out = np.maximum(out, (d - d[:, k : k + 1]) / (2 * g))
+    if len(centres) <= PLANES:
+        for k in range(len(centres)):
+            out = np.maximum(out, (d - d[:, k : k + 1]) / (2 * gap[k]))
+    else:
+        near = np.argpartition(d, PLANES // 8, axis=1)[:, : PLANES // 8]
+        for k in near.T:
+            out = np.maximum(out, (d - np.take_along_axis(d, k[:, None], axis=1)) / (2 * gap[k]))
     return out**2
 
 
@@ -85,65 +97,122 @@ def multi_sequence(first: np.ndarray, second: np.ndarray, radius: float) -> np.n
 
 
 def unit(rows: pa.Array, width: int) -> np.ndarray:
-    """Rows as unit vectors in double precision."""
+    """Rows as unit vectors in double precision.  They are scaled by a power of two first, which
+    changes no digit, so that no square is too large or too small."""
     x = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+    most = np.abs(x).max(axis=1, keepdims=True, initial=0)
+    x = np.ldexp(x, -np.frexp(most)[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _needed(books: tuple[np.ndarray, np.ndarray], width: int, cosine: float, labels: np.ndarray, queries: np.ndarray):
-    """Counts of true partners of the queries by the bound of the partner's cell, in hundredths
-    of the radius."""
-    half, radius = width // 2, 2 - 2 * cosine
-    one, two = cell_bounds(queries[:, :half], books[0]), cell_bounds(queries[:, half:], books[1])
+def by_width(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The batch's rows in parts of one vector length."""
+    widths = pc.list_value_length(batch.column("v")).to_numpy()
+    found = np.unique(widths)
+    for width in found:
+        yield int(width), batch if len(found) == 1 else batch.filter(pa.array(widths == width))
+
+
+class Grid:
+    """Codebooks of the two halves, by vector length.  A length that no fitted row has is rare; its
+    vectors of a label are one cell."""
+
+    def __init__(self, sample: list[pa.Array], codes: int):
+        self.books: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for rows in sample:
+            width = len(rows[0])
+            points, half = unit(rows, width), width // 2
+            own = max(1, min(codes, len(points) // 2))
+            self.books[width] = codebook(points[:, :half], own), codebook(points[:, half:], own)
+
+    def of(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        half = width // 2
+        return self.books.get(width) or (np.zeros((1, half)), np.zeros((1, width - half)))
+
+    def home(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The codes of each row's own cell."""
+        (one, two), half = self.of(x.shape[1]), x.shape[1] // 2
+        return distances(x[:, :half], one).argmin(axis=1), distances(x[:, half:], two).argmin(axis=1)
+
+    def bounds(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        (one, two), half = self.of(x.shape[1]), x.shape[1] // 2
+        return cell_bounds(x[:, :half], one), cell_bounds(x[:, half:], two)
+
+
+#: Bounds are counted in this many parts of the radius.
+STEPS = 100
+
+
+def _needed(grid: Grid, cosine: float, queries: list[tuple[int, str, np.ndarray]]):
+    """(query, step, n): counts of the queries' true partners, without the query's own row, by the
+    bound of the partner's cell."""
+    radius, groups = 2 - 2 * cosine, {}
+    for width in {len(v) for _, _, v in queries}:
+        own = [q for q in queries if len(q[2]) == width]
+        x = np.array([v for _, _, v in own])
+        groups[width] = np.array([q for q, _, _ in own]), np.array([t for _, t, _ in own]), x, grid.bounds(x)
+    names = np.array([q for q, _, _ in queries])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(102, np.int64)
+        total = np.zeros((len(queries), STEPS + 2), np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 2048):
-                part = b.slice(at, 2048)
-                x = unit(part.column("v"), width)
-                label = np.array(part.column("label").to_pylist())
-                i, j = np.nonzero((x @ queries.T >= cosine) & (label[:, None] == labels[None, :]))
-                a = distances(x[:, :half], books[0]).argmin(axis=1)
-                c = distances(x[:, half:], books[1]).argmin(axis=1)
-                bound = one[j, a[i]] + two[j, c[i]]
-                np.add.at(total, np.minimum(np.ceil(bound / radius * 100), 101).astype(int), 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(102)), pa.array(total)], ["hundredth", "n"])
+                for width, part in by_width(b.slice(at, 2048)):
+                    if width not in groups:
+                        continue
+                    vec, labels, y, (one, two) = groups[width]
+                    x, label = unit(part.column("v"), width), np.array(part.column("label").to_pylist())
+                    row = part.column("vec").to_numpy()
+                    i, j = np.nonzero((x @ y.T >= cosine) & (label[:, None] == labels[None, :]) & (row[:, None] != vec[None, :]))
+                    a, c = grid.home(x)
+                    step = np.minimum(np.ceil((one[j, a[i]] + two[j, c[i]]) / radius * STEPS), STEPS + 1).astype(int)
+                    np.add.at(total, (np.searchsorted(names, vec[j]), step), 1)
+        q, step = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(step), pa.array(total[q, step])], ["query", "step", "n"])
 
     return count
 
 
-def _stop(distinct: DataFrame, books: tuple[np.ndarray, np.ndarray], width: int, cosine: float) -> float:
+def _stop(distinct: DataFrame, grid: Grid, cosine: float, recall: float) -> float:
     """The squared bound at which the traversal ends."""
-    chosen = hashed_sample(distinct, QUERIES, "vec", "label").select("label", "v").toArrow()
+    radius = 2 - 2 * cosine
+    if recall >= 1:
+        return radius
+    chosen = hashed_sample(distinct, QUERIES, "vec", "label").select("vec", "label", "v").toArrow()
     if not len(chosen):
         return 0.0
-    queries, labels = unit(chosen.column("v").combine_chunks(), width), np.array(chosen.column("label").to_pylist())
-    found = distinct.select("label", "v").mapInArrow(_needed(books, width, cosine, labels, queries), "hundredth long, n long")
-    counts = np.zeros(102)
-    for r in found.groupBy("hundredth").agg(F.sum("n").alias("n")).collect():
-        counts[r[0]] = r[1]
-    reached = np.searchsorted(np.cumsum(counts), TARGET * counts.sum()) if counts.sum() else 0
-    return (2 - 2 * cosine) * max(LEAST, reached / 100)
+    queries = []
+    for b in chosen.to_batches():
+        for width, part in by_width(b):
+            queries += zip(part.column("vec").to_pylist(), part.column("label").to_pylist(), unit(part.column("v"), width))
+    queries.sort(key=lambda q: q[:2])
+    found = distinct.select("vec", "label", "v").mapInArrow(_needed(grid, cosine, queries), "query long, step long, n long")
+    by_query: dict[int, np.ndarray] = {}
+    for q, step, n in found.groupBy("query", "step").agg(F.sum("n")).collect():  # at most QUERIES x STEPS rows
+        by_query.setdefault(q, np.zeros(STEPS + 2))[step] = n
+    if not by_query:
+        return radius * LEAST
+    reached = np.mean([np.cumsum(c) / c.sum() for c in by_query.values()], axis=0)
+    return radius * min(1.0, max(LEAST, int(np.argmax(reached >= recall)) / STEPS))
+
 
+PLACED = ["vec", "label", "width", "size", "v", "cells"]
 
-def _assigner(books: tuple[np.ndarray, np.ndarray], width: int, radius: float):
-    half, top = width // 2, len(books[1])
 
+def _assigner(grid: Grid, radius: float):
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = unit(b.column("v"), width)
-            one, two = cell_bounds(x[:, :half], books[0]), cell_bounds(x[:, half:], books[1])
-            own = distances(x[:, :half], books[0]).argmin(axis=1) * top + distances(x[:, half:], books[1]).argmin(axis=1)
-            cells = []
-            for k in range(len(x)):
-                met = multi_sequence(one[k], two[k], radius)
-                cells.append(np.concatenate([own[k : k + 1], met[met > own[k]]]))
-            edge = np.concatenate([[0], np.cumsum([len(c) for c in cells])])
-            lists = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(np.concatenate(cells)))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("vec", "label", "size", "v")), lists], ["vec", "label", "size", "v", "cells"])
+            for width, part in by_width(b):
+                x, top = unit(part.column("v"), width), len(grid.of(width)[1])
+                (one, two), (a, c) = grid.bounds(x), grid.home(x)
+                own, cells = a * top + c, []
+                for k in range(len(x)):
+                    met = multi_sequence(one[k], two[k], radius)
+                    cells.append(np.concatenate([own[k : k + 1], met[met > own[k]]]))
+                edge = np.concatenate([[0], np.cumsum([len(c) for c in cells])])
+                lists = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(np.concatenate(cells)))
+                widths = pa.array(np.full(len(x), width, np.int32))
+                yield pa.RecordBatch.from_arrays([part.column("vec"), part.column("label"), widths, part.column("size"), part.column("v"), lists], PLACED)
 
     return assign
 
@@ -151,7 +220,7 @@ def _assigner(books: tuple[np.ndarray, np.ndarray], width: int, radius: float):
 LINKS = "a long, b long, n long"
 
 
-def _comparer(width: int, cosine: float):
+def _comparer(cosine: float):
     """Rows are pairs of blocks: members of a cell with visitors of the cell, or with themselves.
 
     Emits, for each vector with links, how many there are (a, null, n), and links (a, b, null)
@@ -163,6 +232,7 @@ def _comparer(width: int, cosine: float):
             for row in range(batch.num_rows):
                 ids, other = (batch.column(c)[row].values.to_numpy() for c in ("ids", "other_ids"))
                 sizes, more = (batch.column(c)[row].values.to_numpy() for c in ("sizes", "other_sizes"))
+                width = batch.column("width")[row].as_py()
                 x, y = (unit(batch.column(c)[row].values, width) for c in ("vs", "other_vs"))
                 own = batch.column("own")[row].as_py()
                 near = np.einsum("ik,jk->ij", x, y) >= cosine
@@ -207,65 +277,69 @@ def _spanning(a: list[int], b: list[int]) -> list[tuple]:
     return out
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, codes: int = CODES, block: int = BLOCK) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, codes: int | None = None, block: int = BLOCK, recall: float = TARGET) -> DataFrame:
     """``vectors(vec_id, label, embedding, ...)`` -> a row per row: vec_id, n_links,
     component_id, kept.
 
-    Vectors of one label whose cosine is at least ``cosine`` are linked.  Rows without a label or
-    id, and vectors that are null, zero, of another length than most, or hold null or non-finite
-    components, link with nothing.  Equal vectors of a label are compared once and counted as
-    often as they occur; repeated rows of an id count as further vectors.
+    Vectors of one label and length whose cosine is at least ``cosine`` are linked; ``recall`` is
+    the share of links that the traversal is set to find, 1 finds all.  Rows without a label or
+    id, and vectors that are null, empty, zero, or hold null or non-finite components, link with
+    nothing.  Equal vectors of a label are compared once and counted as often as they occur;
+    repeated rows of an id count as further vectors.
     """
     spark = vectors.sparkSession
-    rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
-    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    finite = (norm > 0) & (norm < float("inf"))
-    rows = rows.withColumn("ok", F.coalesce(finite & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False)))
-    width = rows.where("ok").groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    width = width[0] if width else 0
-    fine = rows.where(F.col("ok") & (F.size("v") == width))
-    distinct = fine.groupBy("label", "v").agg(F.min("vec_id").cast("long").alias("vec"), F.count("*").alias("size"))
+    kind = vectors.schema["embedding"].dataType.elementType.simpleString()
+    v = F.col("embedding").cast(f"array<{kind if kind in ('float', 'double') else 'double'}>")  # floats stay half as wide
+    rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), v.alias("v"))
+    odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    fine = ~odd & F.exists("v", lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
+    rows = rows.withColumn("ok", F.coalesce(fine, F.lit(False)))
+    distinct = rows.where("ok").groupBy("label", "v").agg(F.min("vec_id").cast("long").alias("vec"), F.count("*").alias("size"))
     distinct = materialize(distinct, "vectors")
-    sample = hashed_sample(distinct, FIT_ROWS, "vec").select("v").toArrow().column("v").combine_chunks()
-    half = width // 2
-    points = unit(sample, width) if len(sample) else np.zeros((0, max(width, 2)))
-    books = codebook(points[:, :half], codes), codebook(points[:, half:], codes)
-    assign = _assigner(books, width, _stop(distinct, books, width, cosine))
-    placed = distinct.select("vec", "label", "size", "v").mapInArrow(assign, "vec long, label string, size long, v array<double>, cells array<long>")
+    if codes is None:
+        codes = min(MOST_CODES, max(CODES, int((distinct.count() / PER_CELL) ** 0.5)))
+    sample = hashed_sample(distinct, FIT_ROWS, "vec").select("v").toArrow()
+    fitted: dict[int, list[pa.Array]] = {}
+    for batch in sample.to_batches():
+        for width, part in by_width(batch):
+            fitted.setdefault(width, []).append(part.column("v"))
+    grid = Grid([pa.concat_arrays(x) for x in fitted.values()], codes)
+    assign = _assigner(grid, _stop(distinct, grid, cosine, recall))
+    kind = distinct.schema["v"].dataType.simpleString()
+    placed = distinct.select("vec", "label", "size", "v").mapInArrow(assign, f"vec long, label string, width int, size long, v {kind}, cells array<long>")
     placed = materialize(placed, "cells")
-    members = placed.select("label", F.element_at("cells", 1).alias("cell"), "vec", "v", "size")
-    visits = placed.select("label", F.explode(F.slice("cells", 2, 1 << 30)).alias("cell"), "vec", "v", "size")
+    cell = ["label", "width", "cell"]
+    members = placed.select("label", "width", F.element_at("cells", 1).alias("cell"), "vec", "v", "size")
+    visits = placed.select("label", "width", F.explode(F.slice("cells", 2, 1 << 30)).alias("cell"), "vec", "v", "size")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # only cells that have members are worth a visit
-    filled = members.groupBy("label", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    filled = members.groupBy(*cell).agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     filled = materialize(filled, "filled-cells")
 
     def blocks(df: DataFrame, prefix: str) -> DataFrame:
-        counts = df.groupBy("label", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+        counts = df.groupBy(*cell).agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
         counts = materialize(counts, "cell-counts")  # the join then reads plain shuffles, which split at a large cell
-        dealt = df.join(counts, ["label", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec"), F.col("parts")))
+        dealt = df.join(counts, cell).withColumn("part", F.pmod(F.xxhash64("vec"), F.col("parts")))
         # dealt anew, so that a cell of many parts is not grouped where the join left it
-        dealt = dealt.repartition(parts, "label", "cell", "part")
-        return dealt.groupBy("label", "cell", "part").agg(
+        dealt = dealt.repartition(parts, *cell, "part")
+        return dealt.groupBy(*cell, "part").agg(
             F.collect_list("vec").alias(f"{prefix}ids"), F.collect_list("v").alias(f"{prefix}vs"), F.collect_list("size").alias(f"{prefix}sizes")
         )
 
     mine = materialize(blocks(members, ""), "member-blocks")
-    useful = visits.join(filled.select("label", "cell"), ["label", "cell"], "left_semi")
+    useful = visits.join(filled.select(*cell), cell, "left_semi")
     theirs = blocks(useful, "other_").withColumn("own", F.lit(False)).drop("part")
-    same = mine.select("label", "cell", F.col("part").alias("other_part"), F.col("ids").alias("other_ids"), F.col("vs").alias("other_vs"), F.col("sizes").alias("other_sizes"))
-    inside = mine.join(same, ["label", "cell"]).where("part <= other_part").withColumn("own", F.col("part") == F.col("other_part"))
-    names = ["own", "ids", "vs", "sizes", "other_ids", "other_vs", "other_sizes"]
-    across = mine.join(theirs, ["label", "cell"])
+    same = mine.select(*cell, F.col("part").alias("other_part"), F.col("ids").alias("other_ids"), F.col("vs").alias("other_vs"), F.col("sizes").alias("other_sizes"))
+    inside = mine.join(same, cell).where("part <= other_part").withColumn("own", F.col("part") == F.col("other_part"))
+    names = ["own", "width", "ids", "vs", "sizes", "other_ids", "other_vs", "other_sizes"]
+    across = mine.join(theirs, cell)
     pairs = inside.select(*names).unionByName(across.select(*names)).repartition(parts)
-    links = materialize(pairs.mapInArrow(_comparer(width, cosine), LINKS), "vector-links")
+    links = materialize(pairs.mapInArrow(_comparer(cosine), LINKS), "vector-links")
     count = links.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
     classes = connected_components(links.where("b is not null").select("a", "b"))
     of = distinct.join(count, distinct.vec == count.a, "left").join(classes, distinct.vec == classes.id, "left")
     of = of.select("label", "v", (F.coalesce("n", F.lit(0).cast("long")) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "vec").alias("component_id"))
-    keyed = rows.withColumn("_use", F.col("ok") & (F.size("v") == width))
-    near = of.withColumn("_use", F.lit(True))
-    out = keyed.join(near, ["_use", "label", "v"], "left").select(
+    out = rows.join(of.withColumn("ok", F.lit(True)), ["ok", "label", "v"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", F.col("vec_id").cast("long")).alias("component_id")
     )
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
