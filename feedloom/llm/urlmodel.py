@@ -4,7 +4,8 @@ Host rules judge what they fit.  The URLs they judge are the training text of tw
 models of variable order: Witten-Bell smoothing mixes each context's counts with the next shorter
 context's, down to a uniform alphabet, so a context counts for as much as it has been seen.  A
 URL's score is the difference of its log-likelihoods under the two, divided by its length; the
-threshold is calibrated on the judged URLs' scores.  All counts are taken over all URLs by grouped
+threshold is calibrated on judged URLs that the models have not seen, one in ``HELD_OUT`` by hash.
+All counts are taken over all URLs by grouped
 sums, and URLs meet the models in a join, so nothing of the model passes through the driver.
 """
 
@@ -27,6 +28,8 @@ RULES = [
 GRAM = 6
 #: Size of the uniform alphabet under all orders, and width of the calibration's score classes.
 ALPHABET, STEP = 256, 0.01
+#: One judged URL in so many is kept from the models, to calibrate on.
+HELD_OUT = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,12 +53,11 @@ def rule_of(host: str, path: str, rules=RULES) -> Column:
 
 
 def _grams(urls: DataFrame) -> DataFrame:
-    """A row per character: the n-gram that ends there, cut at the start by blanks."""
+    """A row per character: the n-gram that ends there, cut at the start by blanks.  One look-ahead
+    match at each place, so the work and the rows are linear in a URL's length."""
     line = F.concat(F.lit(" " * (GRAM - 1)), "line")
-    at = F.explode(F.sequence(F.lit(1), F.length("line")))
-    return urls.where("length(line) > 0").select("key", "good", "bad", line.alias("line"), at.alias("at")).select(
-        "key", "good", "bad", F.substring(F.col("line"), F.col("at"), F.lit(GRAM)).alias("gram")
-    )
+    grams = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))
+    return urls.where("length(line) > 0").select("key", "good", "bad", F.explode(grams).alias("gram"))
 
 
 def _probabilities(counts: DataFrame) -> DataFrame:
@@ -92,7 +94,7 @@ def _totals() -> list[Column]:
 def scores(urls: DataFrame) -> DataFrame:
     """``urls(key, line, good, bad)`` with 0/1 training marks -> (key, score) of non-empty lines.
 
-    ``key`` must be one of a line (equal lines score alike).  N-grams are counted before they are
+    ``key`` is a number or the like that stands for one line; it goes with each n-gram.  N-grams are counted before they are
     shuffled, and a frequent one is a single row of the model, met by a join that splits skew.
     """
     grams = _grams(urls)
@@ -127,19 +129,25 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """``pages(page_id, url, ...)`` -> page_id, host, path, rule, verdict, score.
 
     A URL without host and text behind it has nothing to score and is blocked unless a rule fits;
-    null URLs too.  Rows stay as they are, repeated ones as well; each distinct URL is scored once.
+    null URLs too.  Rows stay as they are, repeated ones as well; each distinct URL (what follows
+    ``://``, its host in lower case) is scored once, so the order of rows changes nothing.  If no
+    judged URL of either kind is held out, all judged ones calibrate.
     """
     base = pages.select("page_id", "url")
     parts = base.withColumn("host", host_of("url")).withColumn("path", path_of("url")).withColumn("_rule", rule_of("host", "path", rules))
-    line = F.translate(F.regexp_replace(F.coalesce("url", F.lit("")), r"(?s)^.*?://", ""), UPPER, LOWER)
-    parts = parts.withColumn("line", line)
-    distinct = parts.groupBy("line").agg(F.count("*").alias("n"), F.first(F.col("_rule.verdict"), ignorenulls=True).alias("verdict"))
-    good, bad = ((F.coalesce(F.col("verdict") == v, F.lit(False))).cast("long") for v in ("allow", "block"))
-    distinct = distinct.select("n", F.col("line").alias("key"), "line", good.alias("good"), bad.alias("bad"))
-    distinct = materialize(distinct, "urls")
-    scored = materialize(scores(distinct), "url-scores")
-    cut = calibrate(distinct.where("good + bad > 0").join(scored, "key").select("score", "good", "n"))
-    found = parts.join(scored, parts.line == scored.key, "left")
+    behind = F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)^.*?://[^/?#]*(.*)$", 1)
+    bare = F.when(F.instr(F.coalesce("url", F.lit("")), "://") == 0, F.coalesce("url", F.lit("")))
+    parts = parts.withColumn("line", F.coalesce(bare, F.concat("host", behind)))
+    # a line has one host and path, and so one rule
+    lines = parts.groupBy("line").agg(F.count("*").alias("n"), F.max("_rule.verdict").alias("verdict"))
+    lines = materialize(lines.select(F.monotonically_increasing_id().alias("key"), "line", "n", "verdict"), "urls")
+    held = F.pmod(F.xxhash64("line"), F.lit(HELD_OUT)) == 0
+    good, bad = (F.coalesce((F.col("verdict") == v) & ~held, F.lit(False)).cast("long") for v in ("allow", "block"))
+    scored = materialize(scores(lines.select("key", "line", good.alias("good"), bad.alias("bad"))), "url-scores")
+    judged = lines.where("verdict is not null").join(scored, "key").select("score", "n", (F.col("verdict") == "allow").cast("long").alias("good"), held.alias("held"))
+    kinds = judged.agg(F.count_if(F.col("held") & (F.col("good") == 1)), F.count_if(F.col("held") & (F.col("good") == 0))).first()
+    cut = calibrate(judged.where("held") if min(kinds) else judged)
+    found = parts.join(lines.join(scored, "key").select("line", "score"), "line", "left")
     model = F.when(F.col("score") >= cut, "allow").otherwise("block")
     return found.select("page_id", "host", "path", "_rule.rule", F.coalesce("_rule.verdict", model).alias("verdict"), "score")
 

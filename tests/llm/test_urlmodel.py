@@ -39,6 +39,23 @@ def test_hosts_paths_rules(spark):
     assert all(r.verdict == "block" and r.score is None for r in got if r.page_id < 2)
 
 
+def test_calibration_is_held_out(spark, monkeypatch):
+    """Models see no URL that calibrates them."""
+    seen = {}
+    real = U.scores
+
+    def scores(urls):
+        seen["trained"] = {r.line for r in urls.where("good + bad > 0").collect()}
+        seen["all"] = {r.line for r in urls.collect()}
+        return real(urls)
+
+    monkeypatch.setattr(U, "scores", scores)
+    rows = [(i, f"http://{'a' if i % 3 else 'z'}{i}.{'org' if i % 3 else 'com'}/{'x' if i % 3 else 'de'}/{i}") for i in range(300)]
+    U.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    held = seen["all"] - seen["trained"]
+    assert 30 < len(held) < 100 and len(seen["all"]) == 300
+
+
 def slow_scores(urls):
     """urls: (line, good, bad); Witten-Bell by definition."""
     count = {m: {} for m in (1, 2)}
@@ -103,3 +120,27 @@ def test_one_kind_only(spark):
 def test_long_url(spark):
     df = spark.createDataFrame([(1, "http://a.org/" + "x" * 20000), (2, "http://c.net/" + "x" * 20000)], "page_id long, url string")
     assert {r.page_id: r.verdict for r in U.judge(df).collect()} == {1: "allow", 2: "allow"}
+
+
+def test_order_of_rows_changes_nothing(spark):
+    """Paths that differ in case have other rules; scores and verdicts are the same in any order."""
+    rng = random.Random(7)
+    rows = [(i, f"http://{rng.choice(['A', 'a', 'b'])}.example.{rng.choice(['org', 'net', 'com'])}/{rng.choice(['ES', 'es', 'fr', 'FR', 'de'])}/{rng.randrange(20)}") for i in range(120)]
+    got = []
+    for seed in range(2):
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "page_id long, url string").repartition(3 + seed)
+        got.append(sorted(map(tuple, U.judge(df).collect())))
+    assert [r[:5] for r in got[0]] == [r[:5] for r in got[1]]
+    assert all(x[5] == pytest.approx(y[5], abs=1e-12) for x, y in zip(*got))
+    assert len({(r[1], r[2], r[4]) for r in got[0]}) == len({(r[1], r[2]) for r in got[0]})
+
+
+def test_grams_are_linear_in_length(spark):
+    line = "é" + "ab" * 60_000
+    df = spark.createDataFrame([(1, line, 1, 0)], "key long, line string, good long, bad long")
+    grams = U._grams(df)
+    n, size = grams.selectExpr("count(*)", "sum(octet_length(gram) + 8)").first()
+    assert n == len(line) and size < 20 * len(line)
+    assert grams.columns == ["key", "good", "bad", "gram"]
+    assert [r.gram for r in U._grams(df.selectExpr("key", "'x\U0001F600\n' as line", "good", "bad")).collect()] == ["     x", "    x😀", "   x😀\n"]
