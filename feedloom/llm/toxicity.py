@@ -16,13 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedloom.llm.common import WORDS, collected, hashed_sample, materialize, slices, table, utf8
+from feedloom.llm.common import WORDS, collected, hashed_sample, materialize, slices, table, unused, utf8
 
 GRADES = 3
 #: Labelled rows that the model is fitted on, chosen by hash of the id: the only bounded part.
 FIT_ROWS = 20_000
-#: Word features: those that tell toxic from clean best, of at least MIN_DOCS labelled documents.
-FEATURES, MIN_DOCS = 2048, 4
 #: Weight of the absolute-value penalty and steps of the fit.
 PENALTY, STEPS = 5e-5, 400
 
@@ -106,7 +104,9 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ordin
 
     Null labels and labels without a document are left out; a document labelled twice counts as
     toxic if any label says so.  With no toxic or no clean row the model grades all 0.  Word
-    counts are taken on the cluster; the driver gets the chosen features of the bounded rows.
+    counts are taken on the cluster; the driver gets the words of the bounded rows as numbers.
+    Every word of theirs is a feature, but for those in so few rows that the penalty outweighs
+    them at any weight: a word in n rows pulls with n / rows at most.
     """
     from pyspark.sql.functions import broadcast
 
@@ -117,13 +117,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ordin
     total, toxic = rows.agg(F.count("*"), F.sum("toxic")).first()
     if not toxic or toxic == total:
         return OrdinalModel()
-    clean = total - toxic
-    seen = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").cast("double").alias("a"), F.count("*").alias("n"))
-    b = F.col("n") - F.col("a")
-    rate = F.log(((F.col("a") + 0.5) / (toxic + 1.0)) / ((b + 0.5) / (clean + 1.0)))
-    gain = F.abs(rate) * F.sqrt("n")
-    words = seen.where(F.col("n") >= MIN_DOCS).orderBy(gain.desc(), "word").limit(FEATURES).select("word")
-    names = [bytes(r[0]) for r in words.collect()]
+    seen = rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    names = sorted(bytes(r[0]) for r in seen.where(F.col("n") > PENALTY * total).select("word").collect())
     kept = rows.select("toxic", feature_numbers(names)("words").alias("features"))
     got = sorted((r[0], list(r[1])) for r in kept.collect())
     y = np.array([t for t, _ in got])
@@ -171,13 +166,17 @@ def severity(model: OrdinalModel):
 
 def with_severity(docs: DataFrame, model: OrdinalModel, name: str = "severity") -> DataFrame:
     """Adds the struct ``name``; a null, empty or unknown-worded text scores by the thresholds
-    alone.  No row moves, rows stay as they are."""
+    alone.  No row moves, rows stay as they are.  The grades 1 to 3 are thirds of the fitted toxic
+    rows by a one-threshold model's score, since labels do not grade; so expected severity
+    orders texts, and its unit is a third."""
     return docs.withColumn(name, severity(model)("text"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the fitted model does not reject, as they are."""
-    return with_severity(docs, train(docs, labels), "_severity").where(~F.col("_severity.rejected")).drop("_severity")
+    """The documents that the fitted model does not reject, as they are, with all their columns.
+    Documents without text or id are judged like any; repeated rows each."""
+    (name,) = unused(docs, "_severity")
+    return with_severity(docs, train(docs, labels), name).where(~F.col(f"{name}.rejected")).drop(name)
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -72,3 +72,42 @@ def test_best_cut():
     margin, toxic = np.array([0.0, 0, 1, 5, 7]), np.array([False, False, False, True, True])
     assert X.best_cut(margin, toxic) == 3.0
     assert X.best_cut(np.zeros(4), np.array([True, False, True, False])) == 0.0
+
+
+def test_expected_severity_of_an_independent_fit():
+    """Plain small steps down the penalised likelihood, written apart, end at the same severities."""
+    rng = np.random.default_rng(4)
+    n, features = 500, 5
+    x = (rng.random((n, features)) < 0.4).astype(float)
+    grade = (X.sigmoid((x @ [2.5, -1.5, 1, 0, 2])[:, None] - np.array([0.5, 1.5, 3])) > rng.random((n, 1))).sum(axis=1)
+    row, col = np.nonzero(x)
+    w, t = X.fit_ordinal(row, col, n, features, grade, 3)
+
+    def loss(v):
+        reach = np.column_stack([np.ones(n), 1 / (1 + np.exp(v[features:] - (x @ v[:features])[:, None])), np.zeros(n)])
+        return -np.log(reach[np.arange(n), grade] - reach[np.arange(n), grade + 1]).mean() + X.PENALTY * np.abs(v[:features]).sum()
+
+    v = np.r_[np.zeros(features), 0.0, 1.0, 2.0]
+    for _ in range(3000):
+        slope = np.array([(loss(v + e) - loss(v - e)) / 2e-5 for e in np.eye(len(v)) * 1e-5])
+        v = v - 0.8 * slope
+    mine = X.sigmoid((x @ w)[:, None] - t).sum(axis=1)
+    other = X.sigmoid((x @ v[:features])[:, None] - v[features:]).sum(axis=1)
+    assert np.abs(mine - other).max() < 0.05
+
+
+def test_rare_words_never_get_a_weight():
+    """What is left out before the fit has weight 0 in a fit that has it."""
+    rng = np.random.default_rng(2)
+    n = 40_000
+    row, col, y = np.r_[rng.permutation(n)[:9000], 5, 7, 7], np.r_[rng.integers(0, 3, 9000), 3, 4, 3], (rng.random(n) < 0.3).astype(int)
+    w, _ = X.fit_ordinal(row, col, n, 5, y, 1)
+    assert 2 <= X.PENALTY * n and w[3] == w[4] == 0
+
+
+def test_own_columns_stay(spark):
+    docs = spark.createDataFrame([(k, "bad word" if k % 2 else "good word", "s", k) for k in range(20)] + [(None, None, "s", 1)], "doc_id long, text string, _severity string, rejected int")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, toxic int")
+    out = X.accepted(docs, labels)
+    assert out.columns == docs.columns
+    assert {r.doc_id for r in out.collect()} == {*range(0, 20, 2), None}
