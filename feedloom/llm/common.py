@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -127,20 +128,42 @@ def hashed_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
     return df.orderBy(h, *key).limit(rows)
 
 
+def uri(path: str) -> str:
+    """A path as pyarrow's file systems take it."""
+    path = re.sub(r"^file:/+", "file:///", path)
+    return re.sub(r"^s3[an]:", "s3:", path)
+
+
+def open_shared(path: str, how: str):
+    """A file of the shared folder (``file``, ``hdfs``, ``s3``, ``gs``), opened in a task or on the driver."""
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(uri(path))
+    if how == "w":
+        system.create_dir(inner.rpartition("/")[0], recursive=True)
+        return system.open_output_stream(inner, compression=None)
+    return system.open_input_file(inner)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def joined_spans(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that touch made one."""
+    one: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if one and a <= one[-1][1]:
+            one[-1] = one[-1][0], max(one[-1][1], b)
+        else:
+            one.append((a, b))
+    return one
+
+
 @F.arrow_udf(T.ArrayType(SPAN))
 def merged(spans: pa.Array) -> pa.Array:
     """Spans in order, those that touch made one."""
     out = []
     for row in spans.to_pylist():
-        one: list[list[int]] = []
-        for s in sorted((x["first"], x["after"]) for x in row or []):
-            if one and s[0] <= one[-1][1]:
-                one[-1][1] = max(one[-1][1], s[1])
-            else:
-                one.append(list(s))
-        out.append([{"first": a, "after": b} for a, b in one])
+        out.append([{"first": a, "after": b} for a, b in joined_spans((x["first"], x["after"]) for x in row or [])])
     return pa.array(out, pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())])))

@@ -6,11 +6,15 @@ occurrence and become one separator.  Over what is left stand a suffix array sam
 text positions and a wavelet matrix of the Burrows-Wheeler transform.  All phrases are searched
 backward at once through wavelet ranks, the occurrences are located by walking to sampled
 positions, and overlapping ones are merged to removal spans.
+
+The benchmark's phrases lie in the shared folder in parts of bounded size.  The driver makes one
+part at a time, and a task reads one at a time, so neither holds the whole of a large benchmark.
 """
 
 from __future__ import annotations
 
 import itertools
+import pickle
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -20,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedloom.llm.common import SPAN, WORDS, merged, table, utf8
+from feedloom.llm.common import SPAN, WORDS, joined_spans, new_path, open_shared, table, unused, utf8
 
 WINDOW = 13
 #: A document is contaminated if at least one word in so many is hit.
 SHARE = 20
-#: Benchmark bytes that are searched for at once; larger benchmarks are searched in parts.
-BLOCK_BYTES = 32 << 20
+#: Benchmark bytes of a part, about; a part's windows take some ten times as much.
+BLOCK_BYTES = 4 << 20
 SAMPLE = 8
 
 HITS = T.StructType(
@@ -143,24 +147,29 @@ class Phrases:
         """A window is ``width`` consecutive words; a shorter item that has words is one window;
         a null or wordless item has none, and one without an id is searched but not named."""
         vocabulary: dict[bytes, int] = {}
-        found: dict[int, dict[tuple[int, ...], dict[int, None]]] = {}
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         names: dict[str | None, int] = {}
         for item, text in rows:
             words = (text or "").encode().translate(WORDS).split()
             if not words:
                 continue
-            ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words]
-            n = min(width, len(ids))
+            ids = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words], np.int32)
+            windows = np.lib.stride_tricks.sliding_window_view(ids, min(width, len(ids)))
             owner = names.setdefault(item, len(names))
-            for k in range(len(ids) - n + 1):
-                found.setdefault(n, {}).setdefault(tuple(ids[k : k + n]), {})[owner] = None
+            found.setdefault(windows.shape[1], []).append((windows, np.full(len(windows), owner)))
         out = cls(list(vocabulary), items=list(names))
-        for n, windows in found.items():
-            out.windows[n] = np.array(list(windows), np.int64)
-            sizes = np.array([len(x) for x in windows.values()])
-            out.owners[n] = np.concatenate([[0], np.cumsum(sizes)]), np.array([o for x in windows.values() for o in x])
+        for n, parts in found.items():
+            windows, which = np.unique(np.concatenate([w for w, _ in parts]), axis=0, return_inverse=True)
+            pairs = np.unique(which.ravel() * len(names) + np.concatenate([o for _, o in parts]))
+            out.windows[n] = windows
+            out.owners[n] = np.concatenate([[0], np.cumsum(np.bincount(pairs // len(names), minlength=len(windows)))]), pairs % len(names)
         return out
 
+    def store(self, path: str) -> str:
+        with open_shared(path, "w") as f:
+            f.write(pickle.dumps(self))
+        return path
+
     def numbers(self) -> dict[bytes, int]:
         if "_numbers" not in self.__dict__:
             self._numbers = {w: k for k, w in enumerate(self.words, 1)}
@@ -226,45 +235,63 @@ def search_shard(texts: Iterable[bytes | None], phrases: Phrases) -> tuple[np.nd
     return sizes, hits, items, spans
 
 
-def hits(phrases: Phrases):
-    """UDF: text -> n_words, n_hit, items, spans."""
+_loaded: dict[str, Phrases] = {}
+
+
+def _load(path: str) -> Phrases:
+    """A part of the benchmark; a worker keeps the last one."""
+    if path not in _loaded:
+        _loaded.clear()
+        with open_shared(path, "r") as f:
+            _loaded[path] = pickle.loads(f.read())
+    return _loaded[path]
+
+
+def hits(paths: list[str]):
+    """UDF: text -> n_words, n_hit, items, spans, over all parts of the benchmark."""
 
     @F.arrow_udf(HITS)
     def find(text: pa.Array) -> pa.Array:
-        sizes, hit, items, spans = search_shard(utf8(text), phrases)
+        items: list[set[str]] = [set() for _ in range(len(text))]
+        spans: list[list[tuple[int, int]]] = [[] for _ in range(len(text))]
+        for path in paths:
+            sizes, _, more, places = search_shard(utf8(text), _load(path))
+            for k in range(len(text)):
+                items[k].update(more[k])
+                spans[k] = joined_spans(spans[k] + places[k]) if places[k] else spans[k]
         rows = [[{"first": a, "after": b} for a, b in x] for x in spans]
-        columns = [pa.array(sizes), pa.array(hit), pa.array(items, pa.list_(pa.string()))]
+        hit = [sum(b - a for a, b in x) for x in spans]
+        columns = [pa.array(sizes), pa.array(hit, pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
         columns.append(pa.array(rows, pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))))
         return pa.StructArray.from_arrays(columns, HITS.fieldNames())
 
     return find
 
 
+def stored_phrases(benchmark: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list[str]:
+    """Files of the phrases of ``benchmark(item_id, text)``, one for each part; at least one."""
+    spark = benchmark.sparkSession
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("t")).where("t is not null")
+    total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    parts = -(-total // block_bytes) or 1
+    folder = new_path(spark, "phrases")
+    rows.distinct().withColumn("part", F.pmod(F.xxhash64("item", "t"), F.lit(parts))).repartition("part").write.partitionBy("part").parquet(f"{folder}/items")
+    dealt = spark.read.schema("item string, t string, part int").parquet(f"{folder}/items")
+    out = []
+    for k in range(parts):  # the rows of one part, of bounded size, at a time
+        one = dealt.where(F.col("part") == k).select("item", "t").collect()
+        out.append(Phrases.of([tuple(r) for r in one], width).store(f"{folder}/{k}.phrases"))
+    return out
+
+
 def with_hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES, name: str = "hits") -> DataFrame:
     """Adds a struct ``name`` with n_words, n_hit, items (distinct item_ids as strings, sorted)
     and spans (word ranges to remove, merged) to ``docs(text, ...)``; no row moves.
 
-    The benchmark is sent to the tasks in parts of at most about ``block_bytes``, each checked.
-    A null text has no words; an empty benchmark hits nothing; repeated items count once.
+    A null text has no words; an empty benchmark hits nothing; repeated items count once; an item
+    without an id hits and is not named.
     """
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("t")).where("t is not null")
-    total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    parts = -(-total // block_bytes) or 1
-    found = []
-    for k in range(parts):
-        one = rows.where(F.pmod(F.xxhash64("item", "t"), F.lit(parts)) == k) if parts > 1 else rows
-        found.append(hits(Phrases.of([tuple(r) for r in one.distinct().collect()], width))("text"))
-    if parts == 1:
-        return docs.withColumn(name, found[0])
-    out = docs
-    for k, h in enumerate(found):
-        out = out.withColumn(f"_{name}{k}", h)
-    spans = merged(F.concat(*[F.col(f"_{name}{k}.spans") for k in range(parts)]))
-    out = out.withColumn(f"_{name}", spans)
-    items = F.array_distinct(F.concat(*[F.col(f"_{name}{k}.items") for k in range(parts)]))
-    covered = F.aggregate(f"_{name}", F.lit(0).cast("long"), lambda s, x: s + x.after - x.first)
-    whole = F.struct(F.col(f"_{name}0.n_words").alias("n_words"), covered.alias("n_hit"), items.alias("items"), F.col(f"_{name}").alias("spans"))
-    return out.withColumn(name, whole).drop(f"_{name}", *[f"_{name}{k}" for k in range(parts)])
+    return docs.withColumn(name, hits(stored_phrases(benchmark, width, block_bytes))("text"))
 
 
 def contaminated(name: str = "hits"):
@@ -273,8 +300,10 @@ def contaminated(name: str = "hits"):
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, as they are."""
-    return with_hits(docs, benchmark, name="_hits").where(~contaminated("_hits")).drop("_hits")
+    """The documents that are not contaminated, as they are, with all their columns.  Documents
+    without words or ids stay; repeated rows are judged each."""
+    (name,) = unused(docs, "_hits")
+    return with_hits(docs, benchmark, name=name).where(~contaminated(name)).drop(name)
 
 
 def op1_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import materialize, new_path, table, utf8
+from feedloom.llm.common import materialize, new_path, open_shared, table, utf8
 
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of a reading task, of one read, and of an archive file before the next is begun.
@@ -39,22 +39,6 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def uri(path: str) -> str:
-    """A path as pyarrow's file systems take it."""
-    path = re.sub(r"^file:/+", "file:///", path)
-    return re.sub(r"^s3[an]:", "s3:", path)
-
-
-def _open(path: str, how: str):
-    from pyarrow import fs
-
-    system, inner = fs.FileSystem.from_uri(path)
-    if how == "w":
-        system.create_dir(inner.rpartition("/")[0], recursive=True)
-        return system.open_output_stream(inner, compression=None)
-    return system.open_input_file(inner)
-
-
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One gzip member.  A revisit holds the HTTP head only; a missing id or URL has no header."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -102,7 +86,7 @@ def _writer(folder: str):
             for page, url, html, to in zip(b.column("page_id").to_pylist(), urls, utf8(b.column("html")), b.column("refers_to").to_pylist()):
                 if out is None:
                     name, size, count = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out = _open(name, "w")
+                    out = open_shared(name, "w")
                 html = html or b""
                 data = record(page, url, html, base32_sha1(html), to)
                 out.write(data)
@@ -124,7 +108,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Writes a record for each row of ``pages(page_id, url, html, refers_to)`` under ``folder``
     (a place that all executors reach) and returns the manifest (file, bytes, records)."""
     rows = pages.select(F.col("page_id").cast("long"), "url", "html", F.col("refers_to").cast("long"))
-    return materialize(rows.mapInArrow(_writer(uri(folder)), MANIFEST), "warc-manifest")
+    return materialize(rows.mapInArrow(_writer(folder), MANIFEST), "warc-manifest")
 
 
 class Range:
@@ -243,7 +227,7 @@ def _reader(with_payload: bool):
         for b in batches:
             for path, start, end, size in zip(*(b.column(c).to_pylist() for c in ("file", "start", "end", "bytes"))):
                 rows, held = [], 0
-                with _open(path, "r") as file:
+                with open_shared(path, "r") as file:
                     if file.size() != size:
                         raise DamagedArchive(f"{path} has {file.size()} bytes, not {size}")
                     for member in members(file, start, end):

@@ -69,5 +69,25 @@ def test_empty_tables(spark):
     assert D.decontaminated(docs, spark.createDataFrame([(1, "a")], "item_id long, text string")).collect() == []
 
 
+def test_own_columns_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", 1), (2, "z", "y", 2), (3, None, "n", 3), (None, "q", "o", 4)], "doc_id long, text string, _hits string, __HITS int")
+    out = D.decontaminated(docs, spark.createDataFrame([(1, "a b")], "item_id long, text string"))
+    assert out.columns == docs.columns
+    assert sorted((tuple(r) for r in out.collect()), key=str) == sorted([(2, "z", "y", 2), (3, None, "n", 3), (None, "q", "o", 4)], key=str)
+
+
+def test_a_part_at_a_time(spark):
+    """Each part has at most about its bytes, and all windows are in one of them."""
+    rng = random.Random(1)
+    rows = [(k, " ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(40))) for k in range(200)]
+    b = spark.createDataFrame(rows, "item_id long, text string")
+    paths = D.stored_phrases(b, 13, 2000)
+    loaded = [D._load(p) for p in paths]
+    assert len(D._loaded) == 1 and len(paths) == -(-sum(len(t) for _, t in rows) // 2000)
+    got = {tuple(p.words[i - 1] for i in w) for p in loaded for w in p.windows.get(13, [])}
+    assert got == {tuple(x.encode() for x in t.split()[k : k + 13]) for _, t in rows for k in range(28)}
+    assert max(sum(len(p.owners[n][1]) for n in p.owners) for p in loaded) < 28 * 200 / len(paths) * 2
+
+
 def test_oracle(spark, sf_dir):
     same(D.op1_benchmark_decontamination(spark, sf_dir), D.OP1_SQL, sf_dir)
