@@ -1,39 +1,48 @@
-"""Substring dedup: repeated paragraphs and passages.
+"""Substring dedup: paragraphs and passages that documents share.
 
 Paragraphs (lines of more than ``LONG`` words, and runs of shorter lines that have more together;
 a run ends at an empty or a longer line) get MinHash signatures over five-word shingles;
 paragraphs that agree on a band are joined to the first of the band, verified by the exact
-Jaccard similarity of their shingle sets, and the components of the verified links keep their
-first paragraph.  A passage may also stand inside longer text, so rolling paragraphs are compared
-as well: blocks of ``BLOCK`` words that begin at the smallest shingle hash of any ``WINDOW``
-neighbouring shingles (a one-row band over each rolling window).  Each passage of at least
-BLOCK + WINDOW - 1 = 51 words has such a block inside it wherever it stands; blocks are compared
-whole, by 64-bit hashes.
+Jaccard similarity of their shingle sets, and the components of the verified links keep the
+paragraphs of their first document.  A passage may also stand inside longer text, so rolling
+paragraphs are compared as well: blocks of ``BLOCK`` words that begin at the smallest shingle hash
+of any ``WINDOW`` neighbouring shingles (a one-row band over each rolling window).  Each passage of
+at least BLOCK + WINDOW - 1 = 51 words has such a block inside it wherever it stands.  Blocks are
+equal if two 64-bit hashes are.  A run of touching blocks that one document shares is a repeated
+passage if it has over ``LONG`` words; elsewhere the words around a block decide: each window of
+LONG + 1 words that holds it is looked for in the other documents, too.  So what is cut has over
+``LONG`` words and stands in an earlier document.
+
+Documents are compared with each other: what one document repeats inside itself stays.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedloom.llm.common import LOWER, SPAN, materialize, merged, table, utf8
+from feedloom.llm.common import LOWER, SPAN, collected, joined_spans, materialize, merged, release, slices, table, unused, utf8
 from feedloom.llm.components import connected_components
 
 SHINGLE, LONG, BLOCK, WINDOW = 5, 50, 32, 20
+#: Words above which a passage has a block wherever it stands.
+LEAST = BLOCK + WINDOW - 2
 SIMILAR, RECALL, HASHES = 0.8, 0.99, 24
-#: Paragraphs of a block; two blocks are compared at once.
-COMPARED = 128
+#: Paragraphs of a block, if they are of ``USUAL`` shingles; two blocks are compared at once.
+COMPARED, USUAL = 128, 200
 #: Words of a task's working set.
 CHUNK = 200_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ROOT = np.uint64(0xD1B54A32D192ED03)
+_OTHER = np.uint64(0xA24BAED4963EE407)
 
 
 def tune_bands(similar: float = SIMILAR, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -55,10 +64,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _powers(n: int) -> np.ndarray:
+def _powers(n: int, base: np.uint64 = _ROOT) -> np.ndarray:
     out = np.ones(n, np.uint64)
     for k in range(n - 2, -1, -1):
-        out[k] = out[k + 1] * _ROOT
+        out[k] = out[k + 1] * base
     return out
 
 
@@ -91,7 +100,8 @@ def anchors(shingle: np.ndarray) -> np.ndarray:
 class Chunk:
     """Words of several documents in one array, with the bounds of documents and paragraphs."""
 
-    def __init__(self) -> None:
+    def __init__(self, long: int = LONG) -> None:
+        self.long = long
         self.words: list[int] = []
         self.ids: list[int] = []
         self.ends: list[int] = []
@@ -102,7 +112,7 @@ class Chunk:
         run = 0, len(self.words)  # line and first word
         for line, part in enumerate((text or b"").translate(LOWER).split(b"\n")):
             words = part.split()
-            alone = len(words) > LONG
+            alone = len(words) > self.long
             if alone or not words:
                 self.paragraph(k, *run)
                 run = line, len(self.words)
@@ -115,7 +125,7 @@ class Chunk:
         self.ends.append(len(self.words))
 
     def paragraph(self, k: int, line: int, first: int) -> None:
-        if len(self.words) - first > LONG:
+        if len(self.words) - first > self.long:
             self.lines.append((k, line, first, len(self.words)))
 
     def rows(self, bands: int, rows: int) -> pa.RecordBatch:
@@ -134,11 +144,13 @@ class Chunk:
             within = doc_of[:n] == doc_of[SHINGLE - 1 :] if n else np.zeros(0, bool)
             at = anchors(np.where(within, shingle, np.uint64(2**64 - 1)))
             at = at[at + BLOCK <= ends[doc_of[at]]]
-            key = np.zeros(len(at), np.uint64)
-            for k, p in enumerate(_powers(BLOCK)):
-                key += word[at + k] * p
-            key = _mix(key)
-            lists["blocks"] = _list(np.bincount(doc_of[at], minlength=len(ends)), {"pos": at - starts[doc_of[at]], "key": key.view(np.int64)})
+            keys = []
+            for base in (_ROOT, _OTHER):
+                key = np.zeros(len(at), np.uint64)
+                for k, p in enumerate(_powers(BLOCK, base)):
+                    key += _mix(word[at + k] ^ base) * p
+                keys.append(_mix(key).view(np.int64))
+            lists["blocks"] = _list(np.bincount(doc_of[at], minlength=len(ends)), {"pos": at - starts[doc_of[at]], "key": keys[0], "check": keys[1]})
             line = np.array(self.lines, np.int64).reshape(-1, 4)
             per = np.bincount(line[:, 0], minlength=len(ends))
             size = line[:, 3] - line[:, 2] - SHINGLE + 1
@@ -154,17 +166,22 @@ class Chunk:
                 band[:, k] = k
                 for r in range(rows):
                     band[:, k] = _mix(band[:, k] * _ROOT + least[:, k * rows + r])
-            whole = np.zeros(len(line), np.uint64)
+            whole, check = np.zeros((2, len(line)), np.uint64)
             if len(line):
-                place_in = np.arange(edge[-1]) - np.repeat(edge[:-1], size)
-                whole = _mix(np.add.reduceat(_mix(chosen + _mix(place_in.astype(np.uint64))), edge[:-1]) + size.astype(np.uint64))
+                place_in = _mix((np.arange(edge[-1]) - np.repeat(edge[:-1], size)).astype(np.uint64))
+                whole, check = (_mix(np.add.reduceat(_mix(chosen + place_in ^ base), edge[:-1]) + size.astype(np.uint64)) for base in (_ROOT, _OTHER))
         first, after = line[:, 2] - starts[line[:, 0]], line[:, 3] - starts[line[:, 0]]
-        lists["paragraphs"] = _list(per, {"line": line[:, 1].astype(np.int32), "first": first, "after": after, "whole": whole.view(np.int64), "bands": _nested(np.full(len(line), bands), band.view(np.int64).ravel())})
-        own = np.unique(np.repeat(np.arange(len(line), dtype=np.uint64), size) << np.uint64(32) | (chosen >> np.uint64(32)))
-        sizes = np.bincount((own >> np.uint64(32)).astype(np.int64), minlength=len(line))
-        lists["sets"] = _list(per, {"line": line[:, 1].astype(np.int32), "shingles": _nested(sizes, own.astype(np.uint32).view(np.int32))})
-        arrays = [pa.array(self.ids, pa.int64()), pa.array(ends - starts), lists["blocks"], lists["paragraphs"], lists["sets"]]
-        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "blocks", "paragraphs", "sets"])
+        lists["paragraphs"] = _list(per, {"line": line[:, 1].astype(np.int32), "first": first, "after": after, "whole": whole.view(np.int64), "check": check.view(np.int64), "bands": _nested(np.full(len(line), bands), band.view(np.int64).ravel())})
+        where, value = np.repeat(np.arange(len(line)), size), chosen.view(np.int64)
+        order = np.lexsort((value, where))
+        where, value = where[order], value[order]
+        first_of = np.r_[True, (where[1:] != where[:-1]) | (value[1:] != value[:-1])][: len(where)]
+        sizes = np.bincount(where[first_of], minlength=len(line))
+        lists["sets"] = _list(per, {"line": line[:, 1].astype(np.int32), "shingles": _nested(sizes, value[first_of])})
+        # two bytes a word, to compare the words around a block
+        short = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.r_[0, 2 * ends].astype(np.int32).tobytes()), pa.py_buffer((word >> np.uint64(48)).astype("<u2").tobytes())])
+        arrays = [pa.array(self.ids, pa.int64()), pa.array(ends - starts), short, lists["blocks"], lists["paragraphs"], lists["sets"]]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "words", "blocks", "paragraphs", "sets"])
 
 
 def _nested(sizes: np.ndarray, values) -> pa.ListArray:
@@ -177,37 +194,116 @@ def _list(sizes: np.ndarray, columns: dict) -> pa.ListArray:
 
 
 PROFILE = (
-    "doc_id long, n_words long, blocks array<struct<pos:long,key:long>>,"
-    "paragraphs array<struct<line:int,first:long,after:long,whole:long,bands:array<long>>>,"
-    "sets array<struct<line:int,shingles:array<int>>>"
+    "doc_id long, n_words long, words binary, blocks array<struct<pos:long,key:long,check:long>>,"
+    "paragraphs array<struct<line:int,first:long,after:long,whole:long,check:long,bands:array<long>>>,"
+    "sets array<struct<line:int,shingles:array<long>>>"
 )
 
 
-def _profiler(bands: int, rows: int):
+def _profiler(bands: int, rows: int, long: int = LONG):
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = Chunk()
+        chunk = Chunk(long)
         for b in batches:
             for doc_id, text in zip(b.column("doc_id").to_pylist(), utf8(b.column("text"))):
                 chunk.add(doc_id, text)
                 if len(chunk.words) > CHUNK:
                     yield chunk.rows(bands, rows)
-                    chunk = Chunk()
+                    chunk = Chunk(long)
         if chunk.ids:
             yield chunk.rows(bands, rows)
 
     return profile
 
 
-def _block_repeats(profiles: DataFrame) -> DataFrame:
-    """(doc_id, first, after, other): blocks that a document with a smaller id has too."""
+RUNS = "struct<sure:array<struct<first:long,after:long,other:long>>,doubtful:array<struct<key:long,check:long>>>"
+
+
+def _runs(long: int):
+    """UDF: a document's shared blocks -> spans of sure runs, which have over ``long`` words, and
+    the other blocks.
+
+    A run's blocks touch, have the same first document and occur once here: then they stand
+    together there, too.
+    """
+
+    @F.arrow_udf(RUNS)
+    def runs(blocks: pa.Array) -> pa.Array:
+        out = []
+        for row in blocks.to_pylist():
+            row = sorted((x["pos"], x["key"], x["check"], x["other"]) for x in row)
+            often = Counter(x[1:3] for x in row)
+            groups: list[list[tuple]] = []
+            for x in row:
+                alone = often[x[1:3]] > 1
+                if alone or not groups or groups[-1][-1][3] != x[3] or groups[-1][-1][0] + BLOCK < x[0] or often[groups[-1][-1][1:3]] > 1:
+                    groups.append([])
+                groups[-1].append(x)
+            sure, doubtful = [], []
+            for g in groups:
+                if g[-1][0] + BLOCK - g[0][0] > long:
+                    sure.append({"first": g[0][0], "after": g[-1][0] + BLOCK, "other": g[0][3]})
+                else:
+                    doubtful += [{"key": k, "check": c} for _, k, c, _ in g]
+            out.append({"sure": sure, "doubtful": doubtful})
+        kinds = [pa.list_(pa.struct([(c, pa.int64()) for c in names])) for names in (("first", "after", "other"), ("key", "check"))]
+        return pa.array(out, pa.struct(list(zip(("sure", "doubtful"), kinds))))
+
+    return runs
+
+
+def _windows(long: int):
+    """UDF: a document's words (two bytes each) and places of blocks -> (start, key, window): the
+    windows of long + 1 words that hold a block, with a hash of their words."""
+    width = long + 1
+
+    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("start", "key", "window")])))
+    def windows(words: pa.Array, blocks: pa.Array) -> pa.Array:
+        out = []
+        with np.errstate(over="ignore"):
+            for w, row in zip(words, blocks.to_pylist()):
+                word = np.frombuffer(w.as_py(), "<u2").astype(np.uint64) + np.uint64(1)
+                one = []
+                for x in row:
+                    lo, hi = max(0, x["pos"] + BLOCK - width), min(x["pos"], len(word) - width)
+                    if lo > hi:
+                        continue
+                    near = np.lib.stride_tricks.sliding_window_view(word[lo : hi + width], width)
+                    hashes = _mix((_mix(near) * _powers(width, _OTHER)).sum(axis=1, dtype=np.uint64)).view(np.int64)
+                    one += [{"start": lo + k, "key": x["key"], "window": h} for k, h in enumerate(hashes.tolist())]
+                out.append(one)
+        return pa.array(out, pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "key", "window")])))
+
+    return windows
+
+
+def _passages(profiles: DataFrame, long: int) -> DataFrame:
+    """(doc_id, first, after, other): passages of over ``long`` words that a document with a
+    smaller id has too."""
     blocks = profiles.select("doc_id", F.inline("blocks"))
-    shared = blocks.groupBy("key").agg(F.min("doc_id").alias("other"), F.max("doc_id").alias("_last")).where("other < _last").drop("_last")
+    shared = blocks.groupBy("key", "check").agg(F.min("doc_id").alias("other"), F.max("doc_id").alias("_last")).where("other < _last").drop("_last")
     shared = materialize(shared, "shared-blocks")  # the join then reads plain shuffles, which split where a key is frequent
-    return (
-        blocks.join(shared, "key")
-        .where("doc_id > other")
-        .select("doc_id", F.col("pos").alias("first"), (F.col("pos") + BLOCK).alias("after"), "other")
-    )
+    # a document with the smallest id is no repeat, but its words may be asked for
+    met = materialize(blocks.join(shared, ["key", "check"]).select("doc_id", "pos", "key", "check", "other"), "met-blocks")
+    later = met.where("doc_id > other")
+    told = later.groupBy("doc_id").agg(_runs(long)(F.collect_list(F.struct("pos", "key", "check", "other"))).alias("r"))
+    told = materialize(told.select("doc_id", "r.*"), "runs")
+    sure = told.select("doc_id", F.inline("sure"))
+    doubtful = materialize(told.select(F.inline("doubtful")).distinct(), "doubtful-blocks")
+    asked = met.join(doubtful, ["key", "check"], "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "key")).alias("blocks"))
+    near = profiles.select("doc_id", "words").join(asked, "doc_id").select("doc_id", F.inline(_windows(long)("words", "blocks")))
+    near = materialize(near, "windows")
+    both = near.groupBy("key", "window").agg(F.min("doc_id").alias("other"), F.max("doc_id").alias("_last")).where("other < _last").drop("_last")
+    both = materialize(both, "shared-windows")
+    more = near.join(both, ["key", "window"]).where("doc_id > other").select("doc_id", F.col("start").alias("first"), (F.col("start") + long + 1).alias("after"), "other")
+    return sure.union(more)
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Jaccard similarity of two sorted sets is at least SIMILAR."""
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return common >= SIMILAR * (len(x) + len(y) - common)
 
 
 def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,30 +312,43 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     Paragraphs with ``hit`` are linked already, all by the first of their band.
     """
     for batch in batches:
-        out: list[tuple] = []
-        for row in batch.to_pylist():
-            one, two = (sorted(((p["n"], p["doc_id"], p["line"], frozenset(p["shingles"])) for p in row[c]), key=lambda p: p[:3]) for c in ("xs", "ys"))
-            hits = [(p["doc_id"], p["line"]) for p in row["ys"]] if row["hit"] else []
-            parent: dict[tuple, tuple] = dict.fromkeys(hits, min(hits, default=None))
-
-            def find(x: tuple) -> tuple:
-                while (up := parent.get(x, x)) != x:
-                    parent[x] = x = parent.get(up, up)
-                return x
-
-            low = 0
-            for n, *p, x in one:
-                while low < len(two) and two[low][0] < SIMILAR * n:
-                    low += 1
-                for m, *q, y in two[low:]:
-                    if m * SIMILAR > n:
-                        break
-                    a, b = find(tuple(p)), find(tuple(q))
-                    if a != b and (common := len(x & y)) >= SIMILAR * (n + m - common):
-                        parent[max(a, b)] = min(a, b)
-                        out.append((*p, *q))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32()) * 2)], ["d1", "l1", "d2", "l2"])
+        for k in range(batch.num_rows):
+            out = _block_links(batch.column("xs")[k], batch.column("ys")[k], batch.column("hit")[k].as_py())
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32()) * 2)], ["d1", "l1", "d2", "l2"])
+        release()
+
+
+def _members(block: pa.ListScalar) -> list[tuple[int, tuple[int, int], np.ndarray]]:
+    """(size, paragraph, shingles) in order of size."""
+    rows = block.values
+    sets = rows.field("shingles")
+    sets = [x.values.to_numpy() for x in sets]
+    return sorted(zip(map(len, sets), zip(rows.field("doc_id").to_pylist(), rows.field("line").to_pylist()), sets), key=lambda p: p[:2])
+
+
+def _block_links(xs: pa.ListScalar, ys: pa.ListScalar, hit: bool) -> list[tuple]:
+    one, two = _members(xs), _members(ys)
+    hits = [p for _, p, _ in two] if hit else []
+    parent: dict[tuple, tuple] = dict.fromkeys(hits, min(hits, default=None))
+
+    def find(x: tuple) -> tuple:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    low, out = 0, []
+    for n, p, x in one:
+        while low < len(two) and two[low][0] < SIMILAR * n:
+            low += 1
+        for m, q, y in two[low:]:
+            if m * SIMILAR > n:
+                break
+            a, b = find(p), find(q)
+            if a != b and _alike(x, y):
+                parent[max(a, b)] = min(a, b)
+                out.append((*p, *q))
+    return out
 
 
 def _similar_paragraphs(profiles: DataFrame) -> DataFrame:
@@ -252,9 +361,9 @@ def _similar_paragraphs(profiles: DataFrame) -> DataFrame:
     """
     paragraphs = profiles.select("doc_id", F.inline("paragraphs"))
     who = F.struct("doc_id", "line")
-    groups = paragraphs.groupBy("whole").agg(F.min(F.struct("doc_id", "line", "bands")).alias("_first"), F.count("*").alias("_n"))
-    groups = materialize(groups.select("whole", F.struct("_first.doc_id", "_first.line").alias("b"), F.col("_first.bands").alias("bands"), "_n"), "paragraphs")
-    equal = paragraphs.select(who.alias("a"), "whole").join(groups.where("_n > 1").select("whole", "b"), "whole").where("a <> b").select("a", "b")
+    groups = paragraphs.groupBy("whole", "check").agg(F.min(F.struct("doc_id", "line", "bands")).alias("_first"), F.count("*").alias("_n"))
+    groups = materialize(groups.select("whole", "check", F.struct("_first.doc_id", "_first.line").alias("b"), F.col("_first.bands").alias("bands"), "_n"), "paragraphs")
+    equal = paragraphs.select(who.alias("a"), "whole", "check").join(groups.where("_n > 1").select("whole", "check", "b"), ["whole", "check"]).where("a <> b").select("a", "b")
     sets = profiles.select("doc_id", F.inline("sets")).select(who.alias("p"), "shingles")
     banded = groups.select(F.col("b").alias("a"), F.explode("bands").alias("band"))
     first = banded.groupBy("band").agg(F.min("a").alias("b"), F.max("a").alias("_last")).where("b <> _last").drop("_last")
@@ -269,10 +378,12 @@ def _similar_paragraphs(profiles: DataFrame) -> DataFrame:
     verified = both.where(common >= SIMILAR * (F.size("x") + F.size("y") - common)).select("a", "b")
     verified = materialize(verified, "verified")
     members = met.join(verified.withColumn("_hit", F.lit(True)), ["a", "b"], "left").select("a", "band", F.coalesce("_hit", F.lit(False)).alias("hit"))
-    counts = members.groupBy("band").agg(F.count_if("hit").alias("_hits"), F.count_if(~F.col("hit")).alias("_rest")).where("_rest > 0 and _hits + _rest > 1")
+    members = members.join(few.select(F.col("p").alias("a"), F.size("shingles").alias("n")), "a")
+    sums = [F.sum(F.when(F.col("hit") == h, F.col("n") + 1)).alias(c) for c, h in (("_hits", True), ("_rest", False))]
+    counts = members.groupBy("band").agg(*sums, F.count("*").alias("_n")).where("_rest > 0 and _n > 1").drop("_n")
     size = F.when(F.col("hit"), F.col("_hits")).otherwise(F.col("_rest"))
-    dealt = members.join(counts, "band").withColumn("part", F.pmod(F.xxhash64("a"), F.ceil(size / COMPARED)))
-    entry = F.struct("a.doc_id", "a.line", F.size("shingles").alias("n"), "shingles")
+    dealt = members.join(counts, "band").withColumn("part", F.pmod(F.xxhash64("a"), F.ceil(size / (COMPARED * USUAL))))
+    entry = F.struct("a.doc_id", "a.line", "shingles")
     blocks = dealt.join(few.withColumnRenamed("p", "a"), "a").groupBy("band", "hit", "part").agg(F.collect_list(entry).alias("xs"))
     blocks = materialize(blocks, "band-blocks")
     against = blocks.select("band", "hit", F.col("part").alias("_part"), F.col("xs").alias("ys"))
@@ -282,25 +393,45 @@ def _similar_paragraphs(profiles: DataFrame) -> DataFrame:
     return equal.union(verified).union(later)
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text, ...)`` -> a row per document id: doc_id, n_words, n_removed,
-    spans (word ranges to remove, merged) and component_id (the smallest doc_id that is reachable
-    over shared passages, its own included).
+def _keyed(docs: DataFrame, mark: str) -> tuple[DataFrame, DataFrame | None]:
+    """Documents with the number ``mark`` that each is compared by, and (doc_id, hash, mark) if
+    that is not the id.
 
-    The document with the smallest id keeps a passage.  Words are split at white space and
-    compared with A-Z in lower case.  Documents without an id have no row and are not compared;
-    rows with one id are one document, counted by their longest text; null and empty texts have
-    no words and nothing to remove.
+    Rows with one id and other texts are documents of their own.  Only where there are such, ids
+    and text hashes are numbered in their order, and the texts are joined to the numbers.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("substring dedup compares documents by integer ids")
+    own = docs.withColumn(mark, F.col("doc_id").cast("long"))
+    hashed = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("_hash"))
+    versions = hashed.groupBy("doc_id").agg(F.min("_hash").alias("a"), F.max("_hash").alias("b"), F.count("*").alias("n"))
+    if versions.where("n > 1 and a <> b").isEmpty():
+        return own, None
+    ordered = hashed.distinct().orderBy("doc_id", "_hash").withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    ordered = materialize(ordered, "versions")
+    sizes = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))  # a row a part
+    at = F.row_number().over(Window.partitionBy("_part").orderBy("_at"))
+    numbers = ordered.join(F.broadcast(first), "_part").select("doc_id", "_hash", (F.col("_first") + at).alias(mark))
+    numbers = materialize(numbers, "numbers")
+    on = (docs.doc_id == numbers.doc_id) & (F.xxhash64(docs.text) == numbers["_hash"])
+    return docs.join(numbers, on, "left").select(*[docs[c] for c in docs.columns], mark), numbers
+
+
+def _repeats(docs: DataFrame, mark: str, long: int) -> DataFrame:
+    """``docs(mark, text)`` -> (doc_id, n_words, n_removed, spans, component), by the number."""
+    if long < LEAST:
+        raise ValueError(f"passages of {long + 1} words may have no block: the least length is {LEAST}")
     bands, rows = tune_bands()
-    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    profiles = materialize(known.mapInArrow(_profiler(bands, rows), PROFILE), "profiles")
-    blocks = materialize(_block_repeats(profiles), "blocks")
+    known = docs.where(F.col(mark).isNotNull()).select(F.col(mark).alias("doc_id"), "text")
+    profiles = materialize(known.mapInArrow(_profiler(bands, rows, long), PROFILE), "profiles")
+    passages = materialize(_passages(profiles, long), "passages")
     links = materialize(_similar_paragraphs(profiles), "links")
-    classes = connected_components(links).where("id <> component")
+    classes = connected_components(links).where("id.doc_id <> component.doc_id")
     places = profiles.select("doc_id", F.inline("paragraphs")).select(F.struct("doc_id", "line").alias("id"), "first", "after")
     lines = places.join(classes, "id").select("id.doc_id", "first", "after", F.col("component.doc_id").alias("other"))
-    found = materialize(blocks.union(lines), "repeats")
+    found = materialize(passages.union(lines), "repeats")
     spans = found.groupBy("doc_id").agg(merged(F.collect_set(F.struct("first", "after"))).alias("spans"))
     of_doc = connected_components(found.select(F.col("doc_id").alias("a"), F.col("other").alias("b")))
     whole = profiles.groupBy("doc_id").agg(F.max("n_words").alias("n_words"))
@@ -315,32 +446,67 @@ def repeats(docs: DataFrame) -> DataFrame:
     )
 
 
+def repeats(docs: DataFrame, long: int = LONG) -> DataFrame:
+    """``docs(doc_id, text, ...)`` -> a row per document: doc_id, n_words, n_removed, spans (word
+    ranges to remove, merged) and component_id (the smallest doc_id that is reachable over shared
+    passages, its own included).
+
+    The document with the smallest id keeps a passage; shared paragraphs and passages of ``long``
+    or fewer words are left alone.  Words are split at white space and compared with A-Z in lower
+    case.  Ids are integers, else a TypeError.  Documents without an id have no row and are not
+    compared.  Rows with one id and one text are one document, with one row; rows with one id and
+    other texts are documents of their own, each with a row, in the order of their text hashes.
+    Null and empty texts have no words and nothing to remove.
+    """
+    keyed, numbers = _keyed(docs.select("doc_id", "text"), "_key")
+    out = _repeats(keyed, "_key", long)
+    if numbers is None:
+        return out
+    ids = numbers.select(F.col("_key"), F.col("doc_id").cast("long").alias("_own"))
+    known = out.join(ids, out.doc_id == ids._key).drop("doc_id", "_key")
+    roots = ids.select(F.col("_key").alias("component_id"), F.col("_own").alias("_root"))
+    return known.join(roots, "component_id").select(F.col("_own").alias("doc_id"), "n_words", "n_removed", "spans", F.col("_root").alias("component_id"))
+
+
+def _without(t: bytes | None, row: list[dict] | None) -> bytes | None:
+    if t is None or not row:
+        return t
+    data = np.frombuffer(t, np.uint8)
+    blank = (data == 32) | ((data >= 9) & (data <= 13))
+    starts = np.append(np.flatnonzero(~blank & np.r_[True, blank[:-1]]), len(t))
+    kept, at = [], 0
+    for x in row:
+        first, after = (int(starts[min(x[k], len(starts) - 1)]) for k in ("first", "after"))
+        kept.append(t[at:first])
+        at = after
+    return b"".join([*kept, t[at:]])
+
+
 @F.arrow_udf(T.StringType())
 def cut_spans(text: pa.Array, spans: pa.Array) -> pa.Array:
     """The text without the word ranges; what remains is unchanged."""
-    out = []
-    for t, row in zip(utf8(text), spans.to_pylist()):
-        if t is None or not row:
-            out.append(t)
-            continue
-        data = np.frombuffer(t, np.uint8)
-        blank = (data == 32) | ((data >= 9) & (data <= 13))
-        starts = np.append(np.flatnonzero(~blank & np.r_[True, blank[:-1]]), len(t))
-        kept, at = [], 0
-        for x in row:
-            first, after = (int(starts[min(x[k], len(starts) - 1)]) for k in ("first", "after"))
-            kept.append(t[at:first])
-            at = after
-        out.append(b"".join([*kept, t[at:]]))
-    return pa.array(out, pa.binary()).cast(pa.string())
-
-
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """The documents with repeated passages cut; those of which no word is left go.  Documents
-    without repeats, ids or texts stay as they are."""
-    spans = repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
-    joined = docs.join(spans, docs.doc_id == spans._id, "left")
-    out = joined.withColumn("text", cut_spans("text", "_spans")).where(F.col("_spans").isNull() | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    if isinstance(text, pa.ChunkedArray):
+        text, spans = text.combine_chunks(), spans.combine_chunks()
+
+    def parts() -> Iterator[pa.Array]:
+        at = 0
+        for part in slices(text, 64):
+            rows = spans.slice(at, len(part)).to_pylist()
+            at += len(part)
+            yield pa.array(list(map(_without, utf8(part), rows)), pa.binary()).cast(pa.string()) if any(rows) else part.cast(pa.string())
+
+    return collected(parts(), pa.string())
+
+
+def without_repeats(docs: DataFrame, long: int = LONG) -> DataFrame:
+    """The documents with repeated passages cut, as ``repeats`` tells; those of which no word is
+    left go.  Documents without repeats, ids or texts stay as they are, and so do all columns;
+    rows with one id and one text are cut alike."""
+    mark, spans, key = unused(docs, "_key", "_spans", "_other")
+    keyed, numbers = _keyed(docs, mark)
+    found = _repeats(keyed.select(mark, "text"), mark, long).where("n_removed > 0").select(F.col("doc_id").alias(key), F.col("spans").alias(spans))
+    joined = keyed.join(found, F.col(mark) == F.col(key), "left")
+    out = joined.withColumn("text", cut_spans("text", spans)).where(F.col(spans).isNull() | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     return out.select(*docs.columns)
 
 
