@@ -8,17 +8,16 @@ paragraphs of their first document.  A passage may also stand inside longer text
 paragraphs are compared as well: blocks of ``BLOCK`` words that begin at the smallest shingle hash
 of any ``WINDOW`` neighbouring shingles (a one-row band over each rolling window).  Each passage of
 at least BLOCK + WINDOW - 1 = 51 words has such a block inside it wherever it stands.  Blocks are
-equal if two 64-bit hashes are.  A run of touching blocks that one document shares is a repeated
+equal if two 64-bit hashes are.  A run of touching blocks of earlier documents is a repeated
 passage if it has over ``LONG`` words; elsewhere the words around a block decide: each window of
 LONG + 1 words that holds it is looked for in the other documents, too.  So what is cut has over
-``LONG`` words and stands in an earlier document.
+``LONG`` words, each of them in a block or window that stands in an earlier document.
 
 Documents are compared with each other: what one document repeats inside itself stays.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -222,8 +221,7 @@ def _runs(long: int):
     """UDF: a document's shared blocks -> spans of sure runs, which have over ``long`` words, and
     the other blocks.
 
-    A run's blocks touch, have the same first document and occur once here: then they stand
-    together there, too.
+    A run's blocks touch, and none of them occurs twice in it, as in a text of one word.
     """
 
     @F.arrow_udf(RUNS)
@@ -231,19 +229,17 @@ def _runs(long: int):
         out = []
         for row in blocks.to_pylist():
             row = sorted((x["pos"], x["key"], x["check"], x["other"]) for x in row)
-            often = Counter(x[1:3] for x in row)
             groups: list[list[tuple]] = []
             for x in row:
-                alone = often[x[1:3]] > 1
-                if alone or not groups or groups[-1][-1][3] != x[3] or groups[-1][-1][0] + BLOCK < x[0] or often[groups[-1][-1][1:3]] > 1:
+                if not groups or groups[-1][-1][0] + BLOCK < x[0]:
                     groups.append([])
                 groups[-1].append(x)
             sure, doubtful = [], []
             for g in groups:
-                if g[-1][0] + BLOCK - g[0][0] > long:
+                if g[-1][0] + BLOCK - g[0][0] > long and len({x[1:3] for x in g}) == len(g):
                     sure.append({"first": g[0][0], "after": g[-1][0] + BLOCK, "other": g[0][3]})
                 else:
-                    doubtful += [{"key": k, "check": c} for _, k, c, _ in g]
+                    doubtful += [{"key": k, "check": c} for k, c in sorted({x[1:3] for x in g})]
             out.append({"sure": sure, "doubtful": doubtful})
         kinds = [pa.list_(pa.struct([(c, pa.int64()) for c in names])) for names in (("first", "after", "other"), ("key", "check"))]
         return pa.array(out, pa.struct(list(zip(("sure", "doubtful"), kinds))))
@@ -251,27 +247,45 @@ def _runs(long: int):
     return runs
 
 
+NEAR = "array<struct<pos:long,key:long,lead:int,near:binary>>"
+
+
+def _contexts(long: int):
+    """UDF: a document's words (two bytes each) and shared blocks -> each block with the words
+    that a window of long + 1 words around it may have, and how many of them lead it."""
+    reach = long + 1 - BLOCK
+
+    @F.arrow_udf(NEAR)
+    def contexts(words: pa.Array, blocks: pa.Array) -> pa.Array:
+        out = []
+        for w, row in zip(words, blocks.to_pylist()):
+            word, one = w.as_py(), []
+            for x in row:
+                lo = max(0, x["pos"] - reach)
+                one.append({**x, "lead": x["pos"] - lo, "near": word[2 * lo : 2 * (x["pos"] + BLOCK + reach)]})
+            out.append(one)
+        return pa.array(out, pa.list_(pa.struct([("pos", pa.int64()), ("key", pa.int64()), ("lead", pa.int32()), ("near", pa.binary())])))
+
+    return contexts
+
+
 def _windows(long: int):
-    """UDF: a document's words (two bytes each) and places of blocks -> (start, key, window): the
-    windows of long + 1 words that hold a block, with a hash of their words."""
+    """UDF: the words around a block -> (start, window): where windows of long + 1 words that hold
+    the block begin, from the block on, and a hash of their words."""
     width = long + 1
 
-    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("start", "key", "window")])))
-    def windows(words: pa.Array, blocks: pa.Array) -> pa.Array:
+    @F.arrow_udf("array<struct<start:long,window:long>>")
+    def windows(lead: pa.Array, near: pa.Array) -> pa.Array:
         out = []
         with np.errstate(over="ignore"):
-            for w, row in zip(words, blocks.to_pylist()):
+            for first, w in zip(lead.to_pylist(), near):
                 word = np.frombuffer(w.as_py(), "<u2").astype(np.uint64) + np.uint64(1)
-                one = []
-                for x in row:
-                    lo, hi = max(0, x["pos"] + BLOCK - width), min(x["pos"], len(word) - width)
-                    if lo > hi:
-                        continue
-                    near = np.lib.stride_tricks.sliding_window_view(word[lo : hi + width], width)
-                    hashes = _mix((_mix(near) * _powers(width, _OTHER)).sum(axis=1, dtype=np.uint64)).view(np.int64)
-                    one += [{"start": lo + k, "key": x["key"], "window": h} for k, h in enumerate(hashes.tolist())]
-                out.append(one)
-        return pa.array(out, pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "key", "window")])))
+                hashes = []
+                if len(word) >= width:
+                    each = np.lib.stride_tricks.sliding_window_view(_mix(word), width)
+                    hashes = _mix((each * _powers(width, _OTHER)).sum(axis=1, dtype=np.uint64)).view(np.int64).tolist()
+                out.append([{"start": k - first, "window": h} for k, h in enumerate(hashes)])
+        return pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("window", pa.int64())])))
 
     return windows
 
@@ -290,11 +304,21 @@ def _passages(profiles: DataFrame, long: int) -> DataFrame:
     sure = told.select("doc_id", F.inline("sure"))
     doubtful = materialize(told.select(F.inline("doubtful")).distinct(), "doubtful-blocks")
     asked = met.join(doubtful, ["key", "check"], "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "key")).alias("blocks"))
-    near = profiles.select("doc_id", "words").join(asked, "doc_id").select("doc_id", F.inline(_windows(long)("words", "blocks")))
-    near = materialize(near, "windows")
-    both = near.groupBy("key", "window").agg(F.min("doc_id").alias("other"), F.max("doc_id").alias("_last")).where("other < _last").drop("_last")
+    near = profiles.select("doc_id", "words").join(asked, "doc_id").select("doc_id", F.inline(_contexts(long)("words", "blocks")))
+    near = materialize(near, "contexts")
+    # copies of a passage have equal words around the block: a context is looked at once
+    context = ["key", "lead", "near"]
+    once = near.groupBy(*context).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    held = materialize(once.select(*context, "first_doc", "last_doc", F.inline(_windows(long)("lead", "near"))), "windows")
+    both = held.groupBy("key", "window").agg(F.min("first_doc").alias("other"), F.max("last_doc").alias("_last")).where("other < _last").drop("_last")
     both = materialize(both, "shared-windows")
-    more = near.join(both, ["key", "window"]).where("doc_id > other").select("doc_id", F.col("start").alias("first"), (F.col("start") + long + 1).alias("after"), "other")
+    places = held.join(both, ["key", "window"]).groupBy(*context).agg(F.collect_list(F.struct("start", "other")).alias("at"))
+    places = materialize(places, "shared-contexts")
+    earlier = F.filter("at", lambda x: x.other < F.col("doc_id"))
+    more = near.join(places, context).withColumn("at", earlier).where(F.size("at") > 0)
+    start = lambda pick: F.col("pos") + pick(F.transform("at", lambda x: x.start))
+    # all windows hold the block, so together they are one span
+    more = more.select("doc_id", start(F.array_min).alias("first"), (start(F.array_max) + long + 1).alias("after"), F.array_min(F.transform("at", lambda x: x.other)).alias("other"))
     return sure.union(more)
 
 

@@ -211,7 +211,8 @@ def test_inside_one_document_repeats_stay(spark):
     para, line = " ".join(words(rng, 80)), " ".join(words(rng, 9))
     rows = [(1, f"{para}\n\n{line}\n\n{para}"), (2, line), (3, f"{line}\n\n{para}\n\n{para} x")]
     got = {r.doc_id: r.n_removed for r in S.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: 0, 2: 0, 3: 170}  # the line and the paragraph stand together in the first, too
+    # the line and the paragraph stand together in the first, too; up to 19 words may stay at an end
+    assert got[1] == got[2] == 0 and 160 <= got[3] <= 170
 
 
 def test_one_id_with_other_texts(spark):
@@ -224,7 +225,8 @@ def test_one_id_with_other_texts(spark):
     assert out.columns == docs.columns
     got = {(r.doc_id, r["_id"]): r.text for r in out.collect()}
     assert got[(7, 3)] == " ".join(alone) and got[(1, 1)] == " ".join(para) and got[(9, 4)] == rows[4][1] and got[(None, 5)] == " ".join(para)
-    assert len(got[(7, 2)].split()) == 40 and out.count() == 6
+    assert out.count() == 6
+    assert len(got[(7, 2)].split()) == 40
     assert sorted((r.doc_id, r.n_removed, r.component_id) for r in S.repeats(docs).collect()) == [(1, 0, 1), (7, 0, 7), (7, 90, 1), (9, 0, 9)]
 
 
