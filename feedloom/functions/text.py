@@ -23,10 +23,11 @@ def strip_space(text: Column) -> Column:
 
 
 def clean_text(text: str | Column) -> Column:
-    """Tags become spaces, characters are composed (only texts beyond ASCII visit Python), runs
-    of two or more white-space characters become one space, ends are stripped."""
+    """Tags become spaces, characters are composed, runs of two or more white-space characters
+    become one space, ends are stripped.  Composing takes a Python worker; it is sent null in
+    place of a text that is ASCII, so only texts beyond move."""
     text = F.regexp_replace(F.col(text) if isinstance(text, str) else text, "<[^>]*>", " ")
-    text = F.when(text.rlike(r"[^\x00-\x7F]"), _nfc(text)).otherwise(text)
+    text = F.coalesce(_nfc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
     return strip_space(F.regexp_replace(text, r"(?U)\s{2,}", " "))
 
 
@@ -56,7 +57,7 @@ def detect_language(text: Column) -> Column:
     """Best overlap of distinct words with the hint words, relative to the words; the first
     language wins ties; ``und`` for short texts and overlaps below a tenth."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b[a-zA-ZÀ-ÿ]+\b"), F.lit(0)))
-    score = {k: F.size(F.array_intersect(words, F.array(*map(F.lit, hints.split())))) for k, hints in R.LANGUAGE_HINTS.items()}
+    score = {k: F.size(F.array_intersect(words, F.array(*map(F.lit, hints)))) for k, hints in R.LANGUAGE_HINTS.items()}
     best = F.greatest(*score.values())
     out = F.lit("und")
     for k in reversed(score):
@@ -132,6 +133,12 @@ def mentioned_names(text: Column, stop_words: list[str] = R.NOT_NAMES) -> Column
 
 
 def natural_key(text: Column) -> Column:
-    """Sorting key: lower case, numbers padded so that they compare by value."""
+    """Sorting key: lower case, numbers led by how many digits they have, so that they compare by
+    value, however long they are."""
     parts = F.regexp_extract_all(F.lower(text.cast("string")), F.lit(r"\d+|\D+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.ltrim(p, F.lit("0")), 20, "0")).otherwise(p)), "")
+
+    def number(p: Column) -> Column:
+        digits = F.ltrim(p, F.lit("0"))
+        return F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), number(p)).otherwise(p)), "")

@@ -4,76 +4,112 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from feedloom import rules as R
 from feedloom.operators import responses as Q
 from feedloom.operators import triage as G
 from feedloom.plans.dashboard_queries import rounded
 from feedloom.plans.registry import query
 
 
-def jsons(v, *cases: str):
-    """One of the JSON texts for each event, by its number."""
-    texts = F.array(*[F.lit(c) for c in cases])
-    return v.events.select("event_id", F.get(texts, F.col("event_id") % len(cases)).alias("raw_json"))
+EVENT = F.col("event_id")
+USER = F.col("user_id")
+VALUE = F.floor("value")
+MODEL = [*R.MODEL_THEMES, "weather"]
+CUSTOMER = [*R.THEMES, "weather"]
+KINDS = [*R.ENTITY_TYPES, "weather"]
 
 
-def by_case(n: int, column: str, *values: str | None) -> str:
-    whens = " ".join(f"when {k} then {x}" for k, x in enumerate(values) if x is not None)
-    return f"case event_id % {n} {whens} end as {column}"
+def text_of(*parts):
+    """Parts joined to a text: strings are literal, columns are cast."""
+    return F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
 
 
-GOOD = '{"themes":[{"theme":"billing","confidence":0.9}],"sentiment":"negative","sentiment_confidence":0.8,"severity_score":4,"severity_factors":["late","wrong"]}'
+def tenth(n: Column) -> Column:
+    return (n / 10).cast("decimal(6,1)")
 
 
-@query("parse_enrichment", "select event_id, " + by_case(9, "error", None, "'not a JSON object'", "'unknown key'", "'themes missing'", "'theme confidence out of range'", "'unknown sentiment'", "'sentiment confidence out of range'", "'severity is no integer from 1 to 5'", "'factors out of range'") + ", case when event_id % 9 = 0 then 4 end as severity_score from events")
+def pick(names: list[str], n: Column) -> Column:
+    return F.get(F.array(*map(F.lit, names)), (n % len(names)).cast("int"))
+
+
+def in_sql(names: list[str], n: str) -> str:
+    return f"{list(names)}[({n}) % {len(names)} + 1]"
+
+
+@query("parse_enrichment", f"""with e as (select event_id, event_type, cast(floor(value) as bigint) % 7 as score, {in_sql(['positive', 'neutral', 'negative', 'angry'], 'user_id')} as sentiment, (user_id % 12)::double / 10 as c,
+ (event_id % 13)::double / 10 as t from events),
+x as (select *, case when event_id % 17 = 0 then 'not a JSON object' when event_id % 19 = 0 then 'unknown key' when event_id % 23 = 0 then 'themes missing' when t > 1 then 'theme confidence out of range'
+ when sentiment = 'angry' then 'unknown sentiment' when c > 1 then 'sentiment confidence out of range' when score not between 1 and 5 then 'severity is no integer from 1 to 5' when event_type = 'view' then 'factors out of range' end as error from e)
+select event_id, error, case when error is null then score end::int as severity_score, case when error is null then sentiment end as sentiment, case when error is null then c end as sentiment_confidence,
+ case when error is null then event_type || '=' || t end as themes from x""")
 def _(v):
-    rows = jsons(
-        v, GOOD, "{oops", GOOD[:-1] + ',"extra":1}', GOOD.replace('[{"theme":"billing","confidence":0.9}]', "[]"), GOOD.replace("0.9", "1.9"),
-        GOOD.replace('"negative"', '"angry"'), GOOD.replace("0.8", '"0.8"'), GOOD.replace(":4", ":4.0"), GOOD.replace('["late","wrong"]', '["", "x"]'),
-    )
-    return Q.parse_enrichment(rows).select("event_id", "error", "severity_score")
+    themes = F.when(EVENT % 23 == 0, "[]").otherwise(text_of('[{"theme":"', F.col("event_type"), '","confidence":', tenth(EVENT % 13), "}]"))
+    factors = F.when(F.col("event_type") == "view", '["", "x"]').otherwise(text_of('["', F.col("event_type"), '"]'))
+    good = text_of('{"themes":', themes, ',"sentiment":"', pick(["positive", "neutral", "negative", "angry"], USER), '","sentiment_confidence":', tenth(USER % 12), ',"severity_score":', VALUE % 7, ',"severity_factors":', factors)
+    raw = F.when(EVENT % 17 == 0, good).when(EVENT % 19 == 0, text_of(good, ',"extra":1}')).otherwise(text_of(good, "}"))
+    got = Q.parse_enrichment(v.events.select("event_id", raw.alias("raw_json")))
+    named = F.array_join(F.transform("themes", lambda t: F.concat(t.theme, F.lit("="), t.confidence.cast("string"))), ",")
+    return got.select("event_id", "error", "severity_score", "sentiment", "sentiment_confidence", named.alias("themes"))
 
 
-@query("select_themes", """select event_id, case event_id % 3 when 0 then 'outage=0.9,billing=0.7' when 1 then 'other=1.0' else 'billing=0.5,pricing=0.5' end as themes from events""")
+def themes_of(*pairs):
+    """JSON list of (theme, confidence) columns."""
+    parts = [p for k, (t, c) in enumerate(pairs) for p in (',{"theme":"' if k else '[{"theme":"', t, '","confidence":', c, "}")]
+    return F.from_json(text_of(*parts, "]"), "array<struct<theme:string,confidence:double>>")
+
+
+@query("select_themes", f"""with t as (select event_id, unnest([{in_sql(MODEL, 'user_id')}, {in_sql(MODEL, 'event_id')}, {in_sql(MODEL, 'user_id')}]) as theme,
+ unnest([(event_id % 11)::double / 10, (user_id % 11)::double / 10, (cast(floor(value) as bigint) % 11)::double / 10]) as c from events),
+b as (select event_id, theme, max(c) as c from t where theme <> 'weather' and c >= 0.5 group by 1, 2), s as (select event_id, string_agg(theme || '=' || c, ',' order by c desc, theme) as themes from b group by 1)
+select e.event_id, coalesce(themes, 'other=1.0') as themes from events e left join s on s.event_id = e.event_id""")
 def _(v):
-    rows = jsons(
-        v,
-        '[{"theme":"billing","confidence":0.6},{"theme":"outage","confidence":0.9},{"theme":"billing","confidence":0.7},{"theme":"weather","confidence":1.0}]',
-        '[{"theme":"billing","confidence":0.4}]',
-        '[{"theme":"pricing","confidence":0.5},{"theme":"billing","confidence":0.5}]',
-    )
-    parsed = F.from_json("raw_json", "array<struct<theme:string,confidence:double>>")
+    parsed = themes_of((pick(MODEL, USER), tenth(EVENT % 11)), (pick(MODEL, EVENT), tenth(USER % 11)), (pick(MODEL, USER), tenth(VALUE % 11)))
     got = F.transform(Q.select_themes(parsed), lambda t: F.concat(t.theme, F.lit("="), t.confidence.cast("string")))
-    return rows.select("event_id", F.array_join(got, ",").alias("themes"))
+    return v.events.select("event_id", F.array_join(got, ",").alias("themes"))
 
 
-@query("sentiment_rules", "select event_id, " + by_case(6, "sentiment", "'positive'", "'neutral'", "'neutral'") + ", " + by_case(6, "confidence", "0.9::double", "0.4::double", "0.0::double") + ", " + by_case(6, "note", None, "'sentiment missing'", "'sentiment missing'") + ", " + by_case(6, "error", None, None, None, "'unknown sentiment'", "'confidence missing'", "'confidence out of range'") + " from events")
+@query("sentiment_rules", f"""with e as (select event_id, event_id % 29 = 0 as broken, {in_sql(['positive', 'neutral', 'negative', 'angry', ''], 'user_id')} as given, case when event_id % 7 <> 0 then (event_id % 13)::double / 10 end as c from events),
+x as (select *, nullif(given, '') as s, case when broken then 'unparseable answer' when c > 1 then 'confidence out of range' when given = 'angry' then 'unknown sentiment' when given <> '' and c is null then 'confidence missing' end as error from e)
+select event_id, case when error is null then coalesce(s, 'neutral') end as sentiment, case when error is null then coalesce(c, 0) end::double as confidence, case when error is null and s is null then 'sentiment missing' end as note, error from x""")
 def _(v):
-    rows = jsons(v, '{"sentiment":"positive","confidence":0.9}', '{"confidence":0.4}', "{}", '{"sentiment":"angry","confidence":0.4}', '{"sentiment":"neutral"}', '{"sentiment":"neutral","confidence":1.2}')
-    return rows.select("event_id", Q.sentiment_rules(Q.variant("raw_json")).alias("s")).select("event_id", "s.*")
+    sentiment = F.when(USER % 5 < 4, text_of('"sentiment":"', pick(["positive", "neutral", "negative", "angry", ""], USER), '"'))
+    confidence = F.when(EVENT % 7 != 0, text_of('"confidence":', tenth(EVENT % 13)))
+    whole = text_of("{", F.concat_ws(",", sentiment, confidence), F.when(EVENT % 29 == 0, "").otherwise("}"))
+    return v.events.select("event_id", Q.sentiment_rules(Q.variant(whole)).alias("s")).select("event_id", "s.*")
 
 
-@query("severity_rules", "select event_id, " + by_case(8, "score", "5", "1", "1") + ", " + by_case(8, "note", None, "'severity missing'", "'severity missing'") + ", " + by_case(8, "error", None, None, None, "'score is no integer'", "'score is no integer'", "'score is no integer'", "'score out of range'", "'unparseable answer'") + ", " + by_case(8, "factors", "'late'", "'no factors given'", "'no factors given'") + " from events")
+@query("severity_rules", """with e as (select event_id, event_id % 6 as k, cast(floor(value) as bigint) % 8 as n, case when user_id % 3 > 0 then event_type else 'no factors given' end as f from events),
+x as (select *, case when k = 3 or k = 4 then 'score is no integer' when k in (0, 5) and n not between 1 and 5 then 'score out of range' end as error from e)
+select event_id, case when error is null then case when k in (1, 2) then 1 else n end end::int as score, case when k in (1, 2) then 'severity missing' end as note, error, case when error is null then f end as factors from x""")
 def _(v):
-    rows = jsons(v, '{"score":5,"factors":["late",""]}', '{"score":null}', "{}", '{"score":"5"}', '{"score":5.5}', '{"score":true}', '{"score":6}', "{")
-    got = rows.select("event_id", Q.severity_rules(F.col("raw_json"), Q.variant("raw_json")).alias("s"))
+    k = EVENT % 6
+    score = F.when(k == 1, '"score":null,').when(k == 2, "").when(k == 3, text_of('"score":"', VALUE % 8, '",')).when(k == 4, text_of('"score":', VALUE % 8, ".5,")).otherwise(text_of('"score":', VALUE % 8, ","))
+    raw = text_of("{", score, '"factors":[', F.when(USER % 3 > 0, text_of('"', F.col("event_type"), '",')).otherwise(""), '""]}')
+    got = v.events.select("event_id", raw.alias("raw")).select("event_id", Q.severity_rules(F.col("raw"), Q.variant("raw")).alias("s"))
     return got.select("event_id", "s.score", "s.note", "s.error", F.array_join("s.factors", ",").alias("factors"))
 
 
-@query("sentiment_score_rules", "select event_id, " + by_case(6, "score", "0.5::double", "1.0::double", "-1.0::double", "0.0::double", "-0.2::double", "0.0::double") + ", " + by_case(6, "label", "'positive'", "'positive'", "'negative'", "'neutral'", "'neutral'", "'neutral'") + " from events")
+@query("sentiment_score_rules", """with e as (select event_id, case when length(event_type) < 5 then 0 when event_id % 7 = 0 then 1 when event_id % 11 = 0 then 0 else greatest(-1, least(1, (cast(floor(value) as bigint) % 41 - 20)::double / 10)) end::double as score from events)
+select event_id, score, case when score > 0.2 then 'positive' when score < -0.2 then 'negative' else 'neutral' end as label from e""")
 def _(v):
-    rows = jsons(v, '{"score":0.5}', '{"score":true}', '{"score":-7}', '{"score":"0.9"}', '{"score":-0.2}', '{"score":0.9}')
-    text = F.when(F.col("event_id") % 6 == 5, "hey").otherwise("a longer text")
-    return rows.select("event_id", Q.sentiment_score_rules(text, Q.variant("raw_json")).alias("s")).select("event_id", "s.*")
+    n = tenth(VALUE % 41 - 20)
+    given = F.when(EVENT % 7 == 0, "true").when(EVENT % 11 == 0, text_of('"', n, '"')).otherwise(n.cast("string"))
+    return v.events.select("event_id", Q.sentiment_score_rules(F.col("event_type"), Q.variant(text_of('{"score":', given, "}"))).alias("s")).select("event_id", "s.*")
 
 
-@query("theme_blend", "select event_id, " + by_case(4, "theme_primary", "'outage'", "'billing'", "'unclassified'", "'equipment'") + ", " + by_case(4, "theme_secondary", "'billing'", "'outage'", None, None) + ", " + by_case(4, "confidence", "0.9::double", "0.88::double", "0.2::double", "0.4::double") + " from events")
+@query("theme_blend", f"""with e as (select event_id, case when event_id % 3 = 0 then {in_sql(R.THEMES, 'event_id')} end as chosen, [{in_sql(CUSTOMER, 'user_id')}, {in_sql(CUSTOMER, 'event_id')}] as t,
+ [(event_id % 11)::double / 10, (cast(floor(value) as bigint) % 13)::double / 10] as c from events), u as (select event_id, chosen, unnest(t) as theme, unnest(c) as c, unnest([1, 2]) as i from e),
+f as (select event_id, chosen, theme, max(c) as own, min(i) as i from u where theme <> 'weather' and c <= 1 group by 1, 2, 3),
+w as (select * from f union all select event_id, chosen, chosen, null, 3 from e where chosen is not null and not exists (select 1 from f where f.event_id = e.event_id and f.theme = e.chosen)),
+s as (select event_id, theme, i, case when chosen is null then own when chosen <> theme then 0.6::double * own when own is null then 0.4::double else least(1, 0.6::double * own + 0.4::double) end as b from w),
+r as (select *, row_number() over (partition by event_id order by b desc, i) as r from s), p as (select event_id, max(case when r = 1 then theme end) as t1, max(case when r = 1 then b end) as b1, max(case when r = 2 then theme end) as t2, max(case when r = 2 then b end) as b2 from r group by 1)
+select e.event_id, case when b1 >= 0.3::double then t1 else 'unclassified' end as theme_primary, case when b2 >= 0.3::double then t2 end as theme_secondary, round(coalesce(b1, 0), 6)::double as confidence from e left join p on p.event_id = e.event_id""")
 def _(v):
-    two = '[{"theme":"outage","confidence":0.9},{"theme":"billing","confidence":0.8}]'
-    rows = jsons(v, two, two, '[{"theme":"outage","confidence":0.2}]', "[]")
-    chosen = F.when(F.col("event_id") % 4 == 1, "billing").when(F.col("event_id") % 4 == 3, "equipment")
-    got = rows.select("event_id", Q.theme_blend(F.from_json("raw_json", "array<struct<theme:string,confidence:double>>"), chosen).alias("b"))
+    themes = themes_of((pick(CUSTOMER, USER), tenth(EVENT % 11)), (pick(CUSTOMER, EVENT), tenth(VALUE % 13)))
+    got = v.events.select("event_id", Q.theme_blend(themes, F.when(EVENT % 3 == 0, pick(R.THEMES, EVENT))).alias("b"))
     return rounded(got.select("event_id", "b.*"), "confidence")
 
 
@@ -83,27 +119,28 @@ def _(v):
     return v.fb.select("feedback_id", Q.intent_rules(F.col("intent"), F.col("theme_confidence")).alias("i")).select("feedback_id", "i.*")
 
 
-@query("entity_rules", """select event_id, case event_id % 3 when 0 then 'dollar_amount=1234.50;product_name=router' when 1 then '' else 'service_area=' || repeat('a', 200) end as entities from events""")
+@query("entity_rules", f"""with u as (select event_id, unnest([{in_sql(KINDS, 'user_id')}, {in_sql(KINDS, 'event_id')}]) as kind, value, unnest(['', repeat(event_type, user_id % 60)]) as word, unnest([(event_id % 11)::double / 10, (user_id % 11)::double / 10]) as c, unnest([1, 2]) as i from events),
+w as (select *, case when kind = 'dollar_amount' then case when i = 1 then printf('%.2f', value) end else nullif(trim(substr(case when i = 1 then event_id::varchar else word end, 1, 200)), '') end as plain from u)
+select event_id, coalesce(string_agg(kind || '=' || plain, ';' order by i) filter (kind <> 'weather' and c >= 0.5 and plain is not null), '') as entities from w group by 1""")
 def _(v):
-    entity = '{"entity_type":"%s","entity_value":"%s","confidence":%s}'
-    rows = jsons(
-        v,
-        "[" + ",".join([entity % ("dollar_amount", "$1,234.5", 0.9), entity % ("dollar_amount", "-3", 0.9), entity % ("product_name", "  router ", 0.5), entity % ("weather", "rain", 1)]) + "]",
-        "[" + ",".join([entity % ("product_name", "modem", 0.4), entity % ("product_name", "   ", 0.9), entity % ("dollar_amount", "abc", 0.9)]) + "]",
-        "[" + entity % ("service_area", "a" * 300, 0.7) + "]",
-    )
-    got = Q.entity_rules(F.from_json("raw_json", "array<struct<entity_type:string,entity_value:string,confidence:double>>"))
-    return rows.select("event_id", F.array_join(F.transform(got, lambda e: F.concat(e.entity_type, F.lit("="), e.entity_value)), ";").alias("entities"))
+    entity = lambda kind, value, c: ('{"entity_type":"', kind, '","entity_value":"', value, '","confidence":', c, "}")
+    one, two = pick(KINDS, USER), pick(KINDS, EVENT)
+    money = text_of("$ ", F.format_number(F.col("value").cast("decimal(12,2)"), 2))
+    first = entity(one, F.when(one == "dollar_amount", money).otherwise(text_of("  ", EVENT, " ")), tenth(EVENT % 11))
+    second = entity(two, F.expr("repeat(event_type, cast(user_id % 60 as int))"), tenth(USER % 11))
+    parsed = F.from_json(text_of("[", *first, ",", *second, "]"), "array<struct<entity_type:string,entity_value:string,confidence:double>>")
+    got = Q.entity_rules(parsed)
+    return v.events.select("event_id", F.array_join(F.transform(got, lambda e: F.concat(e.entity_type, F.lit("="), e.entity_value)), ";").alias("entities"))
 
 
-@query("location_rules", "select event_id, case when event_id % 3 = 0 then 'TX' else 'NC' end as state, case when event_id % 3 = 0 then 30.5 else 35.0 end::double as latitude from events")
+@query("location_rules", f"""with e as (select event_id, user_id, event_id % 2 = 0 and event_id % 7 <> 0 and user_id % 4 < 2 as whole, {in_sql(['tx', 'OH', 'Texas', ''], 'user_id')} as s from events)
+select event_id, case when whole then event_id::varchar else 'Charlotte' end as city, case when whole then upper(s) else 'NC' end as state, case when whole then 25.5 + user_id % 5 else 35 end::double as latitude, case when whole then -80.25 - user_id % 9 else -80 end::double as longitude from e""")
 def _(v):
-    rows = jsons(
-        v, '{"mentioned":true,"city":"Austin","state":"tx","latitude":30.5,"longitude":-97}', '{"mentioned":false,"city":"Austin","state":"TX","latitude":30.5,"longitude":-97}',
-        '{"mentioned":true,"city":"Austin","state":"Texas","latitude":"30","longitude":-97}',
-    )
-    place = Q.location_rules(Q.variant("raw_json"), "Charlotte", "NC", 35.0, -80.0)
-    return rows.select("event_id", place.alias("p")).select("event_id", "p.state", "p.latitude")
+    latitude = text_of(USER % 5 + 25, ".5")
+    latitude = F.when(EVENT % 7 == 0, text_of('"', latitude, '"')).otherwise(latitude)
+    raw = text_of('{"mentioned":', EVENT % 2 == 0, ',"city":"', EVENT, '","state":"', pick(["tx", "OH", "Texas", ""], USER), '","latitude":', latitude, ',"longitude":', (-USER % 9 - 80), ".25}")
+    place = Q.location_rules(Q.variant(raw), "Charlotte", "NC", 35.0, -80.0)
+    return v.events.select("event_id", place.alias("p")).select("event_id", "p.city", "p.state", "p.latitude", "p.longitude")
 
 
 @query("first_usable_model", """with m as (select l_orderkey as feedback_id, l_linenumber as model_rank, l_returnflag = 'A' as usable, max(l_shipmode) as raw_json from (select *, l_linestatus as l_shipmode from lineitem) group by all),

@@ -98,25 +98,26 @@ def _(v):
     return v.spark.read.parquet(f"{path}/epoch=*").agg(F.count("routing_action").alias("n"))
 
 
-def enrich_status(v) -> DataFrame:
+def enrich_status(v, delay: str = "5") -> DataFrame:
+    """Status of each record when its answer comes ``delay`` seconds later and a quarter has none.
+    Records that are open when the input ends are closed as timeouts."""
     feedback = feedback_stream(v).select("feedback_id", F.col("created_at").alias("ts"))
     answers = feedback_stream(v).where("feedback_id % 4 <> 0").select(
-        "feedback_id", (F.col("created_at") + F.expr("interval 5 seconds")).alias("response_ts"), (F.col("feedback_id") % 3 == 0).alias("ok")
+        "feedback_id", (F.col("created_at") + F.expr(f"make_interval(0, 0, 0, 0, 0, 0, {delay})")).alias("response_ts"), (F.col("feedback_id") % 3 == 0).alias("ok")
     )
-    return drained(v, S.stream_enrich_status(feedback, answers), "stream-status")
+    given = drained(v, S.stream_enrich_status(feedback, answers), "stream-status")
+    still = v.fb.select("feedback_id").join(given, "feedback_id", "left_anti")
+    return given.union(still.select("feedback_id", F.lit("timeout")))
 
 
-@query("stream_enrich_status", "select feedback_id, case when feedback_id % 3 = 0 then 'completed' else 'failed' end as enrichment_status from fb where feedback_id % 4 <> 0")
+@query("stream_enrich_status", "select feedback_id, case when feedback_id % 4 = 0 or feedback_id % 60 > 30 then 'timeout' when feedback_id % 3 = 0 then 'completed' else 'failed' end as enrichment_status from fb")
 def _(v):
-    return enrich_status(v).where("enrichment_status <> 'timeout'")
+    return enrich_status(v, "feedback_id % 60")
 
 
-@query("stream_enrich_status_all")
+@query("stream_enrich_status_all", "select feedback_id, case when feedback_id % 4 = 0 then 'timeout' when feedback_id % 3 = 0 then 'completed' else 'failed' end as enrichment_status from fb")
 def _(v):
-    """Records that are open when the input ends have no answer and are closed as timeouts."""
-    given = enrich_status(v)
-    still = v.fb.select("feedback_id").join(given, "feedback_id", "left_anti")
-    return given.union(still.select("feedback_id", F.lit("timeout")))
+    return enrich_status(v)
 
 
 @query("save_batch", "select batch_id, count(*) as n from fb group by 1")

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from feedloom import rules as R
 from feedloom.functions import display as D
 from feedloom.functions import geo, text
 from feedloom.operators import ingest as I
 from feedloom.operators import responses as Q
 from feedloom.plans.registry import query
 
-EMAIL = r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"
-PHONE = r"(?:\+?1[-.\s]?)?(?:\(?\d{3}\)?[-.\s]?)\d{3}[-.\s]?\d{4}\b"
-MASK = "regexp_replace(regexp_replace(regexp_replace({t}, '\\b\\d{{3}}-\\d{{2}}-\\d{{4}}\\b', '[SSN]', 'g'), '" + EMAIL.replace("{", "{{").replace("}", "}}") + "', '[EMAIL]', 'g'), '" + PHONE.replace("{", "{{").replace("}", "}}") + "', '[PHONE]', 'g')"
+MASK = "regexp_replace(regexp_replace(regexp_replace({t}, '\\b\\d{{3}}-\\d{{2}}-\\d{{4}}\\b', '[SSN]', 'g'), '" + R.EMAIL.replace("{", "{{").replace("}", "}}") + "', '[EMAIL]', 'g'), '" + R.PHONE.replace("{", "{{").replace("}", "}}") + "', '[PHONE]', 'g')"
 CLEAN = r"trim(regexp_replace(regexp_replace({t}, '<[^>]*>', ' ', 'g'), '\s{{2,}}', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
 
@@ -46,17 +45,32 @@ def _(v):
     return v.documents.select("doc_id", F.md5(text.redact_secrets(F.col("text"), ["the", "License", "", "  "])).alias("redacted"))
 
 
-@query("detect_language", """select feedback_id, case feedback_id % 16 when 5 then 'en' when 6 then 'es' when 8 then 'fr' when 11 then 'de' end as language from fb where feedback_id % 16 in (5, 6, 8, 11)""")
+WORD = r"[\p{L}\p{N}\p{M}_]+"  # as (?U)\w+
+
+
+def language_sql(text: str) -> str:
+    """The hint rule: distinct words, the best overlap, the first language of equal ones."""
+    words = f"list_distinct(list_filter(regexp_extract_all(lower({text}), '{WORD}'), lambda x: regexp_full_match(x, '[a-zA-ZÀ-ÿ]+')))"
+    score = {k: f"len(list_intersect({words}, {hints}))" for k, hints in R.LANGUAGE_HINTS.items()}
+    best = f"greatest({', '.join(score.values())})"
+    whens = " ".join(f"when {s} = {best} then '{k}'" for k, s in score.items())
+    return f"case when {text} is null or length(trim({text}, ' ' || chr(9) || chr(10) || chr(13))) < 3 or len({words}) = 0 or {best} * 10 < len({words}) then 'und' {whens} end"
+
+
+LANGUAGE = f"select feedback_id, {language_sql('text')} as language from fb"
+
+
+@query("detect_language", LANGUAGE)
 def _(v):
-    return v.fb.where("feedback_id % 16 in (5, 6, 8, 11)").select("feedback_id", text.detect_language(F.col("text")).alias("language"))
+    return v.fb.select("feedback_id", text.detect_language(F.col("text")).alias("language"))
 
 
-@query("detect_language_all")
+@query("detect_language_all", LANGUAGE)
 def _(v):
     return v.fb.select("feedback_id", text.detect_language(F.col("text")).alias("language"))
 
 
-@query("detect_language_documents")
+@query("detect_language_documents", f"select lang, {language_sql('text')} as detected, count(*) as n from documents group by 1, 2")
 def _(v):
     return v.documents.groupBy("lang", text.detect_language(F.col("text")).alias("detected")).agg(F.count("*").alias("n"))
 
@@ -68,11 +82,20 @@ def _(v):
     return v.fb.select("feedback_id", out.alias("l")).select("feedback_id", "l.*")
 
 
-@query("profanity_flag", "select feedback_id, feedback_id % 16 = 7 as profanity from fb")
+def profanity_sql(text: str) -> str:
+    return f"len(list_intersect(regexp_extract_all(lower({text}), '{WORD}'), {R.PROFANITY})) > 0"
+
+
+@query("profanity_flag", f"select feedback_id, {profanity_sql('text')} as profanity from fb")
 def _(v):
     return v.fb.select("feedback_id", text.profanity_flag(F.col("text")).alias("profanity"))
 
 
+@query("profanity_turns", f"select conv_id, turn, {profanity_sql('text')} as profanity from conversations")
+def _(v):
+    return v.conversations.select("conv_id", "turn", text.profanity_flag(F.col("text")).alias("profanity"))
+
+
 @query("standardize_ts", "select event_id, case when event_id % 3 = 0 then timestamp '2024-03-01' else date_trunc('second', ts) end as ts, event_id % 3 = 0 as stood_in from events")
 def _(v):
     given = F.when(F.col("event_id") % 3 == 0, "yesterday").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
@@ -100,15 +123,19 @@ def _(v):
     return words.withColumn("bucket", text.fnv_bucket(F.col("token")))
 
 
-@query("cosine_similarity", """with n as (select p_partkey, string_split(p_name, ' ') as w from part where p_partkey < 500)
-select p_partkey, round(len(list_intersect(w, ['red', 'widget'])) / sqrt(2.0 * len(w)), 6) as cosine from n""")
+COSINE = f"""with n as (select p_name, unnest(regexp_extract_all(lower(p_name), '[a-z0-9]+')) as tok from (select distinct p_name from part) union all select '', unnest(['red', 'widget'])),
+c as (select p_name, cast({FNV} % 256 as int) as bucket, count(*)::double as k from n group by 1, 2), s as (select p_name, sum(k * k) as q from c group by 1), o as (select * from c where p_name = ''),
+d as (select c.p_name, sum(c.k * o.k) as dot from c join o on o.bucket = c.bucket group by 1)
+select p_partkey, round(coalesce(dot, 0) / sqrt(q * 2), 6) as cosine from part join s on s.p_name = part.p_name left join d on d.p_name = part.p_name"""
+
+
+@query("cosine_similarity", COSINE)
 def _(v):
     other = text.hash_embedding(F.lit("Red widget"))
-    got = v.part.where("p_partkey < 500").select("p_partkey", F.round(text.cosine_similarity(text.hash_embedding(F.col("p_name")), other), 6).alias("cosine"))
-    return got
+    return v.part.select("p_partkey", F.round(text.cosine_similarity(text.hash_embedding(F.col("p_name")), other), 6).alias("cosine"))
 
 
-@query("cosine_similarity_all")
+@query("cosine_similarity_all", COSINE)
 def _(v):
     other = text.hash_embedding(F.lit("Red widget"))
     return v.part.select("p_partkey", F.round(text.cosine_similarity(text.hash_embedding(F.col("p_name")), other), 6).alias("cosine"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from feedloom import rules as R
 from feedloom.operators import lists as L
 from feedloom.operators import tickets as K
 from feedloom.operators import triage as G
@@ -175,16 +176,15 @@ def _(v):
     return L.paginate(v.fb, 20, 40).select("feedback_id", "page", "page_from", "page_to", "pages")
 
 
-@query("sort_nulls_last", """with r as (select feedback_id, row_number() over (order by severity desc nulls last, feedback_id) as position from fb) select * from r where position <= 100""")
-def _(v):
-    from pyspark.sql import Window
+SORTED = "select feedback_id, severity, row_number() over (order by severity desc nulls last, feedback_id) as position from fb"
+
 
-    top = L.sort_nulls_last(v.fb, "severity", descending=True, tie="feedback_id").limit(100)
-    order = Window.orderBy(F.desc_nulls_last("severity"), "feedback_id")  # a hundred rows
-    return top.select("feedback_id", F.row_number().over(order).cast("long").alias("position"))
+@query("sort_nulls_last", SORTED)
+def _(v):
+    return L.positions(L.sort_nulls_last(v.fb.select("feedback_id", "severity"), "severity", descending=True, tie="feedback_id"))
 
 
-@query("sort_nulls_last_all")
+@query("sort_nulls_last_all", SORTED)
 def _(v):
     return L.positions(L.sort_nulls_last(v.fb.select("feedback_id", "severity"), "severity", descending=True, tie="feedback_id"))
 
@@ -204,6 +204,7 @@ def _(v):
     return L.filter_marketing(v.sb.where("sentiment = 'positive'"), True, "#0000001").select("submission_id")
 
 
-@query("mentioned_names", "select name, count(*) as n from (select unnest(case feedback_id % 16 when 2 then ['Marcus'] when 7 then ['James'] when 12 then ['Sarah Miller', 'Bob Stone'] else []::varchar[] end) as name from fb) group by 1")
+@query("mentioned_names", f"""with n as (select distinct feedback_id, unnest(regexp_extract_all(text, '{R.PRAISE_CUE}', 1)) as name from fb)
+select min(name) as name, count(distinct feedback_id) as n from n where len(list_filter(string_split_regex(lower(name), '\\s+'), lambda p: not list_contains({R.NOT_NAMES}, p))) > 0 group by lower(name)""")
 def _(v):
     return L.praise_leaderboard(v.fb).select("name", "n")

@@ -70,11 +70,27 @@ KEYWORD_DEPARTMENT = [
 ]
 DEFAULT_DEPARTMENT = "Customer Support"
 LANGUAGE_HINTS = {
-    "en": "the is are was were have has been will would could should this that with from they your what when where which their about just like very some more also than other into only come made after back much then",
-    "es": "el la los las es son está están fue ser una uno que por con para como pero más este esta esto todo todos otra otro muy también puede desde donde cuando porque",
-    "fr": "le la les est sont une des que pour avec dans sur pas plus par mais être fait tout aussi comme bien très cette ces",
-    "de": "der die das ist sind ein eine und für mit von auf nicht sich auch noch wie oder aber nach wenn nur kann dem den",
-    "pt": "o os uma que não para com por mais como mas foi está ser tem seu sua isso são quando muito também pode entre depois",
+    "en": [
+        "the", "is", "are", "was", "were", "have", "has", "been", "will", "would", "could", "should", "this", "that", "with", "from",
+        "they", "your", "what", "when", "where", "which", "their", "about", "just", "like", "very", "some", "more", "also", "than",
+        "other", "into", "only", "come", "made", "after", "back", "much", "then",
+    ],
+    "es": [
+        "el", "la", "los", "las", "es", "son", "está", "están", "fue", "ser", "una", "uno", "que", "por", "con", "para", "como", "pero",
+        "más", "este", "esta", "esto", "todo", "todos", "otra", "otro", "muy", "también", "puede", "desde", "donde", "cuando", "porque",
+    ],
+    "fr": [
+        "le", "la", "les", "est", "sont", "une", "des", "que", "pour", "avec", "dans", "sur", "pas", "plus", "par", "mais", "être",
+        "fait", "tout", "aussi", "comme", "bien", "très", "cette", "ces",
+    ],
+    "de": [
+        "der", "die", "das", "ist", "sind", "ein", "eine", "und", "für", "mit", "von", "auf", "nicht", "sich", "auch", "noch", "wie",
+        "oder", "aber", "nach", "wenn", "nur", "kann", "dem", "den",
+    ],
+    "pt": [
+        "o", "os", "uma", "que", "não", "para", "com", "por", "mais", "como", "mas", "foi", "está", "ser", "tem", "seu", "sua", "isso",
+        "são", "quando", "muito", "também", "pode", "entre", "depois",
+    ],
 }
 EMAIL = r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"
 PHONE = r"(?:\+?1[-.\s]?)?(?:\(?\d{3}\)?[-.\s]?)\d{3}[-.\s]?\d{4}\b"
@@ -91,14 +107,56 @@ PRAISE_CUE = (
     r"|[Tt]echnician|[Tt]ech|[Ii]nstaller|[Ee]ngineer|[Ss]pecialist|[Rr]ep(?:resentative)?)\s+(?:to\s+|named\s+)?"
     r"([A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,})?)"
 )
-STATES = dict(
-    zip(
-        "AL AK AZ AR CA CO CT DE DC FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY".split(),
-        (
-            "Alabama,Alaska,Arizona,Arkansas,California,Colorado,Connecticut,Delaware,District of Columbia,Florida,Georgia,Hawaii,Idaho,Illinois,"
-            "Indiana,Iowa,Kansas,Kentucky,Louisiana,Maine,Maryland,Massachusetts,Michigan,Minnesota,Mississippi,Missouri,Montana,Nebraska,"
-            "Nevada,New Hampshire,New Jersey,New Mexico,New York,North Carolina,North Dakota,Ohio,Oklahoma,Oregon,Pennsylvania,Rhode Island,"
-            "South Carolina,South Dakota,Tennessee,Texas,Utah,Vermont,Virginia,Washington,West Virginia,Wisconsin,Wyoming"
-        ).split(","),
-    )
-)
+STATES = {
+    "AL": "Alabama",
+    "AK": "Alaska",
+    "AZ": "Arizona",
+    "AR": "Arkansas",
+    "CA": "California",
+    "CO": "Colorado",
+    "CT": "Connecticut",
+    "DE": "Delaware",
+    "DC": "District of Columbia",
+    "FL": "Florida",
+    "GA": "Georgia",
+    "HI": "Hawaii",
+    "ID": "Idaho",
+    "IL": "Illinois",
+    "IN": "Indiana",
+    "IA": "Iowa",
+    "KS": "Kansas",
+    "KY": "Kentucky",
+    "LA": "Louisiana",
+    "ME": "Maine",
+    "MD": "Maryland",
+    "MA": "Massachusetts",
+    "MI": "Michigan",
+    "MN": "Minnesota",
+    "MS": "Mississippi",
+    "MO": "Missouri",
+    "MT": "Montana",
+    "NE": "Nebraska",
+    "NV": "Nevada",
+    "NH": "New Hampshire",
+    "NJ": "New Jersey",
+    "NM": "New Mexico",
+    "NY": "New York",
+    "NC": "North Carolina",
+    "ND": "North Dakota",
+    "OH": "Ohio",
+    "OK": "Oklahoma",
+    "OR": "Oregon",
+    "PA": "Pennsylvania",
+    "RI": "Rhode Island",
+    "SC": "South Carolina",
+    "SD": "South Dakota",
+    "TN": "Tennessee",
+    "TX": "Texas",
+    "UT": "Utah",
+    "VT": "Vermont",
+    "VA": "Virginia",
+    "WA": "Washington",
+    "WV": "West Virginia",
+    "WI": "Wisconsin",
+    "WY": "Wyoming",
+}

@@ -11,11 +11,14 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where none is named a temporary folder."""
+    """``spark.checkpoint.dir`` of the session.  Only a local session that names none gets a
+    temporary folder: elsewhere each executor would write to a disk of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+    master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+    if master.partition("[")[0] != "local":
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
     return _own[app]

@@ -64,7 +64,7 @@ def slow_language(t):
 
 def test_language(spark):
     rng = random.Random(2)
-    pool = [w for h in R.LANGUAGE_HINTS.values() for w in h.split()] + ["zzz", "qqq", "www", "Über", "naïve"]
+    pool = [w for h in R.LANGUAGE_HINTS.values() for w in h] + ["zzz", "qqq", "www", "Über", "naïve"]
     texts = [" ".join(rng.choice(pool) for _ in range(rng.randrange(0, 14))) for _ in range(200)] + ["", "ab", None, "123 456", "the x y z q w e r t u"]
     assert column(spark, texts, text.detect_language) == [slow_language(t) for t in texts]
 

@@ -10,7 +10,7 @@ from feedloom.plans.views import Views
 
 def language(text):
     words = set(re.findall(r"\b[a-zA-ZÀ-ÿ]+\b", text.lower()))
-    score = {k: len(words & set(hints.split())) for k, hints in R.LANGUAGE_HINTS.items()}
+    score = {k: len(words & set(hints)) for k, hints in R.LANGUAGE_HINTS.items()}
     best = max(score, key=score.get)
     return "und" if len(text.strip()) < 3 or not words or score[best] * 10 < len(words) else best
 
