@@ -25,30 +25,31 @@ def similarity_pairs(texts: DataFrame, threshold: float, buckets: int = 256) ->
     """Pairs (a, b, cosine) of representatives with cosine at least ``threshold``.
 
     Texts with equal counts are one representative, their smallest id; the rest follows from
-    ``same_vector``.  Representatives meet on a bucket of their prefix: the heaviest buckets that
-    hold so much of the norm that a pair over the threshold must share one of them.  Each pair is
-    kept where it meets first, so it is compared once.
+    ``same_vector``.  Buckets have one order, the rarest first.  A representative's prefix are its
+    first buckets up to where the rest has a norm below the threshold: two over the threshold
+    have their first common bucket in both prefixes.  So representatives meet there, as ids with
+    their prefixes, once for each pair; the vectors are joined to the pairs that met.
     """
-    vectors = same_vector(texts, buckets).select("rep", "tf").distinct()
+    vectors = same_vector(texts, buckets).select("rep", "tf").distinct().where(F.size("tf") > 0)
     norm = F.sqrt(F.aggregate("tf", F.lit(0.0), lambda s, x: s + x.n.cast("double") * x.n))
     unit = F.transform("tf", lambda x: F.struct(x.bucket.alias("bucket"), (x.n / F.col("norm")).alias("w")))
-    units = vectors.where(F.size("tf") > 0).withColumn("norm", norm).select("rep", unit.alias("u"))
-    # a pair's common weight outside the prefix is at most the rest of either norm
-    heavy = F.array_sort("u", lambda x, y: F.when(x.w > y.w, -1).when(x.w < y.w, 1).when(x.bucket < y.bucket, -1).when(x.bucket > y.bucket, 1).otherwise(0))
-    start = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<int>").alias("p"))
+    units = write_and_read(vectors.withColumn("norm", norm).select("rep", unit.alias("u")), "unit-vectors")
+    common = units.select(F.explode("u.bucket").alias("bucket")).groupBy("bucket").count().orderBy("count", "bucket").collect()  # a row a bucket
+    place = {r.bucket: k for k, r in enumerate(common)}
+    rank = F.array(*[F.lit(place.get(k, buckets)) for k in range(buckets)])
+    ordered = F.array_sort(F.transform("u", lambda x: F.struct(F.get(rank, x.bucket).alias("rank"), x.w.alias("w"))))
+    start = F.struct(F.lit(1.0).alias("rest"), F.array().cast("array<int>").alias("p"))
     grow = lambda acc, x: F.when(
-        1 - acc.s >= threshold * threshold - 1e-12, F.struct((acc.s + x.w * x.w).alias("s"), F.concat(acc.p, F.array(x.bucket)).alias("p"))
+        acc.rest >= threshold * threshold - 1e-12, F.struct((acc.rest - x.w * x.w).alias("rest"), F.concat(acc.p, F.array(x["rank"])).alias("p"))
     ).otherwise(acc)
-    prefixed = units.withColumn("p", F.aggregate(heavy, start, grow).p)
-    side = lambda s: prefixed.select(F.explode("p").alias("bucket"), F.col("rep").alias(s), F.col("u").alias(f"u_{s}"), F.col("p").alias(f"p_{s}"))
-    all_ = units.select(F.explode("u").alias("x"), F.col("rep").alias("b"), F.col("u").alias("u_b")).select(F.col("x.bucket").alias("bucket"), "b", "u_b")
-    met = side("a").join(all_, "bucket").where("a <> b")
-    common = F.array_intersect("p_a", F.transform("u_b", lambda x: x.bucket))
-    met = met.where(F.get(common, F.lit(0)) == F.col("bucket"))
-    weights = F.map_from_entries("u_b")
-    cosine = F.aggregate("u_a", F.lit(0.0), lambda s, x: s + x.w * F.coalesce(F.element_at(weights, x.bucket), F.lit(0.0)))
-    found = met.select("a", "b", F.least(F.lit(1.0), cosine).alias("cosine")).where(F.col("cosine") >= threshold - 1e-12)
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine").groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    prefixed = units.select("rep", F.aggregate(ordered, start, grow).p.alias("p"))
+    side = lambda s: prefixed.select(F.explode("p").alias("rank"), F.col("rep").alias(s), F.col("p").alias(f"p_{s}"))
+    met = side("a").join(side("b"), "rank").where("a < b").where(F.array_min(F.array_intersect("p_a", "p_b")) == F.col("rank")).select("a", "b")
+    met = write_and_read(met, "met-pairs")
+    of = lambda s: units.select(F.col("rep").alias(s), F.map_from_entries("u").alias(f"u_{s}"))
+    cosine = F.aggregate(F.map_entries("u_a"), F.lit(0.0), lambda s, x: s + x.value * F.coalesce(F.element_at("u_b", x.key), F.lit(0.0)))
+    both = met.join(of("a"), "a").join(of("b"), "b")
+    return both.select("a", "b", F.least(F.lit(1.0), cosine).alias("cosine")).where(F.col("cosine") >= threshold - 1e-12)
 
 
 def same_vector(texts: DataFrame, buckets: int = 256) -> DataFrame:
@@ -61,23 +62,26 @@ def same_vector(texts: DataFrame, buckets: int = 256) -> DataFrame:
 
 
 def components(pairs: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
-    """(id, component) of the ids on pairs: smallest labels spread and jump until none changes.
+    """(id, component) of the ids on pairs; component is the smallest id reachable.
 
-    Each round is written to the shared folder; running out of rounds is an error, never a
-    partial result.
+    Every id keeps links to smaller ids only.  A round first hangs an id's larger neighbours on its
+    smallest neighbour, then its smaller ones on the smallest of them, until all links lead to
+    components' smallest ids; long chains shrink by half or more a round.  Each round is written
+    to the shared folder; running out of rounds is an error, never a partial result.
     """
-    edges = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    edges = write_and_read(edges.union(edges.select("b", "a")).distinct(), "edges")
-    labels = write_and_read(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), "labels")
+    links = pairs.select(F.greatest(a, b).alias("big"), F.least(a, b).alias("small")).where("big <> small")
+    links = write_and_read(links.distinct(), "links")
     for _ in range(most_rounds):
-        near = edges.join(labels, edges.b == labels.id).groupBy("a").agg(F.min("component").alias("m"))
-        spread = labels.join(near, labels.id == near.a, "left").select("id", "component", F.least("component", "m").alias("next"))
-        jump = labels.select(F.col("id").alias("next"), F.col("component").alias("up"))
-        after = spread.join(jump, "next", "left").select("id", "component", F.least("next", "up").alias("next"))
-        after = write_and_read(after, "labels")
-        if after.where("next <> component").isEmpty():
-            return labels
-        labels = after.select("id", F.col("next").alias("component"))
+        around = links.select(F.col("big").alias("id"), F.col("small").alias("near")).union(links.select("small", "big"))
+        least = write_and_read(around.groupBy("id").agg(F.least(F.min("near"), F.first("id")).alias("least")), "least")
+        hung = around.where("near > id").join(least, "id").select(F.col("near").alias("big"), F.col("least").alias("small")).distinct()
+        hung = write_and_read(hung, "links")
+        roots = write_and_read(hung.groupBy("big").agg(F.min("small").alias("root")), "roots")
+        moved = hung.join(roots, "big").where("small <> root").select(F.col("small").alias("big"), F.col("root").alias("small"))
+        after = write_and_read(moved.union(roots.select("big", "root")).distinct(), "links")
+        if moved.isEmpty() and after.select("small").join(after.select(F.col("big").alias("small")), "small", "left_semi").isEmpty():
+            return after.select(F.col("big").alias("id"), F.col("small").alias("component")).union(after.select("small", "small").distinct())
+        links = after
     raise RuntimeError(f"components are not settled after {most_rounds} rounds")
 
 

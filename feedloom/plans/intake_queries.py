@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from feedloom.operators import dedup, ingest as I, quality
 from feedloom.plans.registry import query
+from feedloom.plans.text_queries import CLEAN, MASK, language_sql, profanity_sql
 from feedloom.sources import tables as S
 
 RAW = """
@@ -182,7 +183,9 @@ def _(v):
     return out.groupBy("source_type").agg(F.count("*").alias("n"), F.count("platform").alias("n_platform"), F.count("customer_id").alias("n_customer"))
 
 
-@query("preprocess")
+@query("preprocess", f"""with c as (select feedback_id, {CLEAN.format(t='text')} as cleaned from fb)
+select feedback_id, {MASK.format(t='cleaned')} as masked_text, case when cleaned = '' then 'und' else {language_sql('cleaned')} end as language, {profanity_sql('cleaned')} as profanity_detected,
+ case when cleaned = '' then 'failed' else 'preprocessed' end as processing_status from c""")
 def _(v):
     return I.preprocess(v.fb).select("feedback_id", "masked_text", "language", "profanity_detected", "processing_status")
 

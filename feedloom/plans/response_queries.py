@@ -14,9 +14,18 @@ from feedloom.plans.dashboard_queries import rounded
 from feedloom.plans.registry import query
 
 
-EVENT = F.col("event_id")
-USER = F.col("user_id")
-VALUE = F.floor("value")
+def event() -> Column:
+    return F.col("event_id")
+
+
+def user() -> Column:
+    return F.col("user_id")
+
+
+def value() -> Column:
+    return F.floor("value")
+
+
 MODEL = [*R.MODEL_THEMES, "weather"]
 CUSTOMER = [*R.THEMES, "weather"]
 KINDS = [*R.ENTITY_TYPES, "weather"]
@@ -46,10 +55,10 @@ x as (select *, case when event_id % 17 = 0 then 'not a JSON object' when event_
 select event_id, error, case when error is null then score end::int as severity_score, case when error is null then sentiment end as sentiment, case when error is null then c end as sentiment_confidence,
  case when error is null then event_type || '=' || t end as themes from x""")
 def _(v):
-    themes = F.when(EVENT % 23 == 0, "[]").otherwise(text_of('[{"theme":"', F.col("event_type"), '","confidence":', tenth(EVENT % 13), "}]"))
+    themes = F.when(event() % 23 == 0, "[]").otherwise(text_of('[{"theme":"', F.col("event_type"), '","confidence":', tenth(event() % 13), "}]"))
     factors = F.when(F.col("event_type") == "view", '["", "x"]').otherwise(text_of('["', F.col("event_type"), '"]'))
-    good = text_of('{"themes":', themes, ',"sentiment":"', pick(["positive", "neutral", "negative", "angry"], USER), '","sentiment_confidence":', tenth(USER % 12), ',"severity_score":', VALUE % 7, ',"severity_factors":', factors)
-    raw = F.when(EVENT % 17 == 0, good).when(EVENT % 19 == 0, text_of(good, ',"extra":1}')).otherwise(text_of(good, "}"))
+    good = text_of('{"themes":', themes, ',"sentiment":"', pick(["positive", "neutral", "negative", "angry"], user()), '","sentiment_confidence":', tenth(user() % 12), ',"severity_score":', value() % 7, ',"severity_factors":', factors)
+    raw = F.when(event() % 17 == 0, good).when(event() % 19 == 0, text_of(good, ',"extra":1}')).otherwise(text_of(good, "}"))
     got = Q.parse_enrichment(v.events.select("event_id", raw.alias("raw_json")))
     named = F.array_join(F.transform("themes", lambda t: F.concat(t.theme, F.lit("="), t.confidence.cast("string"))), ",")
     return got.select("event_id", "error", "severity_score", "sentiment", "sentiment_confidence", named.alias("themes"))
@@ -66,7 +75,7 @@ def themes_of(*pairs):
 b as (select event_id, theme, max(c) as c from t where theme <> 'weather' and c >= 0.5 group by 1, 2), s as (select event_id, string_agg(theme || '=' || c, ',' order by c desc, theme) as themes from b group by 1)
 select e.event_id, coalesce(themes, 'other=1.0') as themes from events e left join s on s.event_id = e.event_id""")
 def _(v):
-    parsed = themes_of((pick(MODEL, USER), tenth(EVENT % 11)), (pick(MODEL, EVENT), tenth(USER % 11)), (pick(MODEL, USER), tenth(VALUE % 11)))
+    parsed = themes_of((pick(MODEL, user()), tenth(event() % 11)), (pick(MODEL, event()), tenth(user() % 11)), (pick(MODEL, user()), tenth(value() % 11)))
     got = F.transform(Q.select_themes(parsed), lambda t: F.concat(t.theme, F.lit("="), t.confidence.cast("string")))
     return v.events.select("event_id", F.array_join(got, ",").alias("themes"))
 
@@ -75,9 +84,9 @@ def _(v):
 x as (select *, nullif(given, '') as s, case when broken then 'unparseable answer' when c > 1 then 'confidence out of range' when given = 'angry' then 'unknown sentiment' when given <> '' and c is null then 'confidence missing' end as error from e)
 select event_id, case when error is null then coalesce(s, 'neutral') end as sentiment, case when error is null then coalesce(c, 0) end::double as confidence, case when error is null and s is null then 'sentiment missing' end as note, error from x""")
 def _(v):
-    sentiment = F.when(USER % 5 < 4, text_of('"sentiment":"', pick(["positive", "neutral", "negative", "angry", ""], USER), '"'))
-    confidence = F.when(EVENT % 7 != 0, text_of('"confidence":', tenth(EVENT % 13)))
-    whole = text_of("{", F.concat_ws(",", sentiment, confidence), F.when(EVENT % 29 == 0, "").otherwise("}"))
+    sentiment = F.when(user() % 5 < 4, text_of('"sentiment":"', pick(["positive", "neutral", "negative", "angry", ""], user()), '"'))
+    confidence = F.when(event() % 7 != 0, text_of('"confidence":', tenth(event() % 13)))
+    whole = text_of("{", F.concat_ws(",", sentiment, confidence), F.when(event() % 29 == 0, "").otherwise("}"))
     return v.events.select("event_id", Q.sentiment_rules(Q.variant(whole)).alias("s")).select("event_id", "s.*")
 
 
@@ -85,9 +94,9 @@ def _(v):
 x as (select *, case when k = 3 or k = 4 then 'score is no integer' when k in (0, 5) and n not between 1 and 5 then 'score out of range' end as error from e)
 select event_id, case when error is null then case when k in (1, 2) then 1 else n end end::int as score, case when k in (1, 2) then 'severity missing' end as note, error, case when error is null then f end as factors from x""")
 def _(v):
-    k = EVENT % 6
-    score = F.when(k == 1, '"score":null,').when(k == 2, "").when(k == 3, text_of('"score":"', VALUE % 8, '",')).when(k == 4, text_of('"score":', VALUE % 8, ".5,")).otherwise(text_of('"score":', VALUE % 8, ","))
-    raw = text_of("{", score, '"factors":[', F.when(USER % 3 > 0, text_of('"', F.col("event_type"), '",')).otherwise(""), '""]}')
+    k = event() % 6
+    score = F.when(k == 1, '"score":null,').when(k == 2, "").when(k == 3, text_of('"score":"', value() % 8, '",')).when(k == 4, text_of('"score":', value() % 8, ".5,")).otherwise(text_of('"score":', value() % 8, ","))
+    raw = text_of("{", score, '"factors":[', F.when(user() % 3 > 0, text_of('"', F.col("event_type"), '",')).otherwise(""), '""]}')
     got = v.events.select("event_id", raw.alias("raw")).select("event_id", Q.severity_rules(F.col("raw"), Q.variant("raw")).alias("s"))
     return got.select("event_id", "s.score", "s.note", "s.error", F.array_join("s.factors", ",").alias("factors"))
 
@@ -95,8 +104,8 @@ def _(v):
 @query("sentiment_score_rules", """with e as (select event_id, case when length(event_type) < 5 then 0 when event_id % 7 = 0 then 1 when event_id % 11 = 0 then 0 else greatest(-1, least(1, (cast(floor(value) as bigint) % 41 - 20)::double / 10)) end::double as score from events)
 select event_id, score, case when score > 0.2 then 'positive' when score < -0.2 then 'negative' else 'neutral' end as label from e""")
 def _(v):
-    n = tenth(VALUE % 41 - 20)
-    given = F.when(EVENT % 7 == 0, "true").when(EVENT % 11 == 0, text_of('"', n, '"')).otherwise(n.cast("string"))
+    n = tenth(value() % 41 - 20)
+    given = F.when(event() % 7 == 0, "true").when(event() % 11 == 0, text_of('"', n, '"')).otherwise(n.cast("string"))
     return v.events.select("event_id", Q.sentiment_score_rules(F.col("event_type"), Q.variant(text_of('{"score":', given, "}"))).alias("s")).select("event_id", "s.*")
 
 
@@ -108,8 +117,8 @@ s as (select event_id, theme, i, case when chosen is null then own when chosen <
 r as (select *, row_number() over (partition by event_id order by b desc, i) as r from s), p as (select event_id, max(case when r = 1 then theme end) as t1, max(case when r = 1 then b end) as b1, max(case when r = 2 then theme end) as t2, max(case when r = 2 then b end) as b2 from r group by 1)
 select e.event_id, case when b1 >= 0.3::double then t1 else 'unclassified' end as theme_primary, case when b2 >= 0.3::double then t2 end as theme_secondary, round(coalesce(b1, 0), 6)::double as confidence from e left join p on p.event_id = e.event_id""")
 def _(v):
-    themes = themes_of((pick(CUSTOMER, USER), tenth(EVENT % 11)), (pick(CUSTOMER, EVENT), tenth(VALUE % 13)))
-    got = v.events.select("event_id", Q.theme_blend(themes, F.when(EVENT % 3 == 0, pick(R.THEMES, EVENT))).alias("b"))
+    themes = themes_of((pick(CUSTOMER, user()), tenth(event() % 11)), (pick(CUSTOMER, event()), tenth(value() % 13)))
+    got = v.events.select("event_id", Q.theme_blend(themes, F.when(event() % 3 == 0, pick(R.THEMES, event()))).alias("b"))
     return rounded(got.select("event_id", "b.*"), "confidence")
 
 
@@ -124,10 +133,10 @@ w as (select *, case when kind = 'dollar_amount' then case when i = 1 then print
 select event_id, coalesce(string_agg(kind || '=' || plain, ';' order by i) filter (kind <> 'weather' and c >= 0.5 and plain is not null), '') as entities from w group by 1""")
 def _(v):
     entity = lambda kind, value, c: ('{"entity_type":"', kind, '","entity_value":"', value, '","confidence":', c, "}")
-    one, two = pick(KINDS, USER), pick(KINDS, EVENT)
+    one, two = pick(KINDS, user()), pick(KINDS, event())
     money = text_of("$ ", F.format_number(F.col("value").cast("decimal(12,2)"), 2))
-    first = entity(one, F.when(one == "dollar_amount", money).otherwise(text_of("  ", EVENT, " ")), tenth(EVENT % 11))
-    second = entity(two, F.expr("repeat(event_type, cast(user_id % 60 as int))"), tenth(USER % 11))
+    first = entity(one, F.when(one == "dollar_amount", money).otherwise(text_of("  ", event(), " ")), tenth(event() % 11))
+    second = entity(two, F.expr("repeat(event_type, cast(user_id % 60 as int))"), tenth(user() % 11))
     parsed = F.from_json(text_of("[", *first, ",", *second, "]"), "array<struct<entity_type:string,entity_value:string,confidence:double>>")
     got = Q.entity_rules(parsed)
     return v.events.select("event_id", F.array_join(F.transform(got, lambda e: F.concat(e.entity_type, F.lit("="), e.entity_value)), ";").alias("entities"))
@@ -136,9 +145,9 @@ def _(v):
 @query("location_rules", f"""with e as (select event_id, user_id, event_id % 2 = 0 and event_id % 7 <> 0 and user_id % 4 < 2 as whole, {in_sql(['tx', 'OH', 'Texas', ''], 'user_id')} as s from events)
 select event_id, case when whole then event_id::varchar else 'Charlotte' end as city, case when whole then upper(s) else 'NC' end as state, case when whole then 25.5 + user_id % 5 else 35 end::double as latitude, case when whole then -80.25 - user_id % 9 else -80 end::double as longitude from e""")
 def _(v):
-    latitude = text_of(USER % 5 + 25, ".5")
-    latitude = F.when(EVENT % 7 == 0, text_of('"', latitude, '"')).otherwise(latitude)
-    raw = text_of('{"mentioned":', EVENT % 2 == 0, ',"city":"', EVENT, '","state":"', pick(["tx", "OH", "Texas", ""], USER), '","latitude":', latitude, ',"longitude":', (-USER % 9 - 80), ".25}")
+    latitude = text_of(user() % 5 + 25, ".5")
+    latitude = F.when(event() % 7 == 0, text_of('"', latitude, '"')).otherwise(latitude)
+    raw = text_of('{"mentioned":', event() % 2 == 0, ',"city":"', event(), '","state":"', pick(["tx", "OH", "Texas", ""], user()), '","latitude":', latitude, ',"longitude":', (-user() % 9 - 80), ".25}")
     place = Q.location_rules(Q.variant(raw), "Charlotte", "NC", 35.0, -80.0)
     return v.events.select("event_id", place.alias("p")).select("event_id", "p.city", "p.state", "p.latitude", "p.longitude")
 

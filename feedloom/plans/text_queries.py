@@ -20,7 +20,10 @@ def _(v):
     return v.fb.select("feedback_id", text.clean_text("text").alias("cleaned"))
 
 
-@query("clean_pages")
+SPACE = r"[\t-\r \x{85}\p{Z}]"  # as (?U)\s
+
+
+@query("clean_pages", f"""select page_id, length(regexp_replace(regexp_replace(nfc_normalize(regexp_replace(html, '<[^>]*>', ' ', 'g')), '{SPACE}{{2,}}', ' ', 'g'), '^{SPACE}+|{SPACE}+$', '', 'g')) as n_chars from pages""")
 def _(v):
     return v.pages.select("page_id", F.length(text.clean_text("html")).cast("long").alias("n_chars"))
 

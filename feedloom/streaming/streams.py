@@ -21,9 +21,12 @@ def stream_ingest(raw: DataFrame, good: Callable[[DataFrame, int], None], reject
     """Validates each micro-batch once and hands good and rejected rows to their sinks."""
 
     def each(df: DataFrame, epoch: int) -> None:
-        checked = ingest_batch(df)
-        good(checked.where("reject_reason is null").drop("reject_reason"), epoch)
-        rejects(checked.where("reject_reason is not null"), epoch)
+        checked = ingest_batch(df).persist()  # two sinks read it
+        try:
+            good(checked.where("reject_reason is null").drop("reject_reason"), epoch)
+            rejects(checked.where("reject_reason is not null"), epoch)
+        finally:
+            checked.unpersist()
 
     return raw.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -75,7 +78,8 @@ def stream_clusters(rows: DataFrame, monitoring_days: int = 7, resolved_days: in
     """``rows(feedback_id, theme, ts, text, latitude, longitude)`` -> assignments as rows of kind
     ``assigned``; clusters that fall idle come as rows of kind ``monitoring`` and ``resolved``.
 
-    The state of a theme is its list of clusters; event time drives the idle steps, one a run.
+    The state of a theme is its list of clusters that are not resolved, which no record joins any
+    more; event time drives the idle steps, one a run.
     """
     marked = rows.withWatermark("ts", "1 hour")
 
@@ -102,9 +106,11 @@ def stream_clusters(rows: DataFrame, monitoring_days: int = 7, resolved_days: in
             elif c["status"] == "monitoring" and idle > resolved_days * 86_400_000:
                 c["status"] = "resolved"
                 out.append(("resolved", None, c["cluster_id"]))
-        state.update((json.dumps(leader.clusters),))
-        if any(c["status"] != "resolved" for c in leader.clusters):
+        if left := [c for c in leader.clusters if c["status"] != "resolved"]:
+            state.update((json.dumps(left),))
             state.setTimeoutTimestamp(max(now, 0) + 86_400_000)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["kind", "feedback_id", "cluster_id"]).astype({"feedback_id": "Int64"})
 
     return marked.groupBy("theme").applyInPandasWithState(

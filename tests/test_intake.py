@@ -56,7 +56,7 @@ def slow_language(t):
         return "und"
     best, name = 0.0, "und"
     for lang, hints in R.LANGUAGE_HINTS.items():
-        score = len(words & set(hints.split())) / len(words)
+        score = len(words & set(hints)) / len(words)
         if score > best:
             best, name = score, lang
     return name if best >= 0.1 else "und"
