@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,8 @@ GRADES = 3
 FIT_ROWS = 20_000
 #: Weight of the absolute-value penalty and steps of the fit.
 PENALTY, STEPS = 5e-5, 400
+#: Features that a fit begins with, and how often it may take in more.
+FIRST, ROUNDS = 2048, 10
 
 
 @dataclass
@@ -48,28 +51,58 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit_ordinal(row: np.ndarray, col: np.ndarray, n: int, features: int, grade: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds of highest penalised likelihood, by accelerated proximal steps.
+    """Weights and thresholds of highest penalised likelihood.  ``row``, ``col`` are the features
+    that are present.
 
-    ``row``, ``col`` are the features that are present.  A step is scaled for each feature by
-    how many rows have it.
+    The fit begins with the ``FIRST`` features that tell best and takes in those that pull harder
+    than the penalty at its end, until there are none: what is outside then has weight 0.
     """
+    weight, count = np.zeros(features), np.bincount(col, minlength=features)
     share = np.array([(grade >= k).mean() for k in range(1, top + 1)]).clip(1e-4, 1 - 1e-4)
     theta = np.log((1 - share) / share)
-    weight = np.zeros(features)
+    seen = np.bincount(col, weights=(grade > 0)[row].astype(float), minlength=features)
+    rate = np.log((seen + 0.5) / (share[0] * n + 1)) - np.log((count - seen + 0.5) / ((1 - share[0]) * n + 1))
+    active = np.zeros(features, bool)
+    active[np.argsort(-np.abs(rate) * np.sqrt(count), kind="stable")[:FIRST]] = True
+    for _ in range(ROUNDS):
+        own = active[col]
+        names = np.flatnonzero(active)
+        part, theta = _fit(row[own], np.searchsorted(names, col[own]), n, weight[names], theta, grade, top)
+        weight = np.zeros(features)
+        weight[names] = part
+        margin = np.bincount(row[own], weights=weight[col[own]], minlength=n)
+        pull = _pull(margin, theta, grade)[0]
+        slope = np.bincount(col, weights=pull[row], minlength=features) / n
+        more = ~active & (np.abs(slope) > 1.01 * PENALTY)
+        if not more.any():
+            break
+        active |= more
+    return weight, theta
+
+
+def _pull(margin: np.ndarray, theta: np.ndarray, grade: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slope of each row's log-likelihood along its margin, P(y >= k), and P(y = grade)."""
+    n = len(margin)
+    reach = np.column_stack([np.ones(n), sigmoid(margin[:, None] - theta), np.zeros(n)])
+    here, above = reach[np.arange(n), grade], reach[np.arange(n), grade + 1]
+    return 1 - here - above, reach, np.maximum(here - above, 1e-12)
+
+
+def _fit(row: np.ndarray, col: np.ndarray, n: int, weight: np.ndarray, theta: np.ndarray, grade: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """By accelerated proximal steps from ``weight`` and ``theta``; a step is scaled for each
+    feature by how many rows have it."""
+    features, theta = len(weight), theta.copy()
     count = np.bincount(col, minlength=features)
     widest = max(1.0, np.bincount(row, minlength=n).mean() * 2) if len(row) else 1.0
     step = 4.0 / np.maximum(count / n * widest, 1e-9)
     at, last, pace = weight, weight, 1.0
-    each = np.arange(n)
     for _ in range(STEPS):
         margin = np.bincount(row, weights=at[col], minlength=n)
-        reach = np.column_stack([np.ones(n), sigmoid(margin[:, None] - theta), np.zeros(n)])
-        here, above = reach[each, grade], reach[each, grade + 1]
-        pull = 1 - here - above  # of log P(y = grade) along the margin
+        pull, reach, chance = _pull(margin, theta, grade)
         slope = np.bincount(col, weights=pull[row], minlength=features) / n
         moved = at + step * slope
         weight = np.sign(moved) * np.maximum(np.abs(moved) - step * PENALTY, 0)
-        density, chance = reach * (1 - reach), np.maximum(here - above, 1e-12)
+        density = reach * (1 - reach)
         for k in range(1, top + 1):
             push = np.where(grade == k, -density[:, k] / chance, 0) + np.where(grade == k - 1, density[:, k] / chance, 0)
             theta[k - 1] += push.mean() / max(density[:, k].mean(), 1e-3) * 0.5
@@ -118,18 +151,20 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ordin
     if not toxic or toxic == total:
         return OrdinalModel()
     seen = rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    names = sorted(bytes(r[0]) for r in seen.where(F.col("n") > PENALTY * total).select("word").collect())
-    kept = rows.select("toxic", feature_numbers(names)("words").alias("features"))
-    got = sorted((r[0], list(r[1])) for r in kept.collect())
-    y = np.array([t for t, _ in got])
-    row = np.repeat(np.arange(len(got)), [len(w) for _, w in got])
-    col = np.array([k for _, w in got for k in w], np.int64)
-    weight, _ = fit_ordinal(row, col, len(got), len(names), y, 1)
-    margin = np.bincount(row, weights=weight[col], minlength=len(got))
+    names = sorted(seen.where(F.col("n") > PENALTY * total).select("word").toArrow().column("word").to_pylist())
+    # numbers in arrays, not objects: the rows are bounded, and so is what the driver holds
+    kept = rows.select("doc_id", "toxic", feature_numbers(names)("words").alias("features")).toArrow().sort_by("doc_id")
+    y = kept.column("toxic").to_numpy()
+    lists = kept.column("features").combine_chunks()
+    row = np.repeat(np.arange(len(y)), pc.list_value_length(lists).to_numpy())
+    col = lists.flatten().to_numpy().astype(np.int64)
+    del kept, lists
+    weight, _ = fit_ordinal(row, col, len(y), len(names), y, 1)
+    margin = np.bincount(row, weights=weight[col], minlength=len(y))
     cuts = np.quantile(margin[y == 1], [1 / 3, 2 / 3])
     grade = np.where(y == 1, 1 + np.searchsorted(cuts, margin, side="right"), 0)
-    weight, theta = fit_ordinal(row, col, len(got), len(names), grade, GRADES)
-    margin = np.bincount(row, weights=weight[col], minlength=len(got))
+    weight, theta = fit_ordinal(row, col, len(y), len(names), grade, GRADES)
+    margin = np.bincount(row, weights=weight[col], minlength=len(y))
     cut = best_cut(margin, y == 1)
     return OrdinalModel({w: float(v) for w, v in zip(names, weight) if v}, theta, float(sigmoid(np.array(cut - theta[0]))))
 

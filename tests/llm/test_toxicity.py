@@ -111,3 +111,19 @@ def test_own_columns_stay(spark):
     out = X.accepted(docs, labels)
     assert out.columns == docs.columns
     assert {r.doc_id for r in out.collect()} == {*range(0, 20, 2), None}
+
+
+def test_no_word_outside_pulls_harder(monkeypatch):
+    """Begun with few features, the fit ends where one of all of them does."""
+    rng = np.random.default_rng(6)
+    n, features = 1500, 60
+    x = rng.random((n, features)) < 0.2
+    true = np.where(np.arange(features) < 8, rng.normal(size=features) * 2, 0)
+    grade = (X.sigmoid((x @ true)[:, None] - np.array([0.5, 1.5, 3])) > rng.random((n, 1))).sum(axis=1)
+    row, col = np.nonzero(x)
+    monkeypatch.setattr(X, "PENALTY", 0.004)
+    whole = X.fit_ordinal(row, col, n, features, grade, 3)
+    monkeypatch.setattr(X, "FIRST", 4)
+    part = X.fit_ordinal(row, col, n, features, grade, 3)
+    assert np.abs(whole[0] - part[0]).max() < 0.02 and np.abs(whole[1] - part[1]).max() < 0.02
+    assert 8 <= np.count_nonzero(part[0]) < features
