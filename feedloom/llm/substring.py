@@ -7,11 +7,12 @@ Jaccard similarity of their shingle sets, and the components of the verified lin
 paragraphs of their first document.  A passage may also stand inside longer text, so rolling
 paragraphs are compared as well: blocks of ``BLOCK`` words that begin at the smallest shingle hash
 of any ``WINDOW`` neighbouring shingles (a one-row band over each rolling window).  Each passage of
-at least BLOCK + WINDOW - 1 = 51 words has such a block inside it wherever it stands.  Blocks are
-equal if two 64-bit hashes are.  A run of touching blocks of earlier documents is a repeated
-passage if it has over ``LONG`` words; elsewhere the words around a block decide: each window of
-LONG + 1 words that holds it is looked for in the other documents, too.  So what is cut has over
-``LONG`` words, each of them in a block or window that stands in an earlier document.
+at least BLOCK + WINDOW - 1 = 51 words has such a block inside it wherever it stands.  Blocks meet
+by a 64-bit hash, and none is cut by that alone: a run of touching blocks of earlier documents is a
+repeated passage if it has over ``LONG`` words, which takes several of them; elsewhere the words
+around a block decide, by a byte of each: each window of LONG + 1 words that holds it is looked for
+in the other documents, too.  So what is cut has over ``LONG`` words, each of them in a block or
+window that stands in an earlier document.
 
 Documents are compared with each other: what one document repeats inside itself stays.
 """
@@ -143,13 +144,11 @@ class Chunk:
             within = doc_of[:n] == doc_of[SHINGLE - 1 :] if n else np.zeros(0, bool)
             at = anchors(np.where(within, shingle, np.uint64(2**64 - 1)))
             at = at[at + BLOCK <= ends[doc_of[at]]]
-            keys = []
-            for base in (_ROOT, _OTHER):
-                key = np.zeros(len(at), np.uint64)
-                for k, p in enumerate(_powers(BLOCK, base)):
-                    key += _mix(word[at + k] ^ base) * p
-                keys.append(_mix(key).view(np.int64))
-            lists["blocks"] = _list(np.bincount(doc_of[at], minlength=len(ends)), {"pos": at - starts[doc_of[at]], "key": keys[0], "check": keys[1]})
+            key = np.zeros(len(at), np.uint64)
+            for k, p in enumerate(_powers(BLOCK)):
+                key += word[at + k] * p
+            key = _mix(key)
+            lists["blocks"] = _list(np.bincount(doc_of[at], minlength=len(ends)), {"pos": at - starts[doc_of[at]], "key": key.view(np.int64)})
             line = np.array(self.lines, np.int64).reshape(-1, 4)
             per = np.bincount(line[:, 0], minlength=len(ends))
             size = line[:, 3] - line[:, 2] - SHINGLE + 1
@@ -171,14 +170,12 @@ class Chunk:
                 whole, check = (_mix(np.add.reduceat(_mix(chosen + place_in ^ base), edge[:-1]) + size.astype(np.uint64)) for base in (_ROOT, _OTHER))
         first, after = line[:, 2] - starts[line[:, 0]], line[:, 3] - starts[line[:, 0]]
         lists["paragraphs"] = _list(per, {"line": line[:, 1].astype(np.int32), "first": first, "after": after, "whole": whole.view(np.int64), "check": check.view(np.int64), "bands": _nested(np.full(len(line), bands), band.view(np.int64).ravel())})
-        where, value = np.repeat(np.arange(len(line)), size), chosen.view(np.int64)
-        order = np.lexsort((value, where))
-        where, value = where[order], value[order]
-        first_of = np.r_[True, (where[1:] != where[:-1]) | (value[1:] != value[:-1])][: len(where)]
-        sizes = np.bincount(where[first_of], minlength=len(line))
-        lists["sets"] = _list(per, {"line": line[:, 1].astype(np.int32), "shingles": _nested(sizes, value[first_of])})
-        # two bytes a word, to compare the words around a block
-        short = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.r_[0, 2 * ends].astype(np.int32).tobytes()), pa.py_buffer((word >> np.uint64(48)).astype("<u2").tobytes())])
+        # four bytes a shingle: sets of all paragraphs are the largest table here
+        own = np.unique(np.repeat(np.arange(len(line), dtype=np.uint64), size) << np.uint64(32) | (chosen >> np.uint64(32)))
+        sizes = np.bincount((own >> np.uint64(32)).astype(np.int64), minlength=len(line))
+        lists["sets"] = _list(per, {"line": line[:, 1].astype(np.int32), "shingles": _nested(sizes, own.astype(np.uint32).view(np.int32))})
+        # one byte a word, to compare the words around a block
+        short = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32).tobytes()), pa.py_buffer((word >> np.uint64(56)).astype(np.uint8).tobytes())])
         arrays = [pa.array(self.ids, pa.int64()), pa.array(ends - starts), short, lists["blocks"], lists["paragraphs"], lists["sets"]]
         return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "words", "blocks", "paragraphs", "sets"])
 
@@ -193,9 +190,9 @@ def _list(sizes: np.ndarray, columns: dict) -> pa.ListArray:
 
 
 PROFILE = (
-    "doc_id long, n_words long, words binary, blocks array<struct<pos:long,key:long,check:long>>,"
+    "doc_id long, n_words long, words binary, blocks array<struct<pos:long,key:long>>,"
     "paragraphs array<struct<line:int,first:long,after:long,whole:long,check:long,bands:array<long>>>,"
-    "sets array<struct<line:int,shingles:array<long>>>"
+    "sets array<struct<line:int,shingles:array<int>>>"
 )
 
 
@@ -214,7 +211,7 @@ def _profiler(bands: int, rows: int, long: int = LONG):
     return profile
 
 
-RUNS = "struct<sure:array<struct<first:long,after:long,other:long>>,doubtful:array<struct<key:long,check:long>>>"
+RUNS = "struct<sure:array<struct<first:long,after:long,other:long>>,doubtful:array<struct<key:long>>>"
 
 
 def _runs(long: int):
@@ -228,7 +225,7 @@ def _runs(long: int):
     def runs(blocks: pa.Array) -> pa.Array:
         out = []
         for row in blocks.to_pylist():
-            row = sorted((x["pos"], x["key"], x["check"], x["other"]) for x in row)
+            row = sorted((x["pos"], x["key"], x["other"]) for x in row)
             groups: list[list[tuple]] = []
             for x in row:
                 if not groups or groups[-1][-1][0] + BLOCK < x[0]:
@@ -236,12 +233,12 @@ def _runs(long: int):
                 groups[-1].append(x)
             sure, doubtful = [], []
             for g in groups:
-                if g[-1][0] + BLOCK - g[0][0] > long and len({x[1:3] for x in g}) == len(g):
-                    sure.append({"first": g[0][0], "after": g[-1][0] + BLOCK, "other": g[0][3]})
+                if g[-1][0] + BLOCK - g[0][0] > long and len({x[1] for x in g}) == len(g):
+                    sure.append({"first": g[0][0], "after": g[-1][0] + BLOCK, "other": g[0][2]})
                 else:
-                    doubtful += [{"key": k, "check": c} for k, c in sorted({x[1:3] for x in g})]
+                    doubtful += [{"key": k} for k in sorted({x[1] for x in g})]
             out.append({"sure": sure, "doubtful": doubtful})
-        kinds = [pa.list_(pa.struct([(c, pa.int64()) for c in names])) for names in (("first", "after", "other"), ("key", "check"))]
+        kinds = [pa.list_(pa.struct([(c, pa.int64()) for c in names])) for names in (("first", "after", "other"), ("key",))]
         return pa.array(out, pa.struct(list(zip(("sure", "doubtful"), kinds))))
 
     return runs
@@ -251,7 +248,7 @@ NEAR = "array<struct<pos:long,key:long,lead:int,near:binary>>"
 
 
 def _contexts(long: int):
-    """UDF: a document's words (two bytes each) and shared blocks -> each block with the words
+    """UDF: a document's words (one byte each) and shared blocks -> each block with the words
     that a window of long + 1 words around it may have, and how many of them lead it."""
     reach = long + 1 - BLOCK
 
@@ -262,7 +259,7 @@ def _contexts(long: int):
             word, one = w.as_py(), []
             for x in row:
                 lo = max(0, x["pos"] - reach)
-                one.append({**x, "lead": x["pos"] - lo, "near": word[2 * lo : 2 * (x["pos"] + BLOCK + reach)]})
+                one.append({**x, "lead": x["pos"] - lo, "near": word[lo : x["pos"] + BLOCK + reach]})
             out.append(one)
         return pa.array(out, pa.list_(pa.struct([("pos", pa.int64()), ("key", pa.int64()), ("lead", pa.int32()), ("near", pa.binary())])))
 
@@ -279,7 +276,7 @@ def _windows(long: int):
         out = []
         with np.errstate(over="ignore"):
             for first, w in zip(lead.to_pylist(), near):
-                word = np.frombuffer(w.as_py(), "<u2").astype(np.uint64) + np.uint64(1)
+                word = np.frombuffer(w.as_py(), np.uint8).astype(np.uint64) + np.uint64(1)
                 hashes = []
                 if len(word) >= width:
                     each = np.lib.stride_tricks.sliding_window_view(_mix(word), width)
@@ -294,16 +291,16 @@ def _passages(profiles: DataFrame, long: int) -> DataFrame:
     """(doc_id, first, after, other): passages of over ``long`` words that a document with a
     smaller id has too."""
     blocks = profiles.select("doc_id", F.inline("blocks"))
-    shared = blocks.groupBy("key", "check").agg(F.min("doc_id").alias("other"), F.max("doc_id").alias("_last")).where("other < _last").drop("_last")
+    shared = blocks.groupBy("key").agg(F.min("doc_id").alias("other"), F.max("doc_id").alias("_last")).where("other < _last").drop("_last")
     shared = materialize(shared, "shared-blocks")  # the join then reads plain shuffles, which split where a key is frequent
     # a document with the smallest id is no repeat, but its words may be asked for
-    met = materialize(blocks.join(shared, ["key", "check"]).select("doc_id", "pos", "key", "check", "other"), "met-blocks")
+    met = materialize(blocks.join(shared, "key").select("doc_id", "pos", "key", "other"), "met-blocks")
     later = met.where("doc_id > other")
-    told = later.groupBy("doc_id").agg(_runs(long)(F.collect_list(F.struct("pos", "key", "check", "other"))).alias("r"))
+    told = later.groupBy("doc_id").agg(_runs(long)(F.collect_list(F.struct("pos", "key", "other"))).alias("r"))
     told = materialize(told.select("doc_id", "r.*"), "runs")
     sure = told.select("doc_id", F.inline("sure"))
     doubtful = materialize(told.select(F.inline("doubtful")).distinct(), "doubtful-blocks")
-    asked = met.join(doubtful, ["key", "check"], "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "key")).alias("blocks"))
+    asked = met.join(doubtful, "key", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "key")).alias("blocks"))
     near = profiles.select("doc_id", "words").join(asked, "doc_id").select("doc_id", F.inline(_contexts(long)("words", "blocks")))
     near = materialize(near, "contexts")
     # copies of a passage have equal words around the block: a context is looked at once
