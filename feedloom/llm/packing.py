@@ -19,11 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedloom.llm.common import collected, materialize, release, table
+from feedloom.llm.common import materialize, release, table
 
 CAPACITY = 4096
 END_ID = 1
@@ -94,9 +95,6 @@ class WordTokens(dict):
         return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
 
 
-_tokens: dict[str, WordTokens] = {}
-
-
 def _piece_arrays(texts: pa.Array, encode, capacity: int, keep_ids: bool) -> Iterator[pa.Array]:
     """Lists of pieces of the texts, in parts of bounded size."""
     end = array("I", [END_ID]).tobytes()
@@ -124,18 +122,24 @@ def _piece_arrays(texts: pa.Array, encode, capacity: int, keep_ids: bool) -> Ite
     release()
 
 
-def cut(tokenizer: str, capacity: int, keep_ids: bool):
-    """UDF: text -> its pieces.  A text's ids end with ``END_ID``; only what is longer than the
-    capacity is cut.  A null text is an empty one."""
-    kind = pa.list_(pa.struct(list(zip(PIECES.elementType.fieldNames(), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())))))
+def _cutter(tokenizer: str, capacity: int, keep_ids: bool):
+    """Rows (doc_id, text) -> a row per piece.  A text's ids end with ``END_ID``; only what is
+    longer than the capacity is cut.  A null text is an empty one.  The tokenizer and its words
+    are the task's own and go with it, so a worker that is reused stays small."""
+    names = [f for f in PIECES.elementType.fieldNames() if keep_ids or f != "ids"]
 
-    @F.arrow_udf(PIECES)
-    def pieces(text: pa.Array) -> pa.Array:
-        if tokenizer not in _tokens:
-            _tokens[tokenizer] = WordTokens(tokenizer)
-        return collected(_piece_arrays(text, _tokens[tokenizer].encode, capacity, keep_ids), kind)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = None
+        for b in batches:
+            words, at = words or WordTokens(tokenizer), 0
+            for part in _piece_arrays(b.column("text"), words.encode, capacity, keep_ids):
+                doc = b.column("doc_id").slice(at, len(part)).take(pc.list_parent_indices(part))
+                at += len(part)
+                yield pa.RecordBatch.from_arrays([doc, *part.flatten().flatten()[: len(names)]], ["doc_id", *names])
+        del words
+        release()
 
-    return pieces
+    return cut
 
 
 class OpenBins:
@@ -255,9 +259,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ke
     that token, as the tokenizer has it.  Repeated rows are packed each; a null doc_id is kept.
     An empty table gives an empty table; further columns are left out.
     """
-    pieces = docs.select("doc_id", F.inline(cut(tokenizer, capacity, keep_ids)("text")))
-    if not keep_ids:
-        pieces = pieces.drop("ids")
+    fields = [f for f in PIECES.elementType.fields if keep_ids or f.name != "ids"]
+    schema = T.StructType([docs.schema["doc_id"], *fields])
+    pieces = docs.select("doc_id", "text").mapInArrow(_cutter(tokenizer, capacity, keep_ids), schema)
     return pack(materialize(pieces, "pieces"), capacity)
 
 
