@@ -30,7 +30,7 @@ CAPACITY = 4096
 END_ID = 1
 #: Bytes of a worker's word cache before it starts anew, what an entry takes beside its letters,
 #: and letters of the longest chunk that is kept.
-CACHE, ENTRY, KEPT = 24 << 20, 200, 64
+CACHE, ENTRY, KEPT = 40 << 20, 200, 64
 #: Texts that are cut at once, and bytes of ids after which they are handed on.
 ROWS, IDS = 64, 1 << 20
 #: Byte-level BPE's letter for each byte: itself if printable Latin-1, else from U+0100 on.
