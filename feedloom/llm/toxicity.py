@@ -22,8 +22,9 @@ from feedloom.llm.common import WORDS, collected, hashed_sample, materialize, sl
 GRADES = 3
 #: Labelled rows that the model is fitted on, chosen by hash of the id: the only bounded part.
 FIT_ROWS = 20_000
-#: Weight of the absolute-value penalty and steps of the fit.
-PENALTY, STEPS = 5e-5, 400
+#: Weight of the absolute-value penalty, most steps of the fit, and the share of the loss that
+#: ``PATIENCE`` steps must take off for its last round to go on.
+PENALTY, STEPS, GAIN, PATIENCE = 5e-5, 400, 1e-5, 20
 #: Features that a fit begins with, and how often it may take in more.
 FIRST, ROUNDS = 2048, 10
 
@@ -55,7 +56,8 @@ def fit_ordinal(row: np.ndarray, col: np.ndarray, n: int, features: int, grade:
     that are present.
 
     The fit begins with the ``FIRST`` features that tell best and takes in those that pull harder
-    than the penalty at its end, until there are none: what is outside then has weight 0.
+    than the penalty at its end, until there are none: what is outside then has weight 0.  What
+    ends with weight 0 leaves, and comes back if it pulls.  The first rounds end early.
     """
     weight, count = np.zeros(features), np.bincount(col, minlength=features)
     share = np.array([(grade >= k).mean() for k in range(1, top + 1)]).clip(1e-4, 1 - 1e-4)
@@ -64,22 +66,37 @@ def fit_ordinal(row: np.ndarray, col: np.ndarray, n: int, features: int, grade:
     rate = np.log((seen + 0.5) / (share[0] * n + 1)) - np.log((count - seen + 0.5) / ((1 - share[0]) * n + 1))
     active = np.zeros(features, bool)
     active[np.argsort(-np.abs(rate) * np.sqrt(count), kind="stable")[:FIRST]] = True
-    for _ in range(ROUNDS):
+    for k in range(ROUNDS):
+        gain = max(GAIN, 0.01 ** (k + 1))
         own = active[col]
         names = np.flatnonzero(active)
-        part, theta = _fit(row[own], np.searchsorted(names, col[own]), n, weight[names], theta, grade, top)
+        part, theta = _fit(row[own], np.searchsorted(names, col[own]), n, weight[names], theta, grade, top, gain)
         weight = np.zeros(features)
         weight[names] = part
         margin = np.bincount(row[own], weights=weight[col[own]], minlength=n)
         pull = _pull(margin, theta, grade)[0]
         slope = np.bincount(col, weights=pull[row], minlength=features) / n
         more = ~active & (np.abs(slope) > 1.01 * PENALTY)
-        if not more.any():
+        if gain == GAIN and not more.any():
             break
-        active |= more
+        active = (weight != 0) | more
     return weight, theta
 
 
+def _groups(key: np.ndarray, n: int):
+    """Order of the entries by key, and a function that sums values in that order for each key."""
+    order, size = np.argsort(key, kind="stable"), np.bincount(key, minlength=n)
+    some, first = size > 0, np.cumsum(size) - size
+
+    def sums(values: np.ndarray) -> np.ndarray:
+        out = np.zeros(n)
+        if len(values):
+            out[some] = np.add.reduceat(values, first[some])
+        return out
+
+    return order, sums
+
+
 def _pull(margin: np.ndarray, theta: np.ndarray, grade: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Slope of each row's log-likelihood along its margin, P(y >= k), and P(y = grade)."""
     n = len(margin)
@@ -88,18 +105,24 @@ def _pull(margin: np.ndarray, theta: np.ndarray, grade: np.ndarray) -> tuple[np.
     return 1 - here - above, reach, np.maximum(here - above, 1e-12)
 
 
-def _fit(row: np.ndarray, col: np.ndarray, n: int, weight: np.ndarray, theta: np.ndarray, grade: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+def _fit(row: np.ndarray, col: np.ndarray, n: int, weight: np.ndarray, theta: np.ndarray, grade: np.ndarray, top: int, gain: float) -> tuple[np.ndarray, np.ndarray]:
     """By accelerated proximal steps from ``weight`` and ``theta``; a step is scaled for each
-    feature by how many rows have it."""
+    feature by how many rows have it.  Ends when ``PATIENCE`` steps take less than the share
+    ``gain`` off the penalised loss."""
     features, theta = len(weight), theta.copy()
     count = np.bincount(col, minlength=features)
     widest = max(1.0, np.bincount(row, minlength=n).mean() * 2) if len(row) else 1.0
     step = 4.0 / np.maximum(count / n * widest, 1e-9)
-    at, last, pace = weight, weight, 1.0
+    by_row, row_sums = _groups(row, n)
+    by_col, col_sums = _groups(col, features)
+    col_of, row_of = col[by_row], row[by_col]
+    at, last, pace, losses = weight, weight, 1.0, []
     for _ in range(STEPS):
-        margin = np.bincount(row, weights=at[col], minlength=n)
-        pull, reach, chance = _pull(margin, theta, grade)
-        slope = np.bincount(col, weights=pull[row], minlength=features) / n
+        pull, reach, chance = _pull(row_sums(at[col_of]), theta, grade)
+        losses.append(PENALTY * np.abs(at).sum() - np.log(chance).mean())
+        if len(losses) > 2 * PATIENCE and min(losses[-PATIENCE:]) > (1 - gain) * min(losses[:-PATIENCE]):
+            break
+        slope = col_sums(pull[row_of]) / n
         moved = at + step * slope
         weight = np.sign(moved) * np.maximum(np.abs(moved) - step * PENALTY, 0)
         density = reach * (1 - reach)
