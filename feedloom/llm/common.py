@@ -26,8 +26,13 @@ WORDS = bytes(
 #: Words of a text from the first to the one before ``after``.
 SPAN = T.StructType([T.StructField("first", T.LongType()), T.StructField("after", T.LongType())])
 
-#: What Spark hands to a Python worker at once while a table is written here: rows and bytes.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+#: While a table is written here: what Spark hands to a Python worker at once, rows and bytes, and
+#: rows that a scan holds as columns, which are whole texts or lists of all their words.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": 2000,
+    "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20,
+    "spark.sql.parquet.columnarReaderBatchSize": 512,
+}
 #: Bytes of a row group that a writing task holds in memory.
 ROW_GROUP = 16 << 20
 

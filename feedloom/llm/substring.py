@@ -454,6 +454,7 @@ def _repeats(docs: DataFrame, mark: str, long: int) -> DataFrame:
     lines = places.join(classes, "id").select("id.doc_id", "first", "after", F.col("component.doc_id").alias("other"))
     found = materialize(passages.union(lines), "repeats")
     spans = found.groupBy("doc_id").agg(merged(F.collect_set(F.struct("first", "after"))).alias("spans"))
+    spans = materialize(spans, "spans")  # a task that cuts texts, too, would take a second Python worker
     of_doc = connected_components(found.select(F.col("doc_id").alias("a"), F.col("other").alias("b")))
     whole = profiles.groupBy("doc_id").agg(F.max("n_words").alias("n_words"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x.after - x.first)
