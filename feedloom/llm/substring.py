@@ -207,6 +207,8 @@ def _profiler(bands: int, rows: int, long: int = LONG):
                     chunk = Chunk(long)
         if chunk.ids:
             yield chunk.rows(bands, rows)
+        del chunk
+        release()
 
     return profile
 
