@@ -172,3 +172,16 @@ def merged(spans: pa.Array) -> pa.Array:
     for row in spans.to_pylist():
         out.append([{"first": a, "after": b} for a, b in joined_spans((x["first"], x["after"]) for x in row or [])])
     return pa.array(out, pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())])))
+
+
+#: DuckDB: a CTE with the 256 steps of CRC-32, and the unsigned CRC-32 of a text's UTF-8 bytes by it.
+CRC_STEPS_SQL = """crc_steps as (
+  select list(c order by k) as steps from (
+    select k, list_reduce(list_prepend(k::ubigint, range(8)::ubigint[]), lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c
+    from (select unnest(range(256)) as k)))"""
+
+
+def crc_sql(text: str) -> str:
+    """DuckDB: the unsigned CRC-32 of ``text``, where ``crc_steps`` is among the tables."""
+    octets = f"list_transform(range(1, len(hex({text})) + 1, 2), lambda k: ('0x' || substr(hex({text}), k, 2))::ubigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::ubigint, {octets}), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255)::bigint + 1])), 4294967295)"
