@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from feedloom.llm.decontam import OP1_SQL, op1_benchmark_decontamination
+from feedloom.llm.lexical import OP13_SQL, op13_ranked_lexical_search
 from feedloom.llm.licenses import op7_license_scans
 from feedloom.llm.multiindex import OP6_SQL, op6_embedding_near_dedup
+from feedloom.llm.ngramratio import OP11_SQL, op11_quality_rules
 from feedloom.llm.packing import op10_best_fit_packing
+from feedloom.llm.resampling import OP12_SQL, op12_importance_resampling
 from feedloom.llm.simhash import op5_simhash_near_dedup
 from feedloom.llm.substring import op3_substring_dedup
 from feedloom.llm.tokencount import op8_token_counts
@@ -24,10 +27,16 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_warc": op9_warc,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_ranked_lexical_search": op13_ranked_lexical_search,
 }
 
 ORACLE: dict[str, str] = {
     "op1_benchmark_decontamination": OP1_SQL,
     "op6_embedding_near_dedup": OP6_SQL,
     "op9_warc": OP9_SQL,
+    "op11_quality_rules": OP11_SQL,
+    "op12_importance_resampling": OP12_SQL,
+    "op13_ranked_lexical_search": OP13_SQL,
 }
