@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions.text import fnv_bucket, tokenize
+from feedloom.operators.similarity import pairs_over
 from feedloom.sources.shared import write_and_read
 
 
@@ -25,31 +26,10 @@ def similarity_pairs(texts: DataFrame, threshold: float, buckets: int = 256) ->
     """Pairs (a, b, cosine) of representatives with cosine at least ``threshold``.
 
     Texts with equal counts are one representative, their smallest id; the rest follows from
-    ``same_vector``.  Buckets have one order, the rarest first.  A representative's prefix are its
-    first buckets up to where the rest has a norm below the threshold: two over the threshold
-    have their first common bucket in both prefixes.  So representatives meet there, as ids with
-    their prefixes, once for each pair; the vectors are joined to the pairs that met.
+    ``same_vector``.  Texts without tokens are on no pair.
     """
-    vectors = same_vector(texts, buckets).select("rep", "tf").distinct().where(F.size("tf") > 0)
-    norm = F.sqrt(F.aggregate("tf", F.lit(0.0), lambda s, x: s + x.n.cast("double") * x.n))
-    unit = F.transform("tf", lambda x: F.struct(x.bucket.alias("bucket"), (x.n / F.col("norm")).alias("w")))
-    units = write_and_read(vectors.withColumn("norm", norm).select("rep", unit.alias("u")), "unit-vectors")
-    common = units.select(F.explode("u.bucket").alias("bucket")).groupBy("bucket").count().orderBy("count", "bucket").collect()  # a row a bucket
-    place = {r.bucket: k for k, r in enumerate(common)}
-    rank = F.array(*[F.lit(place.get(k, buckets)) for k in range(buckets)])
-    ordered = F.array_sort(F.transform("u", lambda x: F.struct(F.get(rank, x.bucket).alias("rank"), x.w.alias("w"))))
-    start = F.struct(F.lit(1.0).alias("rest"), F.array().cast("array<int>").alias("p"))
-    grow = lambda acc, x: F.when(
-        acc.rest >= threshold * threshold - 1e-12, F.struct((acc.rest - x.w * x.w).alias("rest"), F.concat(acc.p, F.array(x["rank"])).alias("p"))
-    ).otherwise(acc)
-    prefixed = units.select("rep", F.aggregate(ordered, start, grow).p.alias("p"))
-    side = lambda s: prefixed.select(F.explode("p").alias("rank"), F.col("rep").alias(s), F.col("p").alias(f"p_{s}"))
-    met = side("a").join(side("b"), "rank").where("a < b").where(F.array_min(F.array_intersect("p_a", "p_b")) == F.col("rank")).select("a", "b")
-    met = write_and_read(met, "met-pairs")
-    of = lambda s: units.select(F.col("rep").alias(s), F.map_from_entries("u").alias(f"u_{s}"))
-    cosine = F.aggregate(F.map_entries("u_a"), F.lit(0.0), lambda s, x: s + x.value * F.coalesce(F.element_at("u_b", x.key), F.lit(0.0)))
-    both = met.join(of("a"), "a").join(of("b"), "b")
-    return both.select("a", "b", F.least(F.lit(1.0), cosine).alias("cosine")).where(F.col("cosine") >= threshold - 1e-12)
+    vectors = same_vector(texts, buckets).where(F.col("id") == F.col("rep")).select("rep", "tf").where(F.size("tf") > 0)
+    return pairs_over(write_and_read(vectors.dropDuplicates(["rep"]), "vectors"), threshold, buckets)
 
 
 def same_vector(texts: DataFrame, buckets: int = 256) -> DataFrame:
@@ -77,7 +57,7 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         hung = around.where("near > id").join(least, "id").select(F.col("near").alias("big"), F.col("least").alias("small")).distinct()
         hung = write_and_read(hung, "links")
         roots = write_and_read(hung.groupBy("big").agg(F.min("small").alias("root")), "roots")
-        moved = hung.join(roots, "big").where("small <> root").select(F.col("small").alias("big"), F.col("root").alias("small"))
+        moved = write_and_read(hung.join(roots, "big").where("small <> root").select(F.col("small").alias("big"), F.col("root").alias("small")), "moved")
         after = write_and_read(moved.union(roots.select("big", "root")).distinct(), "links")
         if moved.isEmpty() and after.select("small").join(after.select(F.col("big").alias("small")), "small", "left_semi").isEmpty():
             return after.select(F.col("big").alias("id"), F.col("small").alias("component")).union(after.select("small", "small").distinct())

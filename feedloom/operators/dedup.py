@@ -2,41 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DAY = 86_400_000_000
-KEPT = "source_type string, feedback_id long, t long, duplicate_count long"
-
-
-def _fold(window_us: int):
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, kept, out = None, None, []
-        for b in batches:
-            for source, text, t, i in zip(*(b.column(c).to_pylist() for c in ("source_type", "text_key", "t", "feedback_id"))):
-                if key == (source, text) and t - kept[2] <= window_us:
-                    kept[3] += 1
-                    continue
-                if kept:
-                    out.append(kept)
-                key, kept = (source, text), [source, i, t, 0]
-            if len(out) > 10_000:
-                yield _batch(out)
-                out = []
-        if kept:
-            out.append(kept)
-        if out:
-            yield _batch(out)
+from feedloom.operators.ordered import first_after, in_parts, orbits, sum_before
+from feedloom.sources.shared import write_and_read
 
-    return fold
-
-
-def _batch(rows: list[list]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["source_type", "feedback_id", "t", "duplicate_count"])
+DAY = 86_400_000_000
 
 
 def dedup_24h(rows: DataFrame, window_us: int = DAY) -> DataFrame:
@@ -45,9 +17,21 @@ def dedup_24h(rows: DataFrame, window_us: int = DAY) -> DataFrame:
 
     The first message of a key (source and lower-cased text) is an original; later ones within
     the window *of the original* are its duplicates, and the first beyond it is the next original.
-    Only (key, time, id) is shuffled and sorted; the fold holds one row, so a key of any size fits.
+    Messages of one time are one row, their smallest id's; each links to the key's first row
+    beyond its window, and the originals are the orbits of the keys' first rows.  All is joins and
+    range-sorted parts, so a key of any size is dealt over all tasks.  Nulls are a source and a
+    text of their own; rows without a time are left out.
     """
-    keyed = rows.select("source_type", F.md5(F.lower("masked_text")).alias("text_key"), F.unix_micros("ts").alias("t"), "feedback_id")
-    ordered = keyed.repartition("source_type", "text_key").sortWithinPartitions("source_type", "text_key", "t", "feedback_id")
-    kept = ordered.mapInArrow(_fold(window_us), KEPT)
-    return kept.select("source_type", "feedback_id", F.timestamp_micros("t").alias("ts"), "duplicate_count")
+    key = F.struct("source_type", F.md5(F.lower("masked_text")).alias("text_key"))
+    keyed = rows.where("ts is not null").select(key.alias("key"), F.unix_micros("ts").alias("t"), "feedback_id")
+    times = keyed.groupBy("key", "t").agg(F.min("feedback_id").alias("feedback_id"), F.count("*").alias("n"))
+    placed = sum_before(in_parts(times, "key", "t"), F.col("n")).withColumn("at", F.col("before"))
+    placed = write_and_read(placed.select("key", "t", "feedback_id", "n", "at"), "times")
+    ends = placed.groupBy("key").agg(F.min("at").alias("at"), F.max(F.col("at") + F.col("n")).alias("end"))
+    marked = orbits(ends, first_after(placed.select("key", "t", "at"), F.col("t") + window_us))
+    originals = write_and_read(placed.join(marked, "at", "left_semi"), "originals")
+    following = F.lead("at").over(Window.partitionBy("key").orderBy("at"))  # a window apart each
+    count = F.coalesce(following, F.col("end")) - F.col("at") - 1
+    return originals.join(ends.select("key", "end"), "key").select(
+        "key.source_type", "feedback_id", F.timestamp_micros("t").alias("ts"), count.alias("duplicate_count")
+    )

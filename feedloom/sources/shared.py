@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,3 +34,14 @@ def write_and_read(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def open_shared(path: str, how: str):
+    """A file of the shared folder as pyarrow's file systems open it, in a task or on the driver."""
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", re.sub(r"^(file:)?/+", "file:///", path)))
+    if how == "w":
+        system.create_dir(inner.rpartition("/")[0], recursive=True)
+        return system.open_output_stream(inner, compression=None)
+    return system.open_input_file(inner)
