@@ -6,9 +6,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from feedloom.functions.text import fnv_bucket, tokenize
 from feedloom.operators.similarity import pairs_over
@@ -174,22 +176,25 @@ def _similar(a: dict[int, float], b: dict[int, float]) -> float:
 
 class Leader:
     """Clusters of one theme, fed in order of arrival; a record is compared with all of them at
-    once.  ``rows`` are clusters kept from before."""
-
-    def __init__(self, theme: str, rows: list[dict] | None = None, buckets: int = 256):
-        self.theme, self.clusters, self.buckets = theme, rows or [], buckets
-        self.seen: dict[str, np.ndarray] = {}
-        size = max(64, 2 * len(self.clusters))
-        self.unit, self.place = np.zeros((buckets, size)), np.full((size, 2), np.nan)  # a row a bucket
-        self.live = np.zeros(size, bool)
-        for k, c in enumerate(self.clusters):
-            self._put(k, c)
-
-    def _put(self, k: int, c: dict) -> None:
-        if k == len(self.live):
+    once.  ``rows`` are clusters kept from before, in order of birth; one that was idle for over
+    ``idle_us`` takes no record."""
+
+    def __init__(self, theme: str, rows: list[dict] | None = None, buckets: int = 256, idle_us: int | None = None):
+        self.theme, self.clusters, self.buckets, self.idle = theme, [], buckets, idle_us
+        self.vectors: dict[str, np.ndarray] = {}
+        self.unit, self.place = np.zeros((buckets, 64)), np.full((64, 2), np.nan)  # a row a bucket
+        self.seen = np.zeros(64, np.int64)
+        for c in rows or []:
+            self.keep(c)
+
+    def keep(self, c: dict) -> None:
+        """Takes a cluster up behind the others."""
+        k = len(self.clusters)
+        self.clusters.append(c)
+        if k == len(self.seen):
             self.unit, self.place = np.hstack([self.unit, np.zeros_like(self.unit)]), np.vstack([self.place, np.full_like(self.place, np.nan)])
-            self.live = np.concatenate([self.live, np.zeros_like(self.live)])
-        self.unit[:, k], self.live[k] = self._vector(c["vector"]), c["status"] != "resolved"
+            self.seen = np.concatenate([self.seen, np.zeros_like(self.seen)])
+        self.unit[:, k], self.seen[k] = self._vector(c["vector"]), c["seen"]
         if c["place"]:
             self.place[k] = c["place"]
 
@@ -201,13 +206,13 @@ class Leader:
         return v / norm if norm else v
 
     def _of(self, text: str) -> np.ndarray:
-        if text not in self.seen:
-            if len(self.seen) > 10_000:
-                self.seen.clear()
-            self.seen[text] = self._vector(_bucketed(text))
-        return self.seen[text]
+        if text not in self.vectors:
+            if len(self.vectors) > 10_000:
+                self.vectors.clear()
+            self.vectors[text] = self._vector(_bucketed(text))
+        return self.vectors[text]
 
-    def _scores(self, v: np.ndarray, place: tuple[float, float] | None) -> np.ndarray:
+    def _scores(self, v: np.ndarray, place: tuple[float, float] | None, t: int) -> np.ndarray:
         n = len(self.clusters)
         own = np.flatnonzero(v)
         cosine = np.minimum(1.0, v[own] @ self.unit[own, :n]) if len(own) else (~self.unit[:, :n].any(axis=0)).astype(float)
@@ -219,27 +224,85 @@ class Leader:
             h = np.sin((lat - a) / 2) ** 2 + np.cos(a) * np.cos(lat) * np.sin((lon - b) / 2) ** 2
             km = 2 * 6371.0 * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
             score = np.where(np.isnan(km), score, base + WEIGHTS[2] * np.maximum(0.0, 1 - km / GEO_KM))
-        return np.where(self.live[:n], score, -1.0)
+        return score if self.idle is None else np.where(t - self.seen[:n] <= self.idle, score, -1.0)
 
-    def assign(self, feedback_id: int, text: str, place: tuple[float, float] | None) -> str:
+    def assign(self, feedback_id: int, text: str, place: tuple[float, float] | None, t: int = 0) -> str:
         at = None
         if self.clusters:
-            score = self._scores(self._of(text), place)
+            score = self._scores(self._of(text), place, t)
             best = int(np.argmax(score))  # the first of the best
             at = best if score[best] > JOIN_OVER else None
         if at is None:
-            self.clusters.append({"cluster_id": f"{self.theme}:{feedback_id}", "vector": _bucketed(text), "place": place, "volume": 1, "summarised": 1, "status": "active"})
-            self._put(len(self.clusters) - 1, self.clusters[-1])
+            self.keep({"cluster_id": f"{self.theme}:{feedback_id}", "vector": _bucketed(text), "place": place, "volume": 1, "summarised": 1, "born": t, "seen": t, "changed": True})
             return self.clusters[-1]["cluster_id"]
         c = self.clusters[at]
-        c["volume"] += 1
+        c["volume"], c["seen"], c["changed"] = c["volume"] + 1, max(c["seen"], t), True
+        self.seen[at] = c["seen"]
         if (c["volume"] - c["summarised"]) / c["summarised"] > 0.2:
             c["vector"], c["summarised"] = _bucketed(f"Cluster of {c['volume']} feedback items about {self.theme}"), c["volume"]
             self.unit[:, at] = self._vector(c["vector"])
         return c["cluster_id"]
 
 
-def online_clusters(rows: DataFrame) -> DataFrame:
+FOLDED = "feedback_id long, theme string, cluster_id string, born long, vector array<struct<bucket: int, n: double>>, latitude double, longitude double, volume long, summarised long, seen long, gone boolean"
+
+
+def fold_clusters(rows: DataFrame, known: DataFrame | None = None, idle_days: int | None = None) -> DataFrame:
+    """``rows(feedback_id, theme, ts, text, latitude, longitude)`` in (time, id) order of each
+    theme through its clusters, ``known`` ones first: a row (feedback_id, theme, cluster_id) a
+    record, and, without feedback_id, each cluster that a record changed or that has gone.
+
+    Spark sorts; a task holds one theme's clusters that may still take records, not the records.
+    Rows without theme or time are left out.
+    """
+    idle = None if idle_days is None else idle_days * 86_400_000_000
+    columns = ["theme", "t", "feedback_id", "text", "latitude", "longitude", "c"]
+    records = rows.where("theme is not null and ts is not null").select("theme", F.unix_micros("ts").alias("t"), "feedback_id", "text", F.col("latitude").cast("double"), F.col("longitude").cast("double"))
+    kind = "struct<cluster_id: string, vector: array<struct<bucket: int, n: double>>, volume: bigint, summarised: bigint, seen: bigint>"
+    all_rows = records.withColumn("c", F.lit(None).cast(kind)).select(columns)
+    if known is not None:
+        themes = records.select("theme").distinct()
+        cluster = F.struct("cluster_id", "vector", "volume", "summarised", "seen").cast(kind)
+        old = known.join(themes, "theme", "left_semi").select("theme", F.col("born").alias("t"), F.lit(None).cast("long").alias("feedback_id"), F.lit(None).cast("string").alias("text"), "latitude", "longitude", cluster.alias("c"))
+        all_rows = all_rows.union(old.select(columns))
+    first = F.when(F.col("c").isNotNull(), 0).otherwise(1)
+    number = F.element_at(F.split("c.cluster_id", ":"), -1).cast("long")
+    ordered = all_rows.withColumns({"_first": first, "_n": F.coalesce(number, F.col("feedback_id"))}).repartition("theme").sortWithinPartitions("theme", "_first", "t", "_n").drop("_first", "_n")
+    schema = to_arrow_schema(_parse_datatype_string(FOLDED))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leader: Leader | None = None
+        latest = 0
+
+        def left() -> list[dict]:
+            out = []
+            for c in leader.clusters if leader else ():
+                gone = idle is not None and latest - c["seen"] > idle
+                if c["changed"] or gone:
+                    lat, lon = c["place"] or (None, None)
+                    vector = [{"bucket": b, "n": float(n)} for b, n in sorted(c["vector"].items())]
+                    out.append({"theme": leader.theme, **{k: c[k] for k in ("cluster_id", "born", "volume", "summarised", "seen")}, "vector": vector, "latitude": lat, "longitude": lon, "gone": gone})
+            return out
+
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if leader is None or leader.theme != r["theme"]:
+                    out += left()
+                    leader, latest = Leader(r["theme"], idle_us=idle), 0
+                place = None if r["latitude"] is None or r["longitude"] is None else (r["latitude"], r["longitude"])
+                if c := r["c"]:
+                    leader.keep({**c, "vector": {x["bucket"]: x["n"] for x in c["vector"]}, "place": place, "born": r["t"], "changed": False})
+                    continue
+                latest = max(latest, r["t"])
+                out.append({"feedback_id": r["feedback_id"], "theme": r["theme"], "cluster_id": leader.assign(r["feedback_id"], r["text"] or "", place, r["t"])})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+        yield pa.RecordBatch.from_pylist(left(), schema=schema)
+
+    return ordered.mapInArrow(run, FOLDED)
+
+
+def online_clusters(rows: DataFrame, idle_days: int | None = None) -> DataFrame:
     """``rows(feedback_id, theme, ts, text, latitude, longitude)`` -> (feedback_id, theme,
     cluster_id).
 
@@ -248,21 +311,7 @@ def online_clusters(rows: DataFrame) -> DataFrame:
     task holds the clusters, not the records.  The first member's place and, from the second
     member on, the summary sentence stand for a cluster.
     """
-    kept = rows.select("feedback_id", "theme", F.unix_micros("ts").alias("t"), "text", F.col("latitude").cast("double"), F.col("longitude").cast("double")).where("theme is not null")
-    ordered = kept.repartition("theme").sortWithinPartitions("theme", "t", "feedback_id")
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        leader: Leader | None = None
-        for df in parts:
-            names = []
-            for i, theme, text, lat, lon in zip(df["feedback_id"], df["theme"], df["text"], df["latitude"], df["longitude"]):
-                if leader is None or leader.theme != theme:
-                    leader = Leader(theme)
-                place = None if pd.isna(lat) or pd.isna(lon) else (lat, lon)
-                names.append(leader.assign(int(i), text or "", place))
-            yield pd.DataFrame({"feedback_id": df["feedback_id"], "theme": df["theme"], "cluster_id": names})
-
-    return ordered.mapInPandas(run, "feedback_id long, theme string, cluster_id string")
+    return fold_clusters(rows, None, idle_days).where("feedback_id is not null").select("feedback_id", "theme", "cluster_id")
 
 
 def best_cluster_match(rows: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -28,13 +28,13 @@ def sum_before(parts: DataFrame, n: Column) -> DataFrame:
 
 def first_after(rows: DataFrame, later: Column) -> DataFrame:
     """``rows(key, t, at)`` -> (at, to): for each row the first row of its key with t over
-    ``later``, a function of t; rows without one are left out.
+    ``later``, a function of t, and of several the least ``at``; rows without one are left out.
 
     Rows and look-ups are put in one order.  The next row of a look-up stands in its own part, or
     is the first row of a part behind it, of which there is one each.
     """
     asked = rows.select("key", later.alias("t"), F.lit(1).alias("asks"), "at")  # behind rows of the same time
-    parts = in_parts(rows.select("key", "t", F.lit(0).alias("asks"), "at").union(asked), "key", "t", "asks")
+    parts = in_parts(rows.select("key", "t", F.lit(0).alias("asks"), "at").union(asked), "key", "t", "asks", "at")
     row = F.when(F.col("asks") == 0, F.struct("key", "at"))
     back = Window.partitionBy("_part").orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, 0)
     firsts = parts.groupBy("_part").agg(F.min_by(row, F.when(F.col("asks") == 0, F.col("_at"))).alias("_first"))
@@ -45,6 +45,16 @@ def first_after(rows: DataFrame, later: Column) -> DataFrame:
     return found.where("_next.key = key").select("at", F.col("_next.at").alias("to"))
 
 
+def last_until(parts: DataFrame, value: Column) -> DataFrame:
+    """Adds ``last`` to ``in_parts`` rows: the last ``value`` that is not null at or before each."""
+    forward = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    lasts = parts.groupBy("_part").agg(F.max_by(value, F.when(value.isNotNull(), F.col("_at"))).alias("_last"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    carried = lasts.select("_part", F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+    found = parts.withColumn("_inside", F.last(value, ignorenulls=True).over(forward)).join(F.broadcast(carried), "_part")
+    return found.withColumn("last", F.coalesce("_inside", "_carried")).drop("_inside", "_carried")
+
+
 def orbits(roots: DataFrame, links: DataFrame) -> DataFrame:
     """(at) of all that ``roots(at)`` reach over ``links(at, to)``, where every row has one link at
     most and a link leads forward.

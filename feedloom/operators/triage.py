@@ -131,9 +131,10 @@ def customer_open_tickets(tickets: DataFrame, links: DataFrame, feedback: DataFr
 
 def cluster_ticket_state(tickets: DataFrame) -> DataFrame:
     """Per cluster: the open ticket that was updated last, its department, and whether all are
-    resolved."""
+    resolved.  Of one time the ticket of the greatest ``opened_by`` counts, if there is this column."""
     is_open = F.col("ticket_phase").isin(R.OPEN_PHASES)
-    one = F.when(is_open, F.struct("updated_at", "ticket_id", F.col("assigned_department").alias("department")))
+    order = ["updated_at", "opened_by"] if "opened_by" in tickets.columns else ["updated_at"]
+    one = F.when(is_open, F.struct(*order, "ticket_id", F.col("assigned_department").alias("department")))
     return (
         tickets.where("linked_cluster_id is not null")
         .groupBy(F.col("linked_cluster_id").alias("cluster_id"))
@@ -142,17 +143,19 @@ def cluster_ticket_state(tickets: DataFrame) -> DataFrame:
     )
 
 
-def routing_decision(rows: DataFrame, tickets: DataFrame, links: DataFrame) -> DataFrame:
+def routing_decision(rows: DataFrame, tickets: DataFrame, links: DataFrame | None = None, open_links: DataFrame | None = None) -> DataFrame:
     """Routes every row in (time, id) order of its cluster: later rows see tickets that earlier
     ones opened.
 
     ``rows`` has feedback_id, ts, customer_id, account_type, source_type, engagement, text,
     theme_primary, intent, priority_level, requires_action, duplicate_count and cluster_id.  The
-    rule on a customer's open links looks at the tickets as they are at the start.  A row without
-    a cluster stands alone.
+    rule on a customer's open links looks at the tickets as they are at the start: it takes
+    ``open_links(customer_id, open_links)``, or counts ``links`` of these rows.  A row without a
+    cluster stands alone.
     """
     state = cluster_ticket_state(tickets)
-    joined = rows.join(customer_open_tickets(tickets, links, rows), "customer_id", "left").join(state, "cluster_id", "left")
+    counted = customer_open_tickets(tickets, links, rows) if open_links is None else open_links
+    joined = rows.join(counted, "customer_id", "left").join(state, "cluster_id", "left")
     social = F.when(F.col("source_type") == "social", F.coalesce("engagement", F.lit(0)))
     escalates = F.coalesce(
         (F.col("priority_level") == "critical")

@@ -27,10 +27,14 @@ ps as (select *, case priority_level
   else least(0.24, case when sentiment_score < 0 then least(1.0, size / 0.2) * 0.12 else 0 end + case when action then 0.06 else 0 end) end as priority_score from pl)"""
 
 
-def scored(v):
+def score(fb):
     action = F.col("intent").isin("complaint", "request_for_help", "billing_dispute")
     p = G.priority_score(F.col("text"), F.col("sentiment_score"), F.col("intent"), action, F.col("feedback_id") % 15)
-    return v.fb.withColumns({"_p": p, "requires_action": action}).select("*", "_p.*").drop("_p")
+    return fb.withColumns({"_p": p, "requires_action": action}).select("*", "_p.*").drop("_p")
+
+
+def scored(v):
+    return score(v.fb)
 
 
 @query("triage_decide", f"select feedback_id, {DECIDE} as outcome from fb")
@@ -98,8 +102,9 @@ w as (select *, 1 as dummy, case when esc then 'escalate' when has_cluster and f
   from w join x on x.grp = w.grp and x.r = w.r + 1)"""
 
 
-def routed(v):
-    rows = scored(v).withColumns(
+def to_route(fb):
+    """Feedback with the columns that routing reads."""
+    return score(fb).withColumns(
         {
             "ts": F.col("created_at"),
             "account_type": F.when(F.col("customer_id") % 3 == 0, "high_value").otherwise("basic"),
@@ -108,6 +113,10 @@ def routed(v):
             "duplicate_count": F.lit(0),
         }
     )
+
+
+def routed(v):
+    rows = to_route(v.fb)
     return rows, G.routing_decision(rows, v.rt, v.rl)
 
 

@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 from feedloom.operators import triage as G
 from feedloom.plans.registry import query
+from feedloom.plans.routing_queries import ROUTE, to_route
 from feedloom.plans.views import VIEWS
 from feedloom.sources import tables
 from feedloom.sources.shared import new_path
 from feedloom.streaming import streams as S
+from feedloom.streaming.lifecycle import stream_lifecycle
+
+
+PARTS = 6
 
 
 def events_stream(v) -> DataFrame:
@@ -19,8 +24,37 @@ def events_stream(v) -> DataFrame:
     return v.spark.readStream.schema(schema).parquet(f"{v.sf_dir}/events.parque[t]")
 
 
-def feedback_stream(v) -> DataFrame:
-    return v.spark.sql(VIEWS["fb"].replace("from events", "from {events}"), events=events_stream(v))
+def events_in_order(v) -> DataFrame:
+    """All events as a stream of several triggers: parts by time, written one after the other, a
+    trigger takes the files of one at a time."""
+    path, events = new_path(v.spark, "events"), v.events
+    cuts = events.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).approxQuantile("t", [k / PARTS for k in range(1, PARTS)], 0.001)
+    part = sum((F.when(F.unix_micros(F.col("ts").cast("timestamp")) >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+    for k in range(PARTS):
+        events.where(part == k).write.mode("append").parquet(path)
+    files = v.spark.read.parquet(path).select(F.input_file_name()).distinct().count()
+    return v.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", max(1, files // PARTS)).parquet(path)
+
+
+def feedback_stream(v, in_order: bool = False) -> DataFrame:
+    events = events_in_order(v) if in_order else events_stream(v)
+    return v.spark.sql(VIEWS["fb"].replace("from events", "from {events}"), events=events)
+
+
+class Kept:
+    """A sink for batches: each epoch overwrites its own folder."""
+
+    def __init__(self, v, name: str):
+        self.spark, self.path, self.schema, self.epochs = v.spark, new_path(v.spark, name), None, 0
+
+    def __call__(self, part: DataFrame, epoch: int) -> None:
+        self.schema, self.epochs = part.schema, self.epochs + 1
+        part.write.mode("overwrite").parquet(f"{self.path}/epoch={epoch}")
+
+    def rows(self) -> DataFrame:
+        if self.epochs < 2:
+            raise RuntimeError("the stream was to come in several triggers")
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/epoch=*")
 
 
 def drained(v, df: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -57,57 +91,61 @@ f as (select source_type, t, r, feedback_id, feedback_id as original_id, created
  from f join k on k.source_type = f.source_type and k.t = f.t and k.r = f.r + 1)
 select feedback_id, original_id, feedback_id = original_id as is_original from f""")
 def _(v):
-    rows = feedback_stream(v).select("source_type", F.col("text").alias("masked_text"), F.col("created_at").alias("ts"), "feedback_id")
-    return drained(v, S.stream_dedup(rows), "stream-dedup").select("feedback_id", "original_id", "is_original")
+    rows = feedback_stream(v, in_order=True).select("source_type", F.col("text").alias("masked_text"), F.col("created_at").alias("ts"), "feedback_id")
+    kept = Kept(v, "stream-dedup")
+    S.stream_dedup(rows, kept, new_path(v.spark, "dedup-state")).awaitTermination()
+    return kept.rows().select("feedback_id", "original_id", "is_original")
 
 
-@query("stream_theme_counts", "select cast(created_at as date) as day, theme, count(*) as n from fb group by 1, 2")
+@query("stream_theme_counts", """select cast(created_at as date) as day, theme, count(*) as n from fb
+where cast(created_at as date) + interval 1 day <= (select max(created_at) from fb) - interval 1 day group by 1, 2""")
 def _(v):
-    rows = feedback_stream(v).select("theme", F.col("created_at").alias("ts"))
-    return drained(v, S.stream_theme_counts(rows), "stream-themes", "complete")
+    # the days that the watermark, a day behind the latest record, has closed
+    rows = feedback_stream(v, in_order=True).select("theme", F.col("created_at").alias("ts"))
+    return drained(v, S.stream_theme_counts(rows), "stream-themes")
 
 
 @query("stream_clusters")
 def _(v):
-    rows = feedback_stream(v).select("feedback_id", "theme", F.col("created_at").alias("ts"), "text", "latitude", "longitude")
-    return drained(v, S.stream_clusters(rows), "stream-clusters")
+    rows = feedback_stream(v, in_order=True).select("feedback_id", "theme", F.col("created_at").alias("ts"), "text", "latitude", "longitude")
+    kept = Kept(v, "stream-clusters")
+    S.stream_clusters(rows, kept, new_path(v.spark, "cluster-state")).awaitTermination()
+    return kept.rows()
 
 
-@query("stream_lifecycle")
+@query("stream_lifecycle", """with g as (select customer_id as cluster_id, created_at as t, coalesce(lead(created_at) over (partition by customer_id order by created_at), (select max(created_at) - interval 1 hour from fb)) as next from fb)
+select cluster_id, 'active' as status, min(t) as at from g group by 1 union all select cluster_id, 'monitoring', min(t) + interval 1 day from g where next - t > interval 1 day group by 1
+union all select cluster_id, 'resolved', min(t) + interval 2 day from g where next - t > interval 2 day group by 1""")
 def _(v):
-    rows = feedback_stream(v).select("feedback_id", "theme", F.col("created_at").alias("ts"), "text", "latitude", "longitude")
-    return drained(v, S.stream_clusters(rows), "stream-lifecycle").groupBy("kind").agg(F.count("*").alias("n"))
+    # a customer's feedback is a cluster, with steps after one and two idle days, of which there are some
+    rows = feedback_stream(v, in_order=True).select(F.col("customer_id").alias("cluster_id"), F.col("created_at").alias("ts"))
+    return drained(v, stream_lifecycle(rows, 1, 2), "stream-lifecycle")
 
 
-@query("stream_routing", "select count(*) as n from fb")
+@query("stream_routing", ROUTE + """
+select feedback_id, act as routing_action, case when act = 'route_to_existing' then seen end as linked_ticket_id,
+ case when act <> 'auto_resolve' then null when intent = 'praise' and priority_level = 'low' and not action then 'no_action_required' when has_cluster and (all_done or r > 1) and seen is null then 'known_resolved'
+  when intent = 'request_for_help' and priority_level = 'low' and theme in ('billing', 'installation', 'app_usability', 'support_experience') then 'faq_matched' else 'no_action_required' end as resolution_type from w""")
 def _(v):
-    path = new_path(v.spark, "stream-routing")
-
-    def route(part: DataFrame, epoch: int) -> None:
-        action = F.col("intent").isin("complaint", "request_for_help", "billing_dispute")
-        p = G.priority_score(F.col("text"), F.col("sentiment_score"), F.col("intent"), action, F.lit(0))
-        rows = part.withColumns(
-            {
-                "ts": F.col("created_at"), "account_type": F.lit("basic"), "engagement": F.lit(0), "theme_primary": F.col("theme"), "duplicate_count": F.lit(0),
-                "priority_level": p.priority_level, "requires_action": action,
-            }
-        )
-        G.routing_decision(rows, v.rt, v.rl).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-
-    S.stream_routing(feedback_stream(v), route, f"{path}-state").awaitTermination()
-    return v.spark.read.parquet(f"{path}/epoch=*").agg(F.count("routing_action").alias("n"))
+    kept = Kept(v, "stream-routing")
+    S.stream_routing(to_route(feedback_stream(v, in_order=True)), v.rt, v.rl, v.fb, kept, new_path(v.spark, "ticket-state")).awaitTermination()
+    return kept.rows().select("feedback_id", "routing_action", "linked_ticket_id", "resolution_type")
 
 
 def enrich_status(v, delay: str = "5") -> DataFrame:
     """Status of each record when its answer comes ``delay`` seconds later and a quarter has none.
-    Records that are open when the input ends are closed as timeouts."""
-    feedback = feedback_stream(v).select("feedback_id", F.col("created_at").alias("ts"))
-    answers = feedback_stream(v).where("feedback_id % 4 <> 0").select(
+    Both sources end with a row an hour later, which closes what is open."""
+    path = new_path(v.spark, "ends")
+    feedback = v.fb.select("feedback_id", F.col("created_at").alias("ts"))
+    answers = v.fb.where("feedback_id % 4 <> 0").select(
         "feedback_id", (F.col("created_at") + F.expr(f"make_interval(0, 0, 0, 0, 0, 0, {delay})")).alias("response_ts"), (F.col("feedback_id") % 3 == 0).alias("ok")
     )
-    given = drained(v, S.stream_enrich_status(feedback, answers), "stream-status")
-    still = v.fb.select("feedback_id").join(given, "feedback_id", "left_anti")
-    return given.union(still.select("feedback_id", F.lit("timeout")))
+    streams = []
+    for name, rows, ts, none in (("feedback", feedback, "ts", -1), ("answers", answers, "response_ts", -2)):
+        end = rows.agg(F.lit(none).cast("long").alias("feedback_id"), (F.max(ts) + F.expr("interval 1 hour")).alias(ts))
+        rows.unionByName(end, allowMissingColumns=True).write.parquet(f"{path}/{name}")
+        streams.append(v.spark.readStream.schema(rows.schema).parquet(f"{path}/{name}"))
+    return drained(v, S.stream_enrich_status(*streams), "stream-status")
 
 
 @query("stream_enrich_status", "select feedback_id, case when feedback_id % 4 = 0 or feedback_id % 60 > 30 then 'timeout' when feedback_id % 3 = 0 then 'completed' else 'failed' end as enrichment_status from fb")

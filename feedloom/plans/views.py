@@ -78,19 +78,20 @@ from lineitem""",
 select conv_id * 100 + turn as comment_id, conv_id as ticket_id, text, role as author,
   cast('2024-01-01 00:00:00' as timestamp) + interval 1 minute * cast(turn as int) as created_at
 from conversations""",
-    # tickets of the routing pipeline
+    # tickets of the routing pipeline: every order; clusters that 5 divides have none, some only closed ones
     "rt": """
 select o_orderkey as ticket_id,
-  case o_orderkey % 8 when 0 then 'new' when 1 then 'triaged' when 2 then 'routed' when 3 then 'in_progress' when 4 then 'waiting'
-    when 5 then 'resolved' when 6 then 'closed' else 'auto_closed' end as ticket_phase,
+  case when o_orderkey % 40 in (3, 8, 13, 18, 23) then case o_orderkey % 3 when 0 then 'resolved' when 1 then 'closed' else 'auto_closed' end
+    else case o_orderkey % 8 when 0 then 'new' when 1 then 'triaged' when 2 then 'routed' when 3 then 'in_progress' when 4 then 'waiting'
+      when 5 then 'resolved' when 6 then 'closed' else 'auto_closed' end end as ticket_phase,
   case o_orderkey % 3 when 0 then 'Billing_Support' when 1 then 'Customer_Care' else 'Retention' end as assigned_department,
   cast(o_orderdate as timestamp) as created_at, cast(o_orderdate as timestamp) as updated_at,
   case when o_orderkey % 5 <> 0 then o_orderkey % 40 end as linked_cluster_id,
   'low' as priority_level
-from orders where o_orderkey % 16 in (1, 4, 5, 6, 7, 13)""",
-    # links of feedback to routing tickets
+from orders""",
+    # links of feedback to routing tickets: a third of the social feedback is linked, as not all of it becomes a ticket
     "rl": "select event_id as feedback_id, event_id % 97 * 16 + 1 as ticket_id from events where event_id % 6 = 0",
-    # clusters of the routing pipeline
+    # clusters of the routing pipeline: the even events are those that were assigned so far, the odd ones come later
     "cl": """
 select user_id as cluster_id, max(case event_type when 'error' then 'outage' when 'purchase' then 'billing' else 'installation' end) as theme,
   count(*) as volume_count, cast(min(ts) as timestamp) as first_seen_at, cast(max(ts) as timestamp) as last_seen_at,

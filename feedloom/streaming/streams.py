@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from feedloom.operators.clusters import Leader
+from feedloom.operators.clusters import fold_clusters
 from feedloom.operators.ingest import ingest_batch
+from feedloom.operators.ordered import first_after, in_parts, last_until, orbits, sum_before
+from feedloom.operators.triage import customer_open_tickets, persist_star, routing_decision
+from feedloom.sources.shared import write_and_read
+from feedloom.sources.versions import Versions
 
 DAY_US = 86_400_000_000
 
@@ -31,102 +32,147 @@ def stream_ingest(raw: DataFrame, good: Callable[[DataFrame, int], None], reject
     return raw.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_dedup(rows: DataFrame, window_us: int = DAY_US) -> DataFrame:
-    """``rows(source_type, masked_text, ts, feedback_id)`` -> a row per record: original or not,
-    and the original's running ``duplicate_count``.
+ANCHORS = "source_type string, text_key string, t long, feedback_id long, n long"
 
-    State is the last original of a key; it goes when the watermark has passed its window.
-    Records of a batch are taken in (time, id) order.
+
+def dedup_step(rows: DataFrame, anchors: DataFrame, window_us: int = DAY_US) -> tuple[DataFrame, DataFrame]:
+    """One batch ``rows(source_type, masked_text, ts, feedback_id)`` against the keys' last
+    originals: the batch's rows as (source_type, feedback_id, original_id, is_original,
+    duplicate_count), and the anchors of its keys afterwards.
+
+    The steps are those of the batch operator over range-sorted parts, so a key with any share of a
+    batch is dealt over all tasks.  Rows earlier than their key's anchor, which come late, are its
+    duplicates within the window, else originals that leave it where it is; they raise no count.
     """
-    keyed = rows.withWatermark("ts", "24 hours").withColumn("text_key", F.md5(F.lower("masked_text")))
-
-    def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        df = pd.concat(list(parts)).sort_values(["ts", "feedback_id"])
-        anchor, original, count = state.get if state.exists else (None, None, 0)
-        out = []
-        for i, t in zip(df["feedback_id"], df["ts"]):
-            at = int(t.value // 1000)
-            fresh = anchor is None or abs(at - anchor) > window_us
-            if fresh:
-                anchor, original, count = at, int(i), 0
-            else:
-                count += 1
-            out.append((key[0], int(i), original, fresh, count))
-        state.update((anchor, original, count))
-        state.setTimeoutTimestamp(max(anchor // 1000 + window_us // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["source_type", "feedback_id", "original_id", "is_original", "duplicate_count"])
-
-    return keyed.groupBy("source_type", "text_key").applyInPandasWithState(
-        step,
-        "source_type string, feedback_id long, original_id long, is_original boolean, duplicate_count long",
-        "anchor long, original long, n long",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
+    key = F.struct("source_type", "text_key")
+    new = rows.where("ts is not null").select("source_type", F.coalesce(F.md5(F.lower("masked_text")), F.lit("")).alias("text_key"), F.unix_micros("ts").alias("t"), "feedback_id")
+    new = new.withColumn("source_type", F.coalesce("source_type", F.lit("")))
+    touched = anchors.join(new.select("source_type", "text_key").distinct(), ["source_type", "text_key"], "left_semi")
+    old = touched.select(key.alias("key"), F.col("t").alias("anchor_t"), F.col("feedback_id").alias("anchor_id"), F.col("n").alias("anchor_n"))
+    marks = new.select(key.alias("key"), "t", F.lit(1).alias("kind"), "feedback_id").union(old.select("key", "anchor_t", F.lit(0), "anchor_id"))
+    parts = in_parts(marks, "key", "t", "kind", "feedback_id")
+    placed = write_and_read(sum_before(parts, F.col("kind")).join(old, "key", "left"), "placed")
+    on_time = placed.where("anchor_t is null or kind = 0 or t >= anchor_t")
+    roots = on_time.groupBy("key").agg(F.min("_at").alias("at"))
+    marked = orbits(roots, first_after(on_time.select("key", "t", F.col("_at").alias("at")), F.col("t") + window_us))
+    flagged = write_and_read(placed.join(marked.withColumn("_original", F.lit(True)), placed["_at"] == marked["at"], "left").drop("at"), "flagged")
+    late = F.col("t") < F.col("anchor_t")
+    known = F.when(F.col("kind") == 0, F.col("anchor_n") - F.col("before")).otherwise(-F.col("before") - 1)  # counts from here on
+    original = F.when(F.coalesce("_original", F.lit(False)), F.struct("key", "feedback_id", "t", known.alias("from")))
+    got = write_and_read(last_until(flagged, original), "originals")
+    near = F.col("anchor_t") - F.col("t") <= window_us
+    out = got.where("kind = 1").select(
+        "key.source_type",
+        "feedback_id",
+        F.when(late, F.when(near, F.col("anchor_id")).otherwise(F.col("feedback_id"))).otherwise(F.col("last.feedback_id")).alias("original_id"),
+        F.when(late, ~near).otherwise(F.coalesce("_original", F.lit(False))).alias("is_original"),
+        F.when(late, F.when(near, F.col("anchor_n")).otherwise(0)).otherwise(F.col("last.from") + F.col("before") + 1).alias("duplicate_count"),
     )
+    ends = got.where("kind = 0 or not coalesce(t < anchor_t, false)").groupBy("key").agg(F.max_by(F.struct("last", (F.col("last.from") + F.col("before") + F.col("kind")).alias("n")), "_at").alias("e"))
+    after = ends.select("key.source_type", "key.text_key", F.col("e.last.t").alias("t"), F.col("e.last.feedback_id").alias("feedback_id"), F.col("e.n").alias("n"))
+    return out, after
+
+
+def stream_dedup(rows: DataFrame, sink: Callable[[DataFrame, int], None], folder: str, window_us: int = DAY_US, late_us: int = DAY_US) -> StreamingQuery:
+    """``rows(source_type, masked_text, ts, feedback_id)``: ``sink`` gets a row per record, original
+    or not, and the original's running ``duplicate_count``.
+
+    Between batches the last original of each key lies in a versioned table in ``folder``.  Those
+    that no record within ``late_us`` of the latest time can meet are taken out with the next batch
+    that touches the folder; a replayed batch gives and leaves what it did.
+    """
+    state = Versions(rows.sparkSession, f"{folder}/anchors", ANCHORS, ["source_type", "text_key"])
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        before = state.before(epoch)
+        out, after = dedup_step(batch, before, window_us)
+        sink(out, epoch)
+        latest = batch.agg(F.max(F.unix_micros("ts")).alias("_latest"))
+        old = F.col("t") < F.col("_latest") - late_us - window_us
+        rest = before.join(after.select("source_type", "text_key"), ["source_type", "text_key"], "left_anti").crossJoin(F.broadcast(latest)).where(old)  # one row
+        gone = rest.select(*after.columns, F.lit(True).alias("gone"))
+        state.write(after.withColumn("gone", F.lit(False)).unionByName(gone), epoch)
+
+    return rows.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
 
 
 def stream_theme_counts(rows: DataFrame, late: str = "1 day") -> DataFrame:
-    """Daily counts per theme; a day is final when the watermark has passed it."""
+    """Daily counts per theme; in append mode a day comes once, when the watermark has passed it."""
     counts = rows.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "theme").agg(F.count("*").alias("n"))
     return counts.select(F.to_date("window.start").alias("day"), "theme", "n")
 
 
-def stream_clusters(rows: DataFrame, monitoring_days: int = 7, resolved_days: int = 21) -> DataFrame:
-    """``rows(feedback_id, theme, ts, text, latitude, longitude)`` -> assignments as rows of kind
-    ``assigned``; clusters that fall idle come as rows of kind ``monitoring`` and ``resolved``.
+def stream_late_rows(rows: DataFrame, sink: Callable[[DataFrame, int], None], folder: str, late: str = "1 day") -> StreamingQuery:
+    """``sink`` gets the rows (with a column ``ts``) whose day ``stream_theme_counts`` had closed when
+    they came, which it leaves out: by the latest time of the batches before."""
+    state = Versions(rows.sparkSession, f"{folder}/latest", "name string, ts timestamp", ["name"])
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        before = state.before(epoch).agg(F.max("ts").alias("_latest"))
+        ends = F.date_trunc("day", "ts") + F.expr("interval 1 day")
+        sink(batch.crossJoin(F.broadcast(before)).where(ends <= F.col("_latest") - F.expr(f"interval {late}")).drop("_latest"), epoch)  # one row
+        seen = batch.select("ts").union(before).agg(F.max("ts").alias("ts"))
+        state.write(seen.select(F.lit("all").alias("name"), "ts"), epoch)
+
+    return rows.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+
+
+CLUSTERS = "cluster_id string, theme string, born long, vector array<struct<bucket: int, n: double>>, latitude double, longitude double, volume long, summarised long, seen long"
+
 
-    The state of a theme is its list of clusters that are not resolved, which no record joins any
-    more; event time drives the idle steps, one a run.
+def stream_clusters(rows: DataFrame, sink: Callable[[DataFrame, int], None], folder: str, resolved_days: int = 21) -> StreamingQuery:
+    """``rows(feedback_id, theme, ts, text, latitude, longitude)``: ``sink`` gets (feedback_id,
+    theme, cluster_id) of each record.
+
+    A batch is sorted by theme, time and id in Spark and streams through its themes' clusters, those
+    that earlier batches left first.  A cluster is a row of a versioned table in ``folder`` and is
+    written when it changed; one that was idle for ``resolved_days`` takes no record any more and
+    goes.  In order of time the result is that of the batch operator, however the stream is cut; a
+    replayed batch gives and leaves what it did.
     """
-    marked = rows.withWatermark("ts", "1 hour")
-
-    def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = json.loads(state.get[0]) if state.exists else []
-        for c in kept:
-            c["vector"] = {int(k): v for k, v in c["vector"].items()}
-            c["place"] = tuple(c["place"]) if c["place"] else None
-        leader, out, seen = Leader(key[0], kept), [], {}
-        if not state.hasTimedOut:
-            df = pd.concat(list(parts)).sort_values(["ts", "feedback_id"])
-            for r in df.itertuples():
-                place = None if pd.isna(r.latitude) or pd.isna(r.longitude) else (r.latitude, r.longitude)
-                name = leader.assign(int(r.feedback_id), r.text or "", place)
-                seen[name] = max(int(r.ts.value // 1_000_000), seen.get(name, 0))
-                out.append(("assigned", int(r.feedback_id), name))
-        now = state.getCurrentWatermarkMs()
-        for c in leader.clusters:
-            c["seen"] = max(c.get("seen", 0), seen.get(c["cluster_id"], 0))
-            idle = now - c["seen"]
-            if c["status"] == "active" and idle > monitoring_days * 86_400_000:
-                c["status"] = "monitoring"
-                out.append(("monitoring", None, c["cluster_id"]))
-            elif c["status"] == "monitoring" and idle > resolved_days * 86_400_000:
-                c["status"] = "resolved"
-                out.append(("resolved", None, c["cluster_id"]))
-        if left := [c for c in leader.clusters if c["status"] != "resolved"]:
-            state.update((json.dumps(left),))
-            state.setTimeoutTimestamp(max(now, 0) + 86_400_000)
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["kind", "feedback_id", "cluster_id"]).astype({"feedback_id": "Int64"})
-
-    return marked.groupBy("theme").applyInPandasWithState(
-        step, "kind string, feedback_id long, cluster_id string", "clusters string", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    state = Versions(rows.sparkSession, f"{folder}/clusters", CLUSTERS, ["cluster_id"])
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        folded = write_and_read(fold_clusters(batch, state.before(epoch), resolved_days), "folded")
+        sink(folded.where("feedback_id is not null").select("feedback_id", "theme", "cluster_id"), epoch)
+        state.write(folded.where("feedback_id is null").drop("feedback_id"), epoch)
+
+    return rows.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+
+
+TICKETS = "ticket_id string, ticket_phase string, assigned_department string, updated_at timestamp, opened_by long, linked_cluster_id long"
 
 
-def stream_routing(rows: DataFrame, route: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Each micro-batch is decided against the tickets as they are; ``route`` reads the snapshot,
-    decides and appends."""
-    return rows.writeStream.foreachBatch(route).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_routing(rows: DataFrame, tickets: DataFrame, links: DataFrame, linked: DataFrame, sink: Callable[[DataFrame, int], None], folder: str) -> StreamingQuery:
+    """Decides each micro-batch against ``tickets`` and those that earlier batches opened; ``sink``
+    gets ``routing_decision``'s rows.
+
+    ``rows`` is as ``routing_decision`` takes it.  Opened tickets lie in a versioned table in
+    ``folder``: an epoch reads what earlier ones wrote and overwrites its own version, so a replay
+    changes nothing.  ``links`` and the feedback ``linked`` of customers' open tickets are those of
+    the start, as in the batch operator.
+    """
+    state = Versions(rows.sparkSession, f"{folder}/tickets", TICKETS, ["ticket_id"])
+    given = tickets.select(F.col("ticket_id").cast("string"), "ticket_phase", "assigned_department", "updated_at", F.col("ticket_id").cast("long").alias("opened_by"), "linked_cluster_id")
+    open_links = write_and_read(customer_open_tickets(tickets, links, linked), "open-links")
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        known = given.unionByName(state.before(epoch))
+        routed = write_and_read(routing_decision(batch, known, open_links=open_links), "routed")
+        sink(routed, epoch)
+        opened = persist_star(routed, batch)["tickets"].join(routed.select(F.col("new_ticket_id").alias("ticket_id"), F.col("feedback_id").alias("opened_by")), "ticket_id")
+        state.write(opened, epoch)
+
+    return rows.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
 
 
 def stream_enrich_status(feedback: DataFrame, responses: DataFrame, limit: str = "30 seconds") -> DataFrame:
     """``feedback(feedback_id, ts)`` and ``responses(feedback_id, response_ts, ok)`` -> status of
-    each record: completed, failed, or timeout when no answer came in time."""
+    each record: completed, failed, or timeout when no answer came in time.
+
+    A record's timeout comes with the watermark, so a source that ends must end with a later row on
+    both sides, of an id that no record has: it moves the watermark and stays open itself.
+    """
     left = feedback.withWatermark("ts", "1 minute").alias("f")
     right = responses.withWatermark("response_ts", "1 minute").withColumnRenamed("feedback_id", "response_id").alias("r")
     on = F.expr(f"response_id = feedback_id and response_ts >= ts and response_ts <= ts + interval {limit}")
