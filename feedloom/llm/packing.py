@@ -68,8 +68,9 @@ class WordTokens(dict):
         self.size = 0
 
     def __missing__(self, chunk: str) -> bytes:
-        # a letter and a full stop or comma behind it are always two tokens
-        if chunk[-1] in ".," and chunk[-2:-1].isalpha():
+        # a letter below U+0130 and a full stop or comma behind it are always two tokens; later ones
+        # may come apart, and their mark would join the stop
+        if chunk[-1] in ".," and chunk[-2:-1].isalpha() and chunk[-2] < "\u0130":
             ids = self[chunk[:-1]] + self[chunk[-1]]
         elif chunk.isalpha() and (chunk.isascii() or max(chunk) < "\u0130"):
             # letters below U+0130 are one run, lower-cased one by one and never composed:

@@ -76,6 +76,17 @@ def test_ids_are_the_tokenizers():
             assert np.frombuffer(words.encode(t), "<u4").tolist() == tk.encode(t or "", add_special_tokens=False).ids, t
 
 
+@pytest.mark.parametrize("form", ["{}.", "x{},", "{}a {}"])
+def test_every_character(form):
+    """All characters up to U+2FFFF, alone, behind a letter and before a stop."""
+    tk, words = Tokenizer.from_file(PATH), P.WordTokens(PATH)
+    texts = [form.replace("{}", chr(c)) for c in range(0x20, 0x30000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(texts), 5000):
+        part = texts[at : at + 5000]
+        for t, e in zip(part, tk.encode_batch(part, add_special_tokens=False)):
+            assert words.encode(t) == np.array(e.ids, "<u4").tobytes(), ascii(t)
+
+
 def test_cache_starts_anew(monkeypatch):
     monkeypatch.setattr(P, "CACHE", 500)
     words = P.WordTokens(PATH)
