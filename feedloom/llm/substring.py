@@ -5,14 +5,14 @@ a run ends at an empty or a longer line) get MinHash signatures over five-word s
 paragraphs that agree on a band are joined to the first of the band, verified by the exact
 Jaccard similarity of their shingle sets, and the components of the verified links keep the
 paragraphs of their first document.  A passage may also stand inside longer text, so rolling
-paragraphs are compared as well: blocks of ``BLOCK`` words that begin at the smallest shingle hash
-of any ``WINDOW`` neighbouring shingles (a one-row band over each rolling window).  Each passage of
-at least BLOCK + WINDOW - 1 = 51 words has such a block inside it wherever it stands.  Blocks meet
-by a 64-bit hash, and none is cut by that alone: a run of touching blocks of earlier documents is a
-repeated passage if it has over ``LONG`` words, which takes several of them; elsewhere the words
-around a block decide, by a byte of each: each window of LONG + 1 words that holds it is looked for
-in the other documents, too.  So what is cut has over ``LONG`` words, each of them in a block or
-window that stands in an earlier document.
+paragraphs are compared as well: blocks of 32 words that begin at the smallest shingle hash of any
+20 neighbouring shingles (a one-row band over each rolling window).  Each passage of 51 words has
+such a block inside it wherever it stands.  A word is cut if a window of 51 words around it stands
+in one earlier document.  Blocks meet by a 64-bit hash with their places, and a run of touching
+blocks that stand alike in *one* earlier document is a repeated passage if it has over ``LONG``
+words; around its first and its last block, and around blocks of no such run, the words decide, by
+a byte of each: each window that holds the block is looked for in the other documents, too.  All
+documents that have a window are linked to the first of them.
 
 Documents are compared with each other: what one document repeats inside itself stays.
 """
@@ -31,9 +31,7 @@ from pyspark.sql import types as T
 from feedloom.llm.common import LOWER, SPAN, collected, joined_spans, materialize, merged, release, slices, table, unused, utf8
 from feedloom.llm.components import connected_components
 
-SHINGLE, LONG, BLOCK, WINDOW = 5, 50, 32, 20
-#: Words above which a passage has a block wherever it stands.
-LEAST = BLOCK + WINDOW - 2
+SHINGLE, LONG = 5, 50
 SIMILAR, RECALL, HASHES = 0.8, 0.99, 24
 #: Paragraphs of a block, if they are of ``USUAL`` shingles; two blocks are compared at once.
 COMPARED, USUAL = 128, 200
@@ -58,6 +56,16 @@ def tune_bands(similar: float = SIMILAR, recall: float = RECALL, hashes: int = H
     return best
 
 
+def block_shape(long: int) -> tuple[int, int]:
+    """Words of a block and neighbouring shingles of which one begins a block, so that every
+    ``long + 1`` words hold a whole block: 32 and 20 at 50."""
+    window = (long + 2) * 2 // 5
+    block = long + 2 - window
+    if block < SHINGLE:
+        raise ValueError(f"passages of {long + 1} words are too short for blocks of {SHINGLE} words")
+    return block, window
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _ODD
     x = (x ^ (x >> np.uint64(29))) * _ROOT
@@ -81,27 +89,28 @@ def _sliding(x: np.ndarray, n: int, pick) -> np.ndarray:
     return pick(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def anchors(shingle: np.ndarray) -> np.ndarray:
-    """Positions of the smallest hash of any ``WINDOW`` neighbours; of equal neighbours in a row
-    every 16th."""
+def anchors(shingle: np.ndarray, window: int) -> np.ndarray:
+    """Positions of the smallest hash of any ``window`` neighbours; of equal neighbours in a row
+    every 16th, or nearer in a smaller window."""
     n = len(shingle)
-    if n < WINDOW:
+    if n < window:
         return np.zeros(0, np.int64)
-    least = _sliding(shingle, WINDOW, np.minimum)
-    pad = np.zeros(WINDOW - 1, np.uint64)
-    most = _sliding(np.concatenate([pad, least, pad]), WINDOW, np.maximum)
+    least = _sliding(shingle, window, np.minimum)
+    pad = np.zeros(window - 1, np.uint64)
+    most = _sliding(np.concatenate([pad, least, pad]), window, np.maximum)
     at = np.flatnonzero(most == shingle)
     run = np.r_[True, (at[1:] != at[:-1] + 1) | (shingle[at[1:]] != shingle[at[:-1]])]
     start = at[run][np.cumsum(run) - 1]
     last = np.r_[run[1:], True]
-    return at[((at - start) % 16 == 0) | last]
+    return at[((at - start) % min(16, window) == 0) | last]
 
 
 class Chunk:
     """Words of several documents in one array, with the bounds of documents and paragraphs."""
 
-    def __init__(self, long: int = LONG) -> None:
-        self.long = long
+    def __init__(self, long: int = LONG, paragraph: int = LONG) -> None:
+        self.long = max(paragraph, SHINGLE - 1)
+        self.block, self.window = block_shape(long)
         self.words: list[int] = []
         self.ids: list[int] = []
         self.ends: list[int] = []
@@ -142,10 +151,10 @@ class Chunk:
                 shingle += word[k : k + n] * p
             shingle = _mix(shingle)
             within = doc_of[:n] == doc_of[SHINGLE - 1 :] if n else np.zeros(0, bool)
-            at = anchors(np.where(within, shingle, np.uint64(2**64 - 1)))
-            at = at[at + BLOCK <= ends[doc_of[at]]]
+            at = anchors(np.where(within, shingle, np.uint64(2**64 - 1)), self.window)
+            at = at[at + self.block <= ends[doc_of[at]]]
             key = np.zeros(len(at), np.uint64)
-            for k, p in enumerate(_powers(BLOCK)):
+            for k, p in enumerate(_powers(self.block)):
                 key += word[at + k] * p
             key = _mix(key)
             lists["blocks"] = _list(np.bincount(doc_of[at], minlength=len(ends)), {"pos": at - starts[doc_of[at]], "key": key.view(np.int64)})
@@ -196,15 +205,15 @@ PROFILE = (
 )
 
 
-def _profiler(bands: int, rows: int, long: int = LONG):
+def _profiler(bands: int, rows: int, long: int = LONG, paragraph: int = LONG):
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = Chunk(long)
+        chunk = Chunk(long, paragraph)
         for b in batches:
             for doc_id, text in zip(b.column("doc_id").to_pylist(), utf8(b.column("text"))):
                 chunk.add(doc_id, text)
                 if len(chunk.words) > CHUNK:
                     yield chunk.rows(bands, rows)
-                    chunk = Chunk(long)
+                    chunk = Chunk(long, paragraph)
         if chunk.ids:
             yield chunk.rows(bands, rows)
         del chunk
@@ -217,29 +226,31 @@ RUNS = "struct<sure:array<struct<first:long,after:long,other:long>>,doubtful:arr
 
 
 def _runs(long: int):
-    """UDF: a document's shared blocks -> spans of sure runs, which have over ``long`` words, and
-    the other blocks.
+    """UDF: a document's shared blocks, with the first document that has each and the place there
+    -> spans of sure runs, which have over ``long`` words, and the blocks that the words decide.
 
-    A run's blocks touch, and none of them occurs twice in it, as in a text of one word.
+    A run's blocks touch and stand as far apart in one other document, so all its words do.
     """
+    block, _ = block_shape(long)
 
     @F.arrow_udf(RUNS)
     def runs(blocks: pa.Array) -> pa.Array:
         out = []
         for row in blocks.to_pylist():
-            row = sorted((x["pos"], x["key"], x["other"]) for x in row)
+            row = sorted((x["other"], x["pos"] - x["place"], x["pos"], x["key"]) for x in row)
             groups: list[list[tuple]] = []
             for x in row:
-                if not groups or groups[-1][-1][0] + BLOCK < x[0]:
+                if not groups or groups[-1][-1][:2] != x[:2] or groups[-1][-1][2] + block < x[2]:
                     groups.append([])
                 groups[-1].append(x)
-            sure, doubtful = [], []
+            sure, doubtful = [], set()
             for g in groups:
-                if g[-1][0] + BLOCK - g[0][0] > long and len({x[1] for x in g}) == len(g):
-                    sure.append({"first": g[0][0], "after": g[-1][0] + BLOCK, "other": g[0][2]})
+                if g[-1][2] + block - g[0][2] > long:
+                    sure.append({"first": g[0][2], "after": g[-1][2] + block, "other": g[0][0]})
+                    doubtful |= {g[0][3], g[-1][3]}  # the passage may begin before and end behind them
                 else:
-                    doubtful += [{"key": k} for k in sorted({x[1] for x in g})]
-            out.append({"sure": sure, "doubtful": doubtful})
+                    doubtful |= {x[3] for x in g}
+            out.append({"sure": sure, "doubtful": [{"key": k} for k in sorted(doubtful)]})
         kinds = [pa.list_(pa.struct([(c, pa.int64()) for c in names])) for names in (("first", "after", "other"), ("key",))]
         return pa.array(out, pa.struct(list(zip(("sure", "doubtful"), kinds))))
 
@@ -252,7 +263,8 @@ NEAR = "array<struct<pos:long,key:long,lead:int,near:binary>>"
 def _contexts(long: int):
     """UDF: a document's words (one byte each) and shared blocks -> each block with the words
     that a window of long + 1 words around it may have, and how many of them lead it."""
-    reach = long + 1 - BLOCK
+    block, _ = block_shape(long)
+    reach = long + 1 - block
 
     @F.arrow_udf(NEAR)
     def contexts(words: pa.Array, blocks: pa.Array) -> pa.Array:
@@ -261,7 +273,7 @@ def _contexts(long: int):
             word, one = w.as_py(), []
             for x in row:
                 lo = max(0, x["pos"] - reach)
-                one.append({**x, "lead": x["pos"] - lo, "near": word[lo : x["pos"] + BLOCK + reach]})
+                one.append({**x, "lead": x["pos"] - lo, "near": word[lo : x["pos"] + block + reach]})
             out.append(one)
         return pa.array(out, pa.list_(pa.struct([("pos", pa.int64()), ("key", pa.int64()), ("lead", pa.int32()), ("near", pa.binary())])))
 
@@ -291,14 +303,15 @@ def _windows(long: int):
 
 def _passages(profiles: DataFrame, long: int) -> DataFrame:
     """(doc_id, first, after, other): passages of over ``long`` words that a document with a
-    smaller id has too."""
+    smaller id has too.  All documents with a window of a passage are linked over ``other``."""
     blocks = profiles.select("doc_id", F.inline("blocks"))
-    shared = blocks.groupBy("key").agg(F.min("doc_id").alias("other"), F.max("doc_id").alias("_last")).where("other < _last").drop("_last")
+    shared = blocks.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("o"), F.max("doc_id").alias("_last")).where("o.doc_id < _last")
+    shared = shared.select("key", F.col("o.doc_id").alias("other"), F.col("o.pos").alias("place"))
     shared = materialize(shared, "shared-blocks")  # the join then reads plain shuffles, which split where a key is frequent
     # a document with the smallest id is no repeat, but its words may be asked for
-    met = materialize(blocks.join(shared, "key").select("doc_id", "pos", "key", "other"), "met-blocks")
+    met = materialize(blocks.join(shared, "key").select("doc_id", "pos", "key", "other", "place"), "met-blocks")
     later = met.where("doc_id > other")
-    told = later.groupBy("doc_id").agg(_runs(long)(F.collect_list(F.struct("pos", "key", "other"))).alias("r"))
+    told = later.groupBy("doc_id").agg(_runs(long)(F.collect_list(F.struct("pos", "key", "other", "place"))).alias("r"))
     told = materialize(told.select("doc_id", "r.*"), "runs")
     sure = told.select("doc_id", F.inline("sure"))
     doubtful = materialize(told.select(F.inline("doubtful")).distinct(), "doubtful-blocks")
@@ -316,8 +329,9 @@ def _passages(profiles: DataFrame, long: int) -> DataFrame:
     earlier = F.filter("at", lambda x: x.other < F.col("doc_id"))
     more = near.join(places, context).withColumn("at", earlier).where(F.size("at") > 0)
     start = lambda pick: F.col("pos") + pick(F.transform("at", lambda x: x.start))
-    # all windows hold the block, so together they are one span
-    more = more.select("doc_id", start(F.array_min).alias("first"), (start(F.array_max) + long + 1).alias("after"), F.array_min(F.transform("at", lambda x: x.other)).alias("other"))
+    # all windows hold the block, so together they are one span; each of their documents is a link
+    others = F.array_distinct(F.transform("at", lambda x: x.other))
+    more = more.select("doc_id", start(F.array_min).alias("first"), (start(F.array_max) + long + 1).alias("after"), F.explode(others).alias("other"))
     return sure.union(more)
 
 
@@ -442,13 +456,12 @@ def _keyed(docs: DataFrame, mark: str) -> tuple[DataFrame, DataFrame | None]:
     return docs.join(numbers, on, "left").select(*[docs[c] for c in docs.columns], mark), numbers
 
 
-def _repeats(docs: DataFrame, mark: str, long: int) -> DataFrame:
+def _repeats(docs: DataFrame, mark: str, long: int, paragraph: int) -> DataFrame:
     """``docs(mark, text)`` -> (doc_id, n_words, n_removed, spans, component), by the number."""
-    if long < LEAST:
-        raise ValueError(f"passages of {long + 1} words may have no block: the least length is {LEAST}")
+    block_shape(long)
     bands, rows = tune_bands()
     known = docs.where(F.col(mark).isNotNull()).select(F.col(mark).alias("doc_id"), "text")
-    profiles = materialize(known.mapInArrow(_profiler(bands, rows, long), PROFILE), "profiles")
+    profiles = materialize(known.mapInArrow(_profiler(bands, rows, long, paragraph), PROFILE), "profiles")
     passages = materialize(_passages(profiles, long), "passages")
     links = materialize(_similar_paragraphs(profiles), "links")
     classes = connected_components(links).where("id.doc_id <> component.doc_id")
@@ -470,20 +483,21 @@ def _repeats(docs: DataFrame, mark: str, long: int) -> DataFrame:
     )
 
 
-def repeats(docs: DataFrame, long: int = LONG) -> DataFrame:
+def repeats(docs: DataFrame, long: int = LONG, paragraph: int = LONG) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> a row per document: doc_id, n_words, n_removed, spans (word
     ranges to remove, merged) and component_id (the smallest doc_id that is reachable over shared
     passages, its own included).
 
-    The document with the smallest id keeps a passage; shared paragraphs and passages of ``long``
-    or fewer words are left alone.  Words are split at white space and compared with A-Z in lower
+    The document with the smallest id keeps a passage; shared passages of ``long`` or fewer words
+    and paragraphs of ``paragraph`` or fewer (down to one shingle of five) are left alone.  A cut
+    passage is cut whole.  Words are split at white space and compared with A-Z in lower
     case.  Ids are integers, else a TypeError.  Documents without an id have no row and are not
     compared.  Rows with one id and one text are one document, with one row; rows with one id and
     other texts are documents of their own, each with a row, in the order of their text hashes.
     Null and empty texts have no words and nothing to remove.
     """
     keyed, numbers = _keyed(docs.select("doc_id", "text"), "_key")
-    out = _repeats(keyed, "_key", long)
+    out = _repeats(keyed, "_key", long, paragraph)
     if numbers is None:
         return out
     ids = numbers.select(F.col("_key"), F.col("doc_id").cast("long").alias("_own"))
@@ -522,13 +536,13 @@ def cut_spans(text: pa.Array, spans: pa.Array) -> pa.Array:
     return collected(parts(), pa.string())
 
 
-def without_repeats(docs: DataFrame, long: int = LONG) -> DataFrame:
+def without_repeats(docs: DataFrame, long: int = LONG, paragraph: int = LONG) -> DataFrame:
     """The documents with repeated passages cut, as ``repeats`` tells; those of which no word is
     left go.  Documents without repeats, ids or texts stay as they are, and so do all columns;
     rows with one id and one text are cut alike."""
     mark, spans, key = unused(docs, "_key", "_spans", "_other")
     keyed, numbers = _keyed(docs, mark)
-    found = _repeats(keyed.select(mark, "text"), mark, long).where("n_removed > 0").select(F.col("doc_id").alias(key), F.col("spans").alias(spans))
+    found = _repeats(keyed.select(mark, "text"), mark, long, paragraph).where("n_removed > 0").select(F.col("doc_id").alias(key), F.col("spans").alias(spans))
     joined = keyed.join(found, F.col(mark) == F.col(key), "left")
     out = joined.withColumn("text", cut_spans("text", spans)).where(F.col(spans).isNull() | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     return out.select(*docs.columns)

@@ -19,11 +19,14 @@ def test_tuned_bands():
 def test_every_window_has_an_anchor(seed):
     rng = np.random.default_rng(seed)
     h = rng.integers(0, 2 ** (3 + 20 * seed % 64), 500).astype(np.uint64)
-    at = set(S.anchors(h).tolist())
-    for k in range(len(h) - S.WINDOW + 1):
-        least = h[k : k + S.WINDOW].min()
-        near = {i for i in range(k, k + S.WINDOW) if h[i] == least}
-        assert near & at or len(near) > 1
+    for long in (8, 30, 50):
+        block, n = S.block_shape(long)
+        assert block >= S.SHINGLE and block + n - 2 == long
+        at = set(S.anchors(h, n).tolist())
+        for k in range(len(h) - n + 1):
+            least = h[k : k + n].min()
+            near = {i for i in range(k, k + n) if h[i] == least}
+            assert near & at or len(near) > 1
 
 
 def words(rng, n, v=4000):
@@ -121,7 +124,6 @@ def test_a_band_of_unlike_paragraphs(spark, monkeypatch, compared):
         for k in range(3):
             rows.append((i + k, " ".join(common * 3 + own[: 60 + k])))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(S, "BLOCK", 500)
     got = {r.doc_id: r for r in S.repeats(docs).collect()}
 
     def sets(t):
@@ -186,24 +188,80 @@ def shared_windows(rows, n=51):
     return out
 
 
+def shared_components(rows, n=51):
+    """The smallest document that is reachable over windows of n words that documents share."""
+    first, parent = {}, {i: i for i, _ in rows}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, t in sorted(rows):
+        w = t.lower().split()
+        for k in range(len(w) - n + 1):
+            a, b = find(i), find(first.setdefault(tuple(w[k : k + n]), i))
+            parent[max(a, b)] = min(a, b)
+    return {i: find(i) for i, _ in rows}
+
+
+def brute_equals(spark, rows, long=50):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in S.repeats(docs, long, 10**6).collect()}  # passages only
+    components = shared_components(rows, long + 1)
+    for (k, _), places in zip(sorted(rows), shared_windows(rows, long + 1)):
+        assert {p for x in got[k].spans for p in range(x[0], x[1])} == places, k
+        assert got[k].component_id == components[k] and got[k].n_removed == len(places), k
+
+
 def test_passages_against_brute_force(spark):
-    """What is cut stands in an earlier document over more than 50 words, and every such passage is
-    cut but for at most 19 words at either end; repeats of up to 50 words stay."""
+    """What is cut is every word in a window of 51 words that an earlier document has."""
     rng = random.Random(21)
     rows = []
     passages = [words(rng, n) for n in (20, 32, 40, 50, 50, 51, 52, 60, 80, 150) for _ in range(3)]
     for k, p in enumerate(passages * 2):
         rows.append((k, " ".join(words(rng, rng.randrange(0, 60)) + p + words(rng, rng.randrange(0, 60)))))
     rows += [(100, "la " * 45), (101, "x " + "la " * 40 + "y"), (102, "la " * 90), (103, "z " + "la " * 70)]
+    brute_equals(spark, rows)
+    assert sum(map(bool, shared_windows(rows))) == 16
+
+
+@pytest.mark.parametrize("a,b,c", [(80, 40, 80), (15, 33, 15), (30, 30, 30), (51, 1, 51)])
+def test_passages_of_two_documents(spark, a, b, c):
+    """A B in one document, B C in another, A B C in a third: links to both, and no cut of what no
+    single document has."""
+    rng = random.Random(a * b)
+    rows = []
+    for k in range(20):
+        x, y, z = (words(rng, n, 10**6) for n in (a, b, c))
+        fill = lambda: words(rng, rng.randrange(0, 40), 10**6)
+        rows += [(3 * k, fill() + x + y + fill()), (3 * k + 1, fill() + y + z + fill()), (3 * k + 2, fill() + x + y + z + fill())]
+    brute_equals(spark, [(i, " ".join(w)) for i, w in rows])
+
+
+def test_mosaics_against_brute_force(spark):
+    """Documents made of parts of a few texts, in any order, with edits."""
+    rng = random.Random(77)
+    texts, rows = [words(rng, 300) for _ in range(6)], []
+    for i in range(60):
+        w = []
+        for _ in range(rng.randrange(1, 6)):
+            t, at, n = rng.choice(texts), rng.randrange(0, 240), rng.choice([12, 30, 49, 51, 70, 140])
+            w += t[at : at + n] + words(rng, rng.choice([0, 0, 3]))
+        for _ in range(rng.randrange(0, 3)):
+            w[rng.randrange(len(w))] = "edit%d" % rng.randrange(10**6)
+        rows.append((i, " ".join(w)))
+    brute_equals(spark, rows)
+    brute_equals(spark, rows, 20)
+
+
+def test_short_paragraphs_by_parameter(spark):
+    rng = random.Random(5)
+    para, few = " ".join(words(rng, 50)), " ".join(words(rng, 5))
+    rows = [(i, f"\n\n{few}\n\n".join([" ".join(words(rng, 60)), " ".join(words(rng, 60))]) + f"\n\n{para}") for i in range(3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in S.repeats(docs).collect()}
-    want = shared_windows(rows)
-    for (k, _), places in zip(sorted(rows), want):
-        cut = {p for x in got[k].spans for p in range(x[0], x[1])}
-        assert cut <= places, k
-        if places:
-            assert len(cut) >= 51 and len(places - cut) <= 38, k
-    assert sum(map(bool, want)) == 16
+    removed = lambda **x: [r.n_removed for r in sorted(S.repeats(docs, **x).collect())]
+    assert removed() == [0, 0, 0] and removed(paragraph=49) == [0, 50, 50] and removed(paragraph=4) == removed(paragraph=0) == [0, 55, 55]
 
 
 def test_inside_one_document_repeats_stay(spark):
@@ -211,8 +269,8 @@ def test_inside_one_document_repeats_stay(spark):
     para, line = " ".join(words(rng, 80)), " ".join(words(rng, 9))
     rows = [(1, f"{para}\n\n{line}\n\n{para}"), (2, line), (3, f"{line}\n\n{para}\n\n{para} x")]
     got = {r.doc_id: r.n_removed for r in S.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    # the line and the paragraph stand together in the first, too; up to 19 words may stay at an end
-    assert got[1] == got[2] == 0 and 160 <= got[3] <= 170
+    # the line and the paragraph stand together in the first, too
+    assert got[1] == got[2] == 0 and got[3] == 169
 
 
 def test_one_id_with_other_texts(spark):
@@ -226,9 +284,8 @@ def test_one_id_with_other_texts(spark):
     got = {(r.doc_id, r["_id"]): r.text for r in out.collect()}
     assert got[(7, 3)] == " ".join(alone) and got[(1, 1)] == " ".join(para) and got[(9, 4)] == rows[4][1] and got[(None, 5)] == " ".join(para)
     assert out.count() == 6
-    kept = got[(7, 2)].split()
-    assert kept[:40] == rows[1][1].split()[:40] and len(kept) <= 59  # up to 19 words may stay at a passage's start
-    assert sorted((r.doc_id, r.n_removed, r.component_id) for r in S.repeats(docs).collect()) == [(1, 0, 1), (7, 0, 7), (7, 130 - len(kept), 1), (9, 0, 9)]
+    assert got[(7, 2)].split() == rows[1][1].split()[:40]
+    assert sorted((r.doc_id, r.n_removed, r.component_id) for r in S.repeats(docs).collect()) == [(1, 0, 1), (7, 0, 7), (7, 90, 1), (9, 0, 9)]
 
 
 def test_ids_are_integers(spark):
@@ -244,4 +301,4 @@ def test_longer_passages_only(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert [r.n_removed > 0 for r in sorted(S.repeats(docs, long=100).collect())] == [False, False, True]
     with pytest.raises(ValueError):
-        S.repeats(docs, long=20)
+        S.repeats(docs, long=4)
