@@ -281,22 +281,22 @@ def _contexts(long: int):
 
 
 def _windows(long: int):
-    """UDF: the words around a block -> (start, window): where windows of long + 1 words that hold
-    the block begin, from the block on, and a hash of their words."""
+    """UDF: a block's hash and the words around it -> (start, window): where windows of long + 1
+    words that hold the block begin, from the block on, and a hash of block and words."""
     width = long + 1
 
-    @F.arrow_udf("array<struct<start:long,window:long>>")
-    def windows(lead: pa.Array, near: pa.Array) -> pa.Array:
+    @F.arrow_udf("array<struct<start:int,window:long>>")
+    def windows(key: pa.Array, lead: pa.Array, near: pa.Array) -> pa.Array:
         out = []
         with np.errstate(over="ignore"):
-            for first, w in zip(lead.to_pylist(), near):
+            for block, first, w in zip(key.to_numpy().view(np.uint64), lead.to_pylist(), near):
                 word = np.frombuffer(w.as_py(), np.uint8).astype(np.uint64) + np.uint64(1)
                 hashes = []
                 if len(word) >= width:
                     each = np.lib.stride_tricks.sliding_window_view(_mix(word), width)
-                    hashes = _mix((each * _powers(width, _OTHER)).sum(axis=1, dtype=np.uint64)).view(np.int64).tolist()
+                    hashes = _mix((each * _powers(width, _OTHER)).sum(axis=1, dtype=np.uint64) ^ block).view(np.int64).tolist()
                 out.append([{"start": k - first, "window": h} for k, h in enumerate(hashes)])
-        return pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("window", pa.int64())])))
+        return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("window", pa.int64())])))
 
     return windows
 
@@ -317,17 +317,16 @@ def _passages(profiles: DataFrame, long: int) -> DataFrame:
     doubtful = materialize(told.select(F.inline("doubtful")).distinct(), "doubtful-blocks")
     asked = met.join(doubtful, "key", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "key")).alias("blocks"))
     near = profiles.select("doc_id", "words").join(asked, "doc_id").select("doc_id", F.inline(_contexts(long)("words", "blocks")))
-    near = materialize(near, "contexts")
-    # copies of a passage have equal words around the block: a context is looked at once
-    context = ["key", "lead", "near"]
-    once = near.groupBy(*context).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    held = materialize(once.select(*context, "first_doc", "last_doc", F.inline(_windows(long)("lead", "near"))), "windows")
-    both = held.groupBy("key", "window").agg(F.min("first_doc").alias("other"), F.max("last_doc").alias("_last")).where("other < _last").drop("_last")
+    # from here on a context goes by its hash; copies of a passage share it, and it is looked at once
+    near = materialize(near.withColumn("context", F.xxhash64("key", "lead", "near")), "contexts")
+    once = near.groupBy("context").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), *(F.first(c).alias(c) for c in ("key", "lead", "near")))
+    held = materialize(once.select("context", "first_doc", "last_doc", F.inline(_windows(long)("key", "lead", "near"))), "windows")
+    both = held.groupBy("window").agg(F.min("first_doc").alias("other"), F.max("last_doc").alias("_last")).where("other < _last").drop("_last")
     both = materialize(both, "shared-windows")
-    places = held.join(both, ["key", "window"]).groupBy(*context).agg(F.collect_list(F.struct("start", "other")).alias("at"))
+    places = held.select("context", "start", "window").join(both, "window").groupBy("context").agg(F.collect_list(F.struct("start", "other")).alias("at"))
     places = materialize(places, "shared-contexts")
     earlier = F.filter("at", lambda x: x.other < F.col("doc_id"))
-    more = near.join(places, context).withColumn("at", earlier).where(F.size("at") > 0)
+    more = near.select("doc_id", "pos", "context").join(places, "context").withColumn("at", earlier).where(F.size("at") > 0)
     start = lambda pick: F.col("pos") + pick(F.transform("at", lambda x: x.start))
     # all windows hold the block, so together they are one span; each of their documents is a link
     others = F.array_distinct(F.transform("at", lambda x: x.other))

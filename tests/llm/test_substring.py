@@ -269,8 +269,8 @@ def test_inside_one_document_repeats_stay(spark):
     para, line = " ".join(words(rng, 80)), " ".join(words(rng, 9))
     rows = [(1, f"{para}\n\n{line}\n\n{para}"), (2, line), (3, f"{line}\n\n{para}\n\n{para} x")]
     got = {r.doc_id: r.n_removed for r in S.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    # the line and the paragraph stand together in the first, too
-    assert got[1] == got[2] == 0 and got[3] == 169
+    # the line and the paragraph stand together in the first, too; the last paragraph is a near copy
+    assert got[1] == got[2] == 0 and got[3] == 170
 
 
 def test_one_id_with_other_texts(spark):
