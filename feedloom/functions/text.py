@@ -132,13 +132,16 @@ def mentioned_names(text: Column, stop_words: list[str] = R.NOT_NAMES) -> Column
     )
 
 
-def natural_key(text: Column) -> Column:
-    """Sorting key: lower case, numbers led by how many digits they have, so that they compare by
-    value, however long they are."""
-    parts = F.regexp_extract_all(F.lower(text.cast("string")), F.lit(r"\d+|\D+"), F.lit(0))
+def natural_key(text: Column, collation: str | None = None) -> Column:
+    """Sorting key: numbers led by how many digits they have, so that they compare by value, however
+    long they are.  The rest compares in lower case, or as it is under a collation such as
+    ``UNICODE`` (base letters first, then accents, then case) or a locale's."""
+    text = text.cast("string")
+    parts = F.regexp_extract_all(text if collation else F.lower(text), F.lit(r"\d+|\D+"), F.lit(0))
 
     def number(p: Column) -> Column:
         digits = F.ltrim(p, F.lit("0"))
         return F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
 
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), number(p)).otherwise(p)), "")
+    key = F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), number(p)).otherwise(p)), "")
+    return F.collate(key, collation) if collation else key

@@ -177,10 +177,11 @@ def _similar(a: dict[int, float], b: dict[int, float]) -> float:
 class Leader:
     """Clusters of one theme, fed in order of arrival; a record is compared with all of them at
     once.  ``rows`` are clusters kept from before, in order of birth; one that was idle for over
-    ``idle_us`` takes no record."""
+    ``idle_us`` takes no record.  With ``lone`` no record is like a summary sentence, so a cluster
+    takes one more record at most and then leaves the list."""
 
-    def __init__(self, theme: str, rows: list[dict] | None = None, buckets: int = 256, idle_us: int | None = None):
-        self.theme, self.clusters, self.buckets, self.idle = theme, [], buckets, idle_us
+    def __init__(self, theme: str, rows: list[dict] | None = None, buckets: int = 256, idle_us: int | None = None, lone: bool = False):
+        self.theme, self.clusters, self.buckets, self.idle, self.lone = theme, [], buckets, idle_us, lone
         self.vectors: dict[str, np.ndarray] = {}
         self.unit, self.place = np.zeros((buckets, 64)), np.full((64, 2), np.nan)  # a row a bucket
         self.seen = np.zeros(64, np.int64)
@@ -198,6 +199,13 @@ class Leader:
         if c["place"]:
             self.place[k] = c["place"]
 
+    def drop(self, k: int) -> None:
+        """Takes a cluster out; the others stay in order."""
+        n = len(self.clusters)
+        del self.clusters[k]
+        self.unit[:, k : n - 1], self.place[k : n - 1], self.seen[k : n - 1] = self.unit[:, k + 1 : n].copy(), self.place[k + 1 : n].copy(), self.seen[k + 1 : n].copy()
+        self.unit[:, n - 1], self.place[n - 1] = 0, np.nan
+
     def _vector(self, counts: dict[int, float]) -> np.ndarray:
         v = np.zeros(self.buckets)
         for b, n in counts.items():
@@ -236,6 +244,9 @@ class Leader:
             self.keep({"cluster_id": f"{self.theme}:{feedback_id}", "vector": _bucketed(text), "place": place, "volume": 1, "summarised": 1, "born": t, "seen": t, "changed": True})
             return self.clusters[-1]["cluster_id"]
         c = self.clusters[at]
+        if self.lone:
+            self.drop(at)
+            return c["cluster_id"]
         c["volume"], c["seen"], c["changed"] = c["volume"] + 1, max(c["seen"], t), True
         self.seen[at] = c["seen"]
         if (c["volume"] - c["summarised"]) / c["summarised"] > 0.2:
@@ -253,26 +264,29 @@ def fold_clusters(rows: DataFrame, known: DataFrame | None = None, idle_days: in
     record, and, without feedback_id, each cluster that a record changed or that has gone.
 
     Spark sorts; a task holds one theme's clusters that may still take records, not the records.
-    Rows without theme or time are left out.
+    Rows without theme or time are left out.  A column ``part`` tells parts of a theme that have
+    nothing to do with each other, ``lone`` what ``Leader`` takes it for.
     """
     idle = None if idle_days is None else idle_days * 86_400_000_000
-    columns = ["theme", "t", "feedback_id", "text", "latitude", "longitude", "c"]
-    records = rows.where("theme is not null and ts is not null").select("theme", F.unix_micros("ts").alias("t"), "feedback_id", "text", F.col("latitude").cast("double"), F.col("longitude").cast("double"))
+    columns = ["theme", "part", "lone", "t", "feedback_id", "text", "latitude", "longitude", "c"]
+    if "part" not in rows.columns:
+        rows = rows.withColumns({"part": F.lit(""), "lone": F.lit(False)})
+    records = rows.where("theme is not null and ts is not null").select("theme", "part", "lone", F.unix_micros("ts").alias("t"), "feedback_id", "text", F.col("latitude").cast("double"), F.col("longitude").cast("double"))
     kind = "struct<cluster_id: string, vector: array<struct<bucket: int, n: double>>, volume: bigint, summarised: bigint, seen: bigint>"
     all_rows = records.withColumn("c", F.lit(None).cast(kind)).select(columns)
     if known is not None:
         themes = records.select("theme").distinct()
         cluster = F.struct("cluster_id", "vector", "volume", "summarised", "seen").cast(kind)
-        old = known.join(themes, "theme", "left_semi").select("theme", F.col("born").alias("t"), F.lit(None).cast("long").alias("feedback_id"), F.lit(None).cast("string").alias("text"), "latitude", "longitude", cluster.alias("c"))
+        old = known.join(themes, "theme", "left_semi").select("theme", F.lit("").alias("part"), F.lit(False).alias("lone"), F.col("born").alias("t"), F.lit(None).cast("long").alias("feedback_id"), F.lit(None).cast("string").alias("text"), "latitude", "longitude", cluster.alias("c"))
         all_rows = all_rows.union(old.select(columns))
     first = F.when(F.col("c").isNotNull(), 0).otherwise(1)
     number = F.element_at(F.split("c.cluster_id", ":"), -1).cast("long")
-    ordered = all_rows.withColumns({"_first": first, "_n": F.coalesce(number, F.col("feedback_id"))}).repartition("theme").sortWithinPartitions("theme", "_first", "t", "_n").drop("_first", "_n")
+    ordered = all_rows.withColumns({"_first": first, "_n": F.coalesce(number, F.col("feedback_id"))}).repartition("theme", "part").sortWithinPartitions("theme", "part", "_first", "t", "_n").drop("_first", "_n")
     schema = to_arrow_schema(_parse_datatype_string(FOLDED))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader: Leader | None = None
-        latest = 0
+        latest, now = 0, None
 
         def left() -> list[dict]:
             out = []
@@ -287,9 +301,9 @@ def fold_clusters(rows: DataFrame, known: DataFrame | None = None, idle_days: in
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                if leader is None or leader.theme != r["theme"]:
+                if now != (r["theme"], r["part"]):
                     out += left()
-                    leader, latest = Leader(r["theme"], idle_us=idle), 0
+                    leader, latest, now = Leader(r["theme"], idle_us=idle, lone=r["lone"]), 0, (r["theme"], r["part"])
                 place = None if r["latitude"] is None or r["longitude"] is None else (r["latitude"], r["longitude"])
                 if c := r["c"]:
                     leader.keep({**c, "vector": {x["bucket"]: x["n"] for x in c["vector"]}, "place": place, "born": r["t"], "changed": False})
@@ -302,32 +316,110 @@ def fold_clusters(rows: DataFrame, known: DataFrame | None = None, idle_days: in
     return ordered.mapInArrow(run, FOLDED)
 
 
+def summary_volumes(most: int) -> list[int]:
+    """Volumes up to ``most`` and one more at which a growing cluster gets a new summary sentence."""
+    out, volume = [], 1
+    while volume <= most:
+        volume += next(k for k in range(1, volume + 1) if k / volume > 0.2)
+        out.append(volume)
+    return out
+
+
+def apart(rows: DataFrame) -> DataFrame:
+    """Adds ``part`` and ``lone`` for ``fold_clusters``: parts of a theme whose records can't join
+    each other's clusters.
+
+    A record joins over 0.7, so with a cosine over 0.4 to a cluster's text: to its first member's,
+    or, from the second on, to a summary sentence.  So texts that are so close over others are a
+    part, unless a text of the theme is so close to one of the sentences that its clusters may come
+    to have; then the theme is one part.
+    """
+    least = (JOIN_OVER - WEIGHTS[1] - WEIGHTS[2]) / WEIGHTS[0] - 1e-9
+    rows = rows.withColumn("_text", F.coalesce("text", F.lit("")))
+    texts = write_and_read(same_vector(rows.select(F.col("_text").alias("id"), F.col("_text").alias("text")).distinct()), "texts")
+    vectors = texts.where(F.col("id") == F.col("rep")).where(F.size("tf") > 0).select("rep", "tf")
+    grouped = components(pairs_over(vectors, least, 256)).select(F.col("id").alias("rep"), F.col("component"))
+    volumes = F.array(*map(F.lit, summary_volumes(rows.count())))
+    themes = rows.where("theme is not null").select("theme").distinct().withColumn("volume", F.explode(volumes))
+    sentence = F.concat(F.lit("Cluster of "), F.col("volume").cast("string"), F.lit(" feedback items about "), F.col("theme"))
+    sentences = write_and_read(same_vector(themes.select(sentence.alias("id"), sentence.alias("text")).distinct()), "sentences")
+    close = pairs_over(vectors, least, 256, others=sentences.where(F.col("id") == F.col("rep")).select("rep", "tf"))
+    close = close.select(F.col("a").alias("rep"), F.col("b").alias("_s")).join(sentences.select("id", F.col("rep").alias("_s")), "_s").join(themes.withColumn("id", sentence), "id").select("rep", "theme")
+    known = rows.join(texts.select(F.col("id").alias("_text"), "rep"), "_text")
+    whole = write_and_read(known.join(close.distinct(), ["rep", "theme"], "left_semi").select("theme").distinct().withColumn("_whole", F.lit(True)), "whole-themes")
+    placed = known.join(grouped, "rep", "left").join(whole, "theme", "left")
+    lone = F.col("_whole").isNull()
+    return placed.withColumns({"part": F.when(lone, F.md5(F.coalesce("component", "rep"))).otherwise(""), "lone": lone}).select(*[c for c in rows.columns if c != "_text"], "part", "lone")
+
+
 def online_clusters(rows: DataFrame, idle_days: int | None = None) -> DataFrame:
     """``rows(feedback_id, theme, ts, text, latitude, longitude)`` -> (feedback_id, theme,
     cluster_id).
 
     A record's score with a cluster of another theme is at most 0.7, which does not join, so
-    themes are independent.  A theme's records stream through its clusters in (time, id) order; a
-    task holds the clusters, not the records.  The first member's place and, from the second
-    member on, the summary sentence stand for a cluster.
+    themes are independent, and so are the parts of a theme that ``apart`` finds.  The records of a
+    part stream through its clusters in (time, id) order; a task holds the clusters that may still
+    take records, not the records.  The first member's place and, from the second member on, the
+    summary sentence stand for a cluster.
     """
-    return fold_clusters(rows, None, idle_days).where("feedback_id is not null").select("feedback_id", "theme", "cluster_id")
+    needed = rows.select("feedback_id", "theme", "ts", "text", "latitude", "longitude")
+    return fold_clusters(apart(needed), None, idle_days).where("feedback_id is not null").select("feedback_id", "theme", "cluster_id")
+
+
+def geo_cell(lat: Column, lon: Column, reach: int = 0) -> Column:
+    """Cells of a place and its neighbours up to ``reach``, 1 for all within 50 km: bands of half a
+    degree, cut so that a cell is nowhere under 55 km wide.  Null without a place."""
+    band = F.floor(lat * 2)
+
+    def in_band(k: int) -> Column:
+        b = band + k
+        widest = F.least(F.lit(90.0), F.greatest(F.abs(b), F.abs(b + 1)) / 2)  # the cell is narrowest there
+        n = F.greatest(F.lit(1), F.floor(720 * F.cos(F.radians(widest)))).cast("long")
+        at = F.floor((lon + 180) / 360 * n).cast("long")
+        return F.transform(F.array(*[F.lit(d) for d in range(-reach, reach + 1)]), lambda d: F.struct(b.alias("band"), F.pmod(at + d, n).alias("at")))
+
+    cells = F.array_distinct(F.concat(*[in_band(k) for k in range(-reach, reach + 1)]))
+    return F.when(lat.isNotNull() & lon.isNotNull(), cells if reach else cells[0])
 
 
 def best_cluster_match(rows: DataFrame, clusters: DataFrame) -> DataFrame:
     """The best active cluster of a record's own theme over the threshold, from a cluster
-    snapshot (cluster_id, theme, summary, latitude, longitude, status)."""
+    snapshot (cluster_id, theme, summary, latitude, longitude, status).
+
+    A score is over the threshold only with a cosine over 0.4, so different texts meet different
+    summaries in ``pairs_over`` first.  Of the clusters of one theme and summary a record's best is
+    one within 50 km, which the neighbouring cells hold, or else the last by id: of all for a record
+    without a place, else of those with a place, which score alike from there on, and of those without.
+    """
     from feedloom.functions.geo import haversine_km
-    from feedloom.functions.text import cosine_similarity, hash_embedding
 
-    c = clusters.where("status in ('active', 'monitoring')").select(
-        "theme", "cluster_id", hash_embedding(F.col("summary")).alias("_v"), F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon")
+    live = clusters.where("status in ('active', 'monitoring')").select("theme", "cluster_id", F.col("summary").alias("text"), F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"))
+    texts, summaries = (write_and_read(same_vector(x.select(F.coalesce("text", F.lit("")).alias("text")).distinct().select(F.col("text").alias("id"), "text")), "texts") for x in (rows, live))
+    vectors = [x.where(F.col("id") == F.col("rep")).where(F.size("tf") > 0).select("rep", "tf") for x in (texts, summaries)]
+    least = (JOIN_OVER - WEIGHTS[1] - WEIGHTS[2]) / WEIGHTS[0] - 1e-9
+    near = pairs_over(vectors[0], least, 256, others=vectors[1])
+    # texts without tokens are alike
+    bare = [x.where(F.size("tf") == 0).select(F.col("rep").alias(c)).distinct() for c, x in zip("ab", (texts, summaries))]
+    pairs = write_and_read(near.union(bare[0].crossJoin(F.broadcast(bare[1])).withColumn("cosine", F.lit(1.0))), "near-texts")  # one row each
+    r = rows.join(texts.select(F.col("id").alias("_text"), F.col("rep").alias("a")), F.coalesce("text", F.lit("")) == F.col("_text"))
+    r = r.select("feedback_id", "theme", "a", F.col("latitude").cast("double").alias("latitude"), F.col("longitude").cast("double").alias("longitude"))
+    c = live.join(summaries.select(F.col("id").alias("_text"), F.col("rep").alias("b")), F.coalesce("text", F.lit("")) == F.col("_text")).select("theme", "b", "cluster_id", "_lat", "_lon")
+    placed = F.col("_lat").isNotNull() & F.col("_lon").isNotNull()
+    last = c.groupBy("theme", "b").agg(
+        F.max(F.struct("cluster_id", "_lat", "_lon")).alias("all"),
+        F.max(F.when(placed, F.struct("cluster_id", "_lat", "_lon"))).alias("with"),
+        F.max(F.when(~placed, F.struct("cluster_id", "_lat", "_lon"))).alias("without"),
     )
-    r = rows.select("feedback_id", "theme", hash_embedding(F.col("text")).alias("v"), "latitude", "longitude")
-    both = r.join(c, "theme")
+    asked = write_and_read(r.join(pairs, "a"), "asked")
+    here = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    ends = F.when(here, F.array("with", "without")).otherwise(F.array("all"))
+    by_id = asked.join(last, ["theme", "b"]).select("feedback_id", "cosine", "latitude", "longitude", F.inline(F.filter(ends, lambda x: x.isNotNull())))
+    cells = write_and_read(c.where(placed).withColumn("cell", geo_cell(F.col("_lat"), F.col("_lon"))), "cluster-cells")
+    around = asked.where(here).withColumn("cell", F.explode(geo_cell(F.col("latitude"), F.col("longitude"), 1)))
+    by_cell = around.join(cells, ["theme", "b", "cell"]).select("feedback_id", "cosine", "latitude", "longitude", "cluster_id", "_lat", "_lon")
+    both = by_id.union(by_cell)
     km = haversine_km(F.col("latitude"), F.col("longitude"), F.col("_lat"), F.col("_lon"))
-    near = F.greatest(F.lit(0.0), 1 - km / GEO_KM)
-    base = WEIGHTS[0] * cosine_similarity(F.col("v"), F.col("_v")) + WEIGHTS[1]
-    score = F.when(km.isNull(), base / (WEIGHTS[0] + WEIGHTS[1])).otherwise(base + WEIGHTS[2] * near)
+    base = WEIGHTS[0] * F.col("cosine") + WEIGHTS[1]
+    score = F.when(km.isNull(), base / (WEIGHTS[0] + WEIGHTS[1])).otherwise(base + WEIGHTS[2] * F.greatest(F.lit(0.0), 1 - km / GEO_KM))
     best = F.max(F.struct(score.alias("score"), F.col("cluster_id")))
     return both.where(score > JOIN_OVER).groupBy("feedback_id").agg(best.alias("m")).select("feedback_id", "m.cluster_id", "m.score")

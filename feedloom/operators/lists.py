@@ -58,10 +58,11 @@ def paginate(rows: DataFrame, limit: int = 20, offset: int = 0, newest: str = "c
     )
 
 
-def sort_nulls_last(rows: DataFrame, column: str, descending: bool = False, tie: str | None = None) -> DataFrame:
-    """Nulls last either way; strings compare their numbers by value."""
+def sort_nulls_last(rows: DataFrame, column: str, descending: bool = False, tie: str | None = None, collation: str | None = None) -> DataFrame:
+    """Nulls last either way; strings compare their numbers by value, and the rest in lower case or
+    by ``collation``, as ``UNICODE`` or a locale such as ``de``."""
     c = F.col(column)
-    key = natural_key(c) if dict(rows.dtypes)[column] == "string" else c
+    key = natural_key(c, collation) if dict(rows.dtypes)[column] == "string" else c
     order = [key.desc_nulls_last() if descending else key.asc_nulls_last()]
     return rows.orderBy(*order, *([tie] if tie else []))
 

@@ -11,6 +11,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedloom.sources.shared import write_and_read
+
 LEAST_RECORDS = 10
 
 
@@ -150,17 +152,36 @@ def severity_escalation(means: DataFrame, least: float = 1.0) -> DataFrame:
     return both.where((F.col("base_n") >= LEAST_RECORDS) & (F.col("cur_n") >= LEAST_RECORDS) & (F.col("difference") >= least))
 
 
+def trend_counts(rows: DataFrame, ts: str, w: Windows) -> DataFrame:
+    """(window, kind, value, n, total): records, themes, sentiments and severities of both windows
+    in one pass; ``total`` sums the severities."""
+    pairs = F.concat(
+        F.array(
+            F.struct(F.lit("record").alias("kind"), F.lit("all").alias("value")),
+            F.struct(F.when(F.col("sentiment").isNotNull(), "sentiment").alias("kind"), F.col("sentiment").alias("value")),
+            F.struct(F.when(F.col("severity_score").isNotNull(), "severity").alias("kind"), F.lit("all").alias("value")),
+        ),
+        F.transform(F.coalesce("theme_labels", F.array().cast("array<string>")), lambda t: F.struct(F.lit("theme").alias("kind"), t.alias("value"))),
+    )
+    each = in_windows(rows, ts, w).select("window", "severity_score", F.inline(F.filter(pairs, lambda p: p.kind.isNotNull())))
+    return each.groupBy("window", "kind", "value").agg(F.count("*").alias("n"), F.sum(F.when(F.col("kind") == "severity", F.col("severity_score"))).alias("total"))
+
+
 def trend_report(rows: DataFrame, ts: str, w: Windows) -> DataFrame:
     """Spikes, shift and escalation as rows (kind, name, baseline, current, change); windows of
-    fewer than ten records give only a note."""
-    frequency = theme_frequency(rows, ts, w)
-    totals = in_windows(rows, ts, w).agg(
-        F.count_if(F.col("window") == "baseline").alias("_b"), F.count_if(F.col("window") == "current").alias("_c")
-    )
+    fewer than ten records give only a note.  The rows are read once, for ``trend_counts``."""
+    counts = write_and_read(trend_counts(rows, ts, w), "trend-counts")
+    of = lambda name, c="n": F.coalesce(F.sum(F.when(F.col("window") == name, F.col(c))), F.lit(0))
+    totals = counts.where("kind = 'record'").agg(of("baseline").alias("_b"), of("current").alias("_c"))
+    share = lambda n, total: F.when(F.col(total) > 0, F.col(n) / F.col(total)).otherwise(0.0)
+    themes = counts.where("kind = 'theme'").groupBy(F.col("value").alias("theme")).agg(of("baseline").alias("base_n"), of("current").alias("cur_n"))
+    frequency = themes.crossJoin(F.broadcast(totals)).withColumns({"base_share": share("base_n", "_b"), "cur_share": share("cur_n", "_c")})  # one row
+    rated = counts.where("kind = 'sentiment'").groupBy("window").agg(F.sum("n").alias("n"), (F.sum(F.when(F.col("value") == "negative", F.col("n")).otherwise(0)) / F.sum("n")).alias("negative"))
+    means = counts.where("kind = 'severity'").select("window", "n", (F.col("total") / F.col("n")).alias("mean"))
     names = ["kind", "name", "baseline", "current", "change"]
     spikes = theme_spikes(frequency).select(F.lit("theme_spike").alias("kind"), F.col("theme").alias("name"), "base_share", "cur_share", "pct_increase").toDF(*names)
-    shift = sentiment_shift(sentiment_proportions(rows, ts, w)).select(F.lit("sentiment_shift"), F.lit("negative"), "base", "cur", "points").toDF(*names)
-    harder = severity_escalation(mean_severity(rows, ts, w)).select(F.lit("severity_escalation"), F.lit("severity"), "base", "cur", "difference").toDF(*names)
+    shift = sentiment_shift(rated).select(F.lit("sentiment_shift"), F.lit("negative"), "base", "cur", "points").toDF(*names)
+    harder = severity_escalation(means).select(F.lit("severity_escalation"), F.lit("severity"), "base", "cur", "difference").toDF(*names)
     enough = (F.col("_b") >= LEAST_RECORDS) & (F.col("_c") >= LEAST_RECORDS)
     found = spikes.unionByName(shift).unionByName(harder).crossJoin(F.broadcast(totals)).where(enough).drop("_b", "_c")  # one row
     notes = totals.where(~enough).select(F.lit("note"), F.lit("too few records"), F.col("_b").cast("double"), F.col("_c").cast("double"), F.lit(None).cast("double")).toDF(*names)
@@ -273,14 +294,24 @@ def volume_spike(daily: DataFrame, factor: float = 2.0) -> DataFrame:
 
 
 def cluster_sentiment_trend(rows: DataFrame, size: int = 10, least: float = 0.1) -> DataFrame:
-    """Per cluster the mean score of its last ten records less that of its first ten."""
+    """Per cluster the mean score of its last ten records less that of its first ten.
+
+    Every task keeps a cluster's first and last ten of what it reads, so a cluster of any size is
+    ten rows a task before the shuffle and is never sorted as a whole.
+    """
     by = Window.partitionBy("cluster_id")
-    up, down = (by.orderBy(F.col("processed_at").asc(), F.col("feedback_id").asc()), by.orderBy(F.col("processed_at").desc(), F.col("feedback_id").desc()))
-    ranked = rows.withColumns({"_up": F.row_number().over(up), "_down": F.row_number().over(down)})
-    got = ranked.groupBy("cluster_id").agg(
-        F.count("*").alias("n"),
-        (F.avg(F.when(F.col("_down") <= size, F.col("sentiment_score"))) - F.avg(F.when(F.col("_up") <= size, F.col("sentiment_score")))).alias("difference"),
-    )
+    few = rows.select("cluster_id", "processed_at", "feedback_id", "sentiment_score")
+
+    def mean_of(name: str, *order: Column) -> DataFrame:
+        # a limit on row numbers is put before the exchange, too
+        ends = few.withColumn("_r", F.row_number().over(by.orderBy(*order))).where(F.col("_r") <= size)
+        return ends.groupBy(F.col("cluster_id").alias(f"_{name}")).agg(F.avg("sentiment_score").alias(name))
+
+    first = mean_of("first", F.asc("processed_at"), F.asc("feedback_id"))
+    last = mean_of("last", F.desc("processed_at"), F.desc("feedback_id"))
+    counts = few.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    both = counts.join(first, F.col("cluster_id").eqNullSafe(F.col("_first"))).join(last, F.col("cluster_id").eqNullSafe(F.col("_last")))
+    got = both.withColumn("difference", F.col("last") - F.col("first"))
     trend = F.when(F.col("n") < 2 * size, "stable").when(F.col("difference") > least, "improving").when(F.col("difference") < -least, "deteriorating").otherwise("stable")
     return got.select("cluster_id", "n", "difference", trend.alias("trend"), (F.col("n") < 2 * size).alias("too_few"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from feedloom import rules as R
 from feedloom.operators import dedup, ingest as I, quality
 from feedloom.plans.registry import query
 from feedloom.plans.text_queries import CLEAN, MASK, language_sql, profanity_sql
@@ -80,22 +81,16 @@ def _(v):
     return posts(v).select("feedback_id", I.engagement_metrics(F.col("metrics")).alias("m")).select("feedback_id", "m.*")
 
 
-@query("ingest_widget", """select event_id, case event_id % 7 when 0 then 'payload' when 1 then 'consent_to_contact' when 2 then 'consent_to_contact' when 3 then 'message_text' when 4 then 'selected_category' end as error_field,
- case event_id % 7 when 0 then 'not valid JSON' when 1 then 'is required' when 2 then 'must be a boolean' when 3 then 'is required' when 4 then 'is unknown' end as error_message,
- case when event_id % 7 = 5 then 'chat' else 'website_form' end as submission_channel from events""")
+@query("ingest_widget", f"""with p as (select event_id, payload, json_valid(payload) as ok, case when json_valid(payload) then payload else '{{}}' end as j from wp),
+f as (select event_id, ok, json_type(j, '$.consent_to_contact') as consent, json_type(j, '$.message_text') as kind, json_extract_string(j, '$.message_text') as message,
+  json_extract_string(j, '$.selected_category') as category, json_extract_string(j, '$.submission_channel') as channel from p),
+e as (select *, case when not ok then 1 when consent is null or consent = 'NULL' then 2 when consent <> 'BOOLEAN' then 3 when kind is null or kind <> 'VARCHAR' or trim(message) = '' then 4
+  when length(message) > 10000 then 5 when category is not null and category not in {tuple(R.THEMES)} then 6 end as rule from f)
+select event_id, case rule when 1 then 'payload' when 2 then 'consent_to_contact' when 3 then 'consent_to_contact' when 4 then 'message_text' when 5 then 'message_text' when 6 then 'selected_category' end as error_field,
+ case rule when 1 then 'not valid JSON' when 2 then 'is required' when 3 then 'must be a boolean' when 4 then 'is required' when 5 then 'is too long' when 6 then 'is unknown' end as error_message,
+ case when channel in ('website_form', 'chat', 'mobile_app', 'support_portal') then channel else 'website_form' end as submission_channel from e""")
 def _(v):
-    k = F.col("event_id")
-    payload = (
-        F.when(k % 7 == 0, '{"broken')
-        .when(k % 7 == 1, '{"message_text": "help"}')
-        .when(k % 7 == 2, '{"message_text": "help", "consent_to_contact": "yes"}')
-        .when(k % 7 == 3, '{"message_text": "   ", "consent_to_contact": true}')
-        .when(k % 7 == 4, '{"message_text": "help", "consent_to_contact": true, "selected_category": "weather"}')
-        .when(k % 7 == 5, '{"message_text": "help", "consent_to_contact": false, "selected_category": "billing", "submission_channel": "chat"}')
-        .otherwise('{"message_text": "help", "consent_to_contact": true, "submission_channel": "pigeon"}')
-    )
-    forms = v.events.select("event_id", payload.alias("payload"))
-    return I.ingest_widget(forms).select("event_id", "error_field", "error_message", "submission_channel")
+    return I.ingest_widget(v.wp).select("event_id", "error_field", "error_message", "submission_channel")
 
 
 @query("create_feedback", "select feedback_id, 'direct' as source_type, 'pending' as enrichment_status from fb where text <> ''")
@@ -154,18 +149,14 @@ def _(v):
     return S.emit_json(v.fb.select("ticket_id", "feedback_id", "customer_id"))
 
 
-@query("read_json_strict", """select event_id, case event_id % 5 when 0 then 'malformed' when 1 then 'sentiment_label' when 2 then 'sentiment_score' when 3 then 'processed_at' end as error from events""")
+@query("read_json_strict", """with p as (select event_id, json_valid(json) as ok, case when json_valid(json) then json else '{}' end as j from js),
+f as (select event_id, ok, json_type(j, '$.feedback_id') as id, json_extract_string(j, '$.sentiment_label') as label, json_type(j, '$.sentiment_score') as kind,
+  try_cast(json_extract_string(j, '$.sentiment_score') as double) as score, json_extract_string(j, '$.processed_at') as stamp from p)
+select event_id, case when not ok then 'malformed' when id is null or id not in ('VARCHAR', 'BIGINT', 'UBIGINT') then 'feedback_id' when label is null or label not in ('positive', 'neutral', 'negative') then 'sentiment_label'
+ when kind is null or kind not in ('BIGINT', 'UBIGINT', 'DOUBLE') or not score between -1 and 1 then 'sentiment_score'
+ when stamp is null or not regexp_full_match(stamp, '\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}(\\.\\d+)?Z') then 'processed_at' end as error from f""")
 def _(v):
-    k = F.col("event_id")
-    bad = F.array(
-        F.lit("{"),
-        F.lit('{"feedback_id":"a","sentiment_label":"angry","sentiment_score":0.5,"processed_at":"2024-01-01T00:00:00Z"}'),
-        F.lit('{"feedback_id":"a","sentiment_label":"neutral","sentiment_score":"0.5","processed_at":"2024-01-01T00:00:00Z"}'),
-        F.lit('{"feedback_id":"a","sentiment_label":"neutral","sentiment_score":1,"processed_at":"2024-01-01 00:00:00"}'),
-        F.lit('{"feedback_id":"a","sentiment_label":"neutral","sentiment_score":-1,"processed_at":"2024-01-01T00:00:00.5Z"}'),
-    )
-    rows = v.events.select("event_id", F.get(bad, k % 5).alias("json"))
-    return S.read_json_strict(rows).select("event_id", "error")
+    return S.read_json_strict(v.js).select("event_id", "error")
 
 
 @query("build_canonical", """select source_type, count(*) as n, count(platform) as n_platform, count(customer_id) as n_customer from (

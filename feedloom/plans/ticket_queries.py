@@ -189,6 +189,13 @@ def _(v):
     return L.positions(L.sort_nulls_last(v.fb.select("feedback_id", "severity"), "severity", descending=True, tie="feedback_id"))
 
 
+@query("sort_text_nulls_last", r"""with k as (select id, name, array_to_string(list_transform(regexp_extract_all(name, '\d+|\D+'),
+ lambda p: case when regexp_matches(p, '^\d') then lpad(length(ltrim(p, '0'))::varchar, 10, '0') || ltrim(p, '0') else p end), '') as key from nm)
+select id, name, row_number() over (order by icu_sort_key(key, 'en') nulls last, id) as position from k""")
+def _(v):
+    return L.positions(L.sort_nulls_last(v.nm, "name", tie="id", collation="UNICODE"))
+
+
 @query("filter_feedback", "select feedback_id from fb where sentiment = 'negative' and contains(lower(text || ' ' || coalesce(location_city, '')), 'system down')")
 def _(v):
     return L.filter_feedback(v.fb, " System DOWN ", sentiment="negative", columns=("text", "location_city")).select("feedback_id")

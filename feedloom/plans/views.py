@@ -99,6 +99,29 @@ select user_id as cluster_id, max(case event_type when 'error' then 'outage' whe
   case user_id % 2 when 0 then 'low' else 'high' end as priority_level,
   concat('summary ', cast(user_id as varchar(9))) as cluster_summary
 from events where event_id % 2 = 0 group by user_id""",
+    # widget payloads made of the columns, right and wrong ones
+    "wp": """
+select event_id, case when cast(floor(value) as bigint) % 11 = 0 then substr(whole, 1, length(whole) - 1) else whole end as payload from (
+  select event_id, value, concat('{"message_text": ',
+    case user_id % 6 when 0 then 'null' when 1 then cast(user_id as varchar(20)) when 2 then '"  "' when 3 then concat('"', repeat(event_type, cast(floor(value * 50) as int)), '"')
+      else concat('"', event_type, ' at ', cast(cast(floor(value) as bigint) as varchar(20)), '"') end,
+    case event_id % 5 when 0 then '' when 1 then ', "consent_to_contact": "yes"' when 2 then concat(', "consent_to_contact": ', cast(event_id as varchar(20))) when 3 then ', "consent_to_contact": true' else ', "consent_to_contact": false' end,
+    case event_type when 'error' then ', "selected_category": "outage"' when 'purchase' then ', "selected_category": "billing"' when 'click' then '' else concat(', "selected_category": "', event_type, '"') end,
+    case user_id % 4 when 0 then ', "submission_channel": "chat"' when 1 then concat(', "submission_channel": "', event_type, '"') else '' end, '}') as whole
+  from events) as w""",
+    # analysis rows as JSON made of the columns, right and wrong ones
+    "js": """
+select event_id, case when cast(floor(value) as bigint) % 13 = 0 then concat('[', whole) else whole end as json from (
+  select event_id, value, concat('{"feedback_id": ', case user_id % 9 when 0 then 'null' when 1 then concat('"f', cast(event_id as varchar(20)), '"') else cast(event_id as varchar(20)) end,
+    ', "sentiment_label": "', case event_type when 'error' then 'negative' when 'purchase' then 'neutral' when 'click' then 'positive' when 'signup' then 'neutral' else event_type end,
+    '", "sentiment_score": ', case user_id % 7 when 0 then concat('"', cast(event_id as varchar(20)), '"') when 1 then cast(cast(floor(value) as bigint) as varchar(20)) else concat('-0.', cast(event_id as varchar(20))) end,
+    ', "processed_at": "', substr(cast(cast(ts as date) as varchar(20)), 1, 10), case user_id % 5 when 0 then ' ' else 'T' end, '00:00:00', case event_id % 6 when 0 then '' when 1 then '.25Z' else 'Z' end, '"}') as whole
+  from events) as w""",
+    # names with accents, numbers, capitals and nulls
+    "nm": """
+select p_partkey as id, case p_partkey % 9 when 0 then null when 1 then concat(upper(substr(p_name, 1, 1)), substr(p_name, 2), ' ', cast(p_partkey % 120 as varchar(9)))
+  when 2 then concat(replace(replace(p_name, 'e', 'é'), 'a', 'ä'), ' ', cast(p_partkey % 120 as varchar(9))) else concat(p_name, ' ', cast(p_partkey % 120 as varchar(9))) end as name from part
+union all select 1000000000 + c_custkey as id, c_name as name from customer""",
     # legacy submissions
     "sb": """
 select c_custkey as submission_id, c_name as customer_name, concat('c', cast(c_custkey as varchar(20)), '@example.com') as email,

@@ -143,6 +143,17 @@ def stream_clusters(rows: DataFrame, sink: Callable[[DataFrame, int], None], fol
 TICKETS = "ticket_id string, ticket_phase string, assigned_department string, updated_at timestamp, opened_by long, linked_cluster_id long"
 
 
+def known_tickets(tickets: DataFrame, state: Versions, epoch: int) -> DataFrame:
+    """The given tickets and those that epochs before this one opened."""
+    given = tickets.select(F.col("ticket_id").cast("string"), "ticket_phase", "assigned_department", "updated_at", F.col("ticket_id").cast("long").alias("opened_by"), "linked_cluster_id")
+    return given.unionByName(state.before(epoch))
+
+
+def opened_tickets(routed: DataFrame, rows: DataFrame) -> DataFrame:
+    by = routed.select(F.col("new_ticket_id").alias("ticket_id"), F.col("feedback_id").alias("opened_by"))
+    return persist_star(routed, rows)["tickets"].join(by, "ticket_id")
+
+
 def stream_routing(rows: DataFrame, tickets: DataFrame, links: DataFrame, linked: DataFrame, sink: Callable[[DataFrame, int], None], folder: str) -> StreamingQuery:
     """Decides each micro-batch against ``tickets`` and those that earlier batches opened; ``sink``
     gets ``routing_decision``'s rows.
@@ -153,15 +164,12 @@ def stream_routing(rows: DataFrame, tickets: DataFrame, links: DataFrame, linked
     the start, as in the batch operator.
     """
     state = Versions(rows.sparkSession, f"{folder}/tickets", TICKETS, ["ticket_id"])
-    given = tickets.select(F.col("ticket_id").cast("string"), "ticket_phase", "assigned_department", "updated_at", F.col("ticket_id").cast("long").alias("opened_by"), "linked_cluster_id")
     open_links = write_and_read(customer_open_tickets(tickets, links, linked), "open-links")
 
     def each(batch: DataFrame, epoch: int) -> None:
-        known = given.unionByName(state.before(epoch))
-        routed = write_and_read(routing_decision(batch, known, open_links=open_links), "routed")
+        routed = write_and_read(routing_decision(batch, known_tickets(tickets, state, epoch), open_links=open_links), "routed")
         sink(routed, epoch)
-        opened = persist_star(routed, batch)["tickets"].join(routed.select(F.col("new_ticket_id").alias("ticket_id"), F.col("feedback_id").alias("opened_by")), "ticket_id")
-        state.write(opened, epoch)
+        state.write(opened_tickets(routed, batch), epoch)
 
     return rows.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
 

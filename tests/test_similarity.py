@@ -82,7 +82,7 @@ def test_blocks_of_far_clusters_are_left_out(spark, monkeypatch):
     df = spark.createDataFrame(rows, "rep long, tf array<struct<bucket: int, n: int>>")
     pivots = S.pivots_of(df, 600, 256)
     blocks = S.stored_blocks(df, pivots, 50)
-    n, near = blocks.count(), S.near_blocks(blocks, pivots, float(np.arccos(0.95))).count()
+    n, near = blocks.count(), S.near_blocks(blocks, None, pivots, float(np.arccos(0.95))).count()
     assert sum(r.n for r in blocks.collect()) == 600 and near < 0.35 * n * (n + 1) / 2
     got = {(r.a, r.b) for r in S.pairs_over(df, 0.95, 256, 50).collect()}
     u = S.units(S.dense([[{"bucket": b, "n": c} for b, c in r] for _, r in rows], 256))
