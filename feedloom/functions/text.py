@@ -86,12 +86,23 @@ def fnv_bucket(token: Column, buckets: int = 256) -> Column:
     return (mixed % buckets).cast("int")
 
 
+def bucket_counts(text: Column, buckets: int = 256) -> Column:
+    """(bucket, n) of a text's tokens in order of bucket: the buckets are sorted once, and each
+    run of equal ones is a count."""
+    ids = F.array_sort(F.transform(tokenize(text), lambda t: fnv_bucket(t, buckets)))
+    once = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  worked out once, not for each use in a lambda
+
+    def runs(s: Column) -> Column:
+        begins = F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i))
+        size = lambda at, j: F.coalesce(F.get(at, j + 1), F.size(s)) - F.get(at, j)
+        return once(F.filter(begins, lambda i: i.isNotNull()), lambda at: F.transform(at, lambda p, j: F.struct(F.get(s, p).alias("bucket"), size(at, j).alias("n"))))
+
+    return once(ids, runs)
+
+
 def hash_embedding(text: Column, buckets: int = 256) -> Column:
     """Token counts by bucket, as a map; texts without tokens give an empty one."""
-    ids = F.transform(tokenize(text), lambda t: fnv_bucket(t, buckets))
-    return F.map_from_entries(
-        F.transform(F.array_distinct(ids), lambda k: F.struct(k, F.size(F.filter(ids, lambda x: x == k)).cast("double")))
-    )
+    return F.map_from_entries(F.transform(bucket_counts(text, buckets), lambda x: F.struct(x.bucket, x.n.cast("double"))))
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:

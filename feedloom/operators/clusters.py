@@ -12,16 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from feedloom.functions.text import fnv_bucket, tokenize
+from feedloom.functions.text import bucket_counts, tokenize
 from feedloom.operators.similarity import pairs_over
 from feedloom.sources.shared import write_and_read
 
 
 def bucket_vectors(texts: DataFrame, buckets: int = 256) -> DataFrame:
     """``texts(id, text)`` -> (id, tf): sparse token counts as sorted (bucket, count) pairs."""
-    ids = F.transform(tokenize(F.col("text")), lambda t: fnv_bucket(t, buckets))
-    pairs = F.transform(F.array_sort(F.array_distinct(ids)), lambda k: F.struct(k.alias("bucket"), F.size(F.filter(ids, lambda x: x == k)).alias("n")))
-    return texts.select("id", pairs.alias("tf"))
+    return texts.select("id", bucket_counts(F.col("text"), buckets).alias("tf"))
 
 
 def similarity_pairs(texts: DataFrame, threshold: float, buckets: int = 256) -> DataFrame:
