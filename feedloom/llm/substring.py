@@ -222,16 +222,20 @@ def _profiler(bands: int, rows: int, long: int = LONG, paragraph: int = LONG):
     return profile
 
 
-RUNS = "struct<sure:array<struct<first:long,after:long,other:long>>,doubtful:array<struct<key:long>>>"
+RUNS = "struct<sure:array<struct<first:long,after:long,other:long>>,doubtful:array<struct<key:long>>,open:array<struct<pos:long,key:long,low:int,high:int>>>"
 
 
 def _runs(long: int):
     """UDF: a document's shared blocks, with the first document that has each and the place there
-    -> spans of sure runs, which have over ``long`` words, and the blocks that the words decide.
+    -> spans of sure runs, which have over ``long`` words, the blocks that the words decide, and
+    the blocks of which the words are looked at if any document doubts them.
 
     A run's blocks touch and stand as far apart in one other document, so all its words do.
+    Windows inside a sure run are that document's as well, so they are left out: those that begin
+    from ``low`` to ``high`` words behind the block, which is all of a block deep in the run.
     """
     block, _ = block_shape(long)
+    reach = long + 1 - block
 
     @F.arrow_udf(RUNS)
     def runs(blocks: pa.Array) -> pa.Array:
@@ -243,21 +247,28 @@ def _runs(long: int):
                 if not groups or groups[-1][-1][:2] != x[:2] or groups[-1][-1][2] + block < x[2]:
                     groups.append([])
                 groups[-1].append(x)
-            sure, doubtful = [], set()
+            sure, doubtful, open_ = [], set(), []
             for g in groups:
-                if g[-1][2] + block - g[0][2] > long:
-                    sure.append({"first": g[0][2], "after": g[-1][2] + block, "other": g[0][0]})
+                first, after = g[0][2], g[-1][2] + block
+                if after - first > long:
+                    sure.append({"first": first, "after": after, "other": g[0][0]})
                     doubtful |= {g[0][3], g[-1][3]}  # the passage may begin before and end behind them
+                    for _, _, pos, key in g:
+                        low, high = first - pos, after - long - 1 - pos
+                        if low > -reach or high < 0:
+                            open_.append({"pos": pos, "key": key, "low": max(low, -reach), "high": min(high, 0)})
                 else:
                     doubtful |= {x[3] for x in g}
-            out.append({"sure": sure, "doubtful": [{"key": k} for k in sorted(doubtful)]})
-        kinds = [pa.list_(pa.struct([(c, pa.int64()) for c in names])) for names in (("first", "after", "other"), ("key",))]
-        return pa.array(out, pa.struct(list(zip(("sure", "doubtful"), kinds))))
+                    open_ += [{"pos": x[2], "key": x[3], "low": 1, "high": 0} for x in g]
+            out.append({"sure": sure, "doubtful": [{"key": k} for k in sorted(doubtful)], "open": open_})
+        spans, keys = (pa.list_(pa.struct([(c, pa.int64()) for c in names])) for names in (("first", "after", "other"), ("key",)))
+        places = pa.list_(pa.struct([("pos", pa.int64()), ("key", pa.int64()), ("low", pa.int32()), ("high", pa.int32())]))
+        return pa.array(out, pa.struct([("sure", spans), ("doubtful", keys), ("open", places)]))
 
     return runs
 
 
-NEAR = "array<struct<pos:long,key:long,lead:int,near:binary>>"
+NEAR = "array<struct<pos:long,key:long,low:int,high:int,lead:int,near:binary>>"
 
 
 def _contexts(long: int):
@@ -275,27 +286,28 @@ def _contexts(long: int):
                 lo = max(0, x["pos"] - reach)
                 one.append({**x, "lead": x["pos"] - lo, "near": word[lo : x["pos"] + block + reach]})
             out.append(one)
-        return pa.array(out, pa.list_(pa.struct([("pos", pa.int64()), ("key", pa.int64()), ("lead", pa.int32()), ("near", pa.binary())])))
+        return pa.array(out, pa.list_(pa.struct([("pos", pa.int64()), ("key", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("lead", pa.int32()), ("near", pa.binary())])))
 
     return contexts
 
 
 def _windows(long: int):
     """UDF: a block's hash and the words around it -> (start, window): where windows of long + 1
-    words that hold the block begin, from the block on, and a hash of block and words."""
+    words that hold the block begin, from the block on, and a hash of block and words.  Those that
+    begin from ``low`` to ``high`` are left out."""
     width = long + 1
 
     @F.arrow_udf("array<struct<start:int,window:long>>")
-    def windows(key: pa.Array, lead: pa.Array, near: pa.Array) -> pa.Array:
+    def windows(key: pa.Array, low: pa.Array, high: pa.Array, lead: pa.Array, near: pa.Array) -> pa.Array:
         out = []
         with np.errstate(over="ignore"):
-            for block, first, w in zip(key.to_numpy().view(np.uint64), lead.to_pylist(), near):
+            for block, least, most, first, w in zip(key.to_numpy().view(np.uint64), low.to_pylist(), high.to_pylist(), lead.to_pylist(), near):
                 word = np.frombuffer(w.as_py(), np.uint8).astype(np.uint64) + np.uint64(1)
                 hashes = []
                 if len(word) >= width:
                     each = np.lib.stride_tricks.sliding_window_view(_mix(word), width)
                     hashes = _mix((each * _powers(width, _OTHER)).sum(axis=1, dtype=np.uint64) ^ block).view(np.int64).tolist()
-                out.append([{"start": k - first, "window": h} for k, h in enumerate(hashes)])
+                out.append([{"start": k - first, "window": h} for k, h in enumerate(hashes) if not least <= k - first <= most])
         return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("window", pa.int64())])))
 
     return windows
@@ -315,12 +327,15 @@ def _passages(profiles: DataFrame, long: int) -> DataFrame:
     told = materialize(told.select("doc_id", "r.*"), "runs")
     sure = told.select("doc_id", F.inline("sure"))
     doubtful = materialize(told.select(F.inline("doubtful")).distinct(), "doubtful-blocks")
-    asked = met.join(doubtful, "key", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "key")).alias("blocks"))
+    least = met.where("doc_id = other").select("doc_id", "pos", "key", F.lit(1).alias("low"), F.lit(0).alias("high"))
+    asked = told.select("doc_id", F.inline("open")).union(least).join(doubtful, "key", "left_semi")
+    asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "key", "low", "high")).alias("blocks"))
     near = profiles.select("doc_id", "words").join(asked, "doc_id").select("doc_id", F.inline(_contexts(long)("words", "blocks")))
     # from here on a context goes by its hash; copies of a passage share it, and it is looked at once
-    near = materialize(near.withColumn("context", F.xxhash64("key", "lead", "near")), "contexts")
-    once = near.groupBy("context").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), *(F.first(c).alias(c) for c in ("key", "lead", "near")))
-    held = materialize(once.select("context", "first_doc", "last_doc", F.inline(_windows(long)("key", "lead", "near"))), "windows")
+    words = ["key", "low", "high", "lead", "near"]
+    near = materialize(near.withColumn("context", F.xxhash64(*words)), "contexts")
+    once = near.groupBy("context").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), *(F.first(c).alias(c) for c in words))
+    held = materialize(once.select("context", "first_doc", "last_doc", F.inline(_windows(long)(*words))), "windows")
     both = held.groupBy("window").agg(F.min("first_doc").alias("other"), F.max("last_doc").alias("_last")).where("other < _last").drop("_last")
     both = materialize(both, "shared-windows")
     places = held.select("context", "start", "window").join(both, "window").groupBy("context").agg(F.collect_list(F.struct("start", "other")).alias("at"))
