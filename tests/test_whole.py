@@ -52,9 +52,13 @@ def test_status_of_every_row(spark, sf_dir):
     assert len(got) == len(ids) and {r.feedback_id: r.enrichment_status for r in got} == want
 
 
-def test_lifecycle_of_every_row(spark, sf_dir):
-    got = {r.kind: r.n for r in registry.QUERIES["stream_lifecycle"](spark, sf_dir).collect()}
-    assert got["assigned"] == Views(spark, sf_dir).fb.count()
+def test_every_row_has_a_cluster_and_every_customer_a_life(spark, sf_dir):
+    fb = Views(spark, sf_dir).fb.select("feedback_id", "customer_id").collect()
+    assigned = [r.feedback_id for r in registry.QUERIES["stream_clusters"](spark, sf_dir).collect()]
+    assert sorted(assigned) == sorted(r.feedback_id for r in fb)
+    life = registry.QUERIES["stream_lifecycle"](spark, sf_dir).collect()
+    assert sorted(r.cluster_id for r in life if r.status == "active") == sorted({r.customer_id for r in fb})
+    assert len({(r.cluster_id, r.status) for r in life}) == len(life)
 
 
 def test_position_of_every_row(spark, sf_dir):
