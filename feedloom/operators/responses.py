@@ -155,18 +155,19 @@ def intent_rules(intent: Column, confidence: Column, least: float = 0.4) -> Colu
     )
 
 
-def normalize_dollar(text: Column) -> Column:
-    """Two decimals, or null for what is no amount from 0.01 to 999,999,999.99."""
+def normalize_dollar(text: Column, least: float = 0.01) -> Column:
+    """Two decimals, or null for what is no amount from ``least`` to 999,999,999.99."""
     value = F.regexp_replace(text, r"[,$€£¥\s]", "").try_cast("double")
-    return F.when(value.between(0.01, 999_999_999.99), F.format_string("%.2f", value))
+    return F.when(value.between(least, 999_999_999.99), F.format_string("%.2f", value))
 
 
-def entity_rules(entities: Column, most: int = 50) -> Column:
-    """Known types at half confidence or more, values trimmed and cut, amounts in one format."""
+def entity_rules(entities: Column, most: int = 50, least_amount: float = 0.01) -> Column:
+    """Known types at half confidence or more, values trimmed and cut, amounts from
+    ``least_amount`` in one format."""
 
     def value(e: Column) -> Column:
         plain = F.substring(F.trim(e.entity_value), 1, 200)
-        return F.when(e.entity_type == "dollar_amount", normalize_dollar(plain)).otherwise(F.nullif(plain, F.lit("")))
+        return F.when(e.entity_type == "dollar_amount", normalize_dollar(plain, least_amount)).otherwise(F.nullif(plain, F.lit("")))
 
     fine = F.filter(entities, lambda e: e.entity_type.isin(R.ENTITY_TYPES) & (e.confidence >= 0.5) & value(e).isNotNull())
     return F.slice(F.transform(fine, lambda e: F.struct(e.entity_type.alias("entity_type"), value(e).alias("entity_value"), e.confidence.alias("confidence"))), 1, most)

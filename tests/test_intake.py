@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from feedloom import rules as R
 from feedloom.functions import display, geo, hooks, text
 from feedloom.operators import dedup, ingest, quality
+from feedloom.operators import responses as Q
 from feedloom.params import RuleParameters
+from feedloom.plans import registry
 from feedloom.sources import tables
+from tests.oracle import TABLES, same
 
 
 def column(spark, values, expr, kind="string"):
@@ -211,3 +214,16 @@ def test_parameters_and_hooks(spark):
     req = spark.createDataFrame([(1, "s", "ok"), (2, "s", "boom")], "feedback_id long, stage string, prompt string")
     got = sorted(map(tuple, hooks.generate_fn(req, call).collect()))
     assert got == [(1, "s", "{}", None), (2, "s", None, "RuntimeError")]
+
+
+def test_entity_amounts_of_nothing_as_in_sql(spark, sf_dir, tmp_path):
+    """Events that cost nothing keep their amount, as the query's SQL says; the rule's own least is a cent."""
+    for t in TABLES:
+        if t != "events":
+            (tmp_path / f"{t}.parquet").symlink_to(f"{sf_dir}/{t}.parquet")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.withColumn("value", F.when(F.col("event_id") % 2 == 0, 0.0).otherwise(F.col("value"))).write.parquet(str(tmp_path / "events.parquet"))
+    same(registry.QUERIES["entity_rules"](spark, str(tmp_path)), registry.ORACLE["entity_rules"], str(tmp_path))
+    cents = ["$0.00", "0.009", "0.01"]
+    assert column(spark, cents, Q.normalize_dollar) == [None, None, "0.01"]
+    assert column(spark, cents, lambda c: Q.normalize_dollar(c, 0.0)) == ["0.00", "0.01", "0.01"]
