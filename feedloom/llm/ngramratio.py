@@ -13,15 +13,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import CRC_STEPS_SQL, crc_sql, hashed_sample, materialize, table
+from feedloom.llm.common import CRC_STEPS_SQL, crc_sql, materialize, table
 
 #: Buckets of the multinomials, so numbers of the array of gains that every task holds.
 BUCKETS = 10_000
 #: A pair's hash is that of its first token times this plus that of its second.
 PAIR = 31
-#: Labelled documents that the model is fitted on, chosen by hash of the id: the only bounded part.
-#: One in ``HELD`` of them, by hash, is kept from the counts and sets the threshold.
-FIT_ROWS, HELD = 50_000, 5
+#: One labelled document in ``HELD``, by hash of the id, is kept from the counts and sets the threshold.
+HELD = 5
 #: A document fails with fewer words, or with a greater share of repeated words (in percent).
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Words between blanks; the n-grams' tokens, which are runs of letters, digits and underscores or of symbols.
@@ -116,18 +115,19 @@ def base_failed() -> Column:
     return (n < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * n)
 
 
-def labelled(labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """(label_id, good, held) of at most ``rows`` labelled documents.  Of an id's labels the lowest
-    holds; rows without id or label are left out."""
+def labelled(labels: DataFrame) -> DataFrame:
+    """(label_id, good, held) of all labelled documents.  Of an id's labels the lowest holds; rows
+    without id or label are left out."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(HELD)) == 0
-    return materialize(hashed_sample(known, rows, "doc_id").select(F.col("doc_id").alias("label_id"), (F.col("quality") == 1).alias("good"), held.alias("held")), "labelled")
+    return materialize(known.select(F.col("doc_id").alias("label_id"), (F.col("quality") == 1).alias("good"), held.alias("held")), "labelled")
 
 
 def gains(docs: DataFrame, fitted: DataFrame, buckets: int = BUCKETS) -> list[int]:
     """Each bucket's gain, from the n-grams of all ``docs`` and those of the trusted ones.  Counts
-    are combined before the shuffle: a task sends a row a bucket at most, and so many reach the driver."""
-    trusted = F.broadcast(fitted.where("good and not held").select("label_id"))  # FIT_ROWS ids at most
+    are combined before the shuffle: a task sends a row a bucket at most, and so many reach the driver.
+    The texts are shuffled once to meet the trusted ids, which are too many to broadcast."""
+    trusted = fitted.where("good and not held").select("label_id").hint("merge")
     grams = docs.join(trusted, F.col("doc_id") == F.col("label_id"), "left").select(
         F.col("label_id").isNotNull().cast("int").alias("trusted"), F.explode(ngram_buckets(F.col("text"), buckets)).alias("bucket")
     )
@@ -161,10 +161,11 @@ def threshold(scores: DataFrame, fitted: DataFrame) -> DataFrame:
     such gaps between scores the widest, and its middle.  Documents that fail the fixed rules are
     not asked.
     """
-    held = F.broadcast(fitted.where("held"))  # FIT_ROWS at most
+    held = fitted.where("held").hint("merge")
     asked = scores.where(~base_failed() & F.col("score").isNotNull()).join(held, F.col("doc_id") == F.col("label_id"))
     by_score = asked.groupBy("score").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b"))
-    below = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)  # at most FIT_ROWS rows
+    # a row a score, of which there are some ten thousand: means of logarithms in thousandths
+    below = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
     gap = by_score.select(
         "score",

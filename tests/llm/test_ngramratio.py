@@ -117,5 +117,11 @@ def test_without_labels_all_passing_rows_are_kept(spark, made):
     assert Q.quality(spark.createDataFrame([], "doc_id long, text string"), none).count() == 0
 
 
+def test_all_labels_are_fitted(spark):
+    labels = spark.range(60_000).select(F.col("id").alias("doc_id"), (F.col("id") % 3 > 0).cast("int").alias("quality"))
+    got = Q.labelled(labels).agg(F.count("*"), F.count_if("good"), F.count_if("held")).first()
+    assert tuple(got) == (60_000, 40_000, sum(zlib.crc32(str(i).encode()) % Q.HELD == 0 for i in range(60_000)))
+
+
 def test_against_sql(spark, sf_dir):
     same(Q.op11_quality_rules(spark, sf_dir), Q.OP11_SQL, sf_dir)
