@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from feedloom.operators.clusters import fold_clusters
+from feedloom.operators.clusters import fold_onto
 from feedloom.operators.ingest import ingest_batch
 from feedloom.operators.ordered import first_after, in_parts, last_until, orbits, sum_before
 from feedloom.operators.triage import customer_open_tickets, persist_star, routing_decision
@@ -124,18 +124,18 @@ def stream_clusters(rows: DataFrame, sink: Callable[[DataFrame, int], None], fol
     """``rows(feedback_id, theme, ts, text, latitude, longitude)``: ``sink`` gets (feedback_id,
     theme, cluster_id) of each record.
 
-    A batch is sorted by theme, time and id in Spark and streams through its themes' clusters, those
-    that earlier batches left first.  A cluster is a row of a versioned table in ``folder`` and is
-    written when it changed; one that was idle for ``resolved_days`` takes no record any more and
-    goes.  In order of time the result is that of the batch operator, however the stream is cut; a
-    replayed batch gives and leaves what it did.
+    A batch is sorted by theme, part, time and id in Spark and streams through the clusters that its
+    records may join, those that earlier batches left first.  A cluster is a row of a versioned table
+    in ``folder`` and is written when it changed; one that was idle for ``resolved_days`` takes no
+    record any more and goes.  In order of time the result is that of the batch operator, however the
+    stream is cut; a replayed batch gives and leaves what it did.
     """
     state = Versions(rows.sparkSession, f"{folder}/clusters", CLUSTERS, ["cluster_id"])
 
     def each(batch: DataFrame, epoch: int) -> None:
-        folded = write_and_read(fold_clusters(batch, state.before(epoch), resolved_days), "folded")
-        sink(folded.where("feedback_id is not null").select("feedback_id", "theme", "cluster_id"), epoch)
-        state.write(folded.where("feedback_id is null").drop("feedback_id"), epoch)
+        placed, changed = fold_onto(write_and_read(batch, "batch"), write_and_read(state.before(epoch), "known-clusters"), resolved_days)
+        sink(placed, epoch)
+        state.write(changed, epoch)
 
     return rows.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
 

@@ -71,6 +71,32 @@ def test_online_clusters(spark, seed, summaries):
     assert got == fold(rows)
 
 
+def test_clusters_of_batches(spark):
+    """Batches against the clusters that earlier ones left; those with a summary sentence are read
+    again when a text like one comes."""
+    rows = sorted((r for r in stream(7, 360, False, 4) if r[1]), key=lambda r: (r[2], r[0]))
+    rows += [(1000 + i, "billing", DAY + timedelta(days=3, minutes=i), "Cluster of 2 feedback items about billing", None, None) for i in range(3)]
+    kind = "cluster_id string, theme string, born long, vector array<struct<bucket: int, n: double>>, latitude double, longitude double, volume long, summarised long, seen long"
+    known, got, last = {}, {}, len(rows) - 3
+    for part in (rows[: last // 2], rows[last // 2 : last], rows[last:]):
+        old = spark.createDataFrame([tuple(r) for r in known.values()], kind)
+        some = C.apart_from(spark.createDataFrame(part, SCHEMA), old)[1]
+        read = {r.volume > 1 for r in some.select("volume").collect()}
+        assert read == ({True, False} if part[0][0] >= 1000 else {False} if known else set())
+        placed, after = C.fold_onto(spark.createDataFrame(part, SCHEMA), old, 21)
+        got |= {r.feedback_id: r.cluster_id for r in placed.collect()}
+        known |= {r.cluster_id: r[:-1] for r in after.select(*old.columns, "gone").collect()}
+    assert got == fold(rows)
+
+
+def test_a_record_is_compared_with_kinds():
+    """Not with each of the clusters that have a like sentence and place."""
+    leader = C.Leader("billing", idle_us=10**9)
+    for i in range(3000):
+        leader.assign(i, f"w{i // 2 % 5} x{i // 2 % 5}", None, i)
+    assert len(leader.clusters) == 1500 and len(leader.waiting) < 12
+
+
 def test_a_hot_theme_has_many_parts(spark):
     rows = [r for r in stream(3, 400, False, 4) if r[1] and not any(x in (r[3] or "") for x in ("text", "extra", "more", "x y"))]
     parts = C.apart(spark.createDataFrame(rows, SCHEMA)).where("theme = 'hot'").groupBy("part").count().collect()
