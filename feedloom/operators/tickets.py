@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom import rules as R
+from feedloom.sources.shared import write_and_read
 
 
 def tickets_with_counts(tickets: DataFrame, feedback: DataFrame, statuses: list[str] | None = None) -> DataFrame:
@@ -59,16 +60,22 @@ def latest_open_ticket_per_cluster(tickets: DataFrame) -> DataFrame:
     return open_.groupBy("linked_cluster_id").agg(F.max(one).alias("t")).select("linked_cluster_id", F.col("t.ticket_id").alias("ticket_id"))
 
 
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not in ``gone``.  Those without a key stay and are no part of the join, which
+    would deal them all to one task.  A task holds its ids of ``gone`` and sorts no rows."""
+    return rows.where(F.col(key).isNotNull()).join(gone.hint("shuffle_hash"), key, "left_anti").unionByName(rows.where(F.col(key).isNull()))
+
+
 def cascade_delete(tickets: DataFrame, comments: DataFrame, feedback: DataFrame, doomed: DataFrame) -> dict[str, DataFrame]:
     """What is left after removing the tickets of ``doomed(feedback_id)`` with their comments and
     all feedback linked to them; feedback without a ticket goes alone.  Counts come along."""
-    picked = feedback.join(doomed, "feedback_id", "left_semi")
+    picked = write_and_read(feedback.select("feedback_id", "ticket_id").join(doomed.hint("shuffle_hash"), "feedback_id", "left_semi"), "picked")
     gone = picked.where("ticket_id is not null").select("ticket_id").distinct()
     alone = picked.where("ticket_id is null").select("feedback_id")
     left = {
-        "tickets": tickets.join(gone, "ticket_id", "left_anti"),
-        "comments": comments.join(gone, "ticket_id", "left_anti"),
-        "feedback": feedback.join(gone, "ticket_id", "left_anti").join(alone, "feedback_id", "left_anti"),
+        "tickets": without(tickets, gone, "ticket_id"),
+        "comments": without(comments, gone, "ticket_id"),
+        "feedback": without(without(feedback, gone, "ticket_id"), alone, "feedback_id"),
     }
     counts = None
     for name, whole in (("tickets", tickets), ("comments", comments), ("feedback", feedback)):

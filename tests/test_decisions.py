@@ -252,3 +252,20 @@ def test_migration_is_idempotent(spark):
     assert sorted(map(tuple, one["feedback"].collect())) == sorted(map(tuple, two["feedback"].collect()))
     assert {r.table_name: (r.read, r.written) for r in one["report"].collect()} == {"tickets": (1, 1), "feedback": (2, 2)}
     assert {r.written for r in two["report"].collect()} == {0}
+
+
+def test_cascade_leaves_rows_without_a_ticket_out_of_the_join(spark):
+    """Rows without a ticket would all meet in one task."""
+    feedback = spark.range(4000).select(F.col("id").alias("feedback_id"), F.when(F.col("id") % 4 == 0, F.col("id") % 100).alias("ticket_id"))
+    feedback = feedback.union(spark.createDataFrame([(1, 8), (None, None), (None, 4)], "a long, b long"))
+    tickets = spark.range(0, 100, 4).select(F.col("id").alias("ticket_id")).union(spark.createDataFrame([(None,)], "a long"))
+    doomed = spark.createDataFrame([(1,), (4,), (None,)], "feedback_id long")
+    got = K.cascade_delete(tickets, tickets, feedback, doomed)
+    rows = [tuple(r) for r in feedback.collect()]
+    gone = {t for i, t in rows if i in (1, 4)} - {None}
+    alone = {i for i, t in rows if i in (1, 4) and t is None}
+    want = [r for r in rows if r[1] not in gone and r[0] not in alone]
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got["feedback"].select("feedback_id", "ticket_id").collect())
+    assert {r.table_name: r.removed for r in got["counts"].collect()} == {"tickets": 2, "comments": 2, "feedback": len(rows) - len(want)}
+    plan = got["feedback"]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftAnti") >= 2 and "isnotnull(ticket_id" in plan and "isnull(ticket_id" in plan
