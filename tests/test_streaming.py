@@ -191,3 +191,26 @@ def test_routing(spark, tmp_path):
     assert sorted(map(str, opened.rows)) == sorted(map(str, sink.batches[2]))
     state.write(S.opened_tickets(again, spark.createDataFrame(parts[2], ROUTED)), 2)
     assert sorted(map(tuple, state.before(4).collect())) == before
+
+
+def test_a_step_of_life_asks_its_state_once():
+    """A call of the state store or of pandas' grouping for each key is what a trigger takes."""
+    import pandas as pd
+
+    from feedloom.streaming.lifecycle import Lifecycle
+
+    asked = []
+
+    class Handle:
+        def getValueState(self, *_):
+            return self
+
+        def __getattr__(self, name):
+            return lambda *a: asked.append(name)
+
+    life = Lifecycle(1, 2)
+    life.init(Handle())
+    at = lambda d: pd.Timestamp(DAY + timedelta(days=d))
+    got = pd.concat(life.handleInputRows((7,), iter([pd.DataFrame({"ts": [at(4), at(0.5), at(0)]}), pd.DataFrame({"ts": [at(0.2)]})]), None))
+    assert [(r.cluster_id, r.status, r.at.tz_localize(None)) for r in got.itertuples()] == [(7, "active", at(0)), (7, "monitoring", at(1.5)), (7, "resolved", at(2.5))]
+    assert asked == ["get", "update"]
