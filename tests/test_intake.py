@@ -227,3 +227,11 @@ def test_entity_amounts_of_nothing_as_in_sql(spark, sf_dir, tmp_path):
     cents = ["$0.00", "0.009", "0.01"]
     assert column(spark, cents, Q.normalize_dollar) == [None, None, "0.01"]
     assert column(spark, cents, lambda c: Q.normalize_dollar(c, 0.0)) == ["0.00", "0.01", "0.01"]
+
+
+def test_language_splits_a_text_once(spark):
+    """Each mention of the words in the expression would cost the regular expression again."""
+    df = spark.createDataFrame([("the internet is very slow",)], "v string").select(text.detect_language(F.col("v")).alias("l"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 1
+    plan = spark.createDataFrame([("x",)], "v string").repartition(2).select(text.detect_language(F.col("v")).alias("l"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
