@@ -206,10 +206,18 @@ def routing_decision(rows: DataFrame, tickets: DataFrame, links: DataFrame | Non
     )
 
 
-def persist_star(routed: DataFrame, analysed: DataFrame) -> dict[str, DataFrame]:
-    """Feedback, analysis, ticket and link rows of routed feedback."""
-    linked = F.coalesce("new_ticket_id", "linked_ticket_id")
-    tickets = routed.where("new_ticket_id is not null").select(
+def leading_tickets(tickets: DataFrame) -> DataFrame:
+    """A ticket for each cluster, by which ``cluster_ticket_state`` says what it says by all of
+    ``tickets``: the open one that was updated last, of one time the one of the greatest
+    ``opened_by``, or one that is closed."""
+    names = ["updated_at", "opened_by", "ticket_id", "assigned_department", "ticket_phase"]
+    best = F.max(F.struct(F.col("ticket_phase").isin(R.OPEN_PHASES).alias("_open"), *names)).alias("t")
+    return tickets.where("linked_cluster_id is not null").groupBy("linked_cluster_id").agg(best).select("linked_cluster_id", *(f"t.{n}" for n in names))
+
+
+def ticket_rows(routed: DataFrame, *more: Column) -> DataFrame:
+    """The tickets that routed feedback opened."""
+    return routed.where("new_ticket_id is not null").select(
         F.col("new_ticket_id").alias("ticket_id"),
         F.when(F.col("routing_action") == "auto_resolve", "auto_closed").otherwise("new").alias("ticket_phase"),
         "priority_level",
@@ -218,10 +226,16 @@ def persist_star(routed: DataFrame, analysed: DataFrame) -> dict[str, DataFrame]
         F.col("ts").alias("updated_at"),
         "resolution_type",
         F.col("cluster_id").alias("linked_cluster_id"),
+        *more,
     )
+
+
+def persist_star(routed: DataFrame, analysed: DataFrame) -> dict[str, DataFrame]:
+    """Feedback, analysis, ticket and link rows of routed feedback."""
+    linked = F.coalesce("new_ticket_id", "linked_ticket_id")
     return {
         "feedback": analysed.select("feedback_id", "source_type", "text", "ts"),
         "analysis": analysed.select("feedback_id", "priority_level", "theme_primary", "intent", "cluster_id", "requires_action"),
-        "tickets": tickets,
+        "tickets": ticket_rows(routed),
         "links": routed.select("feedback_id", linked.alias("ticket_id")),
     }

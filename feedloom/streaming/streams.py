@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from feedloom.operators.clusters import fold_onto
 from feedloom.operators.ingest import ingest_batch
 from feedloom.operators.ordered import first_after, in_parts, last_until, orbits, sum_before
-from feedloom.operators.triage import customer_open_tickets, persist_star, routing_decision
+from feedloom.operators.triage import customer_open_tickets, leading_tickets, routing_decision, ticket_rows
 from feedloom.sources.shared import write_and_read
 from feedloom.sources.versions import Versions
 
@@ -143,15 +143,17 @@ def stream_clusters(rows: DataFrame, sink: Callable[[DataFrame, int], None], fol
 TICKETS = "ticket_id string, ticket_phase string, assigned_department string, updated_at timestamp, opened_by long, linked_cluster_id long"
 
 
+def given_tickets(tickets: DataFrame) -> DataFrame:
+    return tickets.select(F.col("ticket_id").cast("string"), "ticket_phase", "assigned_department", "updated_at", F.col("ticket_id").cast("long").alias("opened_by"), "linked_cluster_id")
+
+
 def known_tickets(tickets: DataFrame, state: Versions, epoch: int) -> DataFrame:
     """The given tickets and those that epochs before this one opened."""
-    given = tickets.select(F.col("ticket_id").cast("string"), "ticket_phase", "assigned_department", "updated_at", F.col("ticket_id").cast("long").alias("opened_by"), "linked_cluster_id")
-    return given.unionByName(state.before(epoch))
+    return given_tickets(tickets).unionByName(state.before(epoch))
 
 
 def opened_tickets(routed: DataFrame, rows: DataFrame) -> DataFrame:
-    by = routed.select(F.col("new_ticket_id").alias("ticket_id"), F.col("feedback_id").alias("opened_by"))
-    return persist_star(routed, rows)["tickets"].join(by, "ticket_id")
+    return ticket_rows(routed, F.col("feedback_id").alias("opened_by"))
 
 
 def stream_routing(rows: DataFrame, tickets: DataFrame, links: DataFrame, linked: DataFrame, sink: Callable[[DataFrame, int], None], folder: str) -> StreamingQuery:
@@ -159,17 +161,23 @@ def stream_routing(rows: DataFrame, tickets: DataFrame, links: DataFrame, linked
     gets ``routing_decision``'s rows.
 
     ``rows`` is as ``routing_decision`` takes it.  Opened tickets lie in a versioned table in
-    ``folder``: an epoch reads what earlier ones wrote and overwrites its own version, so a replay
-    changes nothing.  ``links`` and the feedback ``linked`` of customers' open tickets are those of
+    ``folder``, and one for each cluster, the leading one, in another: an epoch reads only the
+    leading ones that earlier ones wrote and overwrites its own versions, so a replay changes
+    nothing.  ``links`` and the feedback ``linked`` of customers' open tickets are those of
     the start, as in the batch operator.
     """
     state = Versions(rows.sparkSession, f"{folder}/tickets", TICKETS, ["ticket_id"])
+    leaders = Versions(rows.sparkSession, f"{folder}/leading", TICKETS, ["linked_cluster_id"])
+    given = write_and_read(leading_tickets(given_tickets(tickets)), "given-tickets")
     open_links = write_and_read(customer_open_tickets(tickets, links, linked), "open-links")
 
     def each(batch: DataFrame, epoch: int) -> None:
-        routed = write_and_read(routing_decision(batch, known_tickets(tickets, state, epoch), open_links=open_links), "routed")
+        known = write_and_read(leading_tickets(given.unionByName(leaders.before(epoch))), "leading")
+        routed = write_and_read(routing_decision(batch, known, open_links=open_links), "routed")
         sink(routed, epoch)
-        state.write(opened_tickets(routed, batch), epoch)
+        opened = opened_tickets(routed, batch).select(known.columns)
+        state.write(opened, epoch)
+        leaders.write(leading_tickets(known.join(opened, "linked_cluster_id", "left_semi").unionByName(opened)), epoch)
 
     return rows.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
 

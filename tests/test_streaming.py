@@ -214,3 +214,13 @@ def test_a_step_of_life_asks_its_state_once():
     got = pd.concat(life.handleInputRows((7,), iter([pd.DataFrame({"ts": [at(4), at(0.5), at(0)]}), pd.DataFrame({"ts": [at(0.2)]})]), None))
     assert [(r.cluster_id, r.status, r.at.tz_localize(None)) for r in got.itertuples()] == [(7, "active", at(0)), (7, "monitoring", at(1.5)), (7, "resolved", at(2.5))]
     assert asked == ["get", "update"]
+
+
+def test_leading_tickets_say_what_all_do(spark):
+    rng = random.Random(8)
+    rows = [(str(i), rng.choice(["new", "resolved", "closed", "in_progress", None]), rng.choice(["a", "b", None]), rng.choice([None, DAY, DAY + timedelta(days=1)]), rng.choice([None, 1, 2, i]), rng.choice([None, *range(40)])) for i in range(150)]
+    tickets = spark.createDataFrame(rows, S.TICKETS)
+    leading = G.leading_tickets(tickets)
+    assert sorted(map(str, G.cluster_ticket_state(leading).collect())) == sorted(map(str, G.cluster_ticket_state(tickets).collect()))
+    half = G.leading_tickets(tickets.where("ticket_id < '5'")).unionByName(tickets.where("ticket_id >= '5'").select(leading.columns))
+    assert sorted(map(str, G.cluster_ticket_state(half).collect())) == sorted(map(str, G.cluster_ticket_state(tickets).collect()))
