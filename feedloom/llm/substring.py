@@ -268,25 +268,29 @@ def _runs(long: int):
     return runs
 
 
-NEAR = "array<struct<pos:long,key:long,low:int,high:int,lead:int,near:binary>>"
+NEAR = "array<struct<places:array<long>,key:long,low:int,high:int,lead:int,near:binary>>"
 
 
 def _contexts(long: int):
     """UDF: a document's words (one byte each) and shared blocks -> each block with the words
-    that a window of long + 1 words around it may have, and how many of them lead it."""
+    that a window of long + 1 words around it may have, and how many of them lead it.  Blocks of
+    a document that are alike in all this, as where a word is repeated, are one with its places."""
     block, _ = block_shape(long)
     reach = long + 1 - block
+    names = ["places", "key", "low", "high", "lead", "near"]
+    kind = pa.list_(pa.struct(list(zip(names, (pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())))))
 
     @F.arrow_udf(NEAR)
     def contexts(words: pa.Array, blocks: pa.Array) -> pa.Array:
         out = []
         for w, row in zip(words, blocks.to_pylist()):
-            word, one = w.as_py(), []
+            word, one = w.as_py(), {}
             for x in row:
                 lo = max(0, x["pos"] - reach)
-                one.append({**x, "lead": x["pos"] - lo, "near": word[lo : x["pos"] + block + reach]})
-            out.append(one)
-        return pa.array(out, pa.list_(pa.struct([("pos", pa.int64()), ("key", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("lead", pa.int32()), ("near", pa.binary())])))
+                context = x["key"], x["low"], x["high"], x["pos"] - lo, word[lo : x["pos"] + block + reach]
+                one.setdefault(context, []).append(x["pos"])
+            out.append([dict(zip(names, (places, *context))) for context, places in one.items()])
+        return pa.array(out, kind)
 
     return contexts
 
@@ -341,12 +345,14 @@ def _passages(profiles: DataFrame, long: int) -> DataFrame:
     places = held.select("context", "start", "window").join(both, "window").groupBy("context").agg(F.collect_list(F.struct("start", "other")).alias("at"))
     places = materialize(places, "shared-contexts")
     earlier = F.filter("at", lambda x: x.other < F.col("doc_id"))
-    more = near.select("doc_id", "pos", "context").join(places, "context").withColumn("at", earlier).where(F.size("at") > 0)
-    start = lambda pick: F.col("pos") + pick(F.transform("at", lambda x: x.start))
+    # a row a document and context, however often the document has it
+    more = near.select("doc_id", "places", "context").join(places, "context").withColumn("at", earlier).where(F.size("at") > 0)
+    starts = F.transform("at", lambda x: x.start)
     # all windows hold the block, so together they are one span; each of their documents is a link
+    spans = F.transform("places", lambda pos: F.struct((pos + F.array_min(starts)).alias("first"), (pos + F.array_max(starts) + long + 1).alias("after")))
     others = F.array_distinct(F.transform("at", lambda x: x.other))
-    more = more.select("doc_id", start(F.array_min).alias("first"), (start(F.array_max) + long + 1).alias("after"), F.explode(others).alias("other"))
-    return sure.union(more)
+    more = more.select("doc_id", merged(spans).alias("spans"), others.alias("others")).select("doc_id", F.inline("spans"), "others")
+    return sure.union(more.select("doc_id", "first", "after", F.explode("others").alias("other")))
 
 
 def _alike(x: np.ndarray, y: np.ndarray) -> bool:

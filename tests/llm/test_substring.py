@@ -302,3 +302,17 @@ def test_longer_passages_only(spark):
     assert [r.n_removed > 0 for r in sorted(S.repeats(docs, long=100).collect())] == [False, False, True]
     with pytest.raises(ValueError):
         S.repeats(docs, long=4)
+
+
+def test_a_repeated_word_is_one_context(spark, monkeypatch):
+    """A word that documents repeat makes blocks of one context: a row a document, not a row a block."""
+    rng = random.Random(23)
+    rows = [(k, " ".join(words(rng, 20) + ["osas"] * 1000 + words(rng, 20))) for k in range(4)]
+    written = {}
+    plain = S.materialize
+    monkeypatch.setattr(S, "materialize", lambda df, name: written.setdefault(name, plain(df, name)))
+    got = {r.doc_id: r for r in S.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k].n_removed for k in range(4)] == [0, 1000, 1000, 1000]
+    assert {r.component_id for r in got.values()} == {0}
+    near = written["contexts"]
+    assert near.count() == near.select("doc_id", "context").distinct().count() < 4 * 10
