@@ -7,12 +7,14 @@ logarithmic time, and holds for any number of documents.  The plan is a list of
 "documents ranked a..b of this length go to the bins from c on".  A bin's remainder at least
 halves each time a length touches it, so there are at most about ``2 * capacity *
 log2(capacity)`` runs whatever the corpus.  Spark then ranks the pieces inside their length and
-looks each one up.
+looks each one up.  Ids stay where they were written: the rows that are ranked are narrow, and a
+written task's places come back to it as a file of the shared folder.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -20,11 +22,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedloom.llm.common import materialize, release, table
+from feedloom.llm.common import materialize, new_path, open_shared, release, table
 
 CAPACITY = 4096
 END_ID = 1
@@ -48,6 +51,8 @@ PIECES = T.ArrayType(
         ]
     )
 )
+#: The task that wrote a piece, and the piece's number in it.
+AT = ("_task", "_no")
 
 
 class WordTokens(dict):
@@ -130,13 +135,17 @@ def _cutter(tokenizer: str, capacity: int, keep_ids: bool):
     names = [f for f in PIECES.elementType.fieldNames() if keep_ids or f != "ids"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = None
+        words, task, done = None, TaskContext.get().partitionId(), 0
         for b in batches:
             words, at = words or WordTokens(tokenizer), 0
             for part in _piece_arrays(b.column("text"), words.encode, capacity, keep_ids):
                 doc = b.column("doc_id").slice(at, len(part)).take(pc.list_parent_indices(part))
                 at += len(part)
-                yield pa.RecordBatch.from_arrays([doc, *part.flatten().flatten()[: len(names)]], ["doc_id", *names])
+                columns = [doc, *part.flatten().flatten()[: len(names)]]
+                if keep_ids:
+                    columns += [pa.array(np.full(len(doc), task)), pa.array(np.arange(done, done + len(doc)))]
+                    done += len(doc)
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *names, *(AT if keep_ids else ())])
         del words
         release()
 
@@ -232,9 +241,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, buckets: int | None = None
     ``pieces`` is read twice and must give the same rows both times (a written table).  Ranks
     inside a length are dealt over ``buckets`` hashed parts, so that one frequent length is
     spread; the parts' sizes (at most capacity x buckets rows) give each part its first rank.
+    Ids and where a piece was written have no say in the ranks.
     """
+    key = [c for c in pieces.columns if c not in ("ids", *AT)]
     buckets = buckets or int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hashed = pieces.withColumn("_part", F.pmod(F.xxhash64(*[c for c in pieces.columns if c != "ids"]), F.lit(buckets)))
+    hashed = pieces.withColumn("_part", F.pmod(F.xxhash64(*key), F.lit(buckets)))
     sizes = hashed.groupBy("length", "_part").agg(F.count("*").alias("_n"))
     sizes = materialize(sizes, "length-counts")
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -243,7 +254,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, buckets: int | None = None
     )
     counts = {r[0]: r[1] for r in sizes.groupBy("length").agg(F.sum("_n")).collect()}
     runs, _ = best_fit_decreasing(counts, capacity)
-    inside = Window.partitionBy("length", "_part").orderBy(*[c for c in pieces.columns if c != "ids"])
+    inside = Window.partitionBy("length", "_part").orderBy(*key)
     ranked = hashed.withColumn("_row", F.row_number().over(inside) - 1).join(
         starts, (F.col("length") == F.col("_length")) & (F.col("_part") == F.col("_p"))
     )
@@ -251,6 +262,56 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, buckets: int | None = None
     return placed.select(*pieces.columns, "_at.sequence_id", "_at.offset")
 
 
+def _stored_places(placed: DataFrame) -> dict[int, str]:
+    """``placed(_task, _no, sequence_id, offset)`` -> for each task the path of its places in order
+    of ``_no``, 16 bytes each.  A row a task comes to the driver; one that is run again writes
+    files of its own."""
+    folder = new_path(placed.sparkSession, "places")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, path, to = None, None, None
+        for b in batches:
+            tasks = b.column("_task").to_numpy()
+            places = np.stack([b.column(c).to_numpy() for c in ("sequence_id", "offset")], axis=1).astype("<i8")
+            edges = np.r_[0, np.flatnonzero(np.diff(tasks)) + 1, len(tasks)]
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                if hi > lo and tasks[lo] != task:
+                    if to is not None:
+                        to.close()
+                        yield pa.RecordBatch.from_pylist([{"_task": task, "path": path}], schema=kind)
+                    task, path = int(tasks[lo]), f"{folder}/{uuid.uuid4().hex}"
+                    to = open_shared(path, "w")
+                if hi > lo:
+                    to.write(places[lo:hi].tobytes())
+        if to is not None:
+            to.close()
+            yield pa.RecordBatch.from_pylist([{"_task": task, "path": path}], schema=kind)
+
+    kind = pa.schema([("_task", pa.int64()), ("path", pa.string())])
+    files = placed.select(*AT, "sequence_id", "offset").repartition("_task").sortWithinPartitions(*AT)
+    return {r[0]: r[1] for r in files.mapInArrow(write, "_task long, path string").collect()}
+
+
+def _finder(paths: dict[int, str]):
+    """UDF: a piece's task and number -> its place.  Pieces come in runs of neighbours, as they were
+    written, and a run is one read."""
+
+    @F.arrow_udf(PLACE)
+    def find(task: pa.Array, no: pa.Array) -> pa.Array:
+        tasks, numbers = task.to_numpy(), no.to_numpy()
+        edges = np.r_[0, np.flatnonzero((np.diff(tasks) != 0) | (np.diff(numbers) != 1)) + 1, len(tasks)]
+        found = [np.zeros((0, 2), "<i8")]
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            if hi > lo:
+                with open_shared(paths[int(tasks[lo])], "r") as source:
+                    source.seek(16 * int(numbers[lo]))
+                    found.append(np.frombuffer(source.read(16 * int(hi - lo)), "<i8").reshape(-1, 2))
+        places = np.concatenate(found)
+        return pa.StructArray.from_arrays([pa.array(places[:, k].astype(np.int64)) for k in (0, 1)], PLACE.fieldNames())
+
+    return find
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = True) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> a row per piece: doc_id, piece, start, length, ids_crc32,
     ids (little-endian unsigned 32-bit integers; left out without ``keep_ids``), sequence_id,
@@ -261,9 +322,14 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ke
     An empty table gives an empty table; further columns are left out.
     """
     fields = [f for f in PIECES.elementType.fields if keep_ids or f.name != "ids"]
-    schema = T.StructType([docs.schema["doc_id"], *fields])
-    pieces = docs.select("doc_id", "text").mapInArrow(_cutter(tokenizer, capacity, keep_ids), schema)
-    return pack(materialize(pieces, "pieces"), capacity)
+    own = [T.StructField(c, T.LongType()) for c in AT] if keep_ids else []
+    schema = T.StructType([docs.schema["doc_id"], *fields, *own])
+    pieces = materialize(docs.select("doc_id", "text").mapInArrow(_cutter(tokenizer, capacity, keep_ids), schema), "pieces")
+    if not keep_ids:
+        return pack(pieces, capacity)
+    paths = _stored_places(pack(pieces.drop("ids"), capacity))
+    placed = pieces.withColumn("_at", _finder(paths)(*AT))
+    return placed.select("doc_id", *(f.name for f in fields), "_at.sequence_id", "_at.offset")
 
 
 def op10_best_fit_packing(spark, sf_dir: str) -> DataFrame:

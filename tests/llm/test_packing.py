@@ -137,3 +137,14 @@ def test_pack_documents(spark, sf_dir, capacity):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert P.pack_documents(docs, PATH).collect() == []
+
+
+def test_ids_are_not_shuffled(spark, sf_dir):
+    """The rows with ids are read and written where they are, and no order of rows changes a place."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    out = P.pack_documents(docs.repartition(3), PATH, 64)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    one, other = ({(r.doc_id, r.piece): r for r in x.collect()} for x in (out, P.pack_documents(docs.repartition(5, "doc_id"), PATH, 64)))
+    assert one == other and len(one) > docs.count()
+    narrow = {(r.doc_id, r.piece): (r.sequence_id, r.offset) for r in P.pack_documents(docs, PATH, 64, keep_ids=False).collect()}
+    assert narrow == {k: (r.sequence_id, r.offset) for k, r in one.items()}
