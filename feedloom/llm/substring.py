@@ -348,11 +348,14 @@ def _passages(profiles: DataFrame, long: int) -> DataFrame:
     # a row a document and context, however often the document has it
     more = near.select("doc_id", "places", "context").join(places, "context").withColumn("at", earlier).where(F.size("at") > 0)
     starts = F.transform("at", lambda x: x.start)
-    # all windows hold the block, so together they are one span; each of their documents is a link
-    spans = F.transform("places", lambda pos: F.struct((pos + F.array_min(starts)).alias("first"), (pos + F.array_max(starts) + long + 1).alias("after")))
+    # all windows hold the block, so together they are one span; each of their documents is a link,
+    # and as spans and links are each taken by themselves later, each stands here once
     others = F.array_distinct(F.transform("at", lambda x: x.other))
-    more = more.select("doc_id", merged(spans).alias("spans"), others.alias("others")).select("doc_id", F.inline("spans"), "others")
-    return sure.union(more.select("doc_id", "first", "after", F.explode("others").alias("other")))
+    more = more.withColumns({"others": others, "low": F.array_min(starts), "high": F.array_max(starts) + long + 1})
+    links = F.transform("others", lambda x: F.struct(F.col("places")[0].alias("pos"), x.alias("other")))
+    spans = F.transform(F.slice("places", 2, F.size("places")), lambda x: F.struct(x.alias("pos"), F.col("others")[0].alias("other")))
+    more = more.select("doc_id", "low", "high", F.inline(F.concat(links, spans)))
+    return sure.union(more.select("doc_id", (F.col("pos") + F.col("low")).alias("first"), (F.col("pos") + F.col("high")).alias("after"), "other"))
 
 
 def _alike(x: np.ndarray, y: np.ndarray) -> bool:
