@@ -222,7 +222,7 @@ def _profiler(bands: int, rows: int, long: int = LONG, paragraph: int = LONG):
     return profile
 
 
-RUNS = "struct<sure:array<struct<first:long,after:long,other:long>>,doubtful:array<struct<key:long>>,open:array<struct<pos:long,key:long,low:int,high:int>>>"
+RUNS = "struct<sure:array<struct<first:long,after:long,other:long>>,doubtful:array<struct<key:long>>,open:array<struct<places:array<long>,key:long,low:int,high:int>>>"
 
 
 def _runs(long: int):
@@ -233,6 +233,8 @@ def _runs(long: int):
     A run's blocks touch and stand as far apart in one other document, so all its words do.
     Windows inside a sure run are that document's as well, so they are left out: those that begin
     from ``low`` to ``high`` words behind the block, which is all of a block deep in the run.
+    Equal blocks of which the same windows are looked at, as where a word is repeated, are one with
+    their places.
     """
     block, _ = block_shape(long)
     reach = long + 1 - block
@@ -247,7 +249,7 @@ def _runs(long: int):
                 if not groups or groups[-1][-1][:2] != x[:2] or groups[-1][-1][2] + block < x[2]:
                     groups.append([])
                 groups[-1].append(x)
-            sure, doubtful, open_ = [], set(), []
+            sure, doubtful, open_ = [], set(), {}
             for g in groups:
                 first, after = g[0][2], g[-1][2] + block
                 if after - first > long:
@@ -256,14 +258,16 @@ def _runs(long: int):
                     for _, _, pos, key in g:
                         low, high = first - pos, after - long - 1 - pos
                         if low > -reach or high < 0:
-                            open_.append({"pos": pos, "key": key, "low": max(low, -reach), "high": min(high, 0)})
+                            open_.setdefault((key, max(low, -reach), min(high, 0)), []).append(pos)
                 else:
                     doubtful |= {x[3] for x in g}
-                    open_ += [{"pos": x[2], "key": x[3], "low": 1, "high": 0} for x in g]
-            out.append({"sure": sure, "doubtful": [{"key": k} for k in sorted(doubtful)], "open": open_})
+                    for x in g:
+                        open_.setdefault((x[3], 1, 0), []).append(x[2])
+            asked = [{"places": sorted(places), "key": key, "low": low, "high": high} for (key, low, high), places in open_.items()]
+            out.append({"sure": sure, "doubtful": [{"key": k} for k in sorted(doubtful)], "open": asked})
         spans, keys = (pa.list_(pa.struct([(c, pa.int64()) for c in names])) for names in (("first", "after", "other"), ("key",)))
-        places = pa.list_(pa.struct([("pos", pa.int64()), ("key", pa.int64()), ("low", pa.int32()), ("high", pa.int32())]))
-        return pa.array(out, pa.struct([("sure", spans), ("doubtful", keys), ("open", places)]))
+        blocks = pa.list_(pa.struct([("places", pa.list_(pa.int64())), ("key", pa.int64()), ("low", pa.int32()), ("high", pa.int32())]))
+        return pa.array(out, pa.struct([("sure", spans), ("doubtful", keys), ("open", blocks)]))
 
     return runs
 
@@ -286,10 +290,11 @@ def _contexts(long: int):
         for w, row in zip(words, blocks.to_pylist()):
             word, one = w.as_py(), {}
             for x in row:
-                lo = max(0, x["pos"] - reach)
-                context = x["key"], x["low"], x["high"], x["pos"] - lo, word[lo : x["pos"] + block + reach]
-                one.setdefault(context, []).append(x["pos"])
-            out.append([dict(zip(names, (places, *context))) for context, places in one.items()])
+                for pos in x["places"]:
+                    lo = max(0, pos - reach)
+                    context = x["key"], x["low"], x["high"], pos - lo, word[lo : pos + block + reach]
+                    one.setdefault(context, []).append(pos)
+            out.append([dict(zip(names, (sorted(places), *context))) for context, places in one.items()])
         return pa.array(out, kind)
 
     return contexts
@@ -331,9 +336,11 @@ def _passages(profiles: DataFrame, long: int) -> DataFrame:
     told = materialize(told.select("doc_id", "r.*"), "runs")
     sure = told.select("doc_id", F.inline("sure"))
     doubtful = materialize(told.select(F.inline("doubtful")).distinct(), "doubtful-blocks")
-    least = met.where("doc_id = other").select("doc_id", "pos", "key", F.lit(1).alias("low"), F.lit(0).alias("high"))
+    least = met.where("doc_id = other").groupBy("doc_id", "key").agg(F.collect_list("pos").alias("places"))
+    least = least.select("doc_id", "places", "key", F.lit(1).alias("low"), F.lit(0).alias("high"))
+    # a row a document and block, however often the document has it
     asked = told.select("doc_id", F.inline("open")).union(least).join(doubtful, "key", "left_semi")
-    asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "key", "low", "high")).alias("blocks"))
+    asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("places", "key", "low", "high")).alias("blocks"))
     near = profiles.select("doc_id", "words").join(asked, "doc_id").select("doc_id", F.inline(_contexts(long)("words", "blocks")))
     # from here on a context goes by its hash; copies of a passage share it, and it is looked at once
     words = ["key", "low", "high", "lead", "near"]
@@ -348,14 +355,19 @@ def _passages(profiles: DataFrame, long: int) -> DataFrame:
     # a row a document and context, however often the document has it
     more = near.select("doc_id", "places", "context").join(places, "context").withColumn("at", earlier).where(F.size("at") > 0)
     starts = F.transform("at", lambda x: x.start)
-    # all windows hold the block, so together they are one span; each of their documents is a link,
-    # and as spans and links are each taken by themselves later, each stands here once
+    # all windows hold the block, so together they are one span, and places whose spans touch are one,
+    # too; each of their documents is a link, and as spans and links are each taken by themselves
+    # later, each stands here once
     others = F.array_distinct(F.transform("at", lambda x: x.other))
     more = more.withColumns({"others": others, "low": F.array_min(starts), "high": F.array_max(starts) + long + 1})
-    links = F.transform("others", lambda x: F.struct(F.col("places")[0].alias("pos"), x.alias("other")))
-    spans = F.transform(F.slice("places", 2, F.size("places")), lambda x: F.struct(x.alias("pos"), F.col("others")[0].alias("other")))
-    more = more.select("doc_id", "low", "high", F.inline(F.concat(links, spans)))
-    return sure.union(more.select("doc_id", (F.col("pos") + F.col("low")).alias("first"), (F.col("pos") + F.col("high")).alias("after"), "other"))
+    apart = lambda p, q: F.coalesce(q - p > F.col("high") - F.col("low"), F.lit(True))  # noqa: E731  no place: the first or the last
+    begin = F.filter("places", lambda p, i: apart(F.get("places", i - 1), p))
+    end = F.filter("places", lambda p, i: apart(p, F.get("places", i + 1)))
+    spans = F.zip_with(begin, end, lambda p, q: F.struct((p + F.col("low")).alias("first"), (q + F.col("high")).alias("after")))
+    more = more.select("doc_id", "others", spans.alias("spans"))
+    links = F.transform("others", lambda x: F.struct(F.col("spans")[0].first.alias("first"), F.col("spans")[0].after.alias("after"), x.alias("other")))
+    rest = F.transform(F.slice("spans", 2, F.size("spans")), lambda x: F.struct(x.first.alias("first"), x.after.alias("after"), F.col("others")[0].alias("other")))
+    return sure.union(more.select("doc_id", F.inline(F.concat(links, rest))))
 
 
 def _alike(x: np.ndarray, y: np.ndarray) -> bool:

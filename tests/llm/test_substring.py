@@ -316,3 +316,17 @@ def test_a_repeated_word_is_one_context(spark, monkeypatch):
     assert {r.component_id for r in got.values()} == {0}
     near = written["contexts"]
     assert near.count() == near.select("doc_id", "context").distinct().count() < 4 * 10
+
+
+def test_a_repeated_word_is_one_block_and_one_span(spark, monkeypatch):
+    """Blocks of a word that documents repeat are asked for once a document, and their spans are one:
+    no row a block on the way from the runs to the passages."""
+    rng = random.Random(29)
+    rows = [(k, " ".join(words(rng, 20) + ["osas"] * 1000 + words(rng, 20) + ["osas"] * 90 + words(rng, 20))) for k in range(4)]
+    written = {}
+    plain = S.materialize
+    monkeypatch.setattr(S, "materialize", lambda df, name: written.setdefault(name, plain(df, name)))
+    brute_equals(spark, rows)
+    asked = written["runs"].selectExpr("doc_id", "inline(open)")
+    assert asked.count() < 4 * 10 < asked.selectExpr("explode(places)").count()
+    assert written["passages"].count() < 4 * 20
