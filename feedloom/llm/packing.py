@@ -40,6 +40,10 @@ ROWS, IDS = 64, 1 << 20
 _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_LETTERS = [chr(b) if b in _PLAIN else chr(256 + sum(x not in _PLAIN for x in range(b))) for b in range(256)]
 
+#: Marks that are a token run of their own behind a letter; an apostrophe may begin a contraction, and
+#: the three of special tokens are left to the tokenizer.
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "'<|>")
+
 PIECES = T.ArrayType(
     T.StructType(
         [
@@ -73,10 +77,11 @@ class WordTokens(dict):
         self.size = 0
 
     def __missing__(self, chunk: str) -> bytes:
-        # a letter below U+0130 and a full stop or comma behind it are always two tokens; later ones
-        # may come apart, and their mark would join the stop
-        if chunk[-1] in ".," and chunk[-2:-1].isalpha() and chunk[-2] < "\u0130":
-            ids = self[chunk[:-1]] + self[chunk[-1]]
+        # a letter below U+0130 and the marks behind it are always tokens apart; later ones may come
+        # apart, and their mark would join the others
+        front = chunk.rstrip(MARKS)
+        if len(front) < len(chunk) and front[-1:].isalpha() and front[-1] < "\u0130":
+            ids = self[front] + self[chunk[len(front) :]]
         elif chunk.isalpha() and (chunk.isascii() or max(chunk) < "\u0130"):
             # letters below U+0130 are one run, lower-cased one by one and never composed:
             # straight to the model, in its spelling of bytes
@@ -98,7 +103,20 @@ class WordTokens(dict):
         if self.size > CACHE:
             self.clear()
             self[""], self.size = b"", 0
-        return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
+        text = (text or "").replace("\n", " ")
+        # letters of Latin-1 are lower-cased one by one, so that may be done at once; not where it could
+        # make a special token
+        if "<|" not in text and _latin(text):
+            text = text.lower()
+        return b"".join(map(self.__getitem__, text.split(" ")))
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def _piece_arrays(texts: pa.Array, encode, capacity: int, keep_ids: bool) -> Iterator[pa.Array]:

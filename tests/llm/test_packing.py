@@ -148,3 +148,26 @@ def test_ids_are_not_shuffled(spark, sf_dir):
     assert one == other and len(one) > docs.count()
     narrow = {(r.doc_id, r.piece): (r.sequence_id, r.offset) for r in P.pack_documents(docs, PATH, 64, keep_ids=False).collect()}
     assert narrow == {k: (r.sequence_id, r.offset) for k, r in one.items()}
+
+
+def test_words_in_capitals_and_before_marks_are_looked_up():
+    """Neither case nor marks behind a word make it a chunk of its own for the tokenizer; special tokens,
+    contractions and letters beyond Latin-1 keep the tokenizer's ids."""
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.asked = tokenizer, []
+
+        def encode(self, chunk, **how):
+            self.asked.append(chunk)
+            return self.tokenizer.encode(chunk, **how)
+
+    words = P.WordTokens(PATH)
+    plain = words.tokenizer
+    ids = lambda t: P.array("I", plain.encode(t, add_special_tokens=False).ids).tobytes()
+    words.tokenizer = counted = Counted(plain)
+    text = "Straße STRASSE$$$ straße.*** Été### été&&&! word's. WORD'S"
+    assert words.encode(text) == ids(text)
+    assert not {"strasse$$$", "straße.***", "été###", "été&&&!"} & set(counted.asked)
+    assert "WORD'S" not in counted.asked and "Été" not in words
+    for t in ("A<|ENDOFTEXT|>b.", "a<|endoftext|>B$$", "N̸=$ İ.,", "'Re$$ L'Été!? —A.", "x>|<. Ab|>", "µM. ª$ 3.5$"):
+        assert words.encode(t) == ids(t), t
