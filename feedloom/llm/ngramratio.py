@@ -71,7 +71,7 @@ def repeated_words(words: Column) -> Column:
             differ = (F.get(w, at) != F.get(w, other)) | (F.get(w, at + 1) != F.get(w, other + 1)) | (F.get(w, at + 2) != F.get(w, other + 2))
             return F.when(differ, F.array(F.lit(-1))).otherwise(F.array(other, at))
 
-        pairs = F.transform(s, lambda x, i: F.when(F.shiftright(x.bitwiseXOR(F.get(s, i - 1)), 24) == 0, place(x, F.get(s, i - 1))))
+        pairs = F.zip_with(s, F.slice(s, 2, F.size(s)), lambda x, y: F.when(F.shiftright(x.bitwiseXOR(y), 24) == 0, place(y, x)))
         return F.array_distinct(F.flatten(F.filter(pairs, lambda p: p.isNotNull())))
 
     def fast(w: Column) -> Column:
@@ -85,21 +85,26 @@ def _places(marked: Column) -> Column:
     return F.sort_array(F.filter(marked, lambda at: at.isNotNull()))
 
 
-def ngram_buckets(text: Column, buckets: int = BUCKETS) -> Column:
-    """Buckets of a text's tokens and pairs of neighbouring tokens."""
+def _hashed_tokens(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda x: F.crc32(x.cast("binary")))
+
+
+def _pairs(h: Column, buckets: int) -> Column:
+    """Buckets of neighbouring tokens, by the tokens' hashes."""
+    n = F.greatest(F.size(h) - 1, F.lit(0))
+    return F.zip_with(F.slice(h, 1, n), F.slice(h, 2, n), lambda x, y: ((PAIR * x + y) % buckets).cast("int"))
 
-    def both(h: Column) -> Column:
-        pairs = F.transform(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), lambda x, i: ((PAIR * x + F.get(h, i + 1)) % buckets).cast("int"))
-        return F.concat(F.transform(h, lambda x: (x % buckets).cast("int")), pairs)
 
-    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    return _with(F.transform(tokens, lambda x: F.crc32(x.cast("binary"))), both)
+def ngram_buckets(text: Column, buckets: int = BUCKETS) -> Column:
+    """Buckets of a text's tokens and pairs of neighbouring tokens."""
+    return _with(_hashed_tokens(text), lambda h: F.concat(F.transform(h, lambda x: (x % buckets).cast("int")), _pairs(h, buckets)))
 
 
-def base_counts(text: Column) -> dict[str, Column]:
-    """Columns of the fixed rules; a null text counts as an empty one."""
+def base_counts(text: Column, words: Column | None = None) -> dict[str, Column]:
+    """Columns of the fixed rules; a null text counts as an empty one.  ``words`` are the text's, if
+    they are a column already."""
     text = F.coalesce(text, F.lit(""))
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0)) if words is None else words
     dup = _with(F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)), lambda x: F.size(x) - F.size(F.array_distinct(x)))
     return {
         "n_words": F.size(words).cast("long"),
@@ -142,14 +147,22 @@ def gains(docs: DataFrame, fitted: DataFrame, buckets: int = BUCKETS) -> list[in
 def mean_gain(text: Column, gain: list[int]) -> Column:
     """Floored mean of a text's n-grams' gains, null without tokens.  The gains stand in the plan
     as one array, so nothing is joined or shuffled."""
-    table = F.expr(f"cast(split('{','.join(map(str, gain))}', ',') as array<int>)")
-    total = lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda n, x: n + F.get(table, x))
-    return _with(ngram_buckets(text, len(gain)), lambda b: F.floor(total(b) / F.nullif(F.size(b), F.lit(0))))
+    table, none = F.expr(f"cast(split('{','.join(map(str, gain))}', ',') as array<int>)"), F.lit(0).cast("long")
+
+    def mean(h: Column) -> Column:
+        alone = F.aggregate(h, none, lambda n, x: n + F.get(table, (x % len(gain)).cast("int")))
+        total = F.aggregate(_pairs(h, len(gain)), alone, lambda n, x: n + F.get(table, x))
+        return F.when(F.size(h) > 0, F.floor(total / (2 * F.size(h) - 1)))
+
+    return _with(_hashed_tokens(text), mean)
 
 
 def scored(docs: DataFrame, gain: list[int]) -> DataFrame:
     """Each row of ``docs`` as (doc_id, base counts, score)."""
-    columns = base_counts(F.col("text")) | {"score": mean_gain(F.coalesce("text", F.lit("")), gain)}
+    text, words = F.coalesce("text", F.lit("")), F.regexp_extract_all("_text", F.lit(WORD), F.lit(0))
+    # words are a column, as an expression that several others name would be worked out by each
+    docs = docs.select("doc_id", text.alias("_text")).withColumn("_words", words)
+    columns = base_counts(F.col("_text"), F.col("_words")) | {"score": mean_gain(F.col("_text"), gain)}
     return docs.select("doc_id", *(c.alias(n) for n, c in columns.items()))
 
 

@@ -125,3 +125,12 @@ def test_all_labels_are_fitted(spark):
 
 def test_against_sql(spark, sf_dir):
     same(Q.op11_quality_rules(spark, sf_dir), Q.OP11_SQL, sf_dir)
+
+
+def test_words_are_worked_out_once(spark):
+    """A text's words are one expression of the plan, however many counts need them."""
+    docs = spark.createDataFrame([(1, "a b c a b c d"), (2, None), (3, "")], "doc_id long, text string")
+    out = Q.scored(docs, [0] * 10)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2  # words and tokens
+    assert [tuple(r)[1:] for r in out.orderBy("doc_id").collect()] == [(7, 7, 0, 0, 6, 0), (0, 0, 0, 0, 0, None), (0, 0, 0, 0, 0, None)]
