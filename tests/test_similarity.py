@@ -92,3 +92,38 @@ def test_blocks_of_far_clusters_are_left_out(spark, monkeypatch):
 def test_nothing(spark):
     assert C.similarity_pairs(spark.createDataFrame([], "id string, text string"), 0.5).collect() == []
     assert C.similarity_pairs(spark.createDataFrame([("x", "..."), ("y", None)], "id string, text string"), 0.5).collect() == []
+
+
+def components_of(n, pairs):
+    up = list(range(n))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        up[b] = a
+    return [find(k) for k in range(n)]
+
+
+def test_links_of_clusters_are_a_forest(spark):
+    """Texts that are all alike: a task hands on as many links as vectors at most, not all pairs, and
+    the components are those of all pairs."""
+    rng = random.Random(31)
+    base = long_texts(rng, 3)
+    texts = [edited(rng, base[k % 3], rng.choice([0.01, 0.03, 0.3])) for k in range(180)] + ["", "a b", "c d e"]
+    want = brute(texts, 0.9)
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    vectors_ = C.same_vector(rows).where("id = rep and size(tf) > 0").select("rep", "tf").dropDuplicates(["rep"]).cache()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for block in (2048, 64, 17):
+        got = {(r.a, r.b): round(r.cosine, 9) for r in S.pairs_over(vectors_.coalesce(1), 0.9, 256, block, forest=True).coalesce(1).collect()}
+        assert got.items() <= want.items()
+        assert len(got) < tasks * len(texts) < len(want)
+        assert components_of(len(texts), got) == components_of(len(texts), want)
+    clusters = C.single_linkage_clusters(rows, 0.9).orderBy("id").collect()
+    v = vectors(texts)
+    equal = [(j, k) for j, k in itertools.combinations(range(len(texts)), 2) if (v[j] == v[k]).all()]
+    assert [r.component for r in clusters] == components_of(len(texts), [*want, *equal])
