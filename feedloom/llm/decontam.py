@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedloom.llm.common import SPAN, WORDS, joined_spans, new_path, open_shared, table, unused, utf8
+from feedloom.llm.common import SPAN, WORDS, joined_spans, new_path, open_shared, release, table, unused, utf8
 
 WINDOW = 13
 #: A document is contaminated if at least one word in so many is hit.
@@ -263,6 +263,8 @@ def hits(paths: list[str]):
         hit = [sum(b - a for a, b in x) for x in spans]
         columns = [pa.array(sizes), pa.array(hit, pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
         columns.append(pa.array(rows, pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))))
+        del rows, spans
+        release()
         return pa.StructArray.from_arrays(columns, HITS.fieldNames())
 
     return find

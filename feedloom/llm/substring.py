@@ -575,12 +575,13 @@ def without_repeats(docs: DataFrame, long: int = LONG, paragraph: int = LONG) ->
     """The documents with repeated passages cut, as ``repeats`` tells; those of which no word is
     left go.  Documents without repeats, ids or texts stay as they are, and so do all columns;
     rows with one id and one text are cut alike."""
-    mark, spans, key = unused(docs, "_key", "_spans", "_other")
+    mark, spans, key, gone = unused(docs, "_key", "_spans", "_other", "_gone")
     keyed, numbers = _keyed(docs, mark)
-    found = _repeats(keyed.select(mark, "text"), mark, long, paragraph).where("n_removed > 0").select(F.col("doc_id").alias(key), F.col("spans").alias(spans))
-    joined = keyed.join(found, F.col(mark) == F.col(key), "left")
-    out = joined.withColumn("text", cut_spans("text", spans)).where(F.col(spans).isNull() | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
-    return out.select(*docs.columns)
+    found = _repeats(keyed.select(mark, "text"), mark, long, paragraph).where("n_removed > 0")
+    found = found.select(F.col("doc_id").alias(key), F.col("spans").alias(spans), (F.col("n_removed") == F.col("n_words")).alias(gone))
+    # told by the counts: a filter on the cut text would cut all texts twice, in two Python workers a task
+    left = keyed.join(found, F.col(mark) == F.col(key), "left").where(F.col(gone).isNull() | ~F.col(gone))
+    return left.withColumn("text", cut_spans("text", spans)).select(*docs.columns)
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
+from feedloom.llm import common
 from tests.llm.test_decontam import brute
 from tests.llm.test_simhash import classes, slow_simhash
 
@@ -34,6 +35,19 @@ def test_columns_stay(tables):
     assert all(t.columns == tables[0].columns for t in tables[:5])
 
 
+def test_python_workers_get_small_batches(spark, sf_dir):
+    """Whoever writes a stage's rows runs its last Python step."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = {k: spark.conf.get(k) for k in common.BATCHES}
+    try:
+        spark.conf.set(key, str(64 << 20))
+        P.decontamination(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+        assert int(spark.conf.get(key)) == common.BATCHES[key]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_toxic_documents_go(spark, sf_dir, tables):
     toxic = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").collect()}
     clean = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 0").collect()}

@@ -87,6 +87,16 @@ def test_cut_texts(spark, case):
     assert len(kept) < len(texts[103].split()) and kept[0] == texts[103].split()[0]
 
 
+def test_texts_are_cut_once(spark):
+    """In one Python step of the plan; a document of which no word is left goes, blanks or not."""
+    passage, own = (" ".join(f"{c}{k}" for k in range(n)) for c, n in (("w", 60), ("v", 100)))
+    rows = [(1, f"a {passage} b"), (2, f" \n{passage}\t"), (3, f"{passage} {own}"), (4, " \t"), (5, None)]
+    out = S.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("[cut_spans(") == 1
+    assert {r.doc_id: r.text for r in out.collect()} == {1: rows[0][1], 3: own, 4: " \t", 5: None}
+
+
 def test_cut_keeps_the_rest(spark):
     text = " é one\ttwo\n\nthree  four five\n"
     df = spark.createDataFrame([(text, [(1, 3), (5, 6)]), (None, [(0, 1)]), ("a", None)], "t string, s array<struct<first:long,after:long>>")
