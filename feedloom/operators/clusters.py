@@ -148,6 +148,8 @@ def cluster_volume_update(clusters: DataFrame, assigned: DataFrame, upgrade_over
 WEIGHTS, JOIN_OVER, GEO_KM = (0.5, 0.3, 0.2), 0.7, 50.0
 #: Scores that a task keeps, and what stands for no cluster.
 KEPT_SCORES, NONE = 4_000_000, np.iinfo(np.int64).max
+#: Kinds that may stand without clusters before they are numbered anew: 2 kB each.
+MOST_KINDS = 2048
 
 
 def _counts(text: str) -> dict[str, int]:
@@ -187,7 +189,7 @@ class Leader:
 
     Clusters of one vector and place are a kind, and of a kind the oldest takes the record: a record
     is compared with kinds, of which there are few where texts repeat or are summary sentences, and
-    its scores with them are kept for the next record of its text and place.
+    its scores with those that have clusters are kept for the next record of its text and place.
     """
 
     def __init__(self, theme: str, buckets: int = 256, idle_us: int | None = None, lone: bool = False):
@@ -233,9 +235,9 @@ class Leader:
         self.oldest[k] = self.waiting[k][0] if self.waiting[k] else NONE
 
     def _tidy(self) -> None:
-        """Numbers kinds anew when most have no clusters any more."""
+        """Numbers kinds anew when most have no clusters any more; scores are forgotten then."""
         n = len(self.waiting)
-        if n > 256 and 2 * np.count_nonzero(self.oldest[:n] != NONE) < n:
+        if n > MOST_KINDS and 2 * np.count_nonzero(self.oldest[:n] != NONE) < n:
             numbers = sorted(x for heap in self.waiting for x in heap)
             self._no_kinds()
             for x in numbers:
@@ -255,46 +257,55 @@ class Leader:
             self.vectors[text] = tuple(sorted(_bucketed(text).items()))
         return self.vectors[text]
 
-    def _scores(self, vector: tuple, place: tuple[float, float] | None) -> np.ndarray:
-        """With each kind."""
-        n, got = len(self.waiting), self.known.get((vector, place))
-        first = 0 if got is None else len(got)
-        if first == n and got is not None:
-            return got
+    def _scores(self, vector: tuple, place: tuple[float, float] | None, live: np.ndarray) -> np.ndarray:
+        """With the kinds ``live``.  What is not known yet is worked out and kept: for a text and place
+        that comes again with all kinds at once."""
+        got = self.known.get((vector, place))
+        again = got is not None
+        if got is None or len(got) < len(self.oldest):
+            if self.held > KEPT_SCORES:
+                self.known, self.held, got = {}, 0, None
+            before = np.zeros(0) if got is None else got
+            got = self.known[vector, place] = np.concatenate([before, np.full(len(self.oldest) - len(before), np.nan)])
+            self.held += len(got) - len(before)
+        new = live[np.isnan(got[live])]
+        if len(new):
+            new = np.flatnonzero(np.isnan(got[: len(self.waiting)])) if again else new
+            got[new] = self._worked_out(vector, place, new)
+        return got[live]
+
+    def _worked_out(self, vector: tuple, place: tuple[float, float] | None, kinds: np.ndarray) -> np.ndarray:
         v = self._unit(vector)
-        own, unit = np.flatnonzero(v), self.unit[:, first:n]
-        # bucket by bucket, so that a sum does not depend on how many kinds there are
-        cosine = np.minimum(1.0, (v[own, None] * unit[own]).sum(axis=0)) if len(own) else (~unit.any(axis=0)).astype(float)
+        cosine = np.zeros(len(kinds))
+        for b in np.flatnonzero(v):  # one by one, so that a sum does not depend on how many kinds there are
+            cosine += v[b] * self.unit[b, kinds]
+        cosine = np.minimum(1.0, cosine) if v.any() else (~self.unit[:, kinds].any(axis=0)).astype(float)
         base = WEIGHTS[0] * cosine + WEIGHTS[1]
         score = base / (WEIGHTS[0] + WEIGHTS[1])
         if place:
-            lat, lon = np.radians(self.place[first:n]).T
+            lat, lon = np.radians(self.place[kinds]).T
             a, b = np.radians(place)
             h = np.sin((lat - a) / 2) ** 2 + np.cos(a) * np.cos(lat) * np.sin((lon - b) / 2) ** 2
             km = 2 * 6371.0 * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
             score = np.where(np.isnan(km), score, base + WEIGHTS[2] * np.maximum(0.0, 1 - km / GEO_KM))
-        if self.held > KEPT_SCORES:
-            self.known, self.held = {}, 0
-        whole = score if got is None else np.concatenate([got, score])
-        self.known[vector, place] = whole
-        self.held += len(score)
-        return whole
+        return score
 
     def _best(self, vector: tuple, place: tuple[float, float] | None, t: int) -> int | None:
         """The kind whose oldest cluster takes the record: the oldest of the best scores."""
         self._tidy()
-        n = len(self.waiting)
-        score = self._scores(vector, place)
-        while n:
-            able = np.where(self.oldest[:n] != NONE, score, -1.0)
-            best = able.max()
+        live = np.flatnonzero(self.oldest[: len(self.waiting)] != NONE)
+        score = self._scores(vector, place, live)
+        while len(live):
+            best = score.max()
             if not best > JOIN_OVER:
                 return None
-            k = np.flatnonzero(able == best)
+            k = live[score == best]
             k = int(k[np.argmin(self.oldest[k])])
             if self.idle is None or t - self.clusters[self.waiting[k][0]]["seen"] <= self.idle:
                 return k
             self._leave(k)  # times only grow, so it is idle from here on
+            left = self.oldest[live] != NONE
+            live, score = live[left], score[left]
         return None
 
     def assign(self, feedback_id: int, text: str, place: tuple[float, float] | None, t: int = 0) -> str:

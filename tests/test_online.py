@@ -71,6 +71,28 @@ def test_online_clusters(spark, seed, summaries):
     assert got == fold(rows)
 
 
+def test_scores_of_repeated_texts_are_kept():
+    """Many kinds, of which few have a cluster at a time: scores are not forgotten over and over."""
+    rng = random.Random(5)
+    leader, worked = C.Leader("billing", lone=True), [0]
+    work = leader._worked_out
+
+    def counted(vector, place, kinds):
+        worked[0] += 1
+        return work(vector, place, kinds)
+
+    leader._worked_out = counted
+    rows = []
+    for i in range(6000):
+        rows.append((i, "billing", DAY + timedelta(minutes=i), f"please cancel my plan {rng.randrange(7)}", 25.0 + rng.randrange(5), -97.0 + rng.randrange(10) / 10))
+    got = {i: leader.assign(i, text, (lat, lon), i) for i, _, _, text, lat, lon in rows}
+    kept = {}
+    for i, c in got.items():
+        kept.setdefault(c, []).append(i)
+    assert leader.born == len(kept) and all(len(x) <= 2 for x in kept.values())
+    assert len(leader.kinds) > 300 and worked[0] < len(rows) / 2
+
+
 def test_clusters_of_batches(spark):
     """Batches against the clusters that earlier ones left; those with a summary sentence are read
     again when a text like one comes."""
