@@ -31,7 +31,8 @@ def similarity_pairs(texts: DataFrame, threshold: float, buckets: int = 256, for
     the components are the same.
     """
     vectors = same_vector(texts, buckets).where(F.col("id") == F.col("rep")).select("rep", "tf").where(F.size("tf") > 0)
-    return pairs_over(write_and_read(vectors.dropDuplicates(["rep"]), "vectors"), threshold, buckets, forest=forest)
+    kept = write_and_read(vectors.dropDuplicates(["rep"]), "vectors")
+    return pairs_over(kept, threshold, buckets, forest=True) if forest else pairs_over(kept, threshold, buckets)
 
 
 def same_vector(texts: DataFrame, buckets: int = 256) -> DataFrame:
