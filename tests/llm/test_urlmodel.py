@@ -144,3 +144,22 @@ def test_grams_are_linear_in_length(spark):
     assert n == len(line) and size < 20 * len(line)
     assert grams.columns == ["key", "good", "bad", "gram"]
     assert [r.gram for r in U._grams(df.selectExpr("key", "'x\U0001F600\n' as line", "good", "bad")).collect()] == ["     x", "    x😀", "   x😀\n"]
+
+
+def test_models_are_not_broadcast(spark, monkeypatch):
+    """Joins with n-grams, lines and scores are merges, however small these are: only the one row of totals is broadcast."""
+    plans = []
+    kept = U.materialize
+
+    def materialize(df, name):
+        df.count()  # so that the adaptive plan is final
+        df.write.format("noop").mode("overwrite").save()
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, name)
+
+    monkeypatch.setattr(U, "materialize", materialize)
+    rows = [(i, f"http://{'a' if i % 3 else 'z'}{i}.{'org' if i % 3 else 'com'}/{'x' if i % 3 else 'de'}/{i}") for i in range(60)]
+    found = U.judge(spark.createDataFrame(rows, "page_id long, url string"))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) == 2 and not any("BroadcastHashJoin" in p for p in plans)
+    assert len(found.collect()) == 60
