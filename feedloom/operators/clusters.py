@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from feedloom.functions.text import bucket_counts, tokenize
+from feedloom.functions.text import bucket_lists, tokenize
 from feedloom.operators.similarity import pairs_over
 from feedloom.sources.shared import write_and_read
 
 
 def bucket_vectors(texts: DataFrame, buckets: int = 256) -> DataFrame:
     """``texts(id, text)`` -> (id, tf): sparse token counts as sorted (bucket, count) pairs."""
-    return texts.select("id", bucket_counts(F.col("text"), buckets).alias("tf"))
+    return texts.select("id", bucket_lists(F.col("text"), buckets).alias("tf"))
 
 
 def similarity_pairs(texts: DataFrame, threshold: float, buckets: int = 256, forest: bool = False) -> DataFrame:
@@ -30,20 +30,31 @@ def similarity_pairs(texts: DataFrame, threshold: float, buckets: int = 256, for
     ``same_vector``.  Texts without tokens are on no pair.  With ``forest`` only so many pairs that
     the components are the same.
     """
-    vectors = same_vector(texts, buckets).where(F.col("id") == F.col("rep")).select("rep", "tf").where(F.size("tf") > 0)
-    kept = write_and_read(vectors.dropDuplicates(["rep"]), "vectors")
+    _, reps = with_representatives(texts, buckets)
+    return pairs_of(reps, threshold, buckets, forest)
+
+
+def pairs_of(reps: DataFrame, threshold: float, buckets: int, forest: bool) -> DataFrame:
+    """``similarity_pairs`` of the representatives ``reps(tf, rep)``."""
+    kept = write_and_read(reps.where(F.size("tf") > 0).dropDuplicates(["rep"]), "vectors")
     return pairs_over(kept, threshold, buckets, forest=True) if forest else pairs_over(kept, threshold, buckets)
 
 
 def same_vector(texts: DataFrame, buckets: int = 256) -> DataFrame:
     """(id, rep, tf): each text with the smallest id of equal token counts.  Texts without tokens
     are all alike, and like nothing else."""
-    vectors = bucket_vectors(texts, buckets)
-    # written first, so that the join reads plain shuffles and splits a frequent vector
-    reps = write_and_read(vectors.groupBy("tf").agg(F.min("id").alias("rep")), "same-vector")
+    vectors, reps = with_representatives(texts, buckets)
     return vectors.join(reps, "tf").select("id", "rep", "tf")
 
 
+def with_representatives(texts: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """(id, tf) of all texts, and (tf, rep) of all different counts with their smallest id.  Both are
+    written, so that texts are read and cut once, and the join of the two reads plain shuffles and
+    splits a frequent vector."""
+    vectors = write_and_read(bucket_vectors(texts, buckets), "bucket-vectors")
+    return vectors, write_and_read(vectors.groupBy("tf").agg(F.min("id").alias("rep")), "same-vector")
+
+
 def components(pairs: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(id, component) of the ids on pairs; component is the smallest id reachable.
 
@@ -76,8 +87,9 @@ def single_linkage_clusters(texts: DataFrame, threshold: float, buckets: int = 2
     if threshold <= 0:
         least = texts.agg(F.min("id").alias("component"))
         return texts.select("id").crossJoin(F.broadcast(least))  # one row
-    same = write_and_read(same_vector(texts, buckets).select("id", "rep"), "same")
-    linked = components(similarity_pairs(texts, threshold, buckets, forest=True))
+    vectors, reps = with_representatives(texts, buckets)
+    same = vectors.join(reps, "tf").select("id", "rep")
+    linked = components(pairs_of(reps, threshold, buckets, forest=True))
     return same.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
 
 
