@@ -5,7 +5,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from feedloom.functions import text as T
 from feedloom.operators import clusters as C
 from feedloom.operators import similarity as S
 
@@ -127,3 +129,75 @@ def test_links_of_clusters_are_a_forest(spark):
     v = vectors(texts)
     equal = [(j, k) for j, k in itertools.combinations(range(len(texts)), 2) if (v[j] == v[k]).all()]
     assert [r.component for r in clusters] == components_of(len(texts), [*want, *equal])
+
+
+def test_texts_are_cut_once(spark):
+    """Pairs and clusters read each text once, and a null text is alike with texts without tokens."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(text):
+        seen.add(1)
+        return text
+
+    rng = random.Random(5)
+    base = long_texts(rng, 4)
+    texts = [edited(rng, base[k % 4], 0.02) for k in range(60)] + [None, "", "...", None, base[0], base[0]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("text", F.udf(look, "string")("text"))
+    got = {(r.a, r.b) for r in C.similarity_pairs(rows, 0.9).collect()}
+    assert seen.value == len(texts)
+    want = brute(texts, 0.9)
+    assert got == want.keys()
+    clusters = {r.id: r.component for r in C.single_linkage_clusters(rows, 0.9).collect()}
+    assert seen.value == 2 * len(texts)
+    bare = list(range(60, 64))
+    equal = [(60, k) for k in bare] + [(64, 65)]
+    assert [clusters.get(k) for k in range(len(texts))] == components_of(len(texts), [*want, *equal])
+
+
+def test_bucket_lists(spark):
+    """Equal to the column expression, whatever the bytes."""
+    texts = ["", "...", "Éa B b3-İi K xK \U0001F600q ſs ß", "A a 1 1 1 zz", "é", "x" * 500 + " y\x00z\tq", *long_texts(random.Random(2), 300, 20, 50)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    for buckets in (256, 7):
+        got = rows.select(T.bucket_lists(F.col("text"), buckets).alias("a"), T.bucket_counts(F.col("text"), buckets).alias("b")).collect()
+        assert len(got) == len(texts) and all(r.a == r.b for r in got)
+    assert spark.sql("select cast(null as string) as text").select(T.bucket_lists(F.col("text")).alias("a")).first().a == []
+
+
+@pytest.mark.parametrize("many", [0.0, 1.0])
+def test_many_alike(spark, monkeypatch, many):
+    """One product for all pairs, and pairs one by one, in blocks of which some are full and some are not."""
+    monkeypatch.setattr(S, "MANY", many)
+    rng = random.Random(8)
+    base = long_texts(rng, 2)
+    texts = [edited(rng, base[k % 2], rng.choice([0.01, 0.05, 0.4])) for k in range(700)]
+    v = vectors(texts)
+    u = S.units(v)
+    head = np.arange(0, 256, 3)
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(u @ u.T >= 0.9 - 1e-12, 1)))}
+    for kind in (np.float32, np.float64):
+        got = [(i, j, c) for x in S.close_pairs(v.astype(kind), v.astype(kind), 0.9, True, head, [0]) for i, j, c in zip(*x)]
+        assert len(got) == len(want) and {(i, j) for i, j, _ in got} == want
+        assert all(abs(c - u[i] @ u[j]) < 1e-9 for i, j, c in got)
+
+
+def test_joined_rows_are_not_multiplied(spark):
+    """Rows that are one tree with all of the other block are left out before any product."""
+    v = vectors([edited(random.Random(k), "a b c d e f g h i j", 0.01) + f" n{k % 3}" for k in range(40)])
+    v = np.unique(v, axis=0)
+    trees, head, counted = S.Trees(), np.arange(96), [0]
+    rows = trees.rows("p", len(v)), trees.rows("p", len(v))
+    first = sum(len(i) for i, _, _ in S.close_pairs(v, v, 0.5, True, head, counted, trees, rows))
+    assert first == len(v) - 1
+    a, b = S.Rows(v, head), S.Rows(v, head)
+    a.bound = b.bound = None  # a product would fail
+    assert not list(S.close_pairs(a, b, 0.5, True, head, counted, trees, rows))
+
+
+def test_gaps_around_other_pivots_leave_out_blocks(spark):
+    """Blocks of two cells whose angles to a third pivot differ by more than the threshold's never meet."""
+    pivots = S.units(np.array([[10.0, 0, 0], [9.0, 3.0, 0], [0, 0, 1.0]]))
+    rows = [("a", 0, 0.0, 0.3, 5, [0.0, 0.1, 0.9], [0.3, 0.4, 1.0]), ("b", 1, 0.0, 0.3, 5, [0.1, 0.0, 1.4], [0.4, 0.3, 1.5]), ("c", 1, 0.0, 0.3, 5, [0.1, 0.0, 1.0], [0.4, 0.3, 1.1])]
+    blocks = spark.createDataFrame(rows, "path string, cell int, low double, high double, n long, lows array<double>, highs array<double>")
+    near = {(r.a, r.b) for r in S.near_blocks(blocks, None, pivots, 0.29).collect()}
+    assert near == {("a", "a"), ("b", "b"), ("c", "c"), ("a", "c")}
